@@ -68,19 +68,17 @@ def statistics(texts: pa.Array) -> np.ndarray:
             near |= same
             if lag == 1:
                 last = same
-        odd = np.zeros(len(h), bool)
-        if len(h):
-            cum = np.concatenate(([0], np.cumsum(_KINDS[:, 0][part], dtype=np.int64)))
-            odd = cum[e] - cum[s] >= 2
+        within = lambda kind: (c := np.concatenate(([0], np.cumsum(_KINDS[:, kind][part], dtype=np.int64))))[e] - c[s]
         words = n > 0
-        per_word = np.zeros((b - a, 3))
-        for j, flags in enumerate((last, near, odd)):
+        per_word = np.zeros((b - a, 5))
+        for j, flags in enumerate((last, near, within(0) >= 2, within(2) >= 1, within(3) >= 2)):
             per_word[words, j] = sums(flags.astype(np.uint8), ptr, words)
         solid = n_bytes - kinds[:, 5] - kinds[:, 6]
         x = out[a:b]
         x[:, :5] = np.sqrt(kinds[:, :5] / np.maximum(solid, 20)[:, None])
         x[:, 5] = np.sqrt(kinds[:, 5] / np.maximum(n, 10))
-        x[:, 6:9] = np.sqrt(per_word / np.maximum(n, 8)[:, None])
+        x[:, 6:9] = np.sqrt(per_word[:, :3] / np.maximum(n, 8)[:, None])
+        x[:, 2:4] = np.sqrt(per_word[:, 3:] / np.maximum(n, 8)[:, None])  # of words, so that one odd word stays one
         x[:, 9] = np.log((solid + 50.0) / (n + 10.0))
     return out
 

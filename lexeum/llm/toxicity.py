@@ -2,17 +2,17 @@
 
 Folding, which keeps each character's place: lower case, base letters without
 marks, homoglyphs of other scripts as the Latin letters they look like, digits
-and signs inside words as the letters they stand for (l, 1 and i are one
-letter), runs of three or more equal letters as one, single letters that are
+and signs inside words as the letters they stand for (1 as i, and entries with l
+are matched with i there too), runs of three or more equal letters as one, single letters that are
 spaced out by dots, dashes, stars or underscores joined; zero-width characters
 go. All else is one blank.
 
 The lexicon holds whole words and word beginnings, ``SEEDS`` with a prior
 weight and those learned from labelled rows: a word or a beginning that stands
-in at least ``LEAST_ROWS`` toxic rows and whose smoothed log-odds reach
+in at least ``LEAST_ROWS`` and ``LEAST_SHARE`` of the toxic rows and whose smoothed log-odds reach
 ``LEAST_ODDS``, weighted by these. A match inside an exception phrase does not
-count. A document's score is a logistic curve over its summed weights, their
-share of the document's length, and the number of different entries.
+count. A document's score is a logistic curve over its summed weights (an
+entry's repeats count by their logarithm), their share of the document's length, and the number of different entries.
 
 Lexicon and curve are fitted on disjoint parts of a bounded sample of
 ``TRAIN_ROWS`` labelled rows; ``MAX_ENTRIES`` bounds the lexicon.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,14 +36,14 @@ from pyspark.sql import functions as F
 
 from lexeum.llm import common as C
 
-TRAIN_ROWS, MAX_ENTRIES, LEAST_ROWS, LEAST_ODDS, STEMS = 20_000, 4_000, 5, 3.0, range(3, 9)
+TRAIN_ROWS, MAX_ENTRIES, LEAST_ROWS, LEAST_SHARE, LEAST_ODDS, STEMS = 20_000, 4_000, 3, 0.01, 3.0, range(3, 9)
 FOUND = "struct<score:double,weight:double,n_words:bigint,starts:array<bigint>,ends:array<bigint>,terms:array<string>>"
 _KIND = pa.struct([("score", pa.float64()), ("weight", pa.float64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("terms", pa.list_(pa.string()))])
 
 SEEDS = ("asshole", "bastard", "bitch", "clown", "cunt", "degenerate", "disgusting", "dumbass", "fuck", "idiot", "imbecile", "loser", "moron", "pathetic", "retard", "scum", "scumbag", "shithead", "slut", "stupid", "subhuman", "trash", "vermin", "whore", "worthless", "arschloch", "dummkopf", "hurensohn", "schlampe", "connard", "salope", "enculé", "gilipollas", "imbécil", "puta")
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "trash collection", "take out the trash", "clown fish", "circus clown", "class clown", "pond scum", "soap scum", "stupid question", "sore loser", "son of a bitch", "idiot proof", "moron de la frontera")
 _LOOKS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ѵ": "v", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ɑ": "a", "ɡ": "g", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "s", "æ": "a", "œ": "o"}
-_STANDS = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "l": "i"}
+_STANDS = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g"}
 _SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "£": "l", "+": "t"}
 _GONE = (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)
 BLANK, EDGE = 32, 10
@@ -145,7 +146,9 @@ class Lexicon:
             import ahocorasick
 
             a = ahocorasick.Automaton()
-            for e, w in self.entries.items():
+            for e, w in self.entries.items():  # a 1 may stand for l
+                if (other := e.replace("l", "i")) not in self.entries:
+                    a.add_word(other, (len(e), w, e))
                 a.add_word(e, (len(e), w, e))
             for e in self.exceptions:
                 a.add_word(e, (len(e), None, e))
@@ -192,8 +195,9 @@ class Lexicon:
     def features(found, n_words) -> np.ndarray:
         x = np.zeros((len(found), 3))
         for i, m in enumerate(found):
-            s = sum(w for *_, w in m)
-            x[i] = np.log1p(s), np.log1p(100 * s / (n_words[i] + 20)), min(6, len({e for _, _, e, _ in m}))
+            times = Counter((e, w) for _, _, e, w in m)
+            s = sum(w * (1 + np.log(k)) for (_, w), k in times.items())
+            x[i] = np.log1p(s), np.log1p(100 * s / (n_words[i] + 20)), min(6, len(times))
         return x
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -268,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     if p and n:
         odds = F.log((F.col("n1") + 0.5) / (p + 1.0)) - F.log((F.col("n0") + 0.5) / (n + 1.0))
         found = sample.filter("not judge").select("t", "y").mapInArrow(_count, "h bigint, n1 bigint, n0 bigint").groupBy("h").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-        found = found.filter(F.col("n1") >= LEAST_ROWS).withColumn("w", odds).filter(F.col("w") >= LEAST_ODDS).orderBy(F.desc("n1"), F.desc("w"), "h").limit(4 * MAX_ENTRIES)
+        found = found.filter(F.col("n1") >= max(LEAST_ROWS, LEAST_SHARE * p)).withColumn("w", odds).filter(F.col("w") >= LEAST_ODDS).orderBy(F.desc("n1"), F.desc("w"), "h").limit(4 * MAX_ENTRIES)
         got = {r.h: (r.w, r.n1) for r in found.collect()}
         sent = spark.sparkContext.broadcast(np.sort(np.array(list(got), np.int64)))
 
