@@ -2,7 +2,7 @@
 
 Folding, which keeps each character's place: lower case, base letters without
 marks, homoglyphs of other scripts as the Latin letters they look like, digits
-and signs inside words as the letters they stand for (1 as i, and entries with l
+and signs inside words as the letters they stand for (1 as i, and seeds with l
 are matched with i there too), runs of three or more equal letters as one, single letters that are
 spaced out by dots, dashes, stars or underscores joined; zero-width characters
 go. All else is one blank.
@@ -146,9 +146,10 @@ class Lexicon:
             import ahocorasick
 
             a = ahocorasick.Automaton()
-            for e, w in self.entries.items():  # a 1 may stand for l
-                if (other := e.replace("l", "i")) not in self.entries:
-                    a.add_word(other, (len(e), w, e))
+            for e in (f" {fold_term(s)} " for s in SEEDS):  # a 1 may stand for l
+                if e in self.entries:
+                    a.add_word(e.replace("l", "i"), (len(e), self.entries[e], e))
+            for e, w in self.entries.items():
                 a.add_word(e, (len(e), w, e))
             for e in self.exceptions:
                 a.add_word(e, (len(e), None, e))
