@@ -86,6 +86,9 @@ class Models:
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
         k = len(self.langs)
+        self.mean, self.spread = np.zeros(k), np.ones(k)
+        if not k:
+            return
         symbols = set()
         for g, _ in counts.values():
             symbols.update(np.unique(g & _low(1)).tolist())
@@ -118,7 +121,6 @@ class Models:
                 backs[n].append((keys, np.log(back)))
         self.p = [None] + [self._merge(probs[n], k, np.nan) for n in range(1, ORDER + 1)]
         self.b = [None] + [self._merge(backs[n], k, 0.0) for n in range(1, ORDER + 1)]
-        self.mean, self.spread = np.zeros(k), np.ones(k)
 
     @staticmethod
     def _merge(parts, k, missing):
@@ -188,9 +190,7 @@ class Models:
         parts = []
         for a, b in C.slices(off, SLICE):
             some = [t or "" for t in texts.slice(a, b - a).to_pylist()]
-            h, size = self.entropies(some, memory)
-            if not self.langs:
-                h = np.zeros((len(some), 1))
+            h, size = self.entropies(some, memory) if self.langs else (np.zeros((len(some), 1)), np.zeros(len(some)))
             k = h.argmin(1)
             least = h[np.arange(len(h)), k]
             lang = np.array([*self.langs, "und"], object)[np.where((size > 0) & (len(self.langs) > 0), k, len(self.langs))]
@@ -230,9 +230,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     best = summed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "g"))).filter(F.col("r") <= MAX_NGRAMS).select("lang", "g", "c").toArrow()
     names = np.array(best["lang"].to_pylist(), object)
     g, c = best["g"].to_numpy().view(C.U), best["c"].to_numpy()
-    models = Models({n: (g[names == n], c[names == n]) for n in sorted(set(names))}) if len(names) else Models.__new__(Models)
-    if not len(names):
-        models.langs, models.mean, models.spread = [], np.zeros(0), np.ones(0)
+    models = Models({n: (g[names == n], c[names == n]) for n in sorted(set(names))})
+    if not models.langs:
         return models
     sent = sc.broadcast(models)
 
