@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexeum.dataset import UnifiedDataset
 from lexeum.operators import statistics, translation
+from lexeum.session import ship
 from lexeum.sources import sinks
 
 
@@ -43,7 +44,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--device", default=None)
     p.add_argument("--cache", default=None)
     a = p.parse_args(args)
-    spark = SparkSession.builder.appName("lexeum").getOrCreate()
+    spark = ship(SparkSession.builder.appName("lexeum").getOrCreate())
     print(run(spark, a.root, a.out, a.corpora, a.translate, a.assign_splits, a.batch_size, a.device, a.cache))
 
 
