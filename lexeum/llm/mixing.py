@@ -9,7 +9,7 @@ random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), with u a hash
 of the row. Documents are taken in rank order until the source's words are met.
 
 The rank at which a source is full is found by counting words below candidate
-ranks over all partitions, refined 256-fold a round, so no source is gathered
+ranks over all partitions, refined 16-fold a round, so no source is gathered
 anywhere; the last ``TAIL`` or fewer documents around it are settled one by
 one, those that still fit being taken, which brings each source as near to its
 target as these allow.
@@ -144,7 +144,7 @@ def _full_ranks(spark, rows: DataFrame, gap: dict) -> tuple[dict, dict]:
         rest = {k: v for k, v in spans.items() if k not in set(ends)}
         if not rest:
             break
-        step = max(0, shift - 8)
+        step = max(0, shift - 4)
         wide = mine.groupBy("_k", "_g", F.shiftright("z", step).alias("b")).agg(F.sum("size").alias("s"))
         w = Window.partitionBy("_k").orderBy("b")
         run = wide.withColumn("upto", F.sum("s").over(w))
