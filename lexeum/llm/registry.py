@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexeum.llm import common as C
-from lexeum.llm import decontam, langid, mixing, neardup, pii, quality, sharding, tokens, topk, toxicity
+from lexeum.llm import decontam, langid, mixing, neardup, oracles, pii, quality, sharding, tokens, topk, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +82,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_sharding, op4_token_counts, op5_minhash_neardup, op6_topk_search, op7_mixing, op8_quality, op9_langid, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_minhash_neardup": oracles.NEAR_DUPLICATES, "op6_topk_search": oracles.TOP_K, "op10_decontamination": oracles.DECONTAMINATION}
