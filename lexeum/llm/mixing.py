@@ -72,11 +72,12 @@ def settle(rows: list[tuple[int, int]], gap: float) -> list[int]:
 def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, text: str = "text", doc_id: str = "doc_id", source: str = "source", importance: Column | None = None, seed: int = 17) -> DataFrame:
     """``docs`` with size, source_size, target and copies (how often the mix takes the document)."""
     spark = docs.sparkSession
-    size, total, goal, copies = (C.fresh(docs, x) for x in ("size", "source_size", "target", "copies"))
+    size, total, goal, copies, cu, cw = (C.fresh(docs, x) for x in ("size", "source_size", "target", "copies", "_u", "_w"))
+    k, c, lam_, whole, p_, z_, s_, t_, z0, more = (C.fresh(docs, x) for x in ("_k", "_c", "_lam", "_whole", "_p", "_z", "_s", "_t", "_z0", "_more"))
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text)), F.lit(1 << _BITS)).alias("u")
     imp = F.lit(1.0) if importance is None else F.greatest(importance.cast("double"), F.lit(1e-9))
-    keyed = docs.withColumn(size, word_count(text)).withColumn("_u", u).withColumn("_w", imp)
-    rows = C.stored(keyed.select(F.col(source).alias("source"), F.col(size).alias("size"), F.col("_u").alias("u"), F.col("_w").alias("w")), "sizes")
+    keyed = docs.withColumn(size, word_count(text)).withColumn(cu, u).withColumn(cw, imp)
+    rows = C.stored(keyed.select(F.col(source).alias("source"), F.col(size).alias("size"), F.col(cu).alias("u"), F.col(cw).alias("w")), "sizes")
     per = rows.groupBy("source").agg(F.sum("size").alias("s"), F.sum(F.col("size") * F.col("w")).alias("ws")).limit(MAX_SOURCES + 1).collect()
     if len(per) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -85,36 +86,36 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, text: str = "text",
     scale = {r.source: (g / r.ws if r.ws else 0.0) for r, g in zip(per, goals, strict=True)}
     if importance is not None:  # documents at the cap leave the others more
         for _ in range(50):
-            at = _broadcast(spark, [(k, c) for k, c in scale.items()], "_k string, _c double")
-            lam = F.col("w") * F.col("_c")
-            now = rows.join(at, F.col("source").eqNullSafe(F.col("_k"))).groupBy("source").agg(F.sum(F.when(lam >= cap, F.col("size") * cap).otherwise(0)).alias("full"), F.sum(F.when(lam < cap, F.col("size") * F.col("w")).otherwise(0.0)).alias("open")).collect()
+            at = _broadcast(spark, list(scale.items()), f"`{k}` string, `{c}` double")
+            lam = F.col("w") * F.col(c)
+            now = rows.join(at, F.col("source").eqNullSafe(F.col(k))).groupBy("source").agg(F.sum(F.when(lam >= cap, F.col("size") * cap).otherwise(0)).alias("full"), F.sum(F.when(lam < cap, F.col("size") * F.col("w")).otherwise(0.0)).alias("open")).collect()
             goal_of = {r.source: g for r, g in zip(per, goals, strict=True)}
             nxt = {r.source: ((goal_of[r.source] - r.full) / r.open if r.open else scale[r.source]) for r in now}
-            done = all(abs(nxt[k] - scale[k]) <= 1e-9 * max(1.0, scale[k]) for k in nxt)
+            done = all(abs(nxt[x] - scale[x]) <= 1e-9 * max(1.0, scale[x]) for x in nxt)
             scale |= nxt
             if done:
                 break
 
-    base = _broadcast(spark, [(r.source, scale[r.source]) for r in per], "_k string, _c double")
+    base = _broadcast(spark, [(r.source, scale[r.source]) for r in per], f"`{k}` string, `{c}` double")
 
     def ranked(df: DataFrame, src: str, u_: str, w_: str) -> DataFrame:
         """With the certain copies ``_whole`` and the rank ``_z``."""
-        df = df.join(base, F.col(src).eqNullSafe(F.col("_k"))).withColumn("_lam", F.least(F.lit(float(cap)), F.col(w_) * F.col("_c")))
-        df = df.withColumn("_whole", F.floor("_lam").cast("long")).withColumn("_p", F.col("_lam") - F.col("_whole"))
+        df = df.join(base, F.col(src).eqNullSafe(F.col(k))).withColumn(lam_, F.least(F.lit(float(cap)), F.col(w_) * F.col(c)))
+        df = df.withColumn(whole, F.floor(lam_).cast("long")).withColumn(p_, F.col(lam_) - F.col(whole))
         x = (F.col(u_).cast("double") + 0.5) / float(1 << _BITS)
-        odds = x / (1.0 - x) * (1.0 - F.col("_p")) / F.greatest(F.col("_p"), F.lit(1e-12))
+        odds = x / (1.0 - x) * (1.0 - F.col(p_)) / F.greatest(F.col(p_), F.lit(1e-12))
         z = F.least(F.floor(odds / (1.0 + odds) * float(1 << _BITS)).cast("long"), F.lit((1 << _BITS) - 1))
-        return df.withColumn("_z", z).drop("_k", "_c", "_lam")
+        return df.withColumn(z_, z).drop(k, c, lam_)
 
-    part = C.stored(ranked(rows, "source", "u", "w").select("source", "size", F.col("_z").alias("z"), "_whole", "_p"), "ranks")
-    certain = {r.source: int(r.s) for r in part.groupBy("source").agg(F.sum(F.col("size") * F.col("_whole")).alias("s")).collect()}
+    part = C.stored(ranked(rows, "source", "u", "w").select("source", "size", F.col(z_).alias("z"), F.col(whole).alias("whole"), F.col(p_).alias("p")), "ranks")
+    certain = {r.source: int(r.s) for r in part.groupBy("source").agg(F.sum(F.col("size") * F.col("whole")).alias("s")).collect()}
     gap = {r.source: max(0.0, g - certain[r.source]) for r, g in zip(per, goals, strict=True)}
-    open_rows = part.filter("_p > 0 and size > 0").select("source", "size", "z")
+    open_rows = part.filter("p > 0 and size > 0").select("source", "size", "z")
     limit, extra = _full_ranks(spark, open_rows, gap)
-    facts = _broadcast(spark, [(r.source, int(r.s), g, limit.get(r.source, 0), extra.get(r.source, [])) for r, g in zip(per, goals, strict=True)], "_k string, _s long, _t double, _z0 long, _more array<long>")
-    out = ranked(keyed, source, "_u", "_w").join(facts, F.col(source).eqNullSafe(F.col("_k")))
-    taken = F.col("_whole") + ((F.col("_p") > 0) & (F.col(size) > 0) & ((F.col("_z") < F.col("_z0")) | F.array_contains("_more", F.col("_z")))).cast("long")
-    return out.select(*docs.columns, size, F.col("_s").alias(total), F.col("_t").alias(goal), taken.alias(copies))
+    facts = _broadcast(spark, [(r.source, int(r.s), g, limit.get(r.source, 0), extra.get(r.source, [])) for r, g in zip(per, goals, strict=True)], f"`{k}` string, `{s_}` long, `{t_}` double, `{z0}` long, `{more}` array<long>")
+    out = ranked(keyed, source, cu, cw).join(facts, F.col(source).eqNullSafe(F.col(k)))
+    taken = F.col(whole) + ((F.col(p_) > 0) & (F.col(size) > 0) & ((F.col(z_) < F.col(z0)) | F.array_contains(more, F.col(z_)))).cast("long")
+    return out.select(*docs.columns, size, F.col(s_).alias(total), F.col(t_).alias(goal), taken.alias(copies))
 
 
 def _broadcast(spark, rows, schema: str) -> DataFrame:

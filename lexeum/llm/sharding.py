@@ -84,7 +84,7 @@ def splitters(rows: DataFrame, targets: list[float], slack: float) -> list[int]:
 
 def sharded(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless in each shard), written to match by one exchange."""
-    key, size, shard, slot = (C.fresh(docs, x) for x in ("_key", "_size", "shard", "slot"))
+    key, size, shard, slot, hk, hs, hn, at_, bin_, sub, row, first_ = (C.fresh(docs, x) for x in ("_key", "_size", "shard", "slot", "_hk", "_hs", "_hn", "_s", "_bin", "_sub", "_row", "_first"))
     keyed = docs.withColumn(key, F.xxhash64(text)).withColumn(size, size_of(text))
     probe = C.stored(keyed.select(F.col(key).alias("key"), F.col(size).alias("size"), F.xxhash64(F.col(doc_id).cast("string")).alias("own")), "keys")
     n, total = probe.agg(F.count("*"), F.sum("size")).first()
@@ -96,8 +96,8 @@ def sharded(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str =
     shift = 64 - (bins.bit_length() - 1)
     spark = docs.sparkSession
     cut = max(1, n // bins)
-    big = F.broadcast(spark.createDataFrame([(r.key, p, max(1, -(-r.n // cut))) for r, p in zip(heavy, place, strict=True)], "_hk long, _hs int, _hn int"))
-    light = probe.join(big, F.col("key") == F.col("_hk"), "left_anti")
+    big = F.broadcast(spark.createDataFrame([(r.key, p, max(1, -(-r.n // cut))) for r, p in zip(heavy, place, strict=True)], f"`{hk}` long, `{hs}` int, `{hn}` int"))
+    light = probe.join(big, F.col("key") == F.col(hk), "left_anti")
     targets, at = [], 0.0
     for x in room[:-1]:
         at += x
@@ -105,17 +105,17 @@ def sharded(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str =
     edges = splitters(light, targets, TOLERANCE * max(1.0, total / shards))
 
     def placed(df: DataFrame, k: str, own) -> DataFrame:
-        df = df.join(big, F.col(k) == F.col("_hk"), "left")
+        df = df.join(big, F.col(k) == F.col(hk), "left")
         by_range = F.lit(0)
         for e in edges:
             by_range = by_range + (F.col(k) >= F.lit(e)).cast("int")
-        df = df.withColumn("_s", F.coalesce("_hs", by_range))
-        return df.withColumn("_bin", F.shiftright(k, shift)).withColumn("_sub", F.coalesce(F.pmod(own, F.col("_hn")).cast("int") + 1, F.lit(0))).drop("_hk", "_hs", "_hn")
-
-    counts = placed(probe, "key", F.col("own")).groupBy("_s", "_bin", "_sub").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_s").orderBy("_bin", "_sub").rowsBetween(Window.unboundedPreceding, -1)
-    first = C.stored(counts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "bins")
-    inside = Window.partitionBy("_s", "_bin", "_sub").orderBy(key, doc_id)
-    out = placed(keyed, key, F.xxhash64(F.col(doc_id).cast("string"))).withColumn("_row", F.row_number().over(inside))
-    out = out.join(first, ["_s", "_bin", "_sub"])
-    return out.select(*docs.columns, F.col("_s").alias(shard), (F.col("_first") + F.col("_row") - 1).alias(slot))
+        df = df.withColumn(at_, F.coalesce(hs, by_range))
+        return df.withColumn(bin_, F.shiftright(k, shift)).withColumn(sub, F.coalesce(F.pmod(own, F.col(hn)).cast("int") + 1, F.lit(0))).drop(hk, hs, hn)
+
+    counts = placed(probe, "key", F.col("own")).groupBy(at_, bin_, sub).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(at_).orderBy(bin_, sub).rowsBetween(Window.unboundedPreceding, -1)
+    first = C.stored(counts.withColumn(first_, F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "bins")
+    inside = Window.partitionBy(at_, bin_, sub).orderBy(key, doc_id)
+    out = placed(keyed, key, F.xxhash64(F.col(doc_id).cast("string"))).withColumn(row, F.row_number().over(inside))
+    out = out.join(first, [at_, bin_, sub])
+    return out.select(*docs.columns, F.col(at_).alias(shard), (F.col(first_) + F.col(row) - 1).alias(slot))

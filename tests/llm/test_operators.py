@@ -112,7 +112,7 @@ def test_shards(spark, kind):
     if kind == "hot":
         texts[:500] = ["hot " * 20] * 500
         texts[500:510] = [None] * 10
-    df = frame(spark, texts, shard=["mine"] * n)
+    df = frame(spark, texts, shard=["mine"] * n, _key=["k"] * n, _s=["s"] * n)
     rows = sharding.sharded(df, 8).collect()
     assert len(rows) == n
     where, load, slots = {}, [0] * 8, {}
@@ -151,7 +151,7 @@ def test_mix_meets_targets_and_reruns_agree(spark, monkeypatch):
     n = 900
     texts = [" ".join(["w"] * int(rng.integers(0, 60))) if i % 50 else None for i in range(n)]
     source = [("big" if i % 3 else ["a", "b", None, "é"][i % 4]) for i in range(n)]
-    df = frame(spark, texts, source=source, target=["kept"] * n)
+    df = frame(spark, texts, source=source, target=["kept"] * n, _k=["k"] * n, _z=["z"] * n)
     one = {r.doc_id: r for r in mixing.mixed(df).collect()}
     two = {r.doc_id: r for r in mixing.mixed(df.repartition(7)).collect()}
     assert len(one) == n and {k: r.copies for k, r in one.items()} == {k: r.copies for k, r in two.items()}
