@@ -191,6 +191,7 @@ class Models:
         for a, b in C.slices(off, SLICE):
             some = [t or "" for t in texts.slice(a, b - a).to_pylist()]
             h, size = self.entropies(some, memory) if self.langs else (np.zeros((len(some), 1)), np.zeros(len(some)))
+            size[[not any(map(str.isalpha, t)) for t in some]] = 0  # marks alone are no letters
             k = h.argmin(1)
             least = h[np.arange(len(h)), k]
             lang = np.array([*self.langs, "und"], object)[np.where((size > 0) & (len(self.langs) > 0), k, len(self.langs))]

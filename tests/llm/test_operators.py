@@ -423,12 +423,12 @@ def test_languages(spark):
         k = ["xx", "yy", "zz"][i % 3]
         texts.append(" ".join("".join(rng.choice(parts[k], size=3)) for _ in range(30)))
         lang.append(k if i % 7 else None)
-    odd = [*texts, None, "", "123 !?", "漢字" * 50]
-    df = frame(spark, odd, lang=[*lang, "xx", "yy", None, None])
+    odd = [*texts, None, "", "123 !?", "漢字" * 50, "\u0301\u0301"]
+    df = frame(spark, odd, lang=[*lang, "xx", "yy", None, None, None])
     m = langid.train(df.filter("doc_id % 2 = 0"))
     got = {r.doc_id: r.found for r in langid.with_language(df, m).collect()}
     assert all(got[i].lang == ["xx", "yy", "zz"][i % 3] and 0 <= got[i].score <= 1 and not got[i].rejected for i in range(300))
-    assert [got[300 + k].lang for k in range(3)] == ["und"] * 3 and got[303].rejected and got[303].lang in parts
+    assert [got[300 + k].lang for k in range(3)] == ["und"] * 3 and got[304].lang == "und" and got[303].rejected and got[303].lang in parts
     none = langid.train(df.limit(0))
     assert {r.found.lang for r in langid.with_language(df, none).collect()} == {"und"}
 
