@@ -9,13 +9,16 @@ sets' Jaccard similarity is at least ``threshold``.
   its least value, earlier rounds first. After ``T`` rounds, round ``T + j``
   fills bin ``j``, so every coordinate is filled after ``2 T`` rounds at most.
 * Classes: documents of equal sets become one node, so copies cost nothing.
-* Banding: ``BANDS`` bands of ``ROWS`` coordinates. A pair at similarity 0.75
+* Banding: ``BANDS`` bands of ``ROWS`` coordinates of a byte. A pair at similarity 0.75
   meets in no band with probability (1 - 0.75**5)**40 = 2e-5.
 * First pass: each bucket links its members to its least member, verified on
   the full sets: a large group of near copies costs one pair for each member.
-* Second pass: buckets that still hold several components are compared in
-  blocks of bounded size; pairs of different components whose sketches agree
-  in ``SCREEN`` of the coordinates are verified on the full sets.
+* Further passes: buckets that still hold several components are compared in
+  blocks of bounded size. Pairs of different components whose sketches put
+  them at ``SCREEN`` or more are verified on the full sets: in one pass each
+  member with its nearest, which joins most of a group at one pair a member,
+  and in the last pass all that are still apart and that a sharper sketch of
+  ``SHARP`` coordinates does not rule out (at 4.6 standard deviations).
 
 No bucket is capped and no pair of different components is left out.
 
@@ -28,8 +31,8 @@ ignored by :func:`near_duplicates`.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,11 @@ from lexeum.llm import common as C
 
 WORDS, ROWS, BANDS, SCREEN = 5, 5, 40, 0.6
 T = ROWS * BANDS
-BLOCK = 1000
+BLOCK = 500
+#: Index pairs held at once; sizes of linked sets are at least in this ratio, in percent.
+PAIRS, LENGTHS = 50_000, 75
+#: Coordinates of the sharp sketch, and the bits in which a pair at 0.75 differs at most: 512 are expected, with a deviation of 25.
+SHARP, SHARP_BITS = 2048, 628
 _EMPTY = np.iinfo(np.uint64).max
 
 
@@ -95,14 +102,13 @@ def _features(texts: pa.Array) -> pa.Array:
         n = np.diff(ptr)
         some = n > 0
         sk = sketch(elems, ptr)
-        m = C.mix(sk[some])
+        small = (C.mix(sk[some]) >> C.U(56)).astype(np.uint8)  # bands are of these bytes, so that equal bytes are an equal band
         coef = C.mix(np.arange(1, T + 1, dtype=C.U) * C.U(0xE7037ED1A0B428DB)) | C.U(1)
-        bands = C.mix((m * coef).reshape(len(m), BANDS, ROWS).sum(2, dtype=C.U) + np.arange(BANDS, dtype=C.U))
+        bands = C.mix((C.mix(small.astype(C.U) + C.U(3)) * coef).reshape(len(small), BANDS, ROWS).sum(2, dtype=C.U) + np.arange(BANDS, dtype=C.U))
         heads = ptr[:-1][some]
         ids = np.stack([np.add.reduceat(C.mix(elems ^ C.U(s)), heads) if len(heads) else np.empty(0, C.U) for s in (0x8BB84B93962EACC9, 0x2D358DCCAA6C78A5)], 1)
         where = np.cumsum(some) - 1
         keys = [ids[w].tobytes() if s else None for w, s in zip(where, some, strict=True)]
-        small = (m >> C.U(56)).astype(np.uint8)
         sketches = [small[w].tobytes() if s else None for w, s in zip(where, some, strict=True)]
         lists = C.list_array(bands.view(np.int64).ravel(), np.concatenate(([0], np.cumsum(some * BANDS))), pa.int64())
         parts.append(pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(sketches, pa.binary())], ["n", "key", "bands", "sketch"]))
@@ -120,6 +126,18 @@ def _sets(texts: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
 
 
+def _sharp(sets: pa.Array) -> pa.Array:
+    """Two bits of each of ``SHARP`` coordinates of every set."""
+    parts = []
+    for a in range(0, len(sets), 256):
+        some = sets.slice(a, 256)
+        ptr = np.concatenate(([0], np.cumsum(pc.list_value_length(some).to_numpy())))
+        sk = C.mix(sketch(some.flatten().to_numpy(zero_copy_only=False).view(C.U), ptr, SHARP))
+        bits = np.unpackbits((sk >> C.U(56)).astype(np.uint8)[:, :, None], axis=2)[:, :, :2]
+        parts += [r.tobytes() for r in np.packbits(bits.reshape(len(sk), -1), axis=1)]
+    return pa.array(parts, pa.binary())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node on an edge (a, b); comp is the least node reachable.
 
@@ -145,37 +163,94 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp").union(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-def _screened(bits: int):
-    """Pairs of different components in a block of a bucket whose sketches agree often enough."""
-
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        side = g["side"].to_numpy()
-        g = g.iloc[np.lexsort((g["rep"].to_numpy(), g["comp"].to_numpy()))]
-        side = g["side"].to_numpy()
-        rep, comp = g["rep"].to_numpy(), g["comp"].to_numpy()
-        sk = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), -1)
-        same = key[1] == key[2]
-        left = np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        a_out, b_out = [], []
-        for i in range(0, len(left), 128):
-            x = left[i : i + 128]
-            for j in range(0, len(right), 128):
-                y = right[j : j + 128]
-                if comp[x[0]] == comp[x[-1]] == comp[y[0]] == comp[y[-1]] or (same and j + 128 <= i):
-                    continue
-                agree = (sk[x][:, None, :] == sk[y][None, :, :]).sum(2, dtype=np.int32)
-                ok = (agree >= bits) & (comp[x][:, None] != comp[y][None, :])
-                p, q = np.nonzero(ok)
-                a_out.append(rep[x[p]])
-                b_out.append(rep[y[q]])
-        a = np.concatenate(a_out) if a_out else np.empty(0, np.int64)
-        b = np.concatenate(b_out) if b_out else np.empty(0, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+def _within(sizes: list[tuple[int, int, int, bool]]):
+    """Index pairs of groups (start, left members, end, same): inside one block, or between two; in pieces of bounded size."""
+    p_out, q_out, held = [], [], 0
+    for a, mid, b, same in sizes:
+        if same:
+            p, q = np.triu_indices(b - a, 1)
+            p, q = p + a, q + a
+        else:
+            p = np.repeat(np.arange(a, mid), b - mid)
+            q = np.tile(np.arange(mid, b), mid - a)
+        for k in range(0, len(p), PAIRS):
+            p_out.append(p[k : k + PAIRS])
+            q_out.append(q[k : k + PAIRS])
+            held += len(p_out[-1])
+            if held >= PAIRS:
+                yield np.concatenate(p_out), np.concatenate(q_out)
+                p_out, q_out, held = [], [], 0
+    if held:
+        yield np.concatenate(p_out), np.concatenate(q_out)
+
+
+def _screened(best_only: bool):
+    """Pairs of different components in a block of a bucket whose sketches are near enough: all, or each member's nearest.
+
+    Rows come sorted by bucket and block; a block that a batch cuts waits for
+    the next. A pair that shares several buckets is given by the first.
+    """
+    most = int((1 - SCREEN) * T * 4)  # bits that differ: half of a byte where coordinates differ
+
+    def pairs(t: pa.Table, cuts: np.ndarray):
+        rep, comp, n, side, pos = (t[c].to_numpy() for c in ("rep", "comp", "n", "side", "pos"))
+        same = t["i"].to_numpy() == t["j"].to_numpy()
+        raw = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(t), T)
+        sk = raw.view(np.uint64)
+        sharp = None if best_only else np.frombuffer(b"".join(t["sharp"].to_pylist()), np.uint64).reshape(len(t), -1)
+        left = np.add.reduceat(side == 0, cuts[:-1])
+        group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        found = []
+        for p, q in _within([(a, a + m, b, bool(same[a])) for a, m, b in zip(cuts[:-1].tolist(), left.tolist(), cuts[1:].tolist(), strict=True)]):
+            ok = (comp[p] != comp[q]) & (100 * np.minimum(n[p], n[q]) >= LENGTHS * np.maximum(n[p], n[q]))
+            p, q = p[ok], q[ok]
+            far = np.bitwise_count(sk[p] ^ sk[q]).sum(1, dtype=np.int32)
+            ok = far <= most
+            if not best_only:
+                ok[ok] = np.bitwise_count(sharp[p[ok]] ^ sharp[q[ok]]).sum(1, dtype=np.int32) <= SHARP_BITS
+            p, q, far = p[ok], q[ok], far[ok]
+            if not best_only and len(p):
+                meet = (raw[p] == raw[q]).reshape(len(p), BANDS, ROWS).all(2)
+                ok = meet.argmax(1) == pos[p]
+                p, q, far = p[ok], q[ok], far[ok]
+            found.append((p, q, far))
+        p, q, far = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        if best_only and len(p):
+            node, other, far = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([far, far])
+            order = np.lexsort((rep[other], far, rep[node], group[node]))
+            node, other = node[order], other[order]
+            head = np.append(True, node[1:] != node[:-1])
+            p, q = node[head], other[head]
+        both = np.unique(np.stack([np.minimum(rep[p], rep[q]), np.maximum(rep[p], rep[q])], 1), axis=0)
+        return pa.record_batch([pa.array(both[:, 0].copy(), pa.int64()), pa.array(both[:, 1].copy(), pa.int64())], ["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            k = np.stack([t[c].to_numpy() for c in ("band", "i", "j")], 1)
+            cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+            if len(cuts):
+                yield pairs(t.slice(0, cuts[-1]), np.concatenate(([0], cuts)))
+                t = t.slice(cuts[-1])
+            held = t
+        if held is not None and len(held):
+            yield pairs(held, np.array([0, len(held)]))
 
     return run
 
 
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``comp`` (node, comp) with further links (a, b) between nodes."""
+    of = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
+    lifted = C.stored(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct(), "lifted")
+    top = components(lifted).withColumnRenamed("comp", "to")
+    old = comp.join(top, comp["comp"] == top["node"], "left").select(comp["node"], F.coalesce("to", "comp").alias("comp"))
+    new = top.select("node", F.col("to").alias("comp")).join(comp.select("node"), "node", "left_anti")
+    return C.stored(old.union(new), "comp")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     s = sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
@@ -190,7 +265,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     features = F.arrow_udf(_features, FEATURES).asNondeterministic()
     s = C.stored(base.select("doc_id", features("text").alias("f")).select("doc_id", "f.*"), "sketches")
     classes = C.stored(s.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    rows = classes.select("rep", F.explode("bands").alias("band"))
+    rows = classes.select("rep", F.posexplode("bands").alias("pos", "band"))
     shared = rows.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).filter("least <> most")
     members = C.stored(rows.join(shared.drop("most"), "band"), "members")
     sets_of = F.arrow_udf(_sets, "array<bigint>").asNondeterministic()
@@ -200,23 +275,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     first = C.stored(_verified(star, sets, threshold_percent), "links")
     comp = C.stored(components(first), "comp")
 
-    # what is still apart: buckets with several components, in blocks
-    known = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = known.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("band")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    part = known.join(mixed, "band").join(classes.select("rep", "sketch"), "rep").withColumn("parts", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = part.select("band", "rep", "comp", "sketch", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "comp", "sketch", F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
-    pairs = dealt.groupBy("band", "i", "j").applyInPandas(_screened(int(SCREEN * T)), "a bigint, b bigint").distinct()
-    second = C.stored(_verified(pairs, sets, threshold_percent), "links")
-    if second.isEmpty():
-        final = comp
-    else:
-        node = F.coalesce("comp", "x").alias
-        lifted = second.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        top = C.stored(components(lifted), "comp")
-        final = comp.select(F.col("node"), F.col("comp").alias("x")).union(lifted.select(F.col("a").alias("node"), F.col("a").alias("x"))).union(lifted.select(F.col("b").alias("node"), F.col("b").alias("x"))).distinct().join(top.select(F.col("node").alias("x"), "comp"), "x", "left").groupBy("node").agg(F.min(node("comp")).alias("comp"))
-    label = classes.select("key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("component_id"))
+    # what is still apart: buckets with several components, in blocks; first each member's nearest, at last all
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    for best_only in (True, False):
+        known = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        mixed = known.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("band")
+        part = C.stored(known.join(mixed, "band").join(classes.select("rep", "n", "sketch"), "rep"), "mixed")
+        cols = ["pos", "rep", "comp", "n", "sketch"]
+        if not best_only:
+            sharp = sets.join(part.select("rep").distinct(), "rep", "left_semi").select("rep", F.arrow_udf(_sharp, "binary").asNondeterministic()("set").alias("sharp"))
+            part = part.join(sharp, "rep")
+            cols.append("sharp")
+        part = part.withColumn("mine", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+        dealt = part.select("band", *cols, "mine", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+        dealt = dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *cols, F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
+        dealt = dealt.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j", "side")
+        pairs = dealt.mapInArrow(_screened(best_only), "a bigint, b bigint").distinct()
+        links = C.stored(_verified(pairs, sets, threshold_percent), "links")
+        if not links.isEmpty():
+            comp = _joined(comp, links)
+    label = classes.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("component_id"))
     return s.select("doc_id", "n", "key").join(label, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
