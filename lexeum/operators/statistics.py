@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import pi, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,6 +116,21 @@ def box_stats(df: DataFrame, c: str, by: str) -> DataFrame:
     return df.groupBy(by).agg(q.alias("q")).select(by, F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
 
 
+def density(df: DataFrame, c: str, by: str, points: Sequence[float], bandwidth: float) -> DataFrame:
+    """(by, point, density): a Gaussian kernel estimate at the given points; one pass, a column a point."""
+    z = lambda p: (F.col(c).cast("double") - float(p)) / bandwidth
+    at = {p: F.avg(F.exp(-0.5 * z(p) * z(p))) / (bandwidth * sqrt(2 * pi)) for p in points}
+    wide = df.filter(F.col(c).isNotNull()).groupBy(by).agg(*(v.alias(f"p{i}") for i, v in enumerate(at.values())))
+    return wide.select(by, F.explode(F.array(*(F.struct(F.lit(float(p)).alias("point"), F.col(f"p{i}").alias("density")) for i, p in enumerate(points)))).alias("r")).select(by, "r.*")
+
+
+def label_percents(df: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """(label, value, count, percent) of several labels, one below the other."""
+    rows = df.select(F.explode(F.array(*(F.struct(F.lit(x).alias("label"), F.col(x).alias("value")) for x in labels))).alias("r")).select("r.*")
+    out = grouped_shares(rows, "label", "value")
+    return out.select("label", "value", "count", (F.col("share") * 100.0).alias("percent"))
+
+
 def _pairs(labels: Sequence[str], lower: bool) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(labels) for j, b in enumerate(labels) if not lower or i >= j]
 

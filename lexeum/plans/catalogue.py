@@ -387,6 +387,22 @@ def head(spark, sf_dir):
     return table(spark, sf_dir, "documents").orderBy("doc_id").limit(3).select("doc_id", T.preview(F.col("text")).alias("preview"))
 
 
+@query(
+    """SELECT label, value, count(*) AS count, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY label), 6) AS percent
+    FROM (SELECT 'quality' AS label, quality AS value FROM labels UNION ALL SELECT 'toxic', toxic FROM labels) GROUP BY label, value"""
+)
+def label_percents(spark, sf_dir):
+    return rounded(statistics.label_percents(table(spark, sf_dir, "labels"), ("quality", "toxic")), "percent", digits=6)
+
+
+@query(
+    """SELECT lang, p::DOUBLE AS point, round(avg(exp(-0.5 * ((n_chars - p) / 400.0::DOUBLE) * ((n_chars - p) / 400.0::DOUBLE))) / (400 * sqrt(2 * pi())), 9) AS density
+    FROM documents, (VALUES (0), (1000), (2000), (4000)) t(p) GROUP BY lang, p"""
+)
+def length_density(spark, sf_dir):
+    return rounded(statistics.density(table(spark, sf_dir, "documents"), "n_chars", "lang", (0, 1000, 2000, 4000), 400.0), "density")
+
+
 # ------------------------------------------------------------------ text and translation
 
 SQL_CLEAN = rf"""trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), 'https?://[^{WS}]+|www\.[^{WS}]+', '[URL]', 'g'), '[{WS}]+', ' ', 'g'), ' ')"""
@@ -489,15 +505,15 @@ def split_share(spark, sf_dir):
 # ------------------------------------------------------------------ agreement
 
 
-def _sql_kappa(by: str, votes_: str) -> str:
-    """SQL for kappa by group; by: comma-joined columns, or ''."""
+def _sql_kappa(by: str, votes_: str, p: str = "") -> str:
+    """SQL for kappa by group, in a table ``{p}k``; by: comma-joined columns, or ''."""
     g = f"{by}, " if by else ""
     on = f"USING ({by})" if by else "ON true"
     group = f"GROUP BY {by}" if by else ""
-    return f"""n AS (SELECT {g}item, label, count(*)::DOUBLE AS n FROM {votes_} GROUP BY {g}item, label),
-    o AS (SELECT {g}avg(s) AS po FROM (SELECT {g}item, (sum(n * n) - sum(n)) / (sum(n) * (sum(n) - 1)) AS s FROM n GROUP BY {g}item HAVING sum(n) > 1) {group}),
-    e AS (SELECT {g}sum(c * c) / (sum(c) * sum(c)) AS pe FROM (SELECT {g}label, sum(n) AS c FROM n GROUP BY {g}label) {group}),
-    k AS (SELECT {g}(po - pe) / nullif(1 - pe, 0) AS kappa FROM o JOIN e {on})"""
+    return f"""{p}n AS (SELECT {g}item, label, count(*)::DOUBLE AS n FROM {votes_} GROUP BY {g}item, label),
+    {p}o AS (SELECT {g}avg(s) AS po FROM (SELECT {g}item, (sum(n * n) - sum(n)) / (sum(n) * (sum(n) - 1)) AS s FROM {p}n GROUP BY {g}item HAVING sum(n) > 1) {group}),
+    {p}e AS (SELECT {g}sum(c * c) / (sum(c) * sum(c)) AS pe FROM (SELECT {g}label, sum(n) AS c FROM {p}n GROUP BY {g}label) {group}),
+    {p}k AS (SELECT {g}(po - pe) / nullif(1 - pe, 0) AS kappa FROM {p}o JOIN {p}e {on})"""
 
 
 SQL_BUCKET = "CASE WHEN kappa < 0 THEN 'poor' WHEN kappa = 0 THEN NULL WHEN kappa <= 0.2 THEN 'slight' WHEN kappa <= 0.4 THEN 'fair' WHEN kappa <= 0.6 THEN 'moderate' WHEN kappa <= 0.8 THEN 'substantial' WHEN kappa > 0.8 THEN 'almost perfect' END"
@@ -530,9 +546,9 @@ def expert_agreement(spark, sf_dir):
 
 @query(
     f"""{SQL_EXPERT}, r AS (SELECT rater, kappa, row_number() OVER (ORDER BY kappa DESC, rater) AS rank, lead(kappa) OVER (ORDER BY kappa DESC, rater) AS nx FROM ea),
-    g AS (SELECT h.rank, v.item, v.label FROM r h JOIN r m ON m.rank <= h.rank JOIN votes v ON v.rater = m.rater), {_sql_kappa('rank', 'g').replace('n AS (', 'n2 AS (').replace('FROM n ', 'FROM n2 ').replace('o AS (', 'o2 AS (').replace('e AS (', 'e2 AS (').replace('FROM o JOIN e ', 'FROM o2 JOIN e2 ').replace('k AS (', 'k2 AS (')}
-    SELECT CAST(r.rank AS INT) AS rank, CAST(r.rank AS INT) AS n_raters, (SELECT string_agg(m.rater, ',' ORDER BY m.rank) FROM r m WHERE m.rank <= r.rank) AS members, round(CASE WHEN r.rank = 1 THEN 1.0 ELSE k2.kappa END, 9)::DOUBLE AS kappa
-    FROM r LEFT JOIN k2 ON k2.rank = r.rank"""
+    g AS (SELECT h.rank, v.item, v.label FROM r h JOIN r m ON m.rank <= h.rank JOIN votes v ON v.rater = m.rater), {_sql_kappa('rank', 'g', 'p')}
+    SELECT CAST(r.rank AS INT) AS rank, CAST(r.rank AS INT) AS n_raters, (SELECT string_agg(m.rater, ',' ORDER BY m.rank) FROM r m WHERE m.rank <= r.rank) AS members, round(CASE WHEN r.rank = 1 THEN 1.0 ELSE pk.kappa END, 9)::DOUBLE AS kappa
+    FROM r LEFT JOIN pk ON pk.rank = r.rank"""
 )
 def expert_prefix(spark, sf_dir):
     votes_ = ratings(spark, sf_dir)
@@ -567,8 +583,8 @@ def kappa_encodings(spark, sf_dir):
 
 @query(
     f"""{SQL_EXPERT}, b AS (SELECT rater, {SQL_BUCKET} AS bucket FROM ea UNION ALL SELECT rater, 'all' FROM ea), s AS (SELECT bucket, count(*) AS n_raters FROM b WHERE bucket IS NOT NULL GROUP BY bucket),
-    g AS (SELECT bucket, item, label FROM votes JOIN b USING (rater)), {_sql_kappa('bucket', 'g').replace('n AS (', 'n2 AS (').replace('FROM n ', 'FROM n2 ').replace('o AS (', 'o2 AS (').replace('e AS (', 'e2 AS (').replace('FROM o JOIN e ', 'FROM o2 JOIN e2 ').replace('k AS (', 'k2 AS (')}
-    SELECT bucket, n_raters, CASE WHEN n_raters > 1 THEN round(kappa, 9) END AS kappa FROM s LEFT JOIN k2 USING (bucket)"""
+    g AS (SELECT bucket, item, label FROM votes JOIN b USING (rater)), {_sql_kappa('bucket', 'g', 'p')}
+    SELECT bucket, n_raters, CASE WHEN n_raters > 1 THEN round(kappa, 9) END AS kappa FROM s LEFT JOIN pk USING (bucket)"""
 )
 def bucket_kappas(spark, sf_dir):
     votes_ = ratings(spark, sf_dir)
@@ -576,6 +592,16 @@ def bucket_kappas(spark, sf_dir):
     return rounded(agreement.bucket_kappas(votes_, ranked, "item", "rater", "label", {"all": L.KAPPA_NAMES}), "kappa")
 
 
+@query(
+    f"""WITH {SQL_VOTES}, v2 AS (SELECT item % 2 AS phase, * FROM votes), l2 AS (SELECT w.rater AS without, v.* FROM v2 v JOIN (SELECT DISTINCT rater FROM votes) w ON w.rater <> v.rater),
+    {_sql_kappa('phase', 'v2', 'a')}, {_sql_kappa('phase, without', 'l2', 'b')}
+    SELECT 'All' AS without, phase, 'label' AS label, round(kappa, 9) AS kappa FROM ak UNION ALL SELECT without::VARCHAR, phase, 'label', round(kappa, 9) FROM bk"""
+)
+def kappa_matrix(spark, sf_dir):
+    phased = ratings(spark, sf_dir).withColumn("phase", F.col("item") % 2)
+    return rounded(agreement.result_matrix(phased, "item", "rater", ["label"], "phase"), "kappa")
+
+
 # ------------------------------------------------------------------ words and classes
 
 STOP = ("the", "and", "was", "that", "der", "die", "und", "les", "que", "los")
