@@ -81,9 +81,10 @@ def value_counts(df: DataFrame, c: str, keep_null: bool = True) -> DataFrame:
 
 
 def value_shares(df: DataFrame, c: str) -> DataFrame:
-    """Counts and shares of all rows; the window runs over the distinct values only."""
+    """Counts and shares of all rows; the total is one row, joined to the counts."""
     counts = df.groupBy(c).agg(F.count("*").alias("count"))
-    return counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(0))))
+    total = F.broadcast(df.agg(F.count("*").alias("_all")))
+    return counts.crossJoin(total).select(c, "count", (F.col("count") / F.col("_all")).alias("share"))
 
 
 def grouped_shares(df: DataFrame, group: str, c: str) -> DataFrame:
