@@ -48,7 +48,37 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/lexeum/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more; what was made of them is stored itself."""
+    for df in frames:
+        _remove(df.sparkSession, df._stored_at)
+
+
+BITS = 1 << 26
+
+
+def bitmap(ids: DataFrame, key: str) -> DataFrame:
+    """(bucket, bits) of the hashed keys: at most 2,048 rows of 4 KB however many keys there are."""
+    h = F.pmod(F.xxhash64(key), F.lit(BITS))
+    return ids.select(F.shiftright(h, 15).alias("_bucket"), (h % 32768).alias("_pos")).groupBy("_bucket").agg(F.bitmap_construct_agg("_pos").alias("_bits"))
+
+
+def split_by(df: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose key may be among those of the bitmap, and rows whose key is not.
+
+    The bitmap is a broadcast of 8 MB at most; where it is full, all rows are in the first part.
+    """
+    h = F.pmod(F.xxhash64(key), F.lit(BITS))
+    pos = F.coalesce((h % 32768).cast("int"), F.lit(0))  # a null key is in no bucket
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(byte, F.lit(0)).bitwiseAND(F.call_function("shiftleft", F.lit(1), pos % 8)) != 0
+    joined = df.join(F.broadcast(bits), F.shiftright(h, 15) == F.col("_bucket"), "left")
+    return joined.filter(bit).select(*df.columns), joined.filter(~bit).select(*df.columns)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

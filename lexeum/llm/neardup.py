@@ -155,7 +155,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: the node and its lesser neighbours go to the least of these
         lesser = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lesser, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lesser.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = C.stored(small, "edges")
+        last, edges = edges, C.stored(small, "edges")
+        C.forget(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -245,10 +246,12 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """The components ``comp`` (node, comp) with further links (a, b) between nodes."""
     of = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
     lifted = C.stored(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct(), "lifted")
-    top = components(lifted).withColumnRenamed("comp", "to")
+    top = C.stored(components(lifted).withColumnRenamed("comp", "to"), "top")
     old = comp.join(top, comp["comp"] == top["node"], "left").select(comp["node"], F.coalesce("to", "comp").alias("comp"))
     new = top.select("node", F.col("to").alias("comp")).join(comp.select("node"), "node", "left_anti")
-    return C.stored(old.union(new), "comp")
+    out = C.stored(old.union(new), "comp")
+    C.forget(lifted, top)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -261,6 +264,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold_percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    if threshold_percent < LENGTHS:
+        raise ValueError("bands and screens are made for similarities of 0.75 and more")
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     features = F.arrow_udf(_features, FEATURES).asNondeterministic()
     s = C.stored(base.select("doc_id", features("text").alias("f")).select("doc_id", "f.*"), "sketches")
@@ -270,7 +275,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     members = C.stored(rows.join(shared.drop("most"), "band"), "members")
     sets_of = F.arrow_udf(_sets, "array<bigint>").asNondeterministic()
     owners = members.select("rep").distinct()
-    sets = C.stored(base.join(owners.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), sets_of("text").alias("set")).dropDuplicates(["rep", "set"]), "sets")
+    bits = C.stored(C.bitmap(owners, "rep"), "bits")
+    some, _ = C.split_by(base, "doc_id", bits)  # only their texts move
+    sets = C.stored(some.join(owners.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), sets_of("text").alias("set")).dropDuplicates(["rep", "set"]), "sets")
     star = members.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     first = C.stored(_verified(star, sets, threshold_percent), "links")
     comp = C.stored(components(first), "comp")
@@ -281,7 +288,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     for best_only in (True, False):
         known = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         mixed = known.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("band")
-        part = C.stored(known.join(mixed, "band").join(classes.select("rep", "n", "sketch"), "rep"), "mixed")
+        block = part = C.stored(known.join(mixed, "band").join(classes.select("rep", "n", "sketch"), "rep"), "mixed")
         cols = ["pos", "rep", "comp", "n", "sketch"]
         if not best_only:
             sharp = sets.join(part.select("rep").distinct(), "rep", "left_semi").select("rep", F.arrow_udf(_sharp, "binary").asNondeterministic()("set").alias("sharp"))
@@ -293,8 +300,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         dealt = dealt.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j", "side")
         pairs = dealt.mapInArrow(_screened(best_only), "a bigint, b bigint").distinct()
         links = C.stored(_verified(pairs, sets, threshold_percent), "links")
+        C.forget(block)
         if not links.isEmpty():
-            comp = _joined(comp, links)
+            last, comp = comp, _joined(comp, links)
+            C.forget(last)
+        C.forget(links)
+    C.forget(members, sets, first, bits)
     label = classes.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("component_id"))
     return s.select("doc_id", "n", "key").join(label, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -306,6 +317,8 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     A row without doc_id stays.
     """
     found = C.stored(near_duplicates(docs, text, doc_id, threshold_percent), "groups")
-    out = docs.join(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti").select(*docs.columns)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    maybe, stay = C.split_by(docs, doc_id, C.stored(C.bitmap(gone, doc_id), "bits"))  # most texts stay where they are
+    out = stay.unionByName(maybe.join(gone, doc_id, "left_anti").select(*docs.columns))
     repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
     return out if repeated.isEmpty() else out.dropDuplicates([doc_id, text])

@@ -108,3 +108,15 @@ def test_shingles_of_sliced_and_null_arrays():
     arr = pa.array(["q", "a b c d e f", None, "a"]).slice(1)
     e, ptr = N.shingle_sets(arr)
     assert np.diff(ptr).tolist() == [2, 0, 1]
+
+
+def test_split_by_loses_no_row(spark):
+    from lexeum.llm import common as C
+
+    df = spark.createDataFrame([(i if i % 10 else None, str(i)) for i in range(200)], "doc_id long, _bits string")
+    df = df.withColumnRenamed("_bits", "x")
+    ids = df.filter("doc_id % 3 = 0").select("doc_id")
+    maybe, rest = C.split_by(df, "doc_id", C.bitmap(ids, "doc_id"))
+    assert maybe.count() + rest.count() == 200
+    have = {r.doc_id for r in maybe.collect()}
+    assert {i for i in range(200) if i % 10 and i % 3 == 0} <= have and None not in have and len(have) < 70
