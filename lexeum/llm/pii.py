@@ -6,10 +6,13 @@ They are the protected entities. Corpus co-occurrence tells how strongly a
 term near an entity reveals it: with N documents, n(c) that hold the entity,
 n(t) the term and n(c,t) the term within ``NEAR`` words of the entity,
 
-    disclosure = log2(n(c,t) N / (n(c) n(t))) / log2(N / n(c)),
+    disclosure = log2(p N / n(c)) / log2(N / n(c)),  p = (n(c,t) + n(c) / N) / (n(t) + 1),
 
-the share of the entity's information that the term gives. A pair must be met
-in ``SUPPORT`` different contexts (copies of one passage are one context). In
+the share of the entity's information that the term gives, with its chance p of
+the entity smoothed by one row of the corpus. No least number of contexts is
+asked for, so entities of one document have rules too; a pair is left out only
+where as many different contexts (copies of one passage are one) would be met
+without any tie with a chance above ``CHANCE``. In
 documents that hold the entity, terms at ``REMOVE`` or more are removed and
 those at ``GENERALISE`` or more are generalised to a class; both are spans of
 kind ``term``. All counts cover all documents. Terms and rules are taken in
@@ -29,13 +32,13 @@ from collections import Counter
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexeum.llm import common as C
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR, SUPPORT, GENERALISE, REMOVE, PART = 6, 3, 0.6, 0.85, 200_000
+NEAR, CHANCE, GENERALISE, REMOVE, PART = 6, 0.01, 0.6, 0.85, 200_000
 _AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 #: A number starts where its digits do and a dot is no digit, so nothing is lost by never giving back.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -121,13 +124,28 @@ def _parts(df: DataFrame, key: str) -> list[DataFrame]:
     return [df] if n == 1 else [df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
-def learn(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def _share(n: Column, nc: Column, nt: Column, total: int) -> Column:
+    """The disclosure; null where the entity stands in all documents."""
+    p = (n + nc / F.lit(float(total))) / (nt + 1)
+    ic = F.log2(F.lit(float(total)) / nc)
+    return F.try_divide(F.log2(p) + ic, ic)
+
+
+def _log_chance(x: Column, n: Column, nc: Column, nt: Column, total: int) -> Column:
+    """A bound on the log of the chance that ``x`` different contexts hold both without a tie (Poisson; copies taken out of all counts alike)."""
+    mean = nc * nt * (x / n) * (x / n) / F.lit(float(total))
+    few = x * F.log(mean) - F.log(F.factorial(F.least(x, F.lit(20)).cast("int")))
+    many = F.when(x > mean, x - mean - x * F.log(x / mean)).otherwise(0.0)
+    return F.least(F.when(x <= 20, few), many)
+
+
+def learn(docs: DataFrame, text: str = "text", chance: float = CHANCE, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(c, t, disclosure, action): which terms give which entities away. Stored in the shared folder."""
     spark = docs.sparkSession
     texts = docs.select(text)
     met = texts.mapInArrow(_emit, "c bigint, t string, x bigint").groupBy("c", "t", "x").agg(F.count("*").alias("n"))
     met = C.stored(met.groupBy("c", "t").agg(F.sum("n").alias("n"), F.count("*").alias("contexts")), "met")
-    near = C.stored(met.filter((F.col("t") != "") & (F.col("contexts") >= support)), "near")
+    near = met.filter("t <> ''")
     rules = near.withColumn("disclosure", F.lit(0.0)).withColumn("action", F.lit("")).select("c", "t", "disclosure", "action").limit(0)
     if near.isEmpty():
         return C.stored(rules, "rules")
@@ -147,9 +165,9 @@ def learn(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalis
         one = texts.mapInArrow(count, "t string, nt bigint").groupBy("t").agg(F.sum("nt").alias("nt"))
         freq = one if freq is None else freq.union(one)
     own = met.filter("t = ''").select("c", F.col("n").alias("nc"))
-    pmi = F.log2(F.col("n") * F.lit(float(total)) / (F.col("nc") * F.col("nt")))
-    share = F.try_divide(pmi, F.log2(F.lit(float(total)) / F.col("nc")))
-    rules = near.join(C.stored(freq, "freq"), "t").join(own, "c").withColumn("disclosure", share).filter(F.col("disclosure") >= generalise)
+    n, nc, nt = F.col("n"), F.col("nc"), F.col("nt")
+    rules = near.join(C.stored(freq, "freq"), "t").join(own, "c").withColumn("disclosure", _share(n, nc, nt, total)).filter(F.col("disclosure") >= generalise)
+    rules = rules.filter(_log_chance(F.col("contexts"), n, nc, nt, total) <= F.log(F.lit(chance)))
     return C.stored(rules.select("c", "t", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action")), "rules")
 
 

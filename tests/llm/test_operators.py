@@ -286,6 +286,22 @@ def test_terms_that_give_an_entity_away(spark, monkeypatch):
     assert pii.with_spans(df.limit(0), pii.learn(df.limit(0))).count() == 0
 
 
+def rare_entities(spark, *more):
+    """300 documents of common words; the texts given stand behind them."""
+    common = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    rng = np.random.default_rng(21)
+    return frame(spark, [" ".join(rng.choice(common, size=20)) for _ in range(300)] + list(more))
+
+
+def test_terms_of_entities_of_one_or_two_documents(spark):
+    df = rare_entities(spark, "wordaa Ombretta one@mail.com wordba", "wordca Quillon two@mail.com wordda", "wordea wordfa two@mail.com Quillon")
+    rules = {(r.t, r.action) for r in pii.learn(df).collect()}
+    assert {("ombretta", "remove"), ("quillon", "remove")} <= rules
+    assert not any(t.startswith("word") and action == "remove" for t, action in rules)
+    clean = [r.text for r in pii.sanitise(df).orderBy("doc_id").collect()]
+    assert "Ombretta" not in clean[300] and "Quillon" not in clean[301] + clean[302]
+
+
 # ------------------------------------------------------------------ classifiers
 
 
