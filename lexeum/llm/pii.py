@@ -3,20 +3,22 @@
 Base spans are emails, IPv4 addresses, payment cards and phone numbers, each
 kind read leftmost without overlaps; matches that fail their test are dropped.
 They are the protected entities. Corpus co-occurrence tells how strongly a
-term near an entity reveals it: with N documents, n(c) that hold the entity,
-n(t) the term and n(c,t) the term within ``NEAR`` words of the entity,
+term reveals an entity: with N documents, n(c) that hold the entity, n(t) the
+term and n(c,t) both, wherever they stand in them,
 
     disclosure = log2(p N / n(c)) / log2(N / n(c)),  p = (n(c,t) + n(c) / N) / (n(t) + 1),
 
 the share of the entity's information that the term gives, with its chance p of
 the entity smoothed by one row of the corpus. No least number of contexts is
 asked for, so entities of one document have rules too; a pair is left out only
-where as many different contexts (copies of one passage are one) would be met
+where as many different documents (equal texts are one) would be met
 without any tie with a chance above ``CHANCE``. In
 documents that hold the entity, terms at ``REMOVE`` or more are removed and
 those at ``GENERALISE`` or more are generalised to a class; both are spans of
-kind ``term``. All counts cover all documents. Terms and rules are taken in
-parts of ``PART`` rows, each broadcast for one pass.
+kind ``term``. All counts cover all documents. Pairs whose counts cannot reach
+``GENERALISE`` are not even made: the ``PART`` most frequent terms and entities
+are known to the workers for that. Rules are taken in parts of ``PART`` rows,
+each broadcast for one pass.
 
 Defined cases: null text is empty and has no spans; offsets are code points,
 ends exclusive; terms inside base spans are not marked again; other columns
@@ -25,8 +27,10 @@ stay.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import re
 from collections import Counter
 
@@ -38,7 +42,8 @@ from pyspark.sql import functions as F
 from lexeum.llm import common as C
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR, CHANCE, GENERALISE, REMOVE, PART = 6, 0.01, 0.6, 0.85, 200_000
+CHANCE, GENERALISE, REMOVE, PART = 0.01, 0.6, 0.85, 200_000
+FLUSH = 200_000
 _AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 #: A number starts where its digits do and a dot is no digit, so nothing is lost by never giving back.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -95,28 +100,66 @@ def entity(text: str, span: tuple[int, int, str]) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{said}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def contexts(text: str, spans) -> set[tuple[int, str, int]]:
-    """(entity, term, context) of one document, and (entity, '', 0) for each entity."""
-    out = set()
-    for s in spans:
-        c = entity(text, s)
-        out.add((c, "", 0))
-        left = _WORD.findall(text[max(0, s[0] - 60 * NEAR) : s[0]].lower())[-NEAR:]
-        right = _WORD.findall(text[s[1] : s[1] + 60 * NEAR].lower())[:NEAR]
-        ctx = xxhash.xxh3_64_intdigest("\n".join([*left, "", *right]).encode("utf-8", "surrogatepass")) - (1 << 63)
-        out.update((c, t, ctx) for t in (*left, *right))
-    return out
+def _cover(spans) -> tuple[list[int], list[int]]:
+    """Starts of the spans, and the furthest end up to each."""
+    return [s[0] for s in spans], list(itertools.accumulate((s[1] for s in spans), max))
+
+
+def _covered(cover, a: int, b: int) -> bool:
+    i = bisect.bisect_left(cover[0], b)
+    return i > 0 and cover[1][i - 1] > a
+
+
+def terms(text: str, spans) -> set[str]:
+    """The words of a document outside its base spans, in small letters."""
+    if not spans:
+        return set(map(str.lower, set(_WORD.findall(text))))
+    cover = _cover(spans)
+    return {m[0].lower() for m in _WORD.finditer(text) if not _covered(cover, m.start(), m.end())}
 
 
-def _emit(batches):
+def _tally(batches):
+    """Documents by entity (c, null, n) and by term (null, t, n)."""
+    seen: Counter = Counter()
+
+    def out():
+        c, t = ([k if isinstance(k, kind) else None for k in seen] for kind in (int, str))
+        return pa.record_batch([pa.array(c, pa.int64()), pa.array(t, pa.string()), pa.array(list(seen.values()), pa.int64())], ["c", "t", "n"])
+
     for batch in batches:
-        rows = []
-        for t in batch.column(0).to_pylist():
-            if t and (spans := base_spans(t)):
-                rows += contexts(t, spans)
-        if rows:
-            c, t, x = zip(*rows, strict=True)
-            yield pa.record_batch([pa.array(c, pa.int64()), pa.array(t, pa.string()), pa.array(x, pa.int64())], ["c", "t", "x"])
+        for x in batch.column(0).to_pylist():
+            if x:
+                spans = base_spans(x)
+                seen.update({entity(x, s) for s in spans})
+                seen.update(terms(x, spans))
+                if len(seen) > FLUSH:
+                    yield out()
+                    seen.clear()
+    yield out()
+
+
+def _met(batches, limits: dict[int, float], other: float, known: dict[str, int]):
+    """(entity, term, text) of each document, but for terms known to be too frequent for the entity."""
+    rows: list[tuple[int, str, int]] = []
+
+    def out():
+        c, t, h = zip(*rows, strict=True)
+        return pa.record_batch([pa.array(c, pa.int64()), pa.array(t, pa.string()), pa.array(h, pa.int64())], ["c", "t", "h"])
+
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            if not x or not (spans := base_spans(x)):
+                continue
+            h = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
+            have = [(t, known.get(t, 0)) for t in terms(x, spans)]
+            for c in {entity(x, s) for s in spans}:
+                most = limits.get(c, other)
+                rows += [(c, t, h) for t, n in have if n <= most]
+                if len(rows) > FLUSH:
+                    yield out()
+                    rows.clear()
+    if rows:
+        yield out()
 
 
 def _parts(df: DataFrame, key: str) -> list[DataFrame]:
@@ -143,30 +186,27 @@ def learn(docs: DataFrame, text: str = "text", chance: float = CHANCE, generalis
     """(c, t, disclosure, action): which terms give which entities away. Stored in the shared folder."""
     spark = docs.sparkSession
     texts = docs.select(text)
-    met = texts.mapInArrow(_emit, "c bigint, t string, x bigint").groupBy("c", "t", "x").agg(F.count("*").alias("n"))
-    met = C.stored(met.groupBy("c", "t").agg(F.sum("n").alias("n"), F.count("*").alias("contexts")), "met")
-    near = met.filter("t <> ''")
-    rules = near.withColumn("disclosure", F.lit(0.0)).withColumn("action", F.lit("")).select("c", "t", "disclosure", "action").limit(0)
-    if near.isEmpty():
-        return C.stored(rules, "rules")
+    seen = C.stored(texts.mapInArrow(_tally, "c bigint, t string, n bigint").groupBy("c", "t").agg(F.sum("n").alias("n")), "seen")
+    own = seen.filter("c IS NOT NULL").select("c", F.col("n").alias("nc"))
+    freq = seen.filter("t IS NOT NULL").select("t", F.col("n").alias("nt"))
     total = docs.count()
-    freq = None
-    for part in _parts(near.select("t").distinct(), "t"):
-        sent = spark.sparkContext.broadcast(frozenset(r.t for r in part.collect()))
-
-        def count(batches, sent=sent):
-            seen: Counter = Counter()
-            for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    if t:
-                        seen.update(sent.value.intersection(_WORD.findall(t.lower())))
-            yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["t", "nt"])
-
-        one = texts.mapInArrow(count, "t string, nt bigint").groupBy("t").agg(F.sum("nt").alias("nt"))
-        freq = one if freq is None else freq.union(one)
-    own = met.filter("t = ''").select("c", F.col("n").alias("nc"))
+
+    def limit(nc: int) -> float:
+        """No term of more documents can reach ``generalise`` for an entity of ``nc``."""
+        return (nc + 1) * (total / nc) ** (1 - generalise)
+
+    often = own.filter("nc > 1").orderBy(F.desc("nc")).limit(PART).collect()
+    other = limit(often[-1].nc if len(often) == PART else 1)
+    known = {r.t: r.nt for r in freq.filter(F.col("nt") > other).orderBy(F.desc("nt")).limit(PART).collect()}
+    sent = spark.sparkContext.broadcast(({r.c: limit(r.nc) for r in often}, other, known))
+
+    def pairs(batches):
+        yield from _met(batches, *sent.value)
+
+    met = texts.mapInArrow(pairs, "c bigint, t string, h bigint").groupBy("c", "t", "h").agg(F.count("*").alias("n"))
+    near = met.groupBy("c", "t").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"))
     n, nc, nt = F.col("n"), F.col("nc"), F.col("nt")
-    rules = near.join(C.stored(freq, "freq"), "t").join(own, "c").withColumn("disclosure", _share(n, nc, nt, total)).filter(F.col("disclosure") >= generalise)
+    rules = near.join(freq, "t").join(own, "c").withColumn("disclosure", _share(n, nc, nt, total)).filter(F.col("disclosure") >= generalise)
     rules = rules.filter(_log_chance(F.col("contexts"), n, nc, nt, total) <= F.log(F.lit(chance)))
     return C.stored(rules.select("c", "t", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action")), "rules")
 
@@ -181,10 +221,10 @@ def all_spans(text: str, rules: dict[int, dict[str, str]]) -> list[tuple[int, in
             if terms.get(t) != "remove":
                 terms[t] = action
     if terms:
-        ends = [(s[0], s[1]) for s in base]
+        cover = _cover(base)
         for m in _WORD.finditer(text):
             action = terms.get(m[0].lower())
-            if action and not any(a < m.end() and m.start() < b for a, b in ends):
+            if action and not _covered(cover, m.start(), m.end()):
                 out.append((m.start(), m.end(), "term", action))
         out.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return out

@@ -302,6 +302,15 @@ def test_terms_of_entities_of_one_or_two_documents(spark):
     assert "Ombretta" not in clean[300] and "Quillon" not in clean[301] + clean[302]
 
 
+def test_terms_far_from_their_entity(spark):
+    far = " ".join(f"word{chr(97 + i)}a" for i in range(20))
+    df = rare_entities(spark, f"Ombretta {far} one@mail.com", f"{far} two@mail.com Quillon.Co@mail.com {far} Tarvis")
+    counts = {(r.t, r.action) for r in pii.learn(df).collect()}
+    assert {("ombretta", "remove"), ("tarvis", "remove")} <= counts and not any(t in ("quillon", "mail", "com") for t, _ in counts)
+    clean = [r.text for r in pii.sanitise(df).orderBy("doc_id").collect()]
+    assert "Ombretta" not in clean[300] and "Tarvis" not in clean[301]
+
+
 # ------------------------------------------------------------------ classifiers
 
 
