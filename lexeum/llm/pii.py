@@ -17,8 +17,10 @@ documents that hold the entity, terms at ``REMOVE`` or more are removed and
 those at ``GENERALISE`` or more are generalised to a class; both are spans of
 kind ``term``. All counts cover all documents. Pairs whose counts cannot reach
 ``GENERALISE`` are not even made: the ``PART`` most frequent terms and entities
-are known to the workers for that. Rules are taken in parts of ``PART`` rows,
-each broadcast for one pass.
+are known to the workers for that. Up to ``PART`` rules are broadcast; more are
+joined to the entities of each text, and the terms to the texts that a bitmap
+asks for. Either way a term that is to be removed for one entity and generalised
+for another is removed, once.
 
 Defined cases: null text is empty and has no spans; offsets are code points,
 ends exclusive; terms inside base spans are not marked again; other columns
@@ -28,7 +30,6 @@ stay.
 from __future__ import annotations
 
 import bisect
-import functools
 import hashlib
 import itertools
 import re
@@ -162,11 +163,6 @@ def _met(batches, limits: dict[int, float], other: float, known: dict[str, int])
         yield out()
 
 
-def _parts(df: DataFrame, key: str) -> list[DataFrame]:
-    n = max(1, -(-df.count() // PART))
-    return [df] if n == 1 else [df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
-
-
 def _share(n: Column, nc: Column, nt: Column, total: int) -> Column:
     """The disclosure; null where the entity stands in all documents."""
     p = (n + nc / F.lit(float(total))) / (nt + 1)
@@ -208,18 +204,24 @@ def learn(docs: DataFrame, text: str = "text", chance: float = CHANCE, generalis
     n, nc, nt = F.col("n"), F.col("nc"), F.col("nt")
     rules = near.join(freq, "t").join(own, "c").withColumn("disclosure", _share(n, nc, nt, total)).filter(F.col("disclosure") >= generalise)
     rules = rules.filter(_log_chance(F.col("contexts"), n, nc, nt, total) <= F.log(F.lit(chance)))
-    return C.stored(rules.select("c", "t", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action")), "rules")
+    out = C.stored(rules.select("c", "t", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action")), "rules")
+    C.forget(seen)
+    return out
+
+
+def _terms_of(text: str, base, rules: dict[int, dict[str, str]]) -> dict[str, str]:
+    """The terms that give any entity of the document away, 'remove' before 'generalise'."""
+    out: dict[str, str] = {}
+    for c in {entity(text, s) for s in base} if rules else ():
+        for t, action in rules.get(c, {}).items():
+            if out.get(t) != "remove":
+                out[t] = action
+    return out
 
 
-def all_spans(text: str, rules: dict[int, dict[str, str]]) -> list[tuple[int, int, str, str]]:
+def all_spans(text: str, base, terms: dict[str, str]) -> list[tuple[int, int, str, str]]:
     """Base spans and the spans of terms that give their entities away."""
-    base = base_spans(text)
     out = [(*s, "remove") for s in base]
-    terms: dict[str, str] = {}
-    for s in base if rules else ():
-        for t, action in rules.get(entity(text, s), {}).items():
-            if terms.get(t) != "remove":
-                terms[t] = action
     if terms:
         cover = _cover(base)
         for m in _WORD.finditer(text):
@@ -230,33 +232,52 @@ def all_spans(text: str, rules: dict[int, dict[str, str]]) -> list[tuple[int, in
     return out
 
 
+def _found(rows) -> pa.Array:
+    cols = [[[s[j] for s in r] for r in rows] for j in (2, 0, 1, 3)]
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _KIND, strict=True)], fields=list(_KIND))
+
+
 def _finder(rules):
     def find(texts: pa.Array) -> pa.Array:
-        rows = [all_spans(x, rules.value) if x else [] for x in texts.to_pylist()]
-        cols = [[[s[j] for s in r] for r in rows] for j in (2, 0, 1, 3)]
-        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _KIND, strict=True)], fields=list(_KIND))
+        rows = []
+        for x in texts.to_pylist():
+            base = base_spans(x) if x else []
+            rows.append(all_spans(x, base, _terms_of(x, base, rules.value)))
+        return _found(rows)
 
     return find
 
 
+def _find_given(texts: pa.Array, remove: pa.Array, generalise: pa.Array) -> pa.Array:
+    rows = []
+    for x, r, g in zip(texts.to_pylist(), remove.to_pylist(), generalise.to_pylist(), strict=True):
+        terms = dict.fromkeys(g or (), "generalise") | dict.fromkeys(r or (), "remove")
+        rows.append(all_spans(x, base_spans(x), terms) if x else [])
+    return _found(rows)
+
+
+def _entities(texts: pa.Array) -> pa.Array:
+    return pa.array([sorted({entity(x, s) for s in base_spans(x)}) if x else [] for x in texts.to_pylist()], pa.list_(pa.int64()))
+
+
 def with_spans(docs: DataFrame, rules: DataFrame, text: str = "text", name: str = "found") -> DataFrame:
     """``docs`` with a struct of arrays: kinds, starts, ends, actions, in order."""
     spark = docs.sparkSession
-    cols = []
-    for i, part in enumerate(_parts(rules, "c")):
+    if rules.count() <= PART:
         table: dict[int, dict[str, str]] = {}
-        for r in part.collect():
+        for r in rules.collect():
             table.setdefault(r.c, {})[r.t] = r.action
         find = _finder(spark.sparkContext.broadcast(table))
-        col = C.fresh(docs, f"{name}_{i}")
-        docs = docs.withColumn(col, F.arrow_udf(find, FOUND).asNondeterministic()(F.col(text)))
-        cols.append(col)
-    if len(cols) == 1:
-        return docs.withColumnRenamed(cols[0], name)
-    zipped = [F.arrays_zip(F.col(f"{c}.starts").alias("s"), F.transform(f"{c}.kinds", lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k)).alias("o"), F.col(f"{c}.ends").alias("e"), F.col(f"{c}.kinds").alias("k"), F.col(f"{c}.actions").alias("a")) for c in cols]
-    both = F.array_sort(functools.reduce(F.array_union, zipped))
-    pick = lambda f: F.transform(both, lambda x: x[f])
-    return docs.withColumn(name, F.struct(pick("k").alias("kinds"), pick("s").alias("starts"), pick("e").alias("ends"), pick("a").alias("actions"))).drop(*cols)
+        return docs.withColumn(name, F.arrow_udf(find, FOUND).asNondeterministic()(F.col(text)))
+    key, gone, less = (C.fresh(docs, x) for x in ("_text_key", "_remove", "_generalise"))
+    own = docs.select(F.md5(text).alias(key), F.explode(F.arrow_udf(_entities, "array<bigint>").asNondeterministic()(F.col(text))).alias("c")).distinct()
+    each = own.join(rules.select("c", "t", "action"), "c").groupBy(key, "t").agg(F.max("action").alias("action"))  # 'remove' is the greater
+    kept = lambda action: F.collect_list(F.when(F.col("action") == action, F.col("t")))
+    marks = C.stored(each.groupBy(key).agg(kept("remove").alias(gone), kept("generalise").alias(less)), "marks")
+    some, rest = C.split_by(docs.withColumn(key, F.md5(text)), key, C.bitmap(marks, key))
+    none = F.lit(None).cast("array<string>")
+    both = some.join(marks, key, "left").select(*docs.columns, gone, less).unionByName(rest.select(*docs.columns, none.alias(gone), none.alias(less)))
+    return both.withColumn(name, F.arrow_udf(_find_given, FOUND).asNondeterministic()(F.col(text), F.col(gone), F.col(less))).drop(gone, less)
 
 
 def joined(kinds, starts, ends) -> str:

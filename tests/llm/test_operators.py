@@ -311,6 +311,19 @@ def test_terms_far_from_their_entity(spark):
     assert "Ombretta" not in clean[300] and "Tarvis" not in clean[301]
 
 
+@pytest.mark.parametrize("part", [pii.PART, 1])
+def test_one_span_for_a_term_of_two_entities(spark, monkeypatch, part):
+    monkeypatch.setattr(pii, "PART", part)
+    texts = [f"Ombretta a{i}@mail.com and b{i}@mail.com" for i in range(8)] + ["Ombretta", None]
+    name = lambda i, k: pii.entity(texts[i], pii.base_spans(texts[i])[k])
+    rules = [(name(i, k), "ombretta", 0.9 - 0.2 * k, ("remove", "generalise")[k]) for i in range(8) for k in (0, 1)]
+    df = frame(spark, texts, _text_key=["kept"] * len(texts))
+    got = pii.with_spans(df, spark.createDataFrame(rules, "c long, t string, disclosure double, action string")).orderBy("doc_id").collect()
+    for i, r in enumerate(got):
+        terms = [(a, b, x) for k, a, b, x in zip(r.found.kinds, r.found.starts, r.found.ends, r.found.actions, strict=True) if k == "term"]
+        assert terms == ([(0, 8, "remove")] if i < 8 else []) and r._text_key == "kept"
+
+
 # ------------------------------------------------------------------ classifiers
 
 
