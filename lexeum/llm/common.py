@@ -26,9 +26,12 @@ _BASE_INV = U(pow(int(_BASE), -1, 1 << 64))
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session makes one of its own where it is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexeum-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -59,26 +62,53 @@ def forget(*frames: DataFrame) -> None:
         _remove(df.sparkSession, df._stored_at)
 
 
-BITS = 1 << 26
+#: Bits of a bitmap for each key, its least and most bits (64 MB), and the bits in a row.
+BITS_A_KEY, LEAST_BITS, MOST_BITS, ROW_BITS = 16, 1 << 20, 1 << 29, 1 << 15
 
 
 def bitmap(ids: DataFrame, key: str) -> DataFrame:
-    """(bucket, bits) of the hashed keys: at most 2,048 rows of 4 KB however many keys there are."""
-    h = F.pmod(F.xxhash64(key), F.lit(BITS))
-    return ids.select(F.shiftright(h, 15).alias("_bucket"), (h % 32768).alias("_pos")).groupBy("_bucket").agg(F.bitmap_construct_agg("_pos").alias("_bits"))
+    """(bucket, bits) of the hashed keys, stored: rows of 4 KB, in all 16 bits a key, 64 MB at most.
+
+    Beyond 2**25 keys the bits are shared by more keys: more rows that are not
+    among the keys go the same way as those that are, and results stay the same.
+    """
+    n = ids.count()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * n).bit_length()))
+    h = F.pmod(F.xxhash64(key), F.lit(size))
+    rows = ids.select(F.shiftright(h, 15).alias("bucket"), (h % ROW_BITS).alias("pos")).groupBy("bucket").agg(F.bitmap_construct_agg("pos").alias("bits"))
+    out = stored(rows, "bits")
+    out._size = size
+    return out
 
 
 def split_by(df: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``df`` in two: rows whose key may be among those of the bitmap, and rows whose key is not.
+    """``df`` in two: rows whose key may be among those of the bitmap, and rows whose key is not. ``bits`` is broadcast (64 MB at most)."""
+    h = F.pmod(F.xxhash64(key), F.lit(bits._size))
+    pos = F.coalesce((h % ROW_BITS).cast("int"), F.lit(0))  # a null key is in no bucket
+    bucket, word = fresh(df, "_bucket"), fresh(df, "_bits")
+    byte = F.conv(F.hex(F.substring(F.col(word), F.floor(pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(byte, F.lit(0)).bitwiseAND(F.call_function("shiftleft", F.lit(1), pos % 8)) != 0
+    small = F.broadcast(bits.select(F.col("bucket").alias(bucket), F.col("bits").alias(word)))
+    joined = df.join(small, F.shiftright(h, 15) == F.col(bucket), "left")
+    return joined.filter(bit).select(*columns(df)), joined.filter(~bit).select(*columns(df))
+
+
+HOT = 50_000
 
-    The bitmap is a broadcast of 8 MB at most; where it is full, all rows are in the first part.
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, size: str, hot: int | None = None) -> DataFrame:
+    """``many`` joined to ``one`` on ``key``; ``one`` has a row a key and in ``size`` how many rows of ``many`` have it, at least.
+
+    Keys of more than ``hot`` rows are dealt over several partitions and their
+    row of ``one`` goes to each. Only these keys are broadcast: at most one for
+    each ``hot`` rows of ``many``, 16 bytes each.
     """
-    h = F.pmod(F.xxhash64(key), F.lit(BITS))
-    pos = F.coalesce((h % 32768).cast("int"), F.lit(0))  # a null key is in no bucket
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.coalesce(byte, F.lit(0)).bitwiseAND(F.call_function("shiftleft", F.lit(1), pos % 8)) != 0
-    joined = df.join(F.broadcast(bits), F.shiftright(h, 15) == F.col("_bucket"), "left")
-    return joined.filter(bit).select(*df.columns), joined.filter(~bit).select(*df.columns)
+    hot = hot or HOT
+    slices = F.greatest(F.lit(1), F.ceil(F.col(size) / hot).cast("int"))
+    big = F.broadcast(one.filter(F.col(size) > hot).select(F.col(key).alias("_hot"), slices.alias("_slices")))
+    dealt = many.join(big, F.col(key) == F.col("_hot"), "left").withColumn("_slice", F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_slices")).cast("int"), F.lit(0))).drop("_hot", "_slices")
+    copies = one.withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    return dealt.join(copies, [key, "_slice"]).drop("_slice", size)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +120,11 @@ def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == rest, F.lit(False))
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by name, whatever signs are in it."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever its case."""
     have = {c.lower() for c in df.columns}

@@ -14,8 +14,8 @@ The benchmark is taken in parts of ``PART_BYTES`` of text, each broadcast for
 one pass over the documents; hits of several parts are united per row.
 
 Defined cases: null text has no words and no hits; an item without words or
-id is never found; items that share a window are each found by it; repeated
-rows each get a result; an empty benchmark finds nothing.
+id is never found; items that share a window are each found by it, rows of one
+item id are one item; repeated rows each get a result; an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -140,7 +140,7 @@ class Windows:
             row = np.searchsorted(ptr, at, "right") - 1
             local = at - ptr[row] if len(at) else at
             edges = np.searchsorted(row, np.arange(b - a + 1))
-            names = [[self.ids[x] for x in sorted(f)] for f in found]
+            names = [list(dict.fromkeys(self.ids[x] for x in sorted(f))) for f in found]
             parts.append(pa.StructArray.from_arrays([pa.array(np.diff(ptr), pa.int64()), C.list_array(local, edges, pa.int64()), pa.array(names, pa.list_(pa.string()))], ["n_words", "hits", "items"]).cast(_KIND))
         return pa.concat_arrays(parts) if parts else pa.array([], _KIND)
 
@@ -182,7 +182,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     if parts == 1:
         return docs.withColumnRenamed(cols[0], name)
     hits = F.array_sort(F.array_distinct(F.flatten(F.array(*[f"{c}.hits" for c in cols]))))
-    found = F.flatten(F.array(*[f"{c}.items" for c in cols]))
+    found = F.array_distinct(F.flatten(F.array(*[f"{c}.items" for c in cols])))
     return docs.withColumn(name, F.struct(F.col(f"{cols[0]}.n_words").alias("n_words"), hits.alias("hits"), found.alias("items"))).drop(*cols)
 
 

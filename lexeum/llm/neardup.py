@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     members = C.stored(rows.join(shared.drop("most"), "band"), "members")
     sets_of = F.arrow_udf(_sets, "array<bigint>").asNondeterministic()
     owners = members.select("rep").distinct()
-    bits = C.stored(C.bitmap(owners, "rep"), "bits")
+    bits = C.bitmap(owners, "rep")
     some, _ = C.split_by(base, "doc_id", bits)  # only their texts move
     sets = C.stored(some.join(owners.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), sets_of("text").alias("set")).dropDuplicates(["rep", "set"]), "sets")
     star = members.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
@@ -318,7 +318,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     """
     found = C.stored(near_duplicates(docs, text, doc_id, threshold_percent), "groups")
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    maybe, stay = C.split_by(docs, doc_id, C.stored(C.bitmap(gone, doc_id), "bits"))  # most texts stay where they are
+    maybe, stay = C.split_by(docs, doc_id, C.bitmap(gone, doc_id))  # most texts stay where they are
     out = stay.unionByName(maybe.join(gone, doc_id, "left_anti").select(*docs.columns))
     repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
     return out if repeated.isEmpty() else out.dropDuplicates([doc_id, text])

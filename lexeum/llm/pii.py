@@ -2,29 +2,40 @@
 
 Base spans are emails, IPv4 addresses, payment cards and phone numbers, each
 kind read leftmost without overlaps; matches that fail their test are dropped.
-They are the protected entities. Corpus co-occurrence tells how strongly a
-term reveals an entity: with N documents, n(c) that hold the entity, n(t) the
-term and n(c,t) both, wherever they stand in them,
+Values given to a name like token, secret or password are spans of kind
+``secret``. Protected entities are what each of these spans says, and the kinds
+themselves: that a document holds an address or a secret at all.
+
+Corpus co-occurrence tells how strongly a term reveals an entity: with N
+documents, n(c) that hold the entity, n(t) the term and n(c,t) both, wherever
+they stand in them,
 
     disclosure = log2(p N / n(c)) / log2(N / n(c)),  p = (n(c,t) + n(c) / N) / (n(t) + 1),
 
 the share of the entity's information that the term gives, with its chance p of
-the entity smoothed by one row of the corpus. No least number of contexts is
-asked for, so entities of one document have rules too; a pair is left out only
-where as many different documents (equal texts are one) would be met
-without any tie with a chance above ``CHANCE``. In
-documents that hold the entity, terms at ``REMOVE`` or more are removed and
-those at ``GENERALISE`` or more are generalised to a class; both are spans of
-kind ``term``. All counts cover all documents. Pairs whose counts cannot reach
+the entity smoothed by one row of the corpus. Terms are words, strings of
+letters and digits, and the shapes of such strings from ``SHAPED`` characters
+(40 hexadecimal digits are one term, whichever they are). No least number of
+contexts is asked for, so entities of one document have rules too; a pair is
+left out only where as many different documents (equal texts are one) would be
+met without any tie with a chance above ``CHANCE``, which a rule of a kind
+shares with all terms that could have made one.
+
+Terms at ``REMOVE`` or more are removed and those at ``GENERALISE`` or more are
+generalised to a class; both are spans of kind ``term``. The terms of a value
+are marked in the documents that hold it, those of a kind in all documents: a
+string of a secret's shape is marked where no name stands before it. All counts
+cover all documents, each document once. Pairs whose counts cannot reach
 ``GENERALISE`` are not even made: the ``PART`` most frequent terms and entities
-are known to the workers for that. Up to ``PART`` rules are broadcast; more are
-joined to the entities of each text, and the terms to the texts that a bitmap
-asks for. Either way a term that is to be removed for one entity and generalised
-for another is removed, once.
+are known to the workers for that. Up to ``PART`` rules are broadcast; more
+rules of values are joined to the entities of each text, and the terms to the
+texts that a bitmap asks for, and more rules of kinds are broadcast in parts.
+Either way a term that is to be removed for one entity and generalised for
+another is removed, once.
 
 Defined cases: null text is empty and has no spans; offsets are code points,
-ends exclusive; terms inside base spans are not marked again; other columns
-stay.
+ends exclusive; terms inside other spans are not marked again; a base span has
+precedence over a secret that starts inside it; other columns stay.
 """
 
 from __future__ import annotations
@@ -36,13 +47,15 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexeum.llm import common as C
 
-KINDS = ("email", "ip", "card", "phone", "term")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret", "term")
+#: Letters and digits in a row from which on a string's shape is a term too; longer strings than ``WHOLE`` are known by a hash.
+SHAPED, WHOLE = 12, 48
 CHANCE, GENERALISE, REMOVE, PART = 0.01, 0.6, 0.85, 200_000
 FLUSH = 200_000
 _AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -50,7 +63,11 @@ _AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\W\d_]{3,40}")
+_WORD = re.compile(r"[^\W_]{3,}")
+#: Names whose value is a secret.
+SECRETS = ("token", "secret", "password", "passwd", "passwort", "pwd", "passphrase", "apikey", "api_key", "api-key", "access_key", "private_key", "auth_key", "clave", "contraseña", "mot de passe")
+_ASSIGNED = re.compile("[=:]")
+_VALUE = re.compile(r"""[=:]?[ \t]{0,4}(["']?)([^\s"'<>,;]{8,})""")
 _SEPARATORS = {ord(c): None for c in " -"}
 FOUND = "struct<kinds:array<string>,starts:array<bigint>,ends:array<bigint>,actions:array<string>>"
 _KIND = pa.struct([("kinds", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("actions", pa.list_(pa.string()))])
@@ -94,11 +111,52 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _digest(said: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(said.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def secret_spans(text: str, base) -> list[tuple[int, int, str]]:
+    """Values given to a secret's name, in quotes or with a digit, but for those a base span meets."""
+    out, done, cover = [], 0, None
+    for m in _ASSIGNED.finditer(text):
+        if m.start() < done:
+            continue
+        head = text[max(0, m.start() - 24) : m.start()].rstrip(" \t")
+        if not (head[:-1] if head[-1:] in ("'", '"') else head).lower().endswith(SECRETS):
+            continue
+        v = _VALUE.match(text, m.end())
+        if v and (v[1] or any(map(str.isdigit, v[2]))):
+            cover = cover or _cover(base)
+            done = v.end()
+            if not (base and _covered(cover, *v.span(2))):
+                out.append((*v.span(2), "secret"))
+    return out
+
+
+def known_spans(text: str) -> list[tuple[int, int, str]]:
+    """Base spans and secrets, by start and then kind as listed."""
+    base = base_spans(text)
+    more = secret_spans(text, base)
+    return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else base
+
+
 def entity(text: str, span: tuple[int, int, str]) -> int:
     """A signed 64-bit name of what the span says."""
     a, b, kind = span
-    said = text[a:b].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", text[a:b])
-    return xxhash.xxh3_64_intdigest(f"{kind}:{said}".encode("utf-8", "surrogatepass")) - (1 << 63)
+    said = text[a:b] if kind == "secret" else text[a:b].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", text[a:b])
+    return _digest(f"{kind}:{said}")
+
+
+def kind_entity(kind: str) -> int:
+    """The name of a kind: its place among the kinds, which no value has but by a chance of 2**-61."""
+    return KINDS.index(kind)
+
+
+def entities(text: str, spans) -> set[int]:
+    """What a document's spans say, and their kinds."""
+    return {entity(text, s) for s in spans} | {kind_entity(k) for _, _, k in spans}
 
 
 def _cover(spans) -> tuple[list[int], list[int]]:
@@ -111,12 +169,35 @@ def _covered(cover, a: int, b: int) -> bool:
     return i > 0 and cover[1][i - 1] > a
 
 
+def names(word: str) -> tuple[str, ...]:
+    """The terms that a string of letters and digits is: itself in small letters (a hash if it is very long), and its shape if it has digits."""
+    low = word.lower()
+    own = low if len(low) <= WHOLE else f"#{_digest(low):x}"
+    if word.isalpha():
+        return (own,)
+    if len(word) < SHAPED:
+        return () if word.isdigit() else (own,)
+    kind = "digit" if word.isdigit() else "hex" if all(c in "0123456789abcdef" for c in low) else "mixed"
+    size = len(word) if len(word) <= 64 else 1 << (len(word) - 1).bit_length()
+    return (own, f"<{kind} {size}>")
+
+
+def _named(words: set[str]) -> set[str]:
+    """The terms that any of the strings is."""
+    odd = [w for w in words if len(w) > WHOLE or not w.isalpha()]
+    out = set(map(str.lower, words.difference(odd)))
+    for w in odd:
+        out.update(names(w))
+    return out
+
+
 def terms(text: str, spans) -> set[str]:
-    """The words of a document outside its base spans, in small letters."""
+    """The terms of a document outside its base spans. A secret's value is a term too, so that its shape is learned."""
+    spans = [s for s in spans if s[2] != "secret"]
     if not spans:
-        return set(map(str.lower, set(_WORD.findall(text))))
+        return _named(set(_WORD.findall(text)))
     cover = _cover(spans)
-    return {m[0].lower() for m in _WORD.finditer(text) if not _covered(cover, m.start(), m.end())}
+    return _named({m[0] for m in _WORD.finditer(text) if not _covered(cover, m.start(), m.end())})
 
 
 def _tally(batches):
@@ -130,8 +211,8 @@ def _tally(batches):
     for batch in batches:
         for x in batch.column(0).to_pylist():
             if x:
-                spans = base_spans(x)
-                seen.update({entity(x, s) for s in spans})
+                spans = known_spans(x)
+                seen.update(entities(x, spans))
                 seen.update(terms(x, spans))
                 if len(seen) > FLUSH:
                     yield out()
@@ -149,11 +230,11 @@ def _met(batches, limits: dict[int, float], other: float, known: dict[str, int])
 
     for batch in batches:
         for x in batch.column(0).to_pylist():
-            if not x or not (spans := base_spans(x)):
+            if not x or not (spans := known_spans(x)):
                 continue
-            h = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
+            h = _digest(x)
             have = [(t, known.get(t, 0)) for t in terms(x, spans)]
-            for c in {entity(x, s) for s in spans}:
+            for c in entities(x, spans):
                 most = limits.get(c, other)
                 rows += [(c, t, h) for t, n in have if n <= most]
                 if len(rows) > FLUSH:
@@ -203,29 +284,38 @@ def learn(docs: DataFrame, text: str = "text", chance: float = CHANCE, generalis
     near = met.groupBy("c", "t").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"))
     n, nc, nt = F.col("n"), F.col("nc"), F.col("nt")
     rules = near.join(freq, "t").join(own, "c").withColumn("disclosure", _share(n, nc, nt, total)).filter(F.col("disclosure") >= generalise)
-    rules = rules.filter(_log_chance(F.col("contexts"), n, nc, nt, total) <= F.log(F.lit(chance)))
+    most = F.when(F.col("c").between(0, len(KINDS) - 1), chance / max(1, freq.count())).otherwise(chance)
+    rules = rules.filter(_log_chance(F.col("contexts"), n, nc, nt, total) <= F.log(most))
     out = C.stored(rules.select("c", "t", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action")), "rules")
     C.forget(seen)
     return out
 
 
-def _terms_of(text: str, base, rules: dict[int, dict[str, str]]) -> dict[str, str]:
-    """The terms that give any entity of the document away, 'remove' before 'generalise'."""
-    out: dict[str, str] = {}
-    for c in {entity(text, s) for s in base} if rules else ():
-        for t, action in rules.get(c, {}).items():
-            if out.get(t) != "remove":
-                out[t] = action
+def _stronger(out: dict[str, str], more: dict[str, str]) -> None:
+    """Add actions to ``out``, 'remove' before 'generalise'."""
+    for t, action in more.items():
+        if out.get(t) != "remove":
+            out[t] = action
+
+
+def _terms_of(text: str, spans, rules: dict[int, dict[str, str]], everywhere: dict[str, str]) -> dict[str, str]:
+    """The terms that give any entity of the document away, and those of kinds."""
+    mine = [rules[c] for c in {entity(text, s) for s in spans} if c in rules] if rules else []
+    if not mine:
+        return everywhere
+    out = dict(everywhere)
+    for r in mine:
+        _stronger(out, r)
     return out
 
 
-def all_spans(text: str, base, terms: dict[str, str]) -> list[tuple[int, int, str, str]]:
-    """Base spans and the spans of terms that give their entities away."""
-    out = [(*s, "remove") for s in base]
-    if terms:
-        cover = _cover(base)
+def all_spans(text: str, known, terms: dict[str, str]) -> list[tuple[int, int, str, str]]:
+    """The known spans and those of terms that give entities away."""
+    out = [(*s, "remove") for s in known]
+    if terms and any(t in terms for t in _named(set(_WORD.findall(text)))):
+        cover = _cover(known)
         for m in _WORD.finditer(text):
-            action = terms.get(m[0].lower())
+            action = max((terms[t] for t in names(m[0]) if t in terms), default=None)  # 'remove' is the greater
             if action and not _covered(cover, m.start(), m.end()):
                 out.append((m.start(), m.end(), "term", action))
         out.sort(key=lambda s: (s[0], KINDS.index(s[2])))
@@ -237,12 +327,12 @@ def _found(rows) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _KIND, strict=True)], fields=list(_KIND))
 
 
-def _finder(rules):
+def _finder(rules, everywhere):
     def find(texts: pa.Array) -> pa.Array:
         rows = []
         for x in texts.to_pylist():
-            base = base_spans(x) if x else []
-            rows.append(all_spans(x, base, _terms_of(x, base, rules.value)))
+            known = known_spans(x) if x else []
+            rows.append(all_spans(x, known, _terms_of(x, known, rules.value, everywhere.value)) if x else [])
         return _found(rows)
 
     return find
@@ -252,32 +342,57 @@ def _find_given(texts: pa.Array, remove: pa.Array, generalise: pa.Array) -> pa.A
     rows = []
     for x, r, g in zip(texts.to_pylist(), remove.to_pylist(), generalise.to_pylist(), strict=True):
         terms = dict.fromkeys(g or (), "generalise") | dict.fromkeys(r or (), "remove")
-        rows.append(all_spans(x, base_spans(x), terms) if x else [])
+        rows.append(all_spans(x, known_spans(x), terms) if x else [])
     return _found(rows)
 
 
 def _entities(texts: pa.Array) -> pa.Array:
-    return pa.array([sorted({entity(x, s) for s in base_spans(x)}) if x else [] for x in texts.to_pylist()], pa.list_(pa.int64()))
+    return pa.array([sorted({entity(x, s) for s in known_spans(x)}) if x else [] for x in texts.to_pylist()], pa.list_(pa.int64()))
+
+
+def _marked_words(marks):
+    """Of each text: its terms among ``marks``, as two lists."""
+
+    def find(texts: pa.Array) -> pa.Array:
+        rows = []
+        for x in texts.to_pylist():
+            have = [t for t in _named(set(_WORD.findall(x or ""))) if t in marks.value]
+            rows.append({k: sorted(t for t in have if marks.value[t] == k) for k in ("remove", "generalise")})
+        return pa.array(rows, pa.struct([("remove", pa.list_(pa.string())), ("generalise", pa.list_(pa.string()))]))
+
+    return find
 
 
 def with_spans(docs: DataFrame, rules: DataFrame, text: str = "text", name: str = "found") -> DataFrame:
     """``docs`` with a struct of arrays: kinds, starts, ends, actions, in order."""
-    spark = docs.sparkSession
-    if rules.count() <= PART:
-        table: dict[int, dict[str, str]] = {}
+    sc = docs.sparkSession.sparkContext
+    of_kinds = F.col("c").between(0, len(KINDS) - 1)
+    everywhere = rules.filter(of_kinds).groupBy("t").agg(F.max("action").alias("action"))  # 'remove' is the greater
+    rules = rules.filter(~of_kinds)
+    n, n_kinds = rules.count(), everywhere.count()
+    table: dict[int, dict[str, str]] = {}
+    if n <= PART and n_kinds <= PART:
         for r in rules.collect():
             table.setdefault(r.c, {})[r.t] = r.action
-        find = _finder(spark.sparkContext.broadcast(table))
+        find = _finder(sc.broadcast(table), sc.broadcast({r.t: r.action for r in everywhere.collect()}))
         return docs.withColumn(name, F.arrow_udf(find, FOUND).asNondeterministic()(F.col(text)))
     key, gone, less = (C.fresh(docs, x) for x in ("_text_key", "_remove", "_generalise"))
     own = docs.select(F.md5(text).alias(key), F.explode(F.arrow_udf(_entities, "array<bigint>").asNondeterministic()(F.col(text))).alias("c")).distinct()
-    each = own.join(rules.select("c", "t", "action"), "c").groupBy(key, "t").agg(F.max("action").alias("action"))  # 'remove' is the greater
+    each = own.join(rules.select("c", "t", "action"), "c").groupBy(key, "t").agg(F.max("action").alias("action"))
     kept = lambda action: F.collect_list(F.when(F.col("action") == action, F.col("t")))
     marks = C.stored(each.groupBy(key).agg(kept("remove").alias(gone), kept("generalise").alias(less)), "marks")
     some, rest = C.split_by(docs.withColumn(key, F.md5(text)), key, C.bitmap(marks, key))
     none = F.lit(None).cast("array<string>")
-    both = some.join(marks, key, "left").select(*docs.columns, gone, less).unionByName(rest.select(*docs.columns, none.alias(gone), none.alias(less)))
-    return both.withColumn(name, F.arrow_udf(_find_given, FOUND).asNondeterministic()(F.col(text), F.col(gone), F.col(less))).drop(gone, less)
+    both = some.join(marks, key, "left").select(*C.columns(docs), gone, less).unionByName(rest.select(*C.columns(docs), none.alias(gone), none.alias(less)))
+    parts = max(1, -(-n_kinds // PART))
+    found = []
+    for p in range(parts if n_kinds else 0):  # the terms of kinds that each text has, in parts of a bounded size
+        part = everywhere.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == p)
+        f = F.arrow_udf(_marked_words(sc.broadcast({r.t: r.action for r in part.collect()})), "struct<remove:array<string>,generalise:array<string>>").asNondeterministic()(F.col(text))
+        found.append(C.fresh(both, f"_marks_{p}"))
+        both = both.withColumn(found[-1], f)
+    every = lambda own, field: F.array_distinct(F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in (F.col(own), *(F.col(f"{x}.{field}") for x in found)))))
+    return both.withColumn(name, F.arrow_udf(_find_given, FOUND).asNondeterministic()(F.col(text), every(gone, "remove"), every(less, "generalise"))).drop(gone, less, *found)
 
 
 def joined(kinds, starts, ends) -> str:
@@ -289,7 +404,7 @@ def digest(found: pa.Array) -> pa.Array:
     sha, said = [], []
     for r in found.to_pylist():
         rows = list(zip(r["kinds"], r["starts"], r["ends"], strict=True))
-        base = ",".join(f"{k}:{a}:{b}" for k, a, b in rows if k != "term")
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in rows if k in BASE)
         sha.append(hashlib.sha256(base.encode()).hexdigest())
         said.append(joined(r["kinds"], r["starts"], r["ends"]))
     return pa.StructArray.from_arrays([pa.array(sha, pa.string()), pa.array(said, pa.string())], ["base_sha256", "spans"])

@@ -25,7 +25,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     found = pii.with_spans(docs, pii.learn(docs)).select("doc_id", "found", F.arrow_udf(pii.digest, "struct<base_sha256:string,spans:string>")("found").alias("d"))
     count = lambda kind: F.size(F.filter("found.kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *(count(k) for k in pii.KINDS[:4]), "d.base_sha256", "d.spans")
+    return found.select("doc_id", *(count(k) for k in pii.BASE), "d.base_sha256", "d.spans", *(count(k) for k in pii.KINDS[4:]), F.size("found.kinds").cast("long").alias("n_spans"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexeum.llm import neardup as N
 
@@ -113,10 +114,19 @@ def test_shingles_of_sliced_and_null_arrays():
 def test_split_by_loses_no_row(spark):
     from lexeum.llm import common as C
 
-    df = spark.createDataFrame([(i if i % 10 else None, str(i)) for i in range(200)], "doc_id long, _bits string")
-    df = df.withColumnRenamed("_bits", "x")
+    df = spark.createDataFrame([(i if i % 10 else None, str(i), i, "c") for i in range(200)], "doc_id long, _bits string, _bucket long, `a.b` string")
     ids = df.filter("doc_id % 3 = 0").select("doc_id")
     maybe, rest = C.split_by(df, "doc_id", C.bitmap(ids, "doc_id"))
+    assert maybe.columns == rest.columns == df.columns
     assert maybe.count() + rest.count() == 200
     have = {r.doc_id for r in maybe.collect()}
     assert {i for i in range(200) if i % 10 and i % 3 == 0} <= have and None not in have and len(have) < 70
+
+
+def test_spread_join_is_a_join(spark):
+    from lexeum.llm import common as C
+
+    many = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(300)], "k long, v long")
+    one = many.groupBy("k").count().withColumnRenamed("count", "n").withColumn("x", F.col("k") * 10)
+    got = sorted(map(tuple, C.spread_join(many, one.filter("k <> 5"), "k", "n", hot=20).select("k", "v", "x").collect()))
+    assert got == sorted((k, v, k * 10) for k, v in map(tuple, many.collect()) if k != 5)
