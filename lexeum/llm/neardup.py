@@ -13,19 +13,24 @@ sets' Jaccard similarity is at least ``threshold``.
   meets in no band with probability (1 - 0.75**5)**40 = 2e-5.
 * First pass: each bucket links its members to its least member, verified on
   the full sets: a large group of near copies costs one pair for each member.
-* Further passes: buckets that still hold several components are compared in
-  blocks of bounded size. Pairs of different components whose sketches put
-  them at ``SCREEN`` or more are verified on the full sets: in one pass each
-  member with its nearest, which joins most of a group at one pair a member,
-  and in the last pass all that are still apart and that a sharper sketch of
-  ``SHARP`` coordinates does not rule out (at 4.6 standard deviations).
-
-No bucket is capped and no pair of different components is left out.
+* Further passes: in buckets that still hold several components, the strays
+  (members outside the bucket's largest component) are compared with all
+  members, in blocks of bounded size: a bucket of many near copies and few
+  strays costs work in proportion to its size. Pairs of different components
+  whose sketches put them at ``SCREEN`` or more are verified on the full sets:
+  in one pass each stray with its nearest, which joins most of a group at one
+  pair a stray, and in the last pass all that are still apart and that a
+  sharper sketch of ``SHARP`` coordinates does not rule out (at 4.6 standard
+  deviations).
+
+No bucket is capped and no pair of different components is left out. Joins on
+buckets, on the nodes of a star and on the documents of a pair deal hot keys
+over several partitions (:func:`common.spread_join`).
 
 Defined cases: null or blank text has an empty set and is linked with nothing;
 rows that repeat a doc_id belong to one document's class; an empty table gives
 an empty result; other columns are kept by :func:`drop_near_duplicates` and
-ignored by :func:`near_duplicates`.
+ignored by :func:`near_duplicates`. ``doc_id`` is an integer.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexeum.llm import common as C
@@ -143,20 +148,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: each is one aggregation of
     the edge table, written to the shared folder; rounds are logarithmic in
-    practice. Hot nodes are pre-aggregated, never gathered.
+    practice. The edges of a hot node are dealt over several partitions.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before = C.stored(edges, "edges"), None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = C.stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), "least")
         # large star: every greater neighbour of a node goes to the node's least neighbour
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = C.stored(C.spread_join(both.filter("b > a"), least, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # small star: the node and its lesser neighbours go to the least of these
-        lesser = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lesser, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lesser.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        lesser = C.stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "lesser")
+        small = C.spread_join(large, lesser, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lesser.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         last, edges = edges, C.stored(small, "edges")
-        C.forget(last)
+        C.forget(last, least, large, lesser)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -186,24 +191,28 @@ def _within(sizes: list[tuple[int, int, int, bool]]):
 
 
 def _screened(best_only: bool):
-    """Pairs of different components in a block of a bucket whose sketches are near enough: all, or each member's nearest.
+    """Pairs of different components in a block of a bucket whose sketches are near enough: all, or each stray's nearest.
 
-    Rows come sorted by bucket and block; a block that a batch cuts waits for
-    the next. A pair that shares several buckets is given by the first.
+    A block holds strays (side 0) and members (side 1), or a small bucket's
+    members once (side 2). Rows come sorted by bucket, block and side; a block
+    that a batch cuts waits for the next. A pair that shares several buckets is
+    given by the first, and one of two strays by the block in which the lesser
+    is the stray.
     """
     most = int((1 - SCREEN) * T * 4)  # bits that differ: half of a byte where coordinates differ
 
     def pairs(t: pa.Table, cuts: np.ndarray):
         rep, comp, n, side, pos = (t[c].to_numpy() for c in ("rep", "comp", "n", "side", "pos"))
-        same = t["i"].to_numpy() == t["j"].to_numpy()
+        stray = t["stray"].to_numpy(zero_copy_only=False)
         raw = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(t), T)
         sk = raw.view(np.uint64)
         sharp = None if best_only else np.frombuffer(b"".join(t["sharp"].to_pylist()), np.uint64).reshape(len(t), -1)
         left = np.add.reduceat(side == 0, cuts[:-1])
         group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
         found = []
-        for p, q in _within([(a, a + m, b, bool(same[a])) for a, m, b in zip(cuts[:-1].tolist(), left.tolist(), cuts[1:].tolist(), strict=True)]):
+        for p, q in _within([(a, a + m, b, bool(side[a] == 2)) for a, m, b in zip(cuts[:-1].tolist(), left.tolist(), cuts[1:].tolist(), strict=True)]):
             ok = (comp[p] != comp[q]) & (100 * np.minimum(n[p], n[q]) >= LENGTHS * np.maximum(n[p], n[q]))
+            ok &= (side[p] == 2) | ~stray[q] | (rep[p] < rep[q])
             p, q = p[ok], q[ok]
             far = np.bitwise_count(sk[p] ^ sk[q]).sum(1, dtype=np.int32)
             ok = far <= most
@@ -217,7 +226,9 @@ def _screened(best_only: bool):
             found.append((p, q, far))
         p, q, far = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
         if best_only and len(p):
-            node, other, far = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([far, far])
+            back = stray[q]  # members of the largest component look for no one
+            front = stray[p]
+            node, other, far = np.concatenate([p[front], q[back]]), np.concatenate([q[front], p[back]]), np.concatenate([far[front], far[back]])
             order = np.lexsort((rep[other], far, rep[node], group[node]))
             node, other = node[order], other[order]
             head = np.append(True, node[1:] != node[:-1])
@@ -242,6 +253,15 @@ def _screened(best_only: bool):
     return run
 
 
+def _grid(size: Column, strays: Column, stray: Column, h: Column) -> Column:
+    """The blocks (i, j, side) of a bucket that a member goes to: i numbers blocks of strays, j blocks of all members."""
+    rows, cols = F.ceil(strays / BLOCK).cast("int"), F.ceil(size / BLOCK).cast("int")
+    place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    as_member = F.transform(F.sequence(F.lit(0), rows - 1), lambda i: place(i, F.pmod(h, cols), 1))
+    as_stray = F.transform(F.sequence(F.lit(0), cols - 1), lambda j: place(F.pmod(F.xxhash64(h), rows), j, 0))
+    return F.when(size <= BLOCK, F.array(place(F.lit(0), F.lit(0), 2))).when(stray, F.concat(as_stray, as_member)).otherwise(as_member)
+
+
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """The components ``comp`` (node, comp) with further links (a, b) between nodes."""
     of = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
@@ -254,12 +274,18 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    s = sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
-    r = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a"))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
+    """The pairs (a, b), stored, whose full sets reach the threshold, stored. A document of many pairs is dealt over several partitions."""
+
+    def with_sets(rows: DataFrame, side: str) -> DataFrame:
+        one = pairs.groupBy(side).agg(F.count("*").alias("_n")).join(sets.select(F.col("rep").alias(side), F.col("set").alias(f"set_{side}")), side)
+        return C.spread_join(rows, one, side, "_n")
+
     both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    return pairs.join(r, "a").join(s, "b").withColumn("both", both).filter(F.col("both") * 100 >= percent * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b")
+    met = with_sets(with_sets(pairs, "a"), "b").withColumn("both", both)
+    out = C.stored(met.filter(F.col("both") * 100 >= percent * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b"), tag)
+    C.forget(pairs)
+    return out
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold_percent: int = 75) -> DataFrame:
@@ -271,41 +297,43 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     s = C.stored(base.select("doc_id", features("text").alias("f")).select("doc_id", "f.*"), "sketches")
     classes = C.stored(s.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     rows = classes.select("rep", F.posexplode("bands").alias("pos", "band"))
-    shared = rows.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).filter("least <> most")
-    members = C.stored(rows.join(shared.drop("most"), "band"), "members")
+    shared = C.stored(rows.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).filter("least <> most").drop("most"), "shared")
+    members = C.stored(C.spread_join(rows, shared.withColumn("_n", F.col("size")), "band", "_n"), "members")
     sets_of = F.arrow_udf(_sets, "array<bigint>").asNondeterministic()
-    owners = members.select("rep").distinct()
+    owners = C.stored(members.select("rep").distinct(), "owners")
     bits = C.bitmap(owners, "rep")
     some, _ = C.split_by(base, "doc_id", bits)  # only their texts move
     sets = C.stored(some.join(owners.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), sets_of("text").alias("set")).dropDuplicates(["rep", "set"]), "sets")
-    star = members.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    first = C.stored(_verified(star, sets, threshold_percent), "links")
+    star = C.stored(members.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), "star")
+    first = _verified(star, sets, threshold_percent, "links")
     comp = C.stored(components(first), "comp")
+    C.forget(shared, owners, bits, first)
 
-    # what is still apart: buckets with several components, in blocks; first each member's nearest, at last all
+    # what is still apart: buckets with several components, in blocks; first each stray's nearest, at last all
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
     for best_only in (True, False):
-        known = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        mixed = known.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("band")
-        block = part = C.stored(known.join(mixed, "band").join(classes.select("rep", "n", "sketch"), "rep"), "mixed")
+        known = C.stored(members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "known")
+        each = known.groupBy("band", "comp").agg(F.count("*").alias("k"))
+        mixed = each.groupBy("band").agg(F.sum("k").alias("_n"), F.max("k").alias("k"), F.max_by("comp", "k").alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+        mixed = C.stored(mixed.select("band", "_n", "main", (F.col("_n") - F.col("k")).alias("strays")), "strays")
+        block = part = C.stored(C.spread_join(known, mixed, "band", "_n").join(classes.select("rep", "n", "sketch"), "rep"), "mixed")
         cols = ["pos", "rep", "comp", "n", "sketch"]
         if not best_only:
             sharp = sets.join(part.select("rep").distinct(), "rep", "left_semi").select("rep", F.arrow_udf(_sharp, "binary").asNondeterministic()("set").alias("sharp"))
             part = part.join(sharp, "rep")
             cols.append("sharp")
-        part = part.withColumn("mine", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-        dealt = part.select("band", *cols, "mine", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-        dealt = dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *cols, F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
+        part = part.withColumn("stray", F.col("comp") != F.col("main"))
+        copies = _grid(F.col("size"), F.col("strays"), F.col("stray"), F.xxhash64("rep"))
+        dealt = part.select("band", *cols, "stray", F.explode(copies).alias("at")).select("band", "at.*", *cols, "stray")
         dealt = dealt.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j", "side")
-        pairs = dealt.mapInArrow(_screened(best_only), "a bigint, b bigint").distinct()
-        links = C.stored(_verified(pairs, sets, threshold_percent), "links")
-        C.forget(block)
+        pairs = C.stored(dealt.mapInArrow(_screened(best_only), "a bigint, b bigint").distinct(), "pairs")
+        links = _verified(pairs, sets, threshold_percent, "links")
+        C.forget(block, known, mixed)
         if not links.isEmpty():
             last, comp = comp, _joined(comp, links)
             C.forget(last)
         C.forget(links)
-    C.forget(members, sets, first, bits)
+    C.forget(members, sets)
     label = classes.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("component_id"))
     return s.select("doc_id", "n", "key").join(label, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

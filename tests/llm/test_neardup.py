@@ -69,8 +69,11 @@ def test_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
-def test_hot_bucket_with_strays(spark):
-    """A large group of near copies and texts that only share a passage with it."""
+@pytest.mark.parametrize("block,hot", [(500, 50_000), (7, 10)])
+def test_hot_bucket_with_strays(spark, monkeypatch, block, hot):
+    """A large group of near copies and texts that only share a passage with it; with blocks and slices that buckets cross."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N.C, "HOT", hot)
     rng = np.random.default_rng(5)
     core = [f"c{k}" for k in range(200)]
     rows = []
@@ -84,6 +87,15 @@ def test_hot_bucket_with_strays(spark):
     assert {r[0]: (r[1], r[2]) for r in N.near_duplicates(df).collect()} == brute(rows)
 
 
+def test_strays_cost_linear_work(spark, monkeypatch):
+    """A bucket of near copies and one stray: each copy is dealt once, the stray once a block."""
+    monkeypatch.setattr(N, "BLOCK", 50)
+    rows = spark.range(2000).select((F.col("id") == 1999).alias("stray"), F.xxhash64("id").alias("h"))
+    made = rows.select("stray", F.explode(N._grid(F.lit(2000), F.lit(1), F.col("stray"), F.col("h"))).alias("at")).select("stray", "at.*")
+    assert made.count() == 2000 + 40
+    assert made.filter("side = 0").count() == 40 and made.filter("side = 1").select("j").distinct().count() == 40
+
+
 def test_empty_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(empty).collect() == []
