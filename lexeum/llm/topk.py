@@ -1,16 +1,22 @@
 """Exact top-k inner-product search over impact-ordered posting segments, score at a time.
 
-Vectors become integers, floor(scale * x). In each block of rows, the index
-holds a posting for every non-zero component; its quantised impact is the bit
-length of the component's absolute value. Segments are processed by descending
-impact for all queries of a batch: after each, a row's score is known up to
-(bound of the segments to come) times (query mass not yet met). Rows whose
-upper bound lies under the k-th best score proven so far are out; a block ends
-when none is left or all segments are done, and the rows left are rescored
-exactly. Ties go to the smaller id.
-
-Query batches are bounded in bytes (``QUERY_BYTES``) and broadcast one after
-the other over all rows; each task keeps k rows a query.
+Vectors become integers, floor(scale * x). Rows are indexed in tiles of up to
+``TILE``: a posting (row, dimension, component) for every non-zero component,
+in segments of equal quantised impact (half octaves of the component's absolute
+value) by descending impact, and inside a segment by row. With each segment
+goes what the later segments can still add: the length of what is left of each
+row. A query's segments are processed in that order; accumulators are touched
+only for the rows of a segment. After each, a row's score is known up to
+(query length) times (length left of the row), by Cauchy-Schwarz; rows whose
+upper bound lies under the k-th best score proven so far, here or in an earlier
+tile, cannot be among the k best. The search of a tile stops when the rows left
+have a ``RESCORE``-th of the postings that are still to come, or when all
+segments are done, and these rows are rescored exactly. Ties go to the smaller
+id.
+
+A tile's index is made once for all queries of a batch. Query batches are
+bounded in bytes (``QUERY_BYTES``) and broadcast one after the other over all
+rows; each task keeps k rows a query.
 
 Defined cases: vectors that are null or hold null or non-finite components and
 rows without id take no part; vectors are compared with those of equal length
@@ -28,7 +34,9 @@ from pyspark.sql import functions as F
 
 from lexeum.llm import common as C
 
-QUERY_BYTES, TILE = 16 << 20, 2048
+QUERY_BYTES, TILE = 32 << 20, 16_384
+#: A posting rescored costs as much as so many processed; bounds are looked at from this share of a tile's postings on.
+RESCORE, LOOK = 4, 1 / 4
 _LONG = np.iinfo(np.int64)
 
 
@@ -57,40 +65,76 @@ def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.nd
     return order[rank < k]
 
 
-def segments(x: np.ndarray):
-    """Posting segments of a tile by descending quantised impact: (impact bound below, signed postings as a matrix)."""
-    size = np.abs(x.astype(float))
-    level = np.where(size > 0, np.frexp(size)[1], 0)
-    for v in sorted(set(np.unique(level).tolist()) - {0}, reverse=True):
-        yield 2.0 ** (v - 1), level == v
-
-
-def search_tile(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray):
-    """(query place, id, score) of every row of the tile that may be among a query's k best; ``floor``: scores already met k times."""
-    qf, xf = q.astype(float), x.astype(float)
-    mass = np.abs(qf)
-    rest = np.repeat(mass.sum(1)[:, None], len(ids), 1)
-    acc = np.zeros((len(q), len(ids)))
-    alive = qid[:, None] != ids[None, :]
-    slack = 1e-9 * (mass.sum(1)[:, None] * (np.abs(xf).max() if xf.size else 0.0)) + 1e-6  # of float sums
-    for least, at in segments(x):
-        acc += qf @ np.where(at, xf, 0.0).T
-        rest -= mass @ at.T.astype(float)
-        err = np.maximum(rest, 0.0) * least + slack
-        low = np.where(alive, acc - err, -np.inf)
-        bar = np.partition(low, -k, 1)[:, -k] if len(ids) >= k else np.full(len(q), -np.inf)
-        alive &= acc + err >= np.maximum(floor, bar)[:, None]
-        if alive.sum() <= 2 * k * len(q):
-            break
-    a, b = np.nonzero(alive)
-    return a, ids[b], exact(q[a], x[b])
+class Tile:
+    """The index of some rows: posting segments by descending impact."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        xf = x.astype(float)
+        size = np.abs(xf)
+        self.most = float(size.max()) if size.size else 0.0
+        level = np.full(x.shape, -1, np.int16)
+        some = size > 0
+        level[some] = np.floor(2 * np.log2(size[some]))
+        left = (xf * xf).sum(1)
+        #: (dimensions, components, rows touched, where each row's postings begin, length left of each row, share of postings so far)
+        self.segments, done, total = [], 0, int(some.sum())
+        self.postings = total
+        for v in sorted(set(np.unique(level).tolist()) - {-1}, reverse=True):
+            row, dim = np.nonzero(level == v)
+            value = xf[row, dim]
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            left = left.copy()
+            left[row[first]] -= np.add.reduceat(value * value, first)
+            done += len(row)
+            rest = np.sqrt(np.maximum(left, 0.0)) if done < total else np.zeros(len(ids))
+            self.segments.append((dim, value, row[first], first, rest, done / total))
+
+    def candidates(self, me, q: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, int]:
+        """Places of the rows that may be among the query's k best with a score of ``floor`` at least, and the postings processed."""
+        qf = q.astype(float)
+        length, n = float(np.sqrt((qf * qf).sum())), len(self.ids)
+        slack = 1e-9 * (np.abs(qf).sum() * self.most) + 1e-6  # of float sums
+        acc = np.where(self.ids == me, -np.inf, 0.0)
+        seen = 0
+        for dim, value, touched, first, rest, share in self.segments:
+            acc[touched] += np.add.reduceat(qf[dim] * value, first)
+            seen += len(dim)
+            if share < LOOK:
+                continue
+            err = length * rest * (1 + 1e-9) + slack
+            bar = max(floor, float(np.partition(acc - err, -k)[-k])) if n >= k else floor
+            alive = acc + err >= bar
+            if share == 1.0 or alive.sum() * self.x.shape[1] * RESCORE <= self.postings - seen:
+                return np.flatnonzero(alive & (self.ids != me)), seen
+        return np.flatnonzero(self.ids != me), seen  # no postings at all
+
+
+def search(qid: np.ndarray, q: np.ndarray, tile: Tile, k: int, kept) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, id, score) of the k best rows of each query in the tile and in ``kept``, those of earlier tiles."""
+    at, ids, score = kept or (np.empty(0, np.int64),) * 3
+    full = np.bincount(at, minlength=len(qid)) >= k
+    floor = np.full(len(qid), np.inf)
+    np.minimum.at(floor, at, score.astype(float))
+    floor = np.where(full, floor - 1e-12 * np.abs(floor), -np.inf)
+    places, rows = [at], [ids]
+    scores = [score]
+    for p in range(len(qid)):
+        alive, _ = tile.candidates(qid[p], q[p], k, float(floor[p]))
+        if len(alive):
+            places.append(np.full(len(alive), p))
+            rows.append(tile.ids[alive])
+            scores.append(exact(np.broadcast_to(q[p], (len(alive), q.shape[1])), tile.x[alive]))
+    at, ids, score = (np.concatenate(x) for x in (places, rows, scores))
+    top = best(at, ids, score, k)
+    return at[top], ids[top], score[top]
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 256.0) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows of each query; ``is_query`` is over ``df``'s columns."""
     spark = df.sparkSession
     rows = integers(df, vec_id, embedding, scale)
-    asked = integers(df.filter(is_query), vec_id, embedding, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = C.stored(integers(df.filter(is_query), vec_id, embedding, scale).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     n, dim = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     batches = max(1, -(-n * 8 * (dim or 1) // QUERY_BYTES))
     out = None
@@ -104,8 +148,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", e
                 for d, (ids, x) in _by_length(pa.Table.from_batches([batch])).items():
                     if d not in sent.value:
                         continue
-                    qid, q = sent.value[d]
-                    kept[d] = _search(qid, q, ids, x, k, kept.get(d))
+                    for a in range(0, len(ids), TILE):
+                        kept[d] = search(*sent.value[d], Tile(ids[a : a + TILE], x[a : a + TILE]), k, kept.get(d))
             for d, (at, ids, score) in kept.items():
                 yield pa.record_batch([pa.array(sent.value[d][0][at]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
 
@@ -127,19 +171,3 @@ def _by_length(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     flat = v.flatten().to_numpy(zero_copy_only=False)
     start = np.concatenate(([0], np.cumsum(size)))[:-1]
     return {int(d): (ids[size == d], flat[start[size == d][:, None] + np.arange(d)[None, :]]) for d in np.unique(size)}
-
-
-def _search(qid, q, ids, x, k, kept):
-    at, got, score = kept or (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
-    for a in range(0, len(ids), TILE):
-        for c in range(0, len(qid), 512):
-            mine = (at >= c) & (at < c + 512)
-            n = np.bincount(at[mine] - c, minlength=len(qid[c : c + 512]))
-            floor = np.full(len(n), -np.inf)
-            np.minimum.at(low := np.full(len(n), np.inf), at[mine] - c, score[mine].astype(float))
-            floor[n >= k] = low[n >= k] * (1 - 1e-12 * np.sign(low[n >= k]))
-            p, i, s = search_tile(qid[c : c + 512], q[c : c + 512], ids[a : a + TILE], x[a : a + TILE], k, floor)
-            p, i, s = np.concatenate([at[mine], p + c]), np.concatenate([got[mine], i]), np.concatenate([score[mine], s])
-            top = best(p, i, s, k)
-            at, got, score = (np.concatenate([old[~mine], new[top]]) for old, new in ((at, p), (got, i), (score, s)))
-    return at, got, score

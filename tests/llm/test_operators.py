@@ -95,6 +95,40 @@ def test_top_k_is_exact(spark):
         assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(mine)], q
 
 
+def test_top_k_stops_on_proof():
+    """On clustered rows few are rescored, not all postings are processed, and the k best are always among the candidates."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(40, 32))
+    x = centre[rng.integers(0, 40, size=4000)] + 0.35 * rng.normal(size=(4000, 32))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    ids = rng.permutation(4000)
+    tile = topk.Tile(ids, x)
+    total = (x != 0).sum()
+    assert sum(len(s[0]) for s in tile.segments) == total
+    kept = seen = 0
+    for p in range(0, 4000, 80):
+        score = np.where(ids == ids[p], -np.inf, x @ x[p])
+        want = np.lexsort((ids, -score))[:5]
+        alive, n = tile.candidates(ids[p], x[p], 5, -np.inf)
+        assert set(want) <= set(alive) and p not in alive
+        high, _ = tile.candidates(ids[p], x[p], 5, float(score[want[0]]))
+        assert want[0] in high and len(high) <= len(alive)
+        kept, seen = kept + len(alive), seen + n
+    assert kept <= 50 * 4000 / 10 and seen <= 0.8 * 50 * total
+
+
+def test_top_k_of_zeros_and_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TILE", 3)
+    df = spark.createDataFrame([(i, [0.0, 0.0] if i % 2 else [float(i % 5), -1.0]) for i in range(40)], "vec_id long, embedding array<double>").repartition(2)
+    vec = {r.vec_id: [int(256 * v) for v in r.embedding] for r in df.collect()}
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 4 < 2).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in (i for i in vec if i % 4 < 2):
+        mine = sorted((-sum(a * b for a, b in zip(vec[q], v, strict=True)), i) for i, v in vec.items() if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(mine)]
+
+
 def test_top_k_with_few_rows_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0).collect()) == [(1, 1, 131072), (2, 1, 131072)]
