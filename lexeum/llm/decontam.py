@@ -15,7 +15,8 @@ one pass over the documents; hits of several parts are united per row.
 
 Defined cases: null text has no words and no hits; an item without words or
 id is never found; items that share a window are each found by it, rows of one
-item id are one item; repeated rows each get a result; an empty benchmark finds nothing.
+item id are one item; repeated rows each get a result; an empty benchmark finds nothing; other columns
+stay, and the new one's name gets underscores until it is free.
 """
 
 from __future__ import annotations
@@ -151,7 +152,7 @@ def _finder(windows):
 
 def with_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", name: str = "found", window: int = WINDOW) -> DataFrame:
     """``docs`` with a struct: n_words, hits (places of the words hit, from 0), items (ids found, in item order)."""
-    spark = docs.sparkSession
+    spark, name = docs.sparkSession, C.fresh(docs, name)
     items = benchmark.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))

@@ -16,7 +16,8 @@ Counts come from a bounded sample of ``TRAIN_ROWS`` documents with a language;
 ``MAX_NGRAMS`` bounds the n-grams kept of each language.
 
 Defined cases: null, and texts without a letter, are ``und`` with score 0;
-without training rows every text is ``und``; other columns stay.
+without training rows every text is ``und``; other columns stay,
+and the new one's name gets underscores until it is free.
 """
 
 from __future__ import annotations
@@ -253,4 +254,4 @@ def with_language(docs: DataFrame, models: Models, text: str = "text", name: str
     """``docs`` with a struct: lang, score, cross_entropy, rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(models)
     memory: dict = {}
-    return docs.withColumn(name, F.arrow_udf(lambda t: sent.value.find(t, memory), FOUND).asNondeterministic()(F.col(text)))
+    return docs.withColumn(C.fresh(docs, name), F.arrow_udf(lambda t: sent.value.find(t, memory), FOUND).asNondeterministic()(F.col(text)))

@@ -35,7 +35,8 @@ another is removed, once.
 
 Defined cases: null text is empty and has no spans; offsets are code points,
 ends exclusive; terms inside other spans are not marked again; a base span has
-precedence over a secret that starts inside it; other columns stay.
+precedence over a secret that starts inside it; other columns stay, and the new
+one's name gets underscores until it is free.
 """
 
 from __future__ import annotations
@@ -365,7 +366,7 @@ def _marked_words(marks):
 
 def with_spans(docs: DataFrame, rules: DataFrame, text: str = "text", name: str = "found") -> DataFrame:
     """``docs`` with a struct of arrays: kinds, starts, ends, actions, in order."""
-    sc = docs.sparkSession.sparkContext
+    sc, name = docs.sparkSession.sparkContext, C.fresh(docs, name)
     of_kinds = F.col("c").between(0, len(KINDS) - 1)
     everywhere = rules.filter(of_kinds).groupBy("t").agg(F.max("action").alias("action"))  # 'remove' is the greater
     rules = rules.filter(~of_kinds)

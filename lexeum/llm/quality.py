@@ -85,12 +85,13 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 @dataclass
 class Discriminant:
-    """Means, Cholesky factors and log-determinants of both classes; slope and shift of the logistic curve."""
+    """Means, Cholesky factors with their inverses, and log-determinants of both classes; slope and shift of the logistic curve."""
 
     centre: np.ndarray
     scale: np.ndarray
     mean: list = field(default_factory=list)
     factor: list = field(default_factory=list)
+    whitener: list = field(default_factory=list)
     logdet: list = field(default_factory=list)
     prior: float = 0.5
     slope: float = 1.0
@@ -101,8 +102,8 @@ class Discriminant:
         z = (x - self.centre) / self.scale
         d = []
         for k in (0, 1):
-            w = np.linalg.solve(self.factor[k], (z - self.mean[k]).T)
-            d.append(-0.5 * ((w * w).sum(0) + self.logdet[k]))
+            w = (z - self.mean[k]) @ self.whitener[k].T
+            d.append(-0.5 * ((w * w).sum(1) + self.logdet[k]))
         return d[1] - d[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -111,6 +112,15 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.slope * squash(self.margin(x)) + self.shift, -35, 35)))
 
 
+def inverse(low: np.ndarray) -> np.ndarray:
+    """The inverse of a lower triangular matrix, by forward substitution."""
+    out = np.zeros_like(low)
+    for i in range(len(low)):
+        out[i, i] = 1.0
+        out[i] = (out[i] - low[i, :i] @ out[:i]) / low[i, i]
+    return out
+
+
 def squash(d: np.ndarray) -> np.ndarray:
     """Keeps order, and keeps far margins from ruling the logistic fit."""
     return np.sign(d) * np.log1p(np.abs(d))
@@ -149,20 +159,21 @@ def fit(x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> Discriminant:
     m.mean = [z[use & (y == k)].mean(0) for k in (0, 1)]
     best = None
     for lam, gam in GRID:
-        m.factor, m.logdet = [], []
+        m.factor, m.whitener, m.logdet = [], [], []
         for k in (0, 1):
             s = (1 - lam) * cov[k] + lam * pooled
             s = (1 - gam) * s + gam * max(np.trace(s) / d, 1e-3) * np.eye(d)
             low = np.linalg.cholesky(s)
             m.factor.append(low)
+            m.whitener.append(inverse(low))
             m.logdet.append(2 * np.log(np.diag(low)).sum())
         t = squash(m.margin(x[judged]))
         a, b = logistic(t, y[judged])
         p = np.clip(1 / (1 + np.exp(-np.clip(a * t + b, -35, 35))), 1e-9, 1 - 1e-9)
         loss = -(y[judged] * np.log(p) + (1 - y[judged]) * np.log(1 - p)).mean()
         if best is None or loss < best[0] - 1e-9:
-            best = (loss, list(m.factor), list(m.logdet), a, b)
-    _, m.factor, m.logdet, m.slope, m.shift = best
+            best = (loss, m.factor, m.whitener, m.logdet, a, b)
+    _, m.factor, m.whitener, m.logdet, m.slope, m.shift = best
     return m
 
 

@@ -1,14 +1,16 @@
 """Token counts: whole texts through a public tokenizer, lengths only.
 
-Texts are cut into pieces at safe boundaries (before a single space that
-follows a non-blank and precedes an ASCII letter, where no pre-token of a
-byte-level or word-level vocabulary spans), pieces are dealt into encoder
-batches of about ``BATCH_BYTES``, and each text's count is the sum over its
-pieces. Special strings inside texts are handled as the library does by
-default; no tokens are added, truncated or padded.
+Texts are cut into pieces at safe boundaries: before a single space that
+follows a non-blank and precedes a letter of any script, and for vocabularies
+with pre-tokens (.json) also between a letter and the full-width or other
+non-Latin punctuation that follows it, where no pre-token spans. Pieces are
+dealt into encoder batches of about ``BATCH_BYTES`` bytes, and each text's
+count is the sum over its pieces. Special strings inside texts are handled as
+the library does by default; no tokens are added, truncated or padded.
 
 Defined cases: null counts 0; equal texts in a batch are encoded once; a text
-without a safe boundary is encoded as one piece; other columns stay.
+without a safe boundary is encoded as one piece; other columns stay, and the
+new one's name gets underscores until it is free.
 """
 
 from __future__ import annotations
@@ -24,15 +26,18 @@ from pyspark.sql import functions as F
 from lexeum.llm import common as C
 
 BATCH_BYTES, PIECE_CHARS = 1 << 20, 1 << 15
-_SAFE = re.compile(r"(?<=\S) (?=[A-Za-z])")
+#: Sentence and clause signs of scripts that are written without spaces or with signs of their own.
+SIGNS = "、。，！？；：「」『』（）【】《》〈〉…؟،؛।॥"
+_SPACE = re.compile(r"(?<=\S) (?=[^\W\d_])")
+_SIGN = re.compile(rf"(?<=\S) (?=[^\W\d_])|(?<=[^\W\d_])(?=[{SIGNS}])")
 _loaded: dict = {}
 
 
-def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
+def pieces(text: str, size: int = PIECE_CHARS, safe: re.Pattern = _SPACE) -> list[str]:
     """``text`` cut at safe boundaries into pieces of ``size`` characters or a little more."""
     out, at = [], 0
     while len(text) - at > size:
-        m = _SAFE.search(text, at + size)
+        m = safe.search(text, at + size)
         if not m:
             break
         out.append(text[at : m.start()])
@@ -77,10 +82,10 @@ def count_batch(texts: list[str], name: str, content: bytes) -> np.ndarray:
         batch, owner, size = [], [], 0
 
     for t, i in distinct.items():
-        for k, p in enumerate(pieces(t)):
+        for k, p in enumerate(pieces(t, safe=_SIGN if plain else _SPACE)):
             batch.append(p if plain else (p, k))
             owner.append(i)
-            size += len(p)
+            size += len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass"))
             if size >= BATCH_BYTES:
                 flush()
     flush()
@@ -97,4 +102,4 @@ def with_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", name:
         out = [count_batch([t or "" for t in texts.slice(a, b - a).to_pylist()], *model.value) for a, b in C.slices(off, 4 * BATCH_BYTES)]
         return pa.array(np.concatenate(out) if out else np.empty(0, np.int64), pa.int64())
 
-    return docs.withColumn(name, F.arrow_udf(count, "bigint").asNondeterministic()(F.col(text)))
+    return docs.withColumn(C.fresh(docs, name), F.arrow_udf(count, "bigint").asNondeterministic()(F.col(text)))

@@ -19,7 +19,8 @@ Lexicon and curve are fitted on disjoint parts of a bounded sample of
 
 Defined cases: null and empty texts have no match and the curve's least score;
 without labelled rows of both classes the seeds and a fixed curve are used;
-other columns stay.
+other columns stay,
+and the new one's name gets underscores until it is free.
 """
 
 from __future__ import annotations
@@ -319,4 +320,4 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
 def with_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", name: str = "found") -> DataFrame:
     """``docs`` with a struct: score, weight, n_words, and the matches' starts, ends and entries."""
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
-    return docs.withColumn(name, F.arrow_udf(lambda t: sent.value.find(t), FOUND).asNondeterministic()(F.col(text)))
+    return docs.withColumn(C.fresh(docs, name), F.arrow_udf(lambda t: sent.value.find(t), FOUND).asNondeterministic()(F.col(text)))

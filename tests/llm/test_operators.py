@@ -51,21 +51,28 @@ def test_token_counts_of_whole_texts(spark, monkeypatch):
 
     rng = np.random.default_rng(2)
     texts = [*ODD, "<|endoftext|> a <|endoftext|>", "it's   two  spaces\n\n x 12 34 'll"] + ["".join(rng.choice(list("abc  .,1é\n'"), size=500)) for _ in range(30)]
+    texts += ["".join(rng.choice(list(s), size=500)) for s in ("的一是漢字。，「」 ", "привет мир.,! ", "مرحبا ؟،. ", "abcДя漢²½ 1。 '", "नमस्ते। ") for _ in range(6)]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         t = Tokenizer.from_file(P.path(name))
         want = [len(t.encode(x or "", add_special_tokens=False)) for x in texts]
         with monkeypatch.context() as m:
-            m.setattr(tokens, "pieces", lambda x, f=tokens.pieces: f(x, 40))
+            m.setattr(tokens, "pieces", lambda x, f=tokens.pieces, safe=None: f(x, 40, safe))
             with open(P.path(name), "rb") as f:
                 assert tokens.count_batch([x or "" for x in texts], name, f.read()).tolist() == want
     df = frame(spark, texts, n_tokens=["kept"] * len(texts))
-    got = tokens.with_token_counts(df, P.path("byte_bpe_50k.json"), name="count").orderBy("doc_id").collect()
+    got = tokens.with_token_counts(df, P.path("byte_bpe_50k.json")).orderBy("doc_id").collect()
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    assert [r["count"] for r in got] == [len(t.encode(x or "", add_special_tokens=False)) for x in texts]
+    assert [r["n_tokens_"] for r in got] == [len(t.encode(x or "", add_special_tokens=False)) for x in texts]
     assert got[0].n_tokens == "kept"
     assert tokens.with_token_counts(df.limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_long_texts_of_all_scripts_are_cut():
+    for t in ("слово " * 100_000, "漢字的文。" * 100_000, "λόγος και " * 50_000, "كلمة هنا " * 50_000, "word " * 100_000):
+        cut = tokens.pieces(t, safe=tokens._SIGN)
+        assert "".join(cut) == t and max(map(len, cut)) <= tokens.PIECE_CHARS + 16
+
+
 def test_sentence_pieces(monkeypatch):
     P = pytest.importorskip("public_tokenizers")
     import sentencepiece
@@ -73,8 +80,8 @@ def test_sentence_pieces(monkeypatch):
     sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     with open(P.path("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
-    monkeypatch.setattr(tokens, "pieces", lambda x, f=tokens.pieces: f(x, 20))
-    texts = ["The quick brown fox jumps over the lazy dog and then some more words follow", "", "a"]
+    monkeypatch.setattr(tokens, "pieces", lambda x, f=tokens.pieces, safe=None: f(x, 20, safe))
+    texts = ["быстрая лиса прыгает через ленивую собаку и бежит дальше", "The quick brown fox jumps over the lazy dog and then some more words follow", "", "a"]
     assert tokens.count_batch(texts, "piece_bpe_32k.model", model).tolist() == [len(sp.encode(t)) for t in texts]
 
 
