@@ -3,8 +3,8 @@
 Texts are lower-cased and read as words of letters and marks, each padded with
 blanks. Every language has a model of ``ORDER`` characters over these words:
 counts at the highest order, continuation counts below, one discount for each
-order, interpolated down to a uniform share. All languages share sorted arrays
-of hashed n-grams and contexts with a column for each language. A document's
+order, interpolated down to a uniform share. A language's n-grams and contexts
+are hashed and stand in sorted arrays. A document's
 cross-entropy is per character; the least wins, ties to the smaller code.
 Words are scored once each in a worker and remembered.
 
@@ -12,8 +12,10 @@ Rejection is calibrated on the training documents: a language's cross-entropy
 there has a mean and a spread; a document further out than ``REJECT`` spreads
 (wider for short texts) is marked ``rejected``.
 
-Counts come from a bounded sample of ``TRAIN_ROWS`` documents with a language;
-``MAX_NGRAMS`` bounds the n-grams kept of each language.
+Counts come from a bounded sample of documents with a language: ``TRAIN_ROWS``
+of all, and ``LEAST_ROWS`` of each language that has so many. All n-grams of
+the sample are counted and kept, so that discounts and continuation counts are
+the sample's own; each language has arrays of its own, as large as its n-grams.
 
 Defined cases: null, and texts without a letter, are ``und`` with score 0;
 without training rows every text is ``und``; other columns stay,
@@ -28,12 +30,14 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexeum.llm import common as C
 
-ORDER, TRAIN_ROWS, MAX_NGRAMS, REJECT, REMEMBERED = 4, 20_000, 400_000, 6.0, 1_500_000
+ORDER, TRAIN_ROWS, LEAST_ROWS, REJECT = 4, 20_000, 1_000, 6.0
+#: Word scores that a worker remembers, one for each word and language.
+REMEMBERED = 6_000_000
 SLICE = 2 << 20
 FOUND = "struct<lang:string,score:double,cross_entropy:double,rejected:boolean>"
 _KIND = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("rejected", pa.bool_())])
@@ -82,7 +86,7 @@ _low = lambda n: C.U((1 << (16 * n)) - 1)
 
 
 class Models:
-    """Sorted hash arrays of n-grams and contexts with a column for each language."""
+    """Sorted hash arrays of n-grams and contexts of each language."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
@@ -120,25 +124,27 @@ class Models:
                 prev = (g, p)
                 probs[n].append((g, np.log(p)))
                 backs[n].append((keys, np.log(back)))
-        self.p = [None] + [self._merge(probs[n], k, np.nan) for n in range(1, ORDER + 1)]
-        self.b = [None] + [self._merge(backs[n], k, 0.0) for n in range(1, ORDER + 1)]
+        self.p = [None] + [[self._hashed(*x) for x in probs[n]] for n in range(1, ORDER + 1)]
+        self.b = [None] + [[self._hashed(*x) for x in backs[n]] for n in range(1, ORDER + 1)]
 
     @staticmethod
-    def _merge(parts, k, missing):
-        keys = np.unique(np.concatenate([g for g, _ in parts]))
-        table = np.full((len(keys), k), missing, np.float32)
-        for j, (g, v) in enumerate(parts):
-            table[np.searchsorted(keys, g), j] = v
+    def _hashed(keys, values):
         h = C.mix(keys)
         order = np.argsort(h)
-        return h[order], table[order]
+        return h[order], values[order].astype(np.float32)
 
     @staticmethod
     def _find(where, g, missing):
-        keys, table = where
+        """A column for each language."""
         h = C.mix(g)
-        i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where((keys[i] == h)[:, None], table[i], np.float32(missing))
+        order = np.argsort(h)  # searches in order stay in the cache
+        out = np.full((len(g), len(where)), missing, np.float32)
+        for j, (keys, values) in enumerate(where):
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, h[order]), len(keys) - 1)
+                hit = keys[i] == h[order]
+                out[order[hit], j] = values[i[hit]]
+        return out
 
     def words(self, cp, s, e) -> np.ndarray:
         """Log probability of each word, a column for each language."""
@@ -162,7 +168,7 @@ class Models:
         cp, h, s, e, ptr = read(texts)
         u, first, inv = np.unique(h, return_index=True, return_inverse=True)
         known = memory.get("h", np.empty(0, C.U))
-        if len(known) + len(u) > REMEMBERED:
+        if (len(known) + len(u)) * len(self.langs) > REMEMBERED:
             memory.clear()
             known = np.empty(0, C.U)
         at = np.minimum(np.searchsorted(known, u), max(len(known) - 1, 0))
@@ -206,11 +212,24 @@ class Models:
         return pa.concat_arrays(parts) if parts else pa.array([], _KIND)
 
 
+def sample(docs: DataFrame, lang: str, key: str, rows: int = TRAIN_ROWS, least: int = LEAST_ROWS) -> DataFrame:
+    """About ``rows`` rows of all, and about ``least`` of each language that has so many; all of a language with fewer. The same on each run."""
+    n = {r[lang]: r["count"] for r in docs.groupBy(lang).count().collect()}  # one row a language
+    total = sum(n.values())
+    if total <= rows:
+        return docs
+    full = 1 << 31
+    cuts = [(k, min(full, int(full * max(rows / total, least / v)))) for k, v in n.items()]
+    cut = docs.sparkSession.createDataFrame(cuts, "_l string, _cut long")
+    kept = docs.join(F.broadcast(cut), F.col(lang) == F.col("_l"))
+    return kept.filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(full)) < F.col("_cut")).select(*C.columns(docs))
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> Models:
     """Count n-grams over at most about ``rows`` of the rows of ``docs`` that have a language."""
     sc = docs.sparkSession.sparkContext
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("_id"))
-    some = C.bounded_sample(known, F.col("_id"), rows, docs.filter(F.col(lang).isNotNull()).count())
+    some = sample(known, "lang", "_id", rows)
 
     def count(batches):
         for batch in batches:
@@ -229,7 +248,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
                     yield pa.record_batch([pa.array([name] * len(u), pa.string()), pa.array(u.view(np.int64)), pa.array(c)], ["lang", "g", "c"])
 
     summed = some.select("lang", "text").mapInArrow(count, "lang string, g bigint, c bigint").groupBy("lang", "g").agg(F.sum("c").alias("c"))
-    best = summed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "g"))).filter(F.col("r") <= MAX_NGRAMS).select("lang", "g", "c").toArrow()
+    best = summed.toArrow()
     names = np.array(best["lang"].to_pylist(), object)
     g, c = best["g"].to_numpy().view(C.U), best["c"].to_numpy()
     models = Models({n: (g[names == n], c[names == n]) for n in sorted(set(names))})
@@ -242,7 +261,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         k = [sent.value.langs.index(x) if x in sent.value.langs else -1 for x in name.to_pylist()]
         return pa.array([float(h[i, j]) if j >= 0 and size[i] >= 50 else None for i, j in enumerate(k)], pa.float64())
 
-    check = C.bounded_sample(some, F.concat(F.lit("c"), F.col("_id").cast("string")), rows // 10, rows)
+    check = sample(some.withColumn("_c", F.concat(F.lit("c"), F.col("_id").cast("string"))), "lang", "_c", rows // 10, LEAST_ROWS // 10)
     for r in check.select("lang", F.arrow_udf(own, "double").asNondeterministic()("text", "lang").alias("h")).groupBy("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s")).collect():
         if r.m is not None and r.lang in models.langs:
             j = models.langs.index(r.lang)

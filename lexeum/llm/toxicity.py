@@ -2,20 +2,25 @@
 
 Folding, which keeps each character's place: lower case, base letters without
 marks, homoglyphs of other scripts as the Latin letters they look like, digits
-and signs inside words as the letters they stand for (1 as i, and seeds with l
-are matched with i there too), runs of three or more equal letters as one, single letters that are
-spaced out by dots, dashes, stars or underscores joined; zero-width characters
-go. All else is one blank.
-
-The lexicon holds whole words and word beginnings, ``SEEDS`` with a prior
-weight and those learned from labelled rows: a word or a beginning that stands
-in at least ``LEAST_ROWS`` and ``LEAST_SHARE`` of the toxic rows and whose smoothed log-odds reach
-``LEAST_ODDS``, weighted by these. A match inside an exception phrase does not
-count. A document's score is a logistic curve over its summed weights (an
-entry's repeats count by their logarithm), their share of the document's length, and the number of different entries.
+and signs inside words as the letters they stand for (1 as i, and whole words
+with l are matched with i there too, where no clean row has that word), runs of
+three or more equal letters as one, single letters that are spaced out by dots,
+dashes, stars or underscores joined; zero-width characters go. All else is one
+blank.
+
+The lexicon holds whole words and word beginnings of 3 to 8 letters
+(``STEMS``): ``SEEDS`` with a prior weight, and those learned from labelled
+rows, weighted by their smoothed log-odds. A word or beginning is learned if it
+stands in ``LEAST_ROWS`` toxic rows at least, its log-odds reach
+``LEAST_ODDS``, and as many toxic rows among those that hold it would come by
+chance with a probability of less than ``CHANCE`` for any of all terms (a
+Chernoff bound). A match inside an exception phrase does not count. A
+document's score is a logistic curve over its summed weights (an entry's
+repeats count by their logarithm), their share of the document's length, and
+the number of different entries.
 
 Lexicon and curve are fitted on disjoint parts of a bounded sample of
-``TRAIN_ROWS`` labelled rows; ``MAX_ENTRIES`` bounds the lexicon.
+``TRAIN_ROWS`` labelled rows, which also bounds the lexicon.
 
 Defined cases: null and empty texts have no match and the curve's least score;
 without labelled rows of both classes the seeds and a fixed curve are used;
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 
 from lexeum.llm import common as C
 
-TRAIN_ROWS, MAX_ENTRIES, LEAST_ROWS, LEAST_SHARE, LEAST_ODDS, STEMS = 20_000, 4_000, 3, 0.01, 3.0, range(3, 9)
+TRAIN_ROWS, LEAST_ROWS, LEAST_ODDS, CHANCE, STEMS = 20_000, 3, 3.0, 1e-3, range(3, 9)
 FOUND = "struct<score:double,weight:double,n_words:bigint,starts:array<bigint>,ends:array<bigint>,terms:array<string>>"
 _KIND = pa.struct([("score", pa.float64()), ("weight", pa.float64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("terms", pa.list_(pa.string()))])
 
@@ -141,15 +146,16 @@ class Lexicon:
     entries: dict[str, float] = field(default_factory=lambda: {f" {fold_term(s)} ": 3.0 for s in SEEDS})
     exceptions: tuple[str, ...] = tuple(f" {fold_term(e)} " for e in EXCEPTIONS)
     curve: tuple[float, ...] = (0.9, 0.8, 0.3, -4.0)
+    #: Whole words in which 1 stood for l: the form with i, and the entry.
+    also: dict[str, str] = field(default_factory=lambda: {e.replace("l", "i"): e for e in (f" {fold_term(s)} " for s in SEEDS) if "l" in e})
 
     def automaton(self):
         if "_machine" not in self.__dict__:
             import ahocorasick
 
             a = ahocorasick.Automaton()
-            for e in (f" {fold_term(s)} " for s in SEEDS):  # a 1 may stand for l
-                if e in self.entries:
-                    a.add_word(e.replace("l", "i"), (len(e), self.entries[e], e))
+            for form, e in self.also.items():
+                a.add_word(form, (len(e), self.entries[e], e))
             for e, w in self.entries.items():
                 a.add_word(e, (len(e), w, e))
             for e in self.exceptions:
@@ -199,7 +205,7 @@ class Lexicon:
         for i, m in enumerate(found):
             times = Counter((e, w) for _, _, e, w in m)
             s = sum(w * (1 + np.log(k)) for (_, w), k in times.items())
-            x[i] = np.log1p(s), np.log1p(100 * s / (n_words[i] + 20)), min(6, len(times))
+            x[i] = np.log1p(s), np.log1p(100 * s / (n_words[i] + 20)), np.log1p(len(times))
         return x
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -235,7 +241,7 @@ def _terms(texts: list[str]):
     np.cumsum(value * power[: len(f)], out=run[1:], dtype=C.U)
     docs, hashes, starts, ends = [], [], [], []
     for n in [0, *STEMS]:
-        use = (e - s >= n) if n else (e - s <= 40)
+        use = (e - s >= n) if n else np.ones(len(s), bool)
         a, b = s[use], (s[use] + n if n else e[use])
         docs.append(doc[use])
         hashes.append(C.mix((run[b] - run[a]) * inverse[a] + C.U(2 if n else 1)))
@@ -244,6 +250,12 @@ def _terms(texts: list[str]):
     return f, np.concatenate(docs), np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
 
 
+def word_hash(word: str) -> int:
+    """The hash of a whole word as :func:`_terms` gives it."""
+    _, _, h, _, e = _terms([word])
+    return int(h.view(np.int64)[e < 0][0])
+
+
 def _count(batches):
     """(hash, toxic rows, other rows) of the terms of each batch."""
     for batch in batches:
@@ -274,13 +286,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     if p and n:
         odds = F.log((F.col("n1") + 0.5) / (p + 1.0)) - F.log((F.col("n0") + 0.5) / (n + 1.0))
         found = sample.filter("not judge").select("t", "y").mapInArrow(_count, "h bigint, n1 bigint, n0 bigint").groupBy("h").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-        found = found.filter(F.col("n1") >= max(LEAST_ROWS, LEAST_SHARE * p)).withColumn("w", odds).filter(F.col("w") >= LEAST_ODDS).orderBy(F.desc("n1"), F.desc("w"), "h").limit(4 * MAX_ENTRIES)
-        got = {r.h: (r.w, r.n1) for r in found.collect()}
+        found = C.stored(found, "counts")
+        base, seen = p / (p + n), F.col("n1") + F.col("n0")
+        k = F.col("n1") / seen
+        gain = F.col("n1") * F.log(k / base) + F.when(F.col("n0") > 0, F.col("n0") * F.log((1 - k) / (1 - base))).otherwise(0.0)
+        sure = (k > base) & (gain >= float(np.log(max(1, found.count()) / CHANCE)))
+        rows_ = found.filter((F.col("n1") >= LEAST_ROWS) & sure).withColumn("w", odds).filter(F.col("w") >= LEAST_ODDS)
+        got = {r.h: r.w for r in rows_.select("h", "w").collect()}
         sent = spark.sparkContext.broadcast(np.sort(np.array(list(got), np.int64)))
 
         def name(batches):
             want, seen = sent.value, set()
             for batch in batches:
+                hashes, words = [], []
                 for t in batch.column(0).to_pylist():
                     f, _, h, s, e = _terms([t or ""])
                     h = h.view(np.int64)
@@ -289,17 +307,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
                         if h[j] not in seen:
                             seen.add(h[j])
                             word = f[s[j] : abs(e[j])].tobytes().decode("utf-32-le")
-                            yield pa.record_batch([pa.array([h[j]]), pa.array([f" {word} " if e[j] < 0 else f" {word}"])], ["h", "e"])
+                            hashes.append(h[j])
+                            words.append(f" {word} " if e[j] < 0 else f" {word}")
+                yield pa.record_batch([pa.array(hashes, pa.int64()), pa.array(words, pa.string())], ["h", "e"])
 
         names = sample.filter("not judge and y = 1").select("t").mapInArrow(name, "h bigint, e string").groupBy("h").agg(F.min("e").alias("e")).collect()
         accepted: dict[str, float] = {}
         for r in sorted(names, key=lambda r: (len(r.e.rstrip(" ")), r.e.endswith(" "), r.e)):
-            w, n1 = got[r.h]
+            w = got[r.h]
             shorter = [accepted[r.e[:k]] for k in range(1 + STEMS.start, len(r.e)) if r.e[:k] in accepted]
             if not shorter or max(shorter) < w - 1.0:
                 accepted[r.e] = w
-        for e, w in sorted(accepted.items(), key=lambda x: (-x[1], x[0]))[:MAX_ENTRIES]:
-            lexicon.entries[e] = w
+        lexicon.entries |= accepted
+        forms = {word_hash(e.replace("l", "i")): e for e in accepted if "l" in e and e.endswith(" ")}
+        if forms:
+            clean = {r.h for r in found.filter((F.col("n0") > 0) & F.col("h").isin(list(forms))).select("h").collect()}
+            for h, e in forms.items():
+                if h not in clean and e.replace("l", "i") not in lexicon.entries:
+                    lexicon.also.setdefault(e.replace("l", "i"), e)
+        C.forget(found)
     if share.get((True, 0), 0) and share.get((True, 1), 0):
         sent_l = spark.sparkContext.broadcast(lexicon)
 

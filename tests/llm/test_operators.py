@@ -525,6 +525,54 @@ def test_folding():
     assert lex.matches([])[0] == [] and lex.matches(["", "a b"])[1].tolist() == [0, 2]
 
 
+def slow_matches(lex, text):
+    """Every entry at every place of the folded text by plain comparison; the best at each start, but for those inside exceptions."""
+    f, place, _ = toxicity.folded([text])
+    t = f.tobytes().decode("utf-32-le")
+    entries = {**{form: e for form, e in lex.also.items()}, **{e: e for e in lex.entries}}
+    found = lambda x: [a for a in range(len(t)) if t.startswith(x, a)]
+    shield = [(a + 1, a + len(x) - 1) for x in lex.exceptions for a in found(x)]
+    best = {}
+    for x, e in entries.items():
+        for a in found(x):
+            s, b, w = a + 1, a + len(x) - (1 if x.endswith(" ") else 0), lex.entries[e]
+            if not any(p <= s and b <= q for p, q in shield) and (s not in best or (w, b) > best[s][0]):
+                best[s] = ((w, b), (int(place[s]), int(place[b - 1]) + 1, w))
+    return sorted(v for _, v in best.values())
+
+
+def test_matches_against_plain_search():
+    rng = np.random.default_rng(15)
+    lex = toxicity.Lexicon()
+    lex.entries |= {" glorp ": 4.0, " zagr": 2.5, " glo": 1.0}
+    lex.also[" giorp "] = " glorp "
+    parts = ["idiot", "l0ser", "1oser", "trash can", "trash", "glorp", "g1orp", "zagrat", "glom", "pond scum", "scum", "i.d.i.o.t", "stuuupid", "and", "the", "ＩＤＩＯＴ", "іdiоt", "clown fish clown", "c1own!", "$tupid", "son of a bitch", "-", "\n", "x" * 60]
+    for _ in range(300):
+        text = "".join(str(rng.choice(parts)) + str(rng.choice([" ", " ", "  ", ", ", "", "\t"])) for _ in range(int(rng.integers(0, 14))))
+        got = sorted((a, b, w) for a, b, _, w in lex.matches([text])[0][0])
+        assert got == slow_matches(lex, text), text
+
+
+def test_rare_words_are_learned_by_significance(spark):
+    rng = np.random.default_rng(16)
+    vocab = [a + b for a in ("ba", "de", "ki", "lo", "mu") for b in ("rin", "sta", "ven", "tol", "mar")]
+    texts, y = [], []
+    for i in range(2400):
+        toxic = i % 4 == 0
+        w = list(rng.choice(vocab, size=30))
+        if toxic:
+            w[3] = "glorp" if i % 160 == 0 else "zagrox" + "abcd"[i % 3]
+        w[7] = f"w{i % 800}x"
+        texts.append(" ".join(w))
+        y.append(int(toxic))
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    lex = toxicity.train(frame(spark, texts), labels)
+    assert any("glorp".startswith(e.strip()) for e in lex.entries) and any(e.startswith(" zagrox"[: len(e)]) for e in lex.entries)
+    assert not any(e.strip() in vocab or e.startswith(" w") and e != " whore " and e != " worthiess " and e != " worthless " for e in lex.entries)
+    if " glorp " in lex.entries:
+        assert lex.also[" giorp "] == " glorp "
+
+
 def test_toxicity_without_labels(spark):
     df = frame(spark, ["you idiot", None])
     lex = toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -588,6 +636,13 @@ def test_languages(spark):
     assert {r.found.lang for r in langid.with_language(df, none).collect()} == {"und"}
 
 
+def test_sample_of_languages_leaves_none_out(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 7, "rare").when(F.col("id") % 3 == 0, "b").otherwise("a").alias("lang"))
+    n = {r.lang: r["count"] for r in langid.sample(rows, "lang", "doc_id", 3000, 100).groupBy("lang").count().collect()}
+    assert n["rare"] == 30 and 850 < n["b"] < 1150 and 1800 < n["a"] < 2200
+    assert langid.sample(rows.limit(0), "lang", "doc_id").count() == 0
+
+
 def test_hold_out_rule(spark):
     df = spark.range(50).select(C.held_out(F.col("id"), 3, 1).alias("h"), "id")
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in df.collect())
