@@ -105,10 +105,13 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, size: str, hot: int |
     """
     hot = hot or HOT
     slices = F.greatest(F.lit(1), F.ceil(F.col(size) / hot).cast("int"))
-    big = F.broadcast(one.filter(F.col(size) > hot).select(F.col(key).alias("_hot"), slices.alias("_slices")))
-    dealt = many.join(big, F.col(key) == F.col("_hot"), "left").withColumn("_slice", F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_slices")).cast("int"), F.lit(0))).drop("_hot", "_slices")
-    copies = one.withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-    return dealt.join(copies, [key, "_slice"]).drop("_slice", size)
+    slices_, hot_ = fresh(many, "_slices"), fresh(many, "_hot")
+    big = F.broadcast(one.filter(F.col(size) > hot).select(F.col(key).alias(hot_), slices.alias(slices_)))
+    at = fresh(many, "_slice")
+    mine = F.when(F.col(slices_).isNotNull(), F.pmod(F.xxhash64(*columns(many)), F.col(slices_)).cast("int")).otherwise(0)
+    dealt = many.join(big, F.col(key) == F.col(hot_), "left").withColumn(at, mine).drop(hot_, slices_)
+    copies = one.withColumn(at, F.explode(F.sequence(F.lit(0), slices - 1)))
+    return dealt.join(copies, [key, at]).drop(at, size)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,50 +7,42 @@ per source so that expected words meet the target. The whole part of lambda is
 certain; the rest is an inclusion probability p, and documents are ranked by
 random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), with u a hash
 of the row. Documents are taken in rank order until the source's words are met.
+Importance is rounded to quarters of an octave, and 2**-10 at least, so that a
+source's c follows from its words at each level.
 
-The rank at which a source is full is found by counting words below candidate
-ranks over all partitions, refined 16-fold a round, so no source is gathered
-anywhere; the last ``TAIL`` or fewer documents around it are settled one by
-one, those that still fit being taken, which brings each source as near to its
-target as these allow.
+Sources are a table throughout, however many there are: nothing is collected
+but totals over all of them. The rank at which a source is full is found by
+counting words in 4,096 ranges of ranks, then in 4,096 parts of the range in
+which it is reached, and so on; the last ``TAIL`` or fewer ranks around it are
+settled one by one, those that still fit being taken, which brings each source
+as near to its target as these allow. Up to ``MANY`` sources are broadcast;
+more are joined, hot ones dealt over several partitions.
 
 Defined cases: null text has no words; documents without words are taken in no
 copy beyond the certain ones; equal rows (same doc_id and text) share a rank;
-a source without words has target 0; an empty table gives an empty result;
-more than ``MAX_SOURCES`` sources are refused. Other columns stay.
+a source without words has target 0; an empty table gives an empty result.
+Other columns stay.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexeum.llm import common as C
 
-WEIGHTS, CAP, TAIL, MAX_SOURCES = (5.0, 2.0, 1.0), 3, 256, 100_000
-_BITS = 52
+WEIGHTS, CAP, TAIL, MANY = (5.0, 2.0, 1.0), 3, 256, 100_000
+_BITS, _STEP = 52, 12
 
 
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights=WEIGHTS, cap: int = CAP) -> list[float]:
-    """Shares of the total by weight (repeating), none above ``cap`` times its size."""
-    w = [float(weights[i % len(weights)]) for i in range(len(sizes))]
-    out, free, left = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
-    while free:
-        total = sum(w[i] for i in free)
-        over = [i for i in free if left * w[i] / total > cap * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = left * w[i] / total
-            break
-        for i in over:
-            out[i] = float(cap * sizes[i])
-        left -= sum(out[i] for i in over)
-        free = [i for i in free if i not in set(over)]
-    return out
+def by_length(text: str, full: int = 512) -> Column:
+    """An importance that grows with the text: the root of its share of ``full`` bytes, 1 from there on."""
+    return F.sqrt(F.least(F.coalesce(F.octet_length(text), F.lit(0)), F.lit(full)) / full)
 
 
 def settle(rows: list[tuple[int, int]], gap: float) -> list[int]:
@@ -69,101 +61,126 @@ def settle(rows: list[tuple[int, int]], gap: float) -> list[int]:
     return took
 
 
+def _settled(tails: pa.Array, gap: pa.Array) -> pa.Array:
+    """:func:`settle` of each source's last ranks."""
+    return pa.array([settle(sorted((r["z"], r["s"]) for r in t), g) for t, g in zip(tails.to_pylist(), gap.to_pylist(), strict=True)], pa.list_(pa.int64()))
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, n: str, sources: int) -> DataFrame:
+    """``rows`` joined to one row a source. ``facts`` is broadcast if there are ``MANY`` sources at most."""
+    return rows.join(F.broadcast(facts.drop(n)), key) if sources <= MANY else C.spread_join(rows, facts, key, n)
+
+
+def with_targets(sources: DataFrame, weights, cap: int) -> DataFrame:
+    """``sources`` (source, s) with ``goal``: shares of all words by the weights, repeating in order of name, none above ``cap`` times its words. Stored."""
+    ordered = C.stored(sources.orderBy(F.asc_nulls_last("source")).withColumn("_part", F.spark_partition_id()), "ordered")
+    at, before = 0, []
+    for r in sorted(ordered.groupBy("_part").count().collect()):  # one row a partition
+        before.append((r[0], at))
+        at += r[1]
+    offset = F.broadcast(ordered.sparkSession.createDataFrame(before, "_part int, _before long"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(F.asc_nulls_last("source"))) - 1
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank % len(weights) + 1).cast("int"))
+    out = C.stored(ordered.join(offset, "_part").withColumn("weight", weight).drop("_part", "_before"), "sources")
+    C.forget(ordered)
+    total, level, capped = float(out.agg(F.sum("s")).first()[0] or 0), 0.0, -1
+    while True:  # words for one unit of weight: rises as full sources leave theirs to others
+        over = F.col("weight") * level > F.col("s") * cap
+        r = out.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("s") * cap)).alias("full"), F.sum(F.when(~over, F.col("weight"))).alias("open")).first()
+        if r.n == capped or not r.open:
+            break
+        capped, level = r.n, (total - float(r.full or 0)) / r.open
+    return out.withColumn("goal", F.least(F.col("weight") * level, (F.col("s") * cap).cast("double"))).drop("weight")
+
+
 def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, text: str = "text", doc_id: str = "doc_id", source: str = "source", importance: Column | None = None, seed: int = 17) -> DataFrame:
     """``docs`` with size, source_size, target and copies (how often the mix takes the document)."""
-    spark = docs.sparkSession
-    size, total, goal, copies, cu, cw = (C.fresh(docs, x) for x in ("size", "source_size", "target", "copies", "_u", "_w"))
-    k, c, lam_, whole, p_, z_, s_, t_, z0, more = (C.fresh(docs, x) for x in ("_k", "_c", "_lam", "_whole", "_p", "_z", "_s", "_t", "_z0", "_more"))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text)), F.lit(1 << _BITS)).alias("u")
-    imp = F.lit(1.0) if importance is None else F.greatest(importance.cast("double"), F.lit(1e-9))
-    keyed = docs.withColumn(size, word_count(text)).withColumn(cu, u).withColumn(cw, imp)
-    rows = C.stored(keyed.select(F.col(source).alias("source"), F.col(size).alias("size"), F.col(cu).alias("u"), F.col(cw).alias("w")), "sizes")
-    per = rows.groupBy("source").agg(F.sum("size").alias("s"), F.sum(F.col("size") * F.col("w")).alias("ws")).limit(MAX_SOURCES + 1).collect()
-    if len(per) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    per.sort(key=lambda r: (r.source is None, r.source or ""))
-    goals = targets([int(r.s) for r in per], weights, cap)
-    scale = {r.source: (g / r.ws if r.ws else 0.0) for r, g in zip(per, goals, strict=True)}
-    if importance is not None:  # documents at the cap leave the others more
-        for _ in range(50):
-            at = _broadcast(spark, list(scale.items()), f"`{k}` string, `{c}` double")
-            lam = F.col("w") * F.col(c)
-            now = rows.join(at, F.col("source").eqNullSafe(F.col(k))).groupBy("source").agg(F.sum(F.when(lam >= cap, F.col("size") * cap).otherwise(0)).alias("full"), F.sum(F.when(lam < cap, F.col("size") * F.col("w")).otherwise(0.0)).alias("open")).collect()
-            goal_of = {r.source: g for r, g in zip(per, goals, strict=True)}
-            nxt = {r.source: ((goal_of[r.source] - r.full) / r.open if r.open else scale[r.source]) for r in now}
-            done = all(abs(nxt[x] - scale[x]) <= 1e-9 * max(1.0, scale[x]) for x in nxt)
-            scale |= nxt
-            if done:
-                break
-
-    base = _broadcast(spark, [(r.source, scale[r.source]) for r in per], f"`{k}` string, `{c}` double")
-
-    def ranked(df: DataFrame, src: str, u_: str, w_: str) -> DataFrame:
-        """With the certain copies ``_whole`` and the rank ``_z``."""
-        df = df.join(base, F.col(src).eqNullSafe(F.col(k))).withColumn(lam_, F.least(F.lit(float(cap)), F.col(w_) * F.col(c)))
-        df = df.withColumn(whole, F.floor(lam_).cast("long")).withColumn(p_, F.col(lam_) - F.col(whole))
+    size, total, goal, copies = (C.fresh(docs, x) for x in ("size", "source_size", "target", "copies"))
+    key, cu, cw, whole, p_, z_ = (C.fresh(docs, x) for x in ("_k", "_u", "_w", "_whole", "_p", "_z"))
+    facts_ = {x: C.fresh(docs, f"_{x}") for x in ("s", "goal", "c", "z0", "more", "n", "slice")}
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text)), F.lit(1 << _BITS))
+    level = F.lit(1.0) if importance is None else F.pow(F.lit(2.0), F.round(4 * F.log2(F.greatest(F.coalesce(importance.cast("double"), F.lit(0.0)), F.lit(2.0**-10)))) / 4)
+    name = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit(""))
+    keyed = docs.withColumn(size, word_count(text)).withColumn(cu, u).withColumn(cw, level).withColumn(key, name)
+    rows = C.stored(keyed.select(F.col(key).alias("k"), F.col(source).alias("source"), F.col(size).alias("size"), F.col(cu).alias("u"), F.col(cw).alias("w")), "sizes")
+    levels = C.stored(rows.groupBy("k", "w").agg(F.first("source").alias("source"), F.sum("size").alias("s"), F.count("*").alias("n")), "levels")
+    sources = with_targets(levels.groupBy("k").agg(F.first("source").alias("source"), F.sum("s").alias("s"), F.sum("n").alias("n")), weights, cap)
+    n_sources = sources.count()
+    sources = C.stored(sources.join(_scales(levels, sources, cap), "k", "left").withColumn("c", F.coalesce("c", F.lit(0.0))), "scales")
+
+    def ranked(df: DataFrame, w: str, u_: str, c: str) -> DataFrame:
+        """With the certain copies ``_whole``, the rest ``_p`` and the rank ``_z``."""
+        lam = F.least(F.lit(float(cap)), F.col(w) * F.col(c))
+        df = df.withColumn(whole, F.floor(lam + 1e-9).cast("long")).withColumn(p_, F.greatest(lam - F.col(whole), F.lit(0.0)))
+        df = df.withColumn(p_, F.when(F.col(p_) < 1e-9, 0.0).otherwise(F.col(p_)))
         x = (F.col(u_).cast("double") + 0.5) / float(1 << _BITS)
         odds = x / (1.0 - x) * (1.0 - F.col(p_)) / F.greatest(F.col(p_), F.lit(1e-12))
-        z = F.least(F.floor(odds / (1.0 + odds) * float(1 << _BITS)).cast("long"), F.lit((1 << _BITS) - 1))
-        return df.withColumn(z_, z).drop(k, c, lam_)
-
-    part = C.stored(ranked(rows, "source", "u", "w").select("source", "size", F.col(z_).alias("z"), F.col(whole).alias("whole"), F.col(p_).alias("p")), "ranks")
-    certain = {r.source: int(r.s) for r in part.groupBy("source").agg(F.sum(F.col("size") * F.col("whole")).alias("s")).collect()}
-    gap = {r.source: max(0.0, g - certain[r.source]) for r, g in zip(per, goals, strict=True)}
-    open_rows = part.filter("p > 0 and size > 0").select("source", "size", "z")
-    limit, extra = _full_ranks(spark, open_rows, gap)
-    facts = _broadcast(spark, [(r.source, int(r.s), g, limit.get(r.source, 0), extra.get(r.source, [])) for r, g in zip(per, goals, strict=True)], f"`{k}` string, `{s_}` long, `{t_}` double, `{z0}` long, `{more}` array<long>")
-    out = ranked(keyed, source, cu, cw).join(facts, F.col(source).eqNullSafe(F.col(k)))
-    taken = F.col(whole) + ((F.col(p_) > 0) & (F.col(size) > 0) & ((F.col(z_) < F.col(z0)) | F.array_contains(more, F.col(z_)))).cast("long")
-    return out.select(*docs.columns, size, F.col(s_).alias(total), F.col(t_).alias(goal), taken.alias(copies))
-
-
-def _broadcast(spark, rows, schema: str) -> DataFrame:
-    """One row for each source: at most MAX_SOURCES."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
-
-
-def _full_ranks(spark, rows: DataFrame, gap: dict) -> tuple[dict, dict]:
-    """For each source: the rank below which all are taken, and single ranks above it."""
-    limit = {k: 0 for k in gap}
-    extra: dict = {}
-    shift, spans = _BITS, {k: (0, g) for k, g in gap.items() if g > 0}  # first rank, words still wanted from there
-    while spans:
-        at = _broadcast(spark, [(k, a, float(g)) for k, (a, g) in spans.items()], "_k string, _a long, _g double")
-        mine = rows.join(at, F.col("source").eqNullSafe(F.col("_k")) & (F.shiftright("z", shift) == F.shiftright("_a", shift)))
-        size = {r._k: r.n for r in mine.groupBy("_k").count().withColumnRenamed("count", "n").collect()}
-        ends = [k for k in spans if size.get(k, 0) <= TAIL or shift == 0]
-        if ends:
-            keep = _broadcast(spark, [(k,) for k in ends], "_e string")
-            tail: dict = {k: [] for k in ends}
-            # at most TAIL ranks a source: equal rows count as one rank of their joint size
-            for r in mine.join(keep, F.col("_k").eqNullSafe(F.col("_e"))).groupBy("_k", "z").agg(F.sum("size").alias("s")).collect():
-                tail[r._k].append((r.z, int(r.s)))
-            for k, v in tail.items():
-                limit[k] = spans[k][0]
-                extra[k] = settle(sorted(v), spans[k][1])
-        rest = {k: v for k, v in spans.items() if k not in set(ends)}
-        if not rest:
-            break
-        step = max(0, shift - 4)
-        wide = mine.groupBy("_k", "_g", F.shiftright("z", step).alias("b")).agg(F.sum("size").alias("s"))
-        w = Window.partitionBy("_k").orderBy("b")
-        run = wide.withColumn("upto", F.sum("s").over(w))
-        cross = run.filter("upto > _g").groupBy("_k").agg(F.min(F.struct("b", "upto", "s")).alias("x"))
-        found = {r._k: r.x for r in cross.collect()}
-        spans = {}
-        for k, (a, g) in rest.items():
-            if k in found:
-                x = found[k]
-                spans[k] = (x.b << step, g - (x.upto - x.s))
-            else:  # all of the span fits
-                limit[k] = a + (1 << shift)
+        return df.withColumn(z_, F.least(F.floor(odds / (1.0 + odds) * float(1 << _BITS)).cast("long"), F.lit((1 << _BITS) - 1)))
+
+    part = ranked(with_facts(rows.drop("source"), sources.select("k", "c", "n"), "k", "n", n_sources), "w", "u", "c")
+    part = C.stored(part.select("k", "size", F.col(z_).alias("z"), F.col(whole).alias("whole"), F.col(p_).alias("p")), "ranks")
+    certain = part.groupBy("k").agg(F.sum(F.col("size") * F.col("whole")).alias("certain"))
+    gaps = sources.join(certain, "k").select("k", F.greatest(F.col("goal") - F.col("certain"), F.lit(0.0)).alias("gap"), "n")
+    ends = full_ranks(part.filter("p > 0 and size > 0").select("k", "size", "z"), gaps, n_sources)
+    f = facts_
+    facts = C.stored(sources.join(ends, "k", "left").select(F.col("k").alias(key), *(F.col(x).alias(f[x]) for x in ("s", "goal", "c", "n")), F.coalesce("z0", F.lit(0)).alias(f["z0"]), F.coalesce("more", F.array().cast("array<long>")).alias(f["more"])), "facts")
+    C.forget(rows, levels, part)
+    out = ranked(with_facts(keyed, facts, key, f["n"], n_sources), cw, cu, f["c"])
+    taken = F.col(whole) + ((F.col(p_) > 0) & (F.col(size) > 0) & ((F.col(z_) < F.col(f["z0"])) | F.array_contains(F.col(f["more"]), F.col(z_)))).cast("long")
+    return out.select(*C.columns(docs), size, F.col(f["s"]).alias(total), F.col(f["goal"]).alias(goal), taken.alias(copies))
+
+
+def _scales(levels: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
+    """(k, c): expected copies min(cap, c * w) make each source's goal; the levels of highest importance reach the cap first."""
+    down = Window.partitionBy("k").orderBy(F.desc("w")).rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.partitionBy("k")
+    at = levels.filter("s > 0").select("k", "w", "s").join(sources.select("k", "goal"), "k")
+    ws = F.col("w") * F.col("s")
+    at = at.withColumn("full", F.coalesce(F.sum("s").over(down), F.lit(0)) * cap).withColumn("open", F.sum(ws).over(all_) - F.coalesce(F.sum(ws).over(down), F.lit(0.0)))
+    at = at.withColumn("c", (F.col("goal") - F.col("full")) / F.greatest(F.col("open"), ws)).filter(F.col("c") * F.col("w") <= cap * (1 + 1e-9))
+    return at.groupBy("k").agg(F.max_by("c", "w").alias("c"))
+
+
+def full_ranks(rows: DataFrame, gaps: DataFrame, sources: int) -> DataFrame:
+    """(k, z0, more): of each source with a gap, the rank below which all are taken, and single ranks above it. Stored.
+
+    ``rows``: k, size, z. A source's window is over its 4,096 ranges.
+    """
+    now = gaps.filter("gap > 0")
+    shift, done, kept = _BITS, [], []
+    while True:
+        step = max(0, shift - _STEP)
+        joined = with_facts(rows, now, "k", "n", sources) if not done else rows
+        bins = joined.groupBy("k", F.shiftright("z", step).alias("b")).agg(F.first("gap").alias("gap"), F.sum("size").alias("s"), F.count("*").alias("n"))
+        run = bins.withColumn("upto", F.sum("s").over(Window.partitionBy("k").orderBy("b")))
+        # the range in which the gap is reached; none where all fit
+        full = C.stored(run.groupBy("k").agg(F.first("gap").alias("gap"), F.min(F.when(F.col("upto") > F.col("gap"), F.struct("b", "upto", "s", "n"))).alias("x")), "full")
+        left = F.col("gap") - (F.col("x.upto") - F.col("x.s"))
+        fits = full.filter("x IS NULL").select("k", F.lit(1 << _BITS).alias("z0"), F.array().cast("array<long>").alias("more"))
+        cross = full.filter("x IS NOT NULL").select("k", F.col("x.b").alias("b"), left.alias("gap"), F.col("x.n").alias("n"))
+        here = joined.drop("gap", "n").withColumn("b", F.shiftright("z", step))
+        here = here.join(F.broadcast(cross) if sources <= MANY else cross, ["k", "b"])
+        inside = C.stored(here.select("k", "z", "size", "gap", "n", "b"), "inside")
+        last = F.lit(True) if step == 0 else F.col("n") <= TAIL
+        each = inside.filter(last).groupBy("k", "z").agg(F.sum("size").alias("s"), F.first("gap").alias("gap"), F.first("b").alias("b"))
+        tails = each.groupBy("k").agg(F.collect_list(F.struct("z", "s")).alias("t"), F.first("gap").alias("gap"), F.first("b").alias("b"))
+        ends = tails.select("k", F.shiftleft("b", step).alias("z0"), F.arrow_udf(_settled, "array<bigint>").asNondeterministic()("t", "gap").alias("more"))
+        done.append(C.stored(fits.union(ends), "ends"))
+        kept += [full, inside]
+        rows = inside.filter(~last).select("k", "z", "size", "gap")
         shift = step
-    return limit, extra
+        if shift == 0 or rows.isEmpty():
+            break
+    out = done[0]
+    for d in done[1:]:
+        out = out.union(d)
+    out = C.stored(out, "ends")
+    C.forget(*kept, *done)
+    return out
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it has copies. Columns stay as they are."""
     out = mixed(docs, **options)
     copies = out.columns[-1]
-    return out.filter(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
+    return out.filter(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*C.columns(docs))

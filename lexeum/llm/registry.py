@@ -52,7 +52,7 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mixed(_documents(spark, sf_dir).select("doc_id", "text", "source"))
+    mixed = mixing.mixed(_documents(spark, sf_dir).select("doc_id", "text", "source"), importance=mixing.by_length("text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

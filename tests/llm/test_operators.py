@@ -180,31 +180,84 @@ def test_capacities_fill_level():
 # ------------------------------------------------------------------ mixing
 
 
-def test_targets_stop_at_the_cap():
-    t = mixing.targets([100, 100, 1000], (5, 2, 1), 3)
-    assert t[0] == 300 and t[1] == 300 and sum(t) == pytest.approx(1200)
-    assert mixing.targets([], (5,), 3) == []
-    assert mixing.targets([0, 10], (5, 1), 3) == [0.0, 10.0]
+def targets(sizes, weights=(5.0, 2.0, 1.0), cap=3):
+    """Shares of the total by weight (repeating), none above ``cap`` times its size, in plain Python."""
+    w = [float(weights[i % len(weights)]) for i in range(len(sizes))]
+    out, free, left = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
+    while free:
+        total = sum(w[i] for i in free)
+        over = [i for i in free if left * w[i] / total > cap * sizes[i]]
+        if not over:
+            for i in free:
+                out[i] = left * w[i] / total
+            break
+        for i in over:
+            out[i] = float(cap * sizes[i])
+        left -= sum(out[i] for i in over)
+        free = [i for i in free if i not in set(over)]
+    return out
 
 
-def test_mix_meets_targets_and_reruns_agree(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "TAIL", 8)
+def brute_mix(spark, df, cap=3):
+    """Copies of each document by sorting every source's documents by rank, from the hashes Spark gives."""
+    u = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id").cast("string"), "text"), F.lit(1 << 52))
+    rows = [(r.doc_id, r.source, r.u, len(re.findall("[^\x20\x09-\x0D]+", r.text or "")), len((r.text or "").encode())) for r in df.select("doc_id", "source", "text", u.alias("u")).collect()]
+    names = sorted({r[1] for r in rows if r[1] is not None}) + [None] * any(r[1] is None for r in rows)
+    goals = targets([sum(r[3] for r in rows if r[1] == k) for k in names])
+    out = {}
+    for k, goal in zip(names, goals, strict=True):
+        mine = [(i, u, n, 2.0 ** (round(4 * math.log2(max(math.sqrt(min(b, 512) / 512), 2**-10))) / 4)) for i, s, u, n, b in rows if s == k]
+        lo, hi = 0.0, 1e9
+        for _ in range(200):  # the scale by bisection
+            c = (lo + hi) / 2
+            lo, hi = (c, hi) if sum(min(cap, c * w) * n for *_, n, w in mine) < goal else (lo, c)
+        c, ranked, gap = hi, [], goal
+        for i, u, n, w in mine:
+            lam = min(cap, c * w)
+            whole = int(lam + 1e-9)
+            p = max(0.0, lam - whole)
+            out[i] = whole
+            gap -= whole * n
+            if p >= 1e-9 and n:
+                x = (u + 0.5) / 2**52
+                odds = x / (1 - x) * (1 - p) / p
+                ranked.append((odds / (1 + odds), i, n))
+        out |= {i: out[i] for i in out}
+        spent, ranked = 0, sorted(ranked)
+        for _, i, n in ranked:  # those certain to be taken before any is passed over
+            if spent + n > gap:
+                break
+            out[i] += 1
+            spent += n
+    return out, dict(zip(names, goals, strict=True))
+
+
+def mix_texts():
     rng = np.random.default_rng(8)
     n = 900
     texts = [" ".join(["w"] * int(rng.integers(0, 60))) if i % 50 else None for i in range(n)]
-    source = [("big" if i % 3 else ["a", "b", None, "é"][i % 4]) for i in range(n)]
-    df = frame(spark, texts, source=source, target=["kept"] * n, _k=["k"] * n, _z=["z"] * n)
+    return texts, [("big" if i % 3 else ["a", "b", None, "é"][i % 4]) for i in range(n)]
+
+
+@pytest.mark.parametrize("tail,many,hot", [(8, 100_000, 50_000), (256, 0, 40)])
+def test_mix_meets_targets_and_reruns_agree(spark, monkeypatch, tail, many, hot):
+    monkeypatch.setattr(mixing, "TAIL", tail)
+    monkeypatch.setattr(mixing, "MANY", many)
+    monkeypatch.setattr(C, "HOT", hot)
+    texts, source = mix_texts()
+    n = len(texts)
+    df = frame(spark, texts, source=source, target=["kept"] * n, _k=["k"] * n, _z=["z"] * n, _slice=["x"] * n, _c=["c"] * n)
     one = {r.doc_id: r for r in mixing.mixed(df).collect()}
     two = {r.doc_id: r for r in mixing.mixed(df.repartition(7)).collect()}
     assert len(one) == n and {k: r.copies for k, r in one.items()} == {k: r.copies for k, r in two.items()}
     by = {}
     for r in one.values():
-        assert 0 <= r.copies <= 3 and r.target == "kept"
+        assert 0 <= r.copies <= 3 and r.target == "kept" and r._slice == "x"
         g = by.setdefault(r.source, [0, r.target_, r.source_size, 0])
         g[0] += r.copies * r.size
         g[3] += r.size
     names = sorted((k for k in by if k is not None)) + [None]
-    want = mixing.targets([by[k][3] for k in names])
+    want = targets([by[k][3] for k in names])
     for k, t in zip(names, want, strict=True):
         assert by[k][1] == pytest.approx(t) and by[k][2] == by[k][3]
         assert abs(by[k][0] - t) <= max(5, 0.01 * t), k
@@ -213,6 +266,24 @@ def test_mix_meets_targets_and_reruns_agree(spark, monkeypatch):
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+def test_mix_against_sorting_all_documents(spark):
+    texts, source = mix_texts()
+    df = frame(spark, texts, source=source)
+    want, goals = brute_mix(spark, df)
+    rows = mixing.mixed(df, importance=mixing.by_length("text")).collect()
+    assert {r.source: r.target for r in rows} == {k: pytest.approx(v) for k, v in goals.items()}
+    # the last ranks are settled one by one: only a few documents around each source's end may differ
+    odd = {k: [r.doc_id for r in rows if r.source == k and r.copies != want[r.doc_id]] for k in goals}
+    assert all(len(v) <= mixing.TAIL for v in odd.values())
+    for k, goal in goals.items():
+        short = goal - sum(r.size * want[r.doc_id] for r in rows if r.source == k)
+        took = sum(r.size * (r.copies - want[r.doc_id]) for r in rows if r.source == k)
+        assert -1e-6 <= short and all(r.copies >= want[r.doc_id] for r in rows if r.source == k) and abs(goal - sum(r.size * r.copies for r in rows if r.source == k)) <= max(3, abs(short)), (k, short, took)
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.format_string("s%05d", F.col("id") % 1000).alias("source"))
+    got = {r.source: r.target for r in mixing.mixed(many).collect()}
+    assert [got[k] for k in sorted(got)] == [pytest.approx(t) for t in targets([9] * 1000)]
+
+
 def test_mix_by_importance(spark):
     texts = ["w " * 30] * 400
     df = frame(spark, texts, source=["a"] * 200 + ["b"] * 200)
