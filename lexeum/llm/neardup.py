@@ -28,7 +28,7 @@ buckets, on the nodes of a star and on the documents of a pair deal hot keys
 over several partitions (:func:`common.spread_join`).
 
 Defined cases: null or blank text has an empty set and is linked with nothing;
-rows that repeat a doc_id belong to one document's class; an empty table gives
+rows that repeat a doc_id are one document, linked by any of its texts; an empty table gives
 an empty result; other columns are kept by :func:`drop_near_duplicates` and
 ignored by :func:`near_duplicates`. ``doc_id`` is an integer.
 """
@@ -335,18 +335,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         C.forget(links)
     C.forget(members, sets)
     label = classes.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("component_id"))
-    return s.select("doc_id", "n", "key").join(label, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = C.stored(s.select("doc_id", "n", "key").join(label, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "found")
+    C.forget(s, classes, comp)
+    # an id whose rows have several texts joins the classes of these
+    several = C.stored(found.groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("c")).filter("a <> c").select("doc_id", "a"), "several")
+    if several.isEmpty():
+        return found
+    top = C.stored(components(found.join(several, "doc_id").select("a", F.col("component_id").alias("b"))), "top")
+    return found.join(top.withColumnRenamed("node", "component_id"), "component_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "component_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold_percent: int = 75) -> DataFrame:
     """``docs`` with one document of each group: the one of the least doc_id. Columns stay as they are.
 
     Rows that repeat both doc_id and text count as copies: one of them stays.
-    A row without doc_id stays.
+    A row without doc_id stays. A document of several texts stays or goes with all of them.
     """
     found = C.stored(near_duplicates(docs, text, doc_id, threshold_percent), "groups")
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
     maybe, stay = C.split_by(docs, doc_id, C.bitmap(gone, doc_id))  # most texts stay where they are
-    out = stay.unionByName(maybe.join(gone, doc_id, "left_anti").select(*docs.columns))
+    out = stay.unionByName(maybe.join(gone, doc_id, "left_anti").select(*C.columns(docs)))
     repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
     return out if repeated.isEmpty() else out.dropDuplicates([doc_id, text])

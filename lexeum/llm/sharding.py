@@ -118,4 +118,4 @@ def sharded(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str =
     inside = Window.partitionBy(at_, bin_, sub).orderBy(key, doc_id)
     out = placed(keyed, key, F.xxhash64(F.col(doc_id).cast("string"))).withColumn(row, F.row_number().over(inside))
     out = out.join(first, [at_, bin_, sub])
-    return out.select(*docs.columns, F.col(at_).alias(shard), (F.col(first_) + F.col(row) - 1).alias(slot))
+    return out.select(*C.columns(docs), F.col(at_).alias(shard), (F.col(first_) + F.col(row) - 1).alias(slot))

@@ -104,6 +104,14 @@ def test_empty_and_repeated_rows(spark):
     assert N.drop_near_duplicates(twice).count() == 2
 
 
+def test_ids_of_several_texts_join_their_classes(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, a), (10, a), (10, b), (20, b), (30, c), (30, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r[0], r[2]) for r in N.near_duplicates(df).collect()) == [(3, 3), (10, 3), (10, 3), (20, 3), (30, 30), (30, 30)]
+    assert sorted(map(tuple, N.drop_near_duplicates(df).collect())) == [(3, a), (30, c)]
+
+
 @pytest.mark.parametrize("size", [1, 3, 50, 5000])
 def test_sketch_fills_and_estimates(size):
     rng = np.random.default_rng(size)
