@@ -27,7 +27,9 @@ are marked in the documents that hold it, those of a kind in all documents: a
 string of a secret's shape is marked where no name stands before it. All counts
 cover all documents, each document once. Pairs whose counts cannot reach
 ``GENERALISE`` are not even made: the ``PART`` most frequent terms and entities
-are known to the workers for that. Up to ``PART`` rules are broadcast; more
+are known to the workers for that, and the pairs of kinds are counted with the
+terms, so that different texts are counted only for those that can make a rule
+(all, if these are more than ``PART``). Up to ``PART`` rules are broadcast; more
 rules of values are joined to the entities of each text, and the terms to the
 texts that a bitmap asks for, and more rules of kinds are broadcast in parts.
 Either way a term that is to be removed for one entity and generalised for
@@ -202,27 +204,36 @@ def terms(text: str, spans) -> set[str]:
 
 
 def _tally(batches):
-    """Documents by entity (c, null, n) and by term (null, t, n)."""
+    """Documents by entity (c, null, n), by term (null, t, n), and by kind and term (c, t, n)."""
+    held: Counter = Counter()
     seen: Counter = Counter()
+    both: Counter = Counter()
 
     def out():
-        c, t = ([k if isinstance(k, kind) else None for k in seen] for kind in (int, str))
-        return pa.record_batch([pa.array(c, pa.int64()), pa.array(t, pa.string()), pa.array(list(seen.values()), pa.int64())], ["c", "t", "n"])
+        c = [*held, *[None] * len(seen), *(c for c, _ in both)]
+        t = [*[None] * len(held), *seen, *(t for _, t in both)]
+        n = [*held.values(), *seen.values(), *both.values()]
+        for x in (held, seen, both):
+            x.clear()
+        return pa.record_batch([pa.array(c, pa.int64()), pa.array(t, pa.string()), pa.array(n, pa.int64())], ["c", "t", "n"])
 
     for batch in batches:
         for x in batch.column(0).to_pylist():
             if x:
                 spans = known_spans(x)
-                seen.update(entities(x, spans))
-                seen.update(terms(x, spans))
-                if len(seen) > FLUSH:
+                have = terms(x, spans)
+                seen.update(have)
+                if spans:
+                    held.update(entities(x, spans))
+                    for k in {kind_entity(k) for _, _, k in spans}:
+                        both.update((k, t) for t in have)
+                if len(held) + len(seen) + len(both) > FLUSH:
                     yield out()
-                    seen.clear()
     yield out()
 
 
-def _met(batches, limits: dict[int, float], other: float, known: dict[str, int]):
-    """(entity, term, text) of each document, but for terms known to be too frequent for the entity."""
+def _met(batches, limits: dict[int, float], other: float, known: dict[str, int], likely: dict[int, set[str]] | None):
+    """(entity, term, text) of each document, but for terms known to be too frequent for the entity, and those not likely for a kind."""
     rows: list[tuple[int, str, int]] = []
 
     def out():
@@ -236,8 +247,12 @@ def _met(batches, limits: dict[int, float], other: float, known: dict[str, int])
             h = _digest(x)
             have = [(t, known.get(t, 0)) for t in terms(x, spans)]
             for c in entities(x, spans):
-                most = limits.get(c, other)
-                rows += [(c, t, h) for t, n in have if n <= most]
+                if likely is not None and 0 <= c < len(KINDS):
+                    mine = likely.get(c, ())
+                    rows += [(c, t, h) for t, _ in have if t in mine]
+                else:
+                    most = limits.get(c, other)
+                    rows += [(c, t, h) for t, n in have if n <= most]
                 if len(rows) > FLUSH:
                     yield out()
                     rows.clear()
@@ -265,8 +280,8 @@ def learn(docs: DataFrame, text: str = "text", chance: float = CHANCE, generalis
     spark = docs.sparkSession
     texts = docs.select(text)
     seen = C.stored(texts.mapInArrow(_tally, "c bigint, t string, n bigint").groupBy("c", "t").agg(F.sum("n").alias("n")), "seen")
-    own = seen.filter("c IS NOT NULL").select("c", F.col("n").alias("nc"))
-    freq = seen.filter("t IS NOT NULL").select("t", F.col("n").alias("nt"))
+    own = seen.filter("t IS NULL").select("c", F.col("n").alias("nc"))
+    freq = seen.filter("c IS NULL").select("t", F.col("n").alias("nt"))
     total = docs.count()
 
     def limit(nc: int) -> float:
@@ -276,17 +291,25 @@ def learn(docs: DataFrame, text: str = "text", chance: float = CHANCE, generalis
     often = own.filter("nc > 1").orderBy(F.desc("nc")).limit(PART).collect()
     other = limit(often[-1].nc if len(often) == PART else 1)
     known = {r.t: r.nt for r in freq.filter(F.col("nt") > other).orderBy(F.desc("nt")).limit(PART).collect()}
-    sent = spark.sparkContext.broadcast(({r.c: limit(r.nc) for r in often}, other, known))
+    n, nc, nt = F.col("n"), F.col("nc"), F.col("nt")
+    # the counts of a kind's pairs are known; only those that can make a rule are looked at again, for their different texts
+    enough = F.log(F.lit(chance / max(1, freq.count())))
+    pairs_ = seen.filter("c IS NOT NULL AND t IS NOT NULL").join(F.broadcast(own.filter(F.col("c").between(0, len(KINDS) - 1))), "c").join(freq, "t")
+    pairs_ = pairs_.filter((_share(n, nc, nt, total) >= generalise) & (_log_chance(n, n, nc, nt, total) <= enough)).select("c", "t").limit(PART + 1).collect()
+    likely: dict[int, set[str]] | None = {}
+    for r in pairs_:
+        likely.setdefault(r.c, set()).add(r.t)
+    likely = likely if len(pairs_) <= PART else None
+    sent = spark.sparkContext.broadcast(({r.c: limit(r.nc) for r in often}, other, known, likely))
 
     def pairs(batches):
         yield from _met(batches, *sent.value)
 
     met = texts.mapInArrow(pairs, "c bigint, t string, h bigint").groupBy("c", "t", "h").agg(F.count("*").alias("n"))
     near = met.groupBy("c", "t").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"))
-    n, nc, nt = F.col("n"), F.col("nc"), F.col("nt")
     rules = near.join(freq, "t").join(own, "c").withColumn("disclosure", _share(n, nc, nt, total)).filter(F.col("disclosure") >= generalise)
-    most = F.when(F.col("c").between(0, len(KINDS) - 1), chance / max(1, freq.count())).otherwise(chance)
-    rules = rules.filter(_log_chance(F.col("contexts"), n, nc, nt, total) <= F.log(most))
+    most = F.when(F.col("c").between(0, len(KINDS) - 1), enough).otherwise(F.log(F.lit(chance)))
+    rules = rules.filter(_log_chance(F.col("contexts"), n, nc, nt, total) <= most)
     out = C.stored(rules.select("c", "t", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action")), "rules")
     C.forget(seen)
     return out

@@ -467,7 +467,9 @@ def secret_texts():
     return texts
 
 
-def test_rules_against_brute_force(spark):
+@pytest.mark.parametrize("part", [pii.PART, 1])
+def test_rules_against_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(pii, "PART", part)
     texts = secret_texts()
     got = {(r.c, r.t): (r.disclosure, r.action) for r in pii.learn(frame(spark, texts)).collect()}
     assert got == brute_rules(texts)
