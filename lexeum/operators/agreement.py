@@ -8,8 +8,6 @@ are one more grouping key, so all groups are computed in one plan.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import comb
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,60 +38,89 @@ def check_one_vote_each(votes: DataFrame, item: str, rater: str) -> DataFrame:
     return marked.filter(F.when(F.col("_twice"), F.raise_error(F.lit("a rater voted twice on an item")).cast("boolean")).otherwise(True)).drop("_twice")
 
 
-def leave_one_out(votes: DataFrame, item: str, rater: str, label: str) -> DataFrame:
-    """(without, kappa): the agreement of the others, for each rater.
+def leave_one_out(votes: DataFrame, item: str, rater: str, label: str, by: Sequence[str] = (), whole: bool = False) -> DataFrame:
+    """(by..., without, kappa): the agreement of the others, for each rater; with ``whole`` also a row with a null rater, of all.
 
     An item's label counts without a rater are those of all less the rater's
-    own, so votes are not multiplied by raters: only the raters' own items are
-    corrected, and all other items enter as totals.
+    own, so votes are not multiplied by raters: each vote knows its item's
+    totals from one exchange, and a rater's own items are corrected.
     """
-    n_ij = votes.groupBy(item, label).agg(F.count("*").alias("n"))
-    per_item = n_ij.groupBy(item).agg(F.sum("n").alias("r"), F.sum(F.col("n") * F.col("n")).alias("sq"))
+    by = list(by)
+    v = votes.select(*by, F.col(item).alias("_i"), F.col(rater).alias("without"), F.col(label).alias("_l"))
+    item_w, label_w = Window.partitionBy(*by, "_i"), Window.partitionBy(*by, "_i", "_l")
+    v = v.withColumn("n", F.count("*").over(label_w)).withColumn("k", F.count("*").over(Window.partitionBy(*by, "_i", "_l", "without")))
+    v = v.withColumn("r", F.count("*").over(item_w)).withColumn("sq", F.sum("n").over(item_w)).withColumn("head", F.row_number().over(item_w.orderBy("without", "_l")) == 1)
     agree = lambda sq, r: F.try_divide(sq - r, r * (r - 1))
-    total = per_item.agg(F.sum(agree(F.col("sq"), F.col("r"))).alias("p_sum"), F.count_if(F.col("r") > 1).alias("p_n"))
-    own = votes.groupBy(rater, item, label).agg(F.count("*").alias("k")).join(n_ij, [item, label])
-    # by a rater and item: how the sum of squares and the votes shrink
-    own = own.groupBy(rater, item).agg(F.sum("k").alias("k"), F.sum(2 * F.col("n") * F.col("k") - F.col("k") * F.col("k")).alias("d")).join(per_item, item)
+    own = v.groupBy(*by, "without", "_i").agg(F.count("*").alias("k"), F.sum(2 * F.col("n") - F.col("k")).alias("d"), F.first("r").alias("r"), F.first("sq").alias("sq"), F.max("head").alias("head"))
     new_r, new_sq = F.col("r") - F.col("k"), F.col("sq") - F.col("d")
-    change = own.groupBy(rater).agg(F.sum(F.coalesce(agree(new_sq, new_r), F.lit(0.0)) - F.coalesce(agree(F.col("sq"), F.col("r")), F.lit(0.0))).alias("dp"), F.sum((F.col("r") > 1).cast("long") - (new_r > 1).cast("long")).alias("dn"))
-    totals = votes.groupBy(label).agg(F.count("*").alias("c"))
-    mine = votes.groupBy(rater, label).agg(F.count("*").alias("m")).join(F.broadcast(totals), label)  # one row a label
-    less = mine.groupBy(rater).agg(F.sum(2 * F.col("c") * F.col("m") - F.col("m") * F.col("m")).alias("dcc"), F.sum("m").alias("dt"))
-    whole = F.broadcast(total.crossJoin(totals.agg(F.sum(F.col("c") * F.col("c")).alias("cc"), F.sum("c").alias("t"))))  # one row
-    left = F.col("t") - F.col("dt")
-    p_e = F.try_divide((F.col("cc") - F.col("dcc")).cast("double"), left.cast("double") * left)
-    p_bar = F.try_divide(F.col("p_sum") + F.col("dp"), F.col("p_n") - F.col("dn"))
-    return change.join(less, rater).crossJoin(whole).select(F.col(rater).alias("without"), F.try_divide(p_bar - p_e, 1.0 - p_e).alias("kappa"))
+    before, after = F.coalesce(agree(F.col("sq"), F.col("r")), F.lit(0.0)), F.coalesce(agree(new_sq, new_r), F.lit(0.0))
+    mine = own.groupBy(*by, "without").agg(
+        F.sum(after - before).alias("dp"), F.sum((F.col("r") > 1).cast("long") - (new_r > 1).cast("long")).alias("dn"),
+        F.sum(F.when(F.col("head"), before)).alias("p"), F.count_if(F.col("head") & (F.col("r") > 1)).alias("pn"),
+    )
+    group = Window.partitionBy(*by, "_g")
+    mine = mine.withColumn("_g", F.lit(0)).select(*by, "_g", "without", "dp", "dn", F.sum("p").over(group).alias("p"), F.sum("pn").over(group).alias("pn"))
+    marks = votes.groupBy(*by, F.col(rater).alias("without"), F.col(label).alias("_l")).agg(F.count("*").alias("m")).withColumn("_g", F.lit(0))
+    marks = marks.withColumn("c", F.sum("m").over(Window.partitionBy(*by, "_g", "_l")))
+    less = marks.groupBy(*by, "_g", "without").agg(F.sum(2 * F.col("c") * F.col("m") - F.col("m") * F.col("m")).alias("dcc"), F.sum("m").alias("dt"), F.sum(F.col("c") * F.col("m")).alias("cc"))
+    less = less.select(*by, "without", "dcc", "dt", F.sum("cc").over(group).alias("cc"), F.sum("dt").over(group).alias("t"))
+    both = mine.drop("_g").join(less, [*by, "without"])
+
+    def kappa(p, n, cc, t) -> Column:
+        p_e = F.try_divide(cc.cast("double"), t.cast("double") * t)
+        return F.try_divide(F.try_divide(p, n) - p_e, 1.0 - p_e).alias("kappa")
+
+    c = F.col
+    if not whole:
+        return both.select(*by, "without", kappa(c("p") + c("dp"), c("pn") - c("dn"), c("cc") - c("dcc"), c("t") - c("dt")))
+    both = both.withColumn("_g", F.lit(0))  # a row a rater
+    first = F.row_number().over(group.orderBy("without")) == 1
+    rest = F.struct(c("without"), kappa(c("p") + c("dp"), c("pn") - c("dn"), c("cc") - c("dcc"), c("t") - c("dt")))
+    everyone = F.struct(F.lit(None).cast(both.schema["without"].dataType).alias("without"), kappa(c("p"), c("pn"), c("cc"), c("t")))
+    return both.withColumn("_f", first).select(*by, F.explode(F.when(c("_f"), F.array(rest, everyone)).otherwise(F.array(rest))).alias("_r")).select(*by, "_r.*")
 
 
 def expert_agreement(votes: DataFrame, item: str, rater: str, label: str, expert) -> DataFrame:
     """(rater, kappa, interpretation) of each rater with the expert on the items both voted on; the expert's own is 1."""
-    mine = votes.filter(F.col(rater) == expert).select(item, F.col(label).alias("_e"))
-    pairs = votes.filter(F.col(rater) != expert).join(mine, item)
+    said = F.collect_list(F.when(F.col(rater) == expert, F.col(label))).over(Window.partitionBy(item))
+    pairs = votes.select(item, rater, label, said.alias("_e")).filter(F.col(rater) != expert)
+    pairs = pairs.select(item, rater, label, F.explode("_e").alias("_e"))  # what the expert said of the item, if anything
     both = pairs.select(rater, item, F.explode(F.array(label, "_e")).alias(label))
     k = fleiss_kappa(both, item, label, [rater])
-    own = votes.filter(F.col(rater) == expert).select(rater).distinct().withColumn("kappa", F.lit(1.0))
+    own = votes.sparkSession.range(1).select(F.lit(expert).cast(votes.schema[rater].dataType).alias(rater), F.lit(1.0).alias("kappa"))
     return k.unionByName(own).withColumn("interpretation", kappa_bucket(F.col("kappa")))
 
 
 def prefix_groups(ranked: DataFrame, votes: DataFrame, item: str, rater: str, label: str, split: str | None = None, positive=None) -> DataFrame:
     """For each prefix of a ranking (rater, kappa descending): bounds, size, members, the prefix's own kappa, and with ``split`` its posts and share of ``positive``.
 
-    The ranking has one row a rater and is the small side of a range join.
+    A vote enters its item at its rater's rank and changes the item's agreement
+    there; kappa of all prefixes is a running sum of these changes, so votes are
+    not copied for the prefixes. The ranking has one row a rater.
     """
     w = Window.orderBy(F.desc("kappa"), rater)
     r = ranked.select(rater, "kappa", F.row_number().over(w).alias("rank"), F.lead("kappa").over(w).alias("next"), F.collect_list(rater).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("members"))
     bound = F.when(F.col("next").isNull(), F.format_string("x ≥ %.4f", "kappa")).otherwise(F.format_string("%.4f < x ≤ %.4f", "next", "kappa"))
     heads = r.select("rank", bound.alias("bound"), F.size("members").alias("n_raters"), "members")
-    rank_of = F.broadcast(r.select(F.col(rater), F.col("rank").alias("own")))
-    steps = F.broadcast(heads.select("rank"))
-    grown = votes.join(rank_of, rater).join(steps, F.col("own") <= F.col("rank"))
-    k = fleiss_kappa(grown, item, label, ["rank"]).withColumn("kappa", F.when(F.col("rank") == 1, 1.0).otherwise(F.col("kappa")))
-    out = heads.join(k, "rank", "left")
-    if split:
-        per = grown.groupBy("rank").agg(F.count("*").alias("posts_total"), *(c for s in ("train", "val", "test") for c in (F.count_if(F.col(split) == s).alias(f"posts_{s}"), F.try_divide(F.count_if((F.col(split) == s) & (F.col(label) == positive)) * 100.0, F.count_if(F.col(split) == s)).alias(f"share_{s}"))))
-        out = out.join(per, "rank", "left")
-    return out
+    v = votes.join(F.broadcast(r.select(rater, "rank")), rater)
+    at = Window.partitionBy(item).orderBy("rank", label)
+    v = v.withColumn("n", F.row_number().over(Window.partitionBy(item, label).orderBy("rank"))).withColumn("r", F.row_number().over(at))
+    v = v.withColumn("sq", F.sum(2 * F.col("n") - 1).over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    v = v.withColumn("s", F.coalesce(F.try_divide(F.col("sq") - F.col("r"), F.col("r") * (F.col("r") - 1)), F.lit(0.0)))
+    v = v.withColumn("ds", F.col("s") - F.coalesce(F.lag("s").over(at), F.lit(0.0)))
+    names = ("train", "val", "test") if split else ()
+    own = [x for s in names for x in (F.count_if(F.col(split) == s).alias(f"n_{s}"), F.count_if((F.col(split) == s) & (F.col(label) == positive)).alias(f"p_{s}"))]
+    per = v.groupBy("rank", label).agg(F.count("*").alias("m"), F.sum("ds").alias("ds"), F.count_if(F.col("r") == 2).alias("dn"), *own)
+    c = F.sum("m").over(Window.partitionBy(label).orderBy("rank"))
+    per = per.withColumn("dcc", c * c - (c - F.col("m")) * (c - F.col("m")))
+    sums = ["m", "ds", "dn", "dcc", *(f"{x}_{s}" for s in names for x in ("n", "p"))]
+    steps = per.groupBy("rank").agg(*(F.sum(x).alias(x) for x in sums))
+    run = steps.select("rank", *(F.sum(x).over(Window.orderBy("rank")).alias(x) for x in sums))  # a row a rater
+    p_e = F.col("dcc") / (F.col("m").cast("double") * F.col("m"))
+    kappa = F.when(F.col("rank") == 1, 1.0).otherwise(F.try_divide(F.try_divide("ds", "dn") - p_e, 1.0 - p_e))
+    posts = [sum((F.col(f"n_{s}") for s in names), F.lit(0)).alias("posts_total")] if split else []
+    posts += [x for s in names for x in (F.col(f"n_{s}").alias(f"posts_{s}"), F.try_divide(F.col(f"p_{s}") * 100.0, F.col(f"n_{s}")).alias(f"share_{s}"))]
+    return heads.join(run.select("rank", kappa.alias("kappa"), *posts), "rank", "left")
 
 
 def bucket_kappas(votes: DataFrame, ranked: DataFrame, item: str, rater: str, label: str, unions: dict[str, Sequence[str]] | None = None) -> DataFrame:
@@ -119,6 +146,13 @@ def _check_quorum(size: int, combinations: int | None) -> None:
         raise ValueError("at least two combinations are needed")
 
 
+def _choose(n: Column, k: int) -> Column:
+    out = F.lit(1.0)
+    for i in range(k):
+        out = out * (n - i) / (i + 1)
+    return F.when(n >= k, F.round(out)).otherwise(0.0)
+
+
 def quorum_majorities(votes: DataFrame, item: str, label: str, positive, size: int) -> DataFrame:
     """(item, groups, positive_groups): how many of all groups of ``size`` raters have a positive majority.
 
@@ -126,46 +160,67 @@ def quorum_majorities(votes: DataFrame, item: str, label: str, positive, size: i
     """
     _check_quorum(size, None)
     per = votes.groupBy(item).agg(F.count("*").alias("n"), F.count_if(F.col(label) == positive).alias("h"))
+    won = sum((_choose(F.col("h"), j) * _choose(F.col("n") - F.col("h"), size - j) for j in range(size // 2 + 1, size + 1)), F.lit(0.0))
+    return per.select(item, _choose(F.col("n"), size).cast("long").alias("groups"), won.cast("long").alias("positive_groups"))
+
 
-    def choose(n: Column, k: int) -> Column:
-        out = F.lit(1.0)
-        for i in range(k):
-            out = out * (n - i) / (i + 1)
-        return F.when(n >= k, F.round(out)).otherwise(0.0)
+#: More groups than this of one item are refused: beyond it doubles and longs no longer count exactly.
+MOST_GROUPS = 1 << 53
 
-    won = sum((choose(F.col("h"), j) * choose(F.col("n") - F.col("h"), size - j) for j in range(size // 2 + 1, size + 1)), F.lit(0.0))
-    return per.select(item, choose(F.col("n"), size).cast("long").alias("groups"), won.cast("long").alias("positive_groups"))
+
+def _unranked(rank: Column, n: Column, groups: Column, size: int) -> Column:
+    """The group of that rank among all groups of ``size`` of 0..n-1 in lexicographic order: one pass over the places.
+
+    ``b`` counts the groups that begin with the place looked at; it follows
+    from the one before by a multiplication and an exact division.
+    """
+    long = lambda x: x.cast("long")
+    div = lambda a, b: F.call_function("div", a, b)
+    start = F.struct(long(rank).alias("rank"), long(div(groups * size, F.greatest(n, F.lit(1)))).alias("b"), F.lit(size).cast("long").alias("need"), F.array().cast("array<int>").alias("c"))
+
+    def step(s: Column, i: Column) -> Column:
+        rest = long(n) - 1 - i  # places behind this one
+        take = (s["need"] > 0) & (s["rank"] < s["b"])
+        after = F.greatest(rest, F.lit(1).cast("long"))
+        taken = F.struct(s["rank"].alias("rank"), long(div(s["b"] * (s["need"] - 1), after)).alias("b"), (s["need"] - 1).alias("need"), F.concat(s["c"], F.array(i.cast("int"))).alias("c"))
+        left = F.struct((s["rank"] - F.when(s["need"] > 0, s["b"]).otherwise(F.lit(0).cast("long"))).alias("rank"), long(div(s["b"] * (rest - s["need"] + 1), after)).alias("b"), s["need"].alias("need"), s["c"].alias("c"))
+        return F.when(take, taken).otherwise(left)
+
+    return F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["c"])
 
 
 def quorums(votes: DataFrame, item: str, rater: str, label: str, size: int, combinations: int | None = None, seed: int = 42) -> DataFrame:
     """(group_id, item, label): the majority label of groups of ``size`` raters of each item, all or a seeded sample.
 
-    Raters of an item are numbered; all index sets of the largest item are
-    made once on the driver where their number is small, and joined by rank.
+    Groups are ranks 0..C(n, size)-1 in lexicographic order of an item's votes
+    and are made from their rank alone; a sample takes one rank from each of
+    ``combinations`` equal ranges, by a hash of seed and item, and numbers its
+    groups from 1 in that order (the original's random numbers cannot be had
+    outside Python). Ties of labels go to the first by name.
     """
     _check_quorum(size, combinations)
     own = votes.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(rater, label))).alias("v"))
-    grow = own.withColumn("c", F.array(F.array().cast("array<int>")))
-    for _ in range(size):
-        last = lambda c: F.coalesce(F.try_element_at(c, F.lit(-1)), F.lit(-1))
-        grow = grow.withColumn("c", F.flatten(F.transform("c", lambda c: F.transform(F.filter(F.sequence(F.lit(0), F.size("v") - 1), lambda i: i > last(c)), lambda i: F.concat(c, F.array(i))))))
-    rows = grow.select(item, "v", F.posexplode("c").alias("g", "c"))
-    if combinations is not None:
-        pick = F.row_number().over(Window.partitionBy(item).orderBy(F.xxhash64(F.lit(seed), F.col(item), F.col("g")), "g"))
-        rows = rows.withColumn("g", pick - 1).filter(F.col("g") < combinations)
-    said = F.transform("c", lambda i: F.element_at("v", i + 1)[label])
-    most = rows.select((F.col("g") + 1).alias("group_id"), item, F.explode(said).alias(label))
-    return most.groupBy("group_id", item).agg(F.mode(label, deterministic=True).alias(label))
+    own = own.withColumn("n", F.size("v")).filter(F.col("n") >= size).withColumn("all", _choose(F.col("n"), size))
+    groups = F.when(F.col("all") > float(MOST_GROUPS) / 64, F.raise_error(F.lit("an item has too many groups to count")).cast("long")).otherwise(F.col("all").cast("long"))
+    own = own.withColumn("all", groups)
+    if combinations is None:
+        rows = own.select(item, "v", "n", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("g")).withColumn("rank", F.col("g"))
+    else:
+        rows = own.withColumn("m", F.least(F.col("all"), F.lit(combinations).cast("long")))
+        rows = rows.select(item, "v", "n", "all", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("g"))
+        width, more = F.call_function("div", F.col("all"), F.col("m")), F.col("all") % F.col("m")
+        wide = width + (F.col("g") < more).cast("long")
+        rows = rows.withColumn("rank", F.col("g") * width + F.least(F.col("g"), more) + F.pmod(F.xxhash64(F.lit(seed), F.col(item), F.col("g")), wide))
+    picked = F.transform(_unranked(F.col("rank"), F.col("n"), F.col("all"), size), lambda i: F.get("v", i)[label])
+    said = rows.select((F.col("g") + 1).cast("int").alias("group_id"), item, picked.alias("said"))
+    votes_ = lambda x: F.size(F.filter("said", lambda y: y == x))
+    best = F.array_max(F.transform(F.array_distinct("said"), votes_))
+    return said.select("group_id", item, F.array_min(F.filter("said", lambda x: votes_(x) == best)).alias(label))
 
 
 def result_matrix(votes: DataFrame, item: str, rater: str, labels: Sequence[str], phase: str) -> DataFrame:
-    """(without, phase, label, kappa): all raters and each left out, for each phase and label; 'All' is nobody left out."""
-    out = None
-    for p in [r[0] for r in votes.select(phase).distinct().orderBy(phase).collect()]:  # a handful of phases
-        part = votes.filter(F.col(phase) == p)
-        for x in labels:
-            whole = fleiss_kappa(part, item, x).select(F.lit("All").alias("without"), "kappa")
-            rest = leave_one_out(part, item, rater, x).select(F.col("without").cast("string"), "kappa")
-            both = whole.unionByName(rest).select("without", F.lit(p).alias("phase"), F.lit(x).alias("label"), "kappa")
-            out = both if out is None else out.unionByName(both)
-    return out
+    """(without, phase, label, kappa): all raters and each left out, for each phase and label; 'All' is nobody left out. One plan for all of them."""
+    rows = votes.select(item, rater, F.col(phase).alias("phase"), F.explode(F.array(*(F.struct(F.lit(x).alias("label"), F.col(x).cast("string").alias("v")) for x in labels))).alias("x"))
+    rows = rows.select(item, rater, "phase", "x.label", "x.v")
+    out = leave_one_out(rows, item, rater, "v", ["phase", "label"], whole=True)
+    return out.select(F.coalesce(F.col("without").cast("string"), F.lit("All")).alias("without"), "phase", "label", "kappa")

@@ -30,29 +30,52 @@ def cleaned_text(c: Column, **options) -> Column:
     return F.array_join(clean_tokens(c, **options), " ")
 
 
-def term_frequency(df: DataFrame, tokens: str, doc: str, min_docs: int = 2) -> DataFrame:
-    """(word, count, docs) of words in at least ``min_docs`` documents. Counted in each document first."""
-    own = df.select(doc, F.explode(tokens).alias("word")).groupBy(doc, "word").agg(F.count("*").alias("n"))
-    return own.groupBy("word").agg(F.sum("n").alias("count"), F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+def raw_tokens(c: Column, lemmatise=None) -> Column:
+    """All tokens in small letters, empty ones among them: filtered by :func:`counted` once they are rows."""
+    text = T.letters_only(c)
+    return F.split(F.lower(lemmatise(text) if lemmatise else text), " ")
+
+
+def counted(word: Column, stop_words: Iterable[str] = ()) -> Column:
+    """Is the word one that :func:`clean_tokens` keeps?"""
+    return (F.length(word) > 2) & ~word.isin(*sorted({w.lower() for w in stop_words} | set(KEYWORDS)))
+
+
+def word_counts(df: DataFrame, tokens: str, by: Iterable[str] = (), keep=None) -> DataFrame:
+    """(by..., word, count, docs): occurrences and documents (rows of ``df``) of each word; ``keep`` is a condition on the word.
+
+    A row's tokens are sorted, so that a word's first place in its row is seen
+    from the token before, and both counts come from one partial aggregation.
+    """
+    by = list(by)
+    rows = df.select(*by, F.sort_array(tokens).alias("_t")).select(*by, "_t", F.posexplode("_t").alias("_p", "word"))
+    rows = rows.filter(keep(F.col("word"))) if keep else rows
+    first = (F.col("_p") == 0) | (F.get("_t", F.col("_p") - 1) != F.col("word"))
+    return rows.groupBy(*by, "word").agg(F.count("*").alias("count"), F.count_if(first).alias("docs"))
+
+
+def term_frequency(df: DataFrame, tokens: str, min_docs: int = 2, keep=None) -> DataFrame:
+    """(word, count, docs) of words in at least ``min_docs`` documents."""
+    return word_counts(df, tokens, keep=keep).filter(F.col("docs") >= min_docs)
 
 
-def corpus_words(df: DataFrame, tokens: str) -> DataFrame:
-    return df.agg(F.sum(F.size(tokens)).alias("words"))
+def corpus_words(df: DataFrame, tokens: str, keep=None) -> DataFrame:
+    rows = df.select(F.explode(tokens).alias("word"))
+    return (rows.filter(keep(F.col("word"))) if keep else rows).agg(F.count("*").alias("words"))
 
 
-def npmi(df: DataFrame, tokens: str, doc: str, cls: str, min_count: int = 2) -> DataFrame:
+def npmi(df: DataFrame, tokens: str, cls: str, min_count: int = 2, keep=None) -> DataFrame:
     """(cls, word, n_xy, npmi) for words in at least ``min_count`` documents of the class.
 
     p(class) is the class's documents, p(word) the word's occurrences and
     p(class, word) its occurrences in the class, each over the corpus's words;
     -inf where a word occurs fewer than ``min_count`` times there.
     """
-    own = df.select(cls, doc, F.explode(tokens).alias("word")).groupBy(cls, doc, "word").agg(F.count("*").alias("n"))
-    xy = own.groupBy(cls, "word").agg(F.sum("n").alias("n_xy"), F.count("*").alias("docs"))
-    y = xy.groupBy("word").agg(F.sum("n_xy").alias("n_y"))
-    x = df.groupBy(cls).agg(F.count("*").alias("n_x"))
-    total = F.broadcast(corpus_words(df, tokens))
-    joined = xy.filter(F.col("docs") >= min_count).join(y, "word").join(F.broadcast(x), cls).crossJoin(total)  # classes and the total are a few rows
+    xy = word_counts(df, tokens, [cls], keep).withColumnRenamed("count", "n_xy")
+    total = F.broadcast(xy.agg(F.sum("n_xy").alias("words")))  # one row
+    x = F.broadcast(df.groupBy(cls).agg(F.count("*").alias("n_x")))  # a row a class
+    with_y = xy.withColumn("n_y", F.sum("n_xy").over(Window.partitionBy("word")))
+    joined = with_y.filter(F.col("docs") >= min_count).join(x, cls).crossJoin(total)
     n = F.col("words").cast("double")
     p_xy, p_x, p_y = F.col("n_xy") / n, F.col("n_x") / n, F.col("n_y") / n
     score = F.try_divide(F.ln(p_xy / (p_x * p_y)), -F.ln(p_xy))
@@ -66,4 +89,5 @@ def top_words(scores: DataFrame, cls: str, n: int = 20, scale: float = 1.0) -> D
 
 
 def class_of(hs: Column, m_hs: Column) -> Column:
+    """Misogynistic, otherwise hateful, neutral; null where the first vote is missing and the second does not decide."""
     return F.when(m_hs == 1, "misogynistic").when((hs == 1) & (m_hs == 0), "hateful").when(hs == 0, "neutral")

@@ -618,14 +618,22 @@ def token_cleaning(spark, sf_dir):
     return _tokens(spark, sf_dir).select("doc_id", F.array_join("words", " ").alias("cleaned"))
 
 
+def _raw_tokens(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", association.raw_tokens(F.col("text")).alias("words"))
+
+
+def _counted(word):
+    return association.counted(word, STOP)
+
+
 @query(f"WITH {SQL_TOKENS}, w AS (SELECT doc_id, unnest(words) AS word FROM tok) SELECT word, count(*) AS count, count(DISTINCT doc_id) AS docs FROM w GROUP BY word HAVING count(DISTINCT doc_id) >= 2")
 def term_frequency(spark, sf_dir):
-    return association.term_frequency(_tokens(spark, sf_dir), "words", "doc_id")
+    return association.term_frequency(_raw_tokens(spark, sf_dir), "words", keep=_counted)
 
 
 @query(f"WITH {SQL_TOKENS} SELECT sum(len(words))::BIGINT AS words FROM tok")
 def corpus_words(spark, sf_dir):
-    return association.corpus_words(_tokens(spark, sf_dir), "words")
+    return association.corpus_words(_raw_tokens(spark, sf_dir), "words", _counted)
 
 
 @query(
@@ -637,5 +645,5 @@ def corpus_words(spark, sf_dir):
 )
 def npmi_top20(spark, sf_dir):
     marks = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("cls"))
-    scores = association.npmi(_tokens(spark, sf_dir).join(marks, "doc_id"), "words", "doc_id", "cls")
+    scores = association.npmi(_raw_tokens(spark, sf_dir).join(marks, "doc_id"), "words", "cls", keep=_counted)
     return association.top_words(rounded(scores, "npmi"), "cls", 20)

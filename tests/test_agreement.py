@@ -115,6 +115,36 @@ def test_quorum_errors_and_samples(spark):
             A.quorums(df, "item", "rater", "label", size, combos)
     rows = A.quorums(df, "item", "rater", "label", 3, 4)
     assert rows.count() == 12 and {r.group_id for r in rows.collect()} == {1, 2, 3, 4}
+    assert A.quorums(df, "item", "rater", "label", 5, 100).count() == 3 * 6
+
+
+@pytest.mark.parametrize("n,k", [(5, 3), (6, 1), (7, 7), (9, 5)])
+def test_groups_come_from_their_ranks(spark, n, k):
+    rows = spark.range(math.comb(n, k)).select("id", A._unranked(F.col("id"), F.lit(n), F.lit(math.comb(n, k)), k).alias("c"))
+    assert [tuple(r.c) for r in rows.orderBy("id").collect()] == list(itertools.combinations(range(n), k))
+
+
+def test_samples_of_many_groups(spark):
+    """77,558,760 groups of one item, of which five are made: different ones, the same on each run."""
+    rng = random.Random(3)
+    votes = [(i, r, rng.choice("abc")) for i in range(3) for r in range(29)]
+    df = frame(spark, votes)
+    one, two = (sorted(map(tuple, A.quorums(x, "item", "rater", "label", 15, 5).collect())) for x in (df, df.repartition(3)))
+    assert one == two and len(one) == 15
+    total = math.comb(29, 15)
+    ranks = spark.createDataFrame([(0,), (1,), (total // 2,), (total - 1,)], "id long")
+    got = [tuple(r.c) for r in ranks.select(A._unranked(F.col("id"), F.lit(29), F.lit(total), 15).alias("c")).collect()]
+    assert got[0] == tuple(range(15)) and got[1] == (*range(14), 15) and got[3] == tuple(range(14, 29)) and len(set(got[2])) == 15
+    with pytest.raises(Exception, match="too many groups"):
+        A.quorums(frame(spark, [(1, r, "a") for r in range(80)]), "item", "rater", "label", 39, 5).collect()
+
+
+def test_prefixes_with_votes_missing_and_repeated(spark):
+    votes = some_votes(holes=True) + [(3, 1, "a"), (3, 1, "b"), (7, 2, "c")]
+    df = frame(spark, votes)
+    ranked = spark.createDataFrame([(r, 1.0 - r / 10) for r in range(5)], "rater int, kappa double")
+    got = {r["rank"]: r.kappa for r in A.prefix_groups(ranked, df, "item", "rater", "label").collect()}
+    assert got == {k: 1.0 if k == 1 else pytest.approx(kappa([(i, x) for i, r, x in votes if r < k])) for k in range(1, 6)}
 
 
 def test_encodings_and_matrix(spark):
@@ -126,6 +156,8 @@ def test_encodings_and_matrix(spark):
     phased = df.withColumn("phase", F.col("item") % 2)
     rows = A.result_matrix(phased, "item", "rater", ["label"], "phase").collect()
     assert len(rows) == 12
+    for w in range(5):
+        assert next(r.kappa for r in rows if r.without == str(w) and r.phase == 1) == pytest.approx(kappa([(i, x) for i, r, x in votes if i % 2 and r != w]))
     all0 = next(r.kappa for r in rows if r.without == "All" and r.phase == 0)
     assert all0 == pytest.approx(kappa([(i, x) for i, _, x in votes if i % 2 == 0]))
 
@@ -176,11 +208,11 @@ def test_token_cleaning(spark):
 def test_npmi(spark):
     docs = [(0, "x", ["a", "b", "a"]), (1, "x", ["a", "c"]), (2, "y", ["a", "c", "c"]), (3, "y", ["c", "d"]), (4, None, ["c"])]
     df = spark.createDataFrame(docs, "doc int, cls string, words array<string>")
-    got = {(r.cls, r.word): r.npmi for r in association.npmi(df, "words", "doc", "cls").collect()}
+    got = {(r.cls, r.word): r.npmi for r in association.npmi(df, "words", "cls").collect()}
     n = 11
     want = lambda xy, x, y: math.log((xy / n) / ((x / n) * (y / n))) / -math.log(xy / n)
     assert got == {("x", "a"): pytest.approx(want(3, 2, 4)), ("y", "c"): pytest.approx(want(3, 2, 5))}
-    top = association.top_words(association.npmi(df, "words", "doc", "cls"), "cls", 1, 100).collect()
+    top = association.top_words(association.npmi(df, "words", "cls"), "cls", 1, 100).collect()
     assert {(r.cls, r.word, r["rank"]) for r in top} == {("x", "a", 1), ("y", "c", 1)}
 
 
