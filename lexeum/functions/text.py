@@ -71,8 +71,8 @@ def preview(c: Column, n: int = 80) -> Column:
 
 
 def numeric(c: Column) -> Column:
-    """Only digits, at least one; null stays null."""
-    return c.rlike(r"^\d+$")
+    """Only numerals of any script, at least one, as Python's ``isnumeric`` but for ideographs that stand for numbers; null stays null."""
+    return c.rlike(r"^[\p{Nd}\p{Nl}\p{No}]+$")
 
 
 def letters_only(c: Column) -> Column:
@@ -84,8 +84,18 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: w != "")
 
 
-def percent(c: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f %%", c)
+def percent(c: Column, digits: int = 2, blank: bool = True) -> Column:
+    return F.format_string(f"%.{digits}f{' ' * blank}%%", c)
+
+
+def thousands(c: Column) -> Column:
+    """A whole number with commas between groups of three digits."""
+    return F.format_number(c, 0)
+
+
+def capitalised(c: Column) -> Column:
+    """The first letter large, all others small, words behind blanks too."""
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
 
 
 def all_of(cols: list[Column]) -> Column:

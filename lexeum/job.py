@@ -8,12 +8,11 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from lexeum.dataset import UnifiedDataset
 from lexeum.operators import statistics, translation
 from lexeum.session import ship
-from lexeum.sources import sinks
+from lexeum.sources import readers, sinks
 
 
 def run(spark: SparkSession, root: str, out: str, corpora: list[str] | None = None, translate: bool = False, assign_splits: bool = False, batch_size: int = 32, device: str | None = None, cache: str | None = None, backend: translation.Backend | None = None) -> str:
@@ -24,8 +23,9 @@ def run(spark: SparkSession, root: str, out: str, corpora: list[str] | None = No
         data.translate(translation.Translator(chosen, cache or f"{out.rstrip('/')}/translation_cache", batch_size))
         translation.status_counts(data.df).show()
     if assign_splits:
-        data.df.agg(F.count_if(F.col("split").isNull()).alias("without_split_before")).show()
+        statistics.without_split(data.df, "without_split_before").show()
         data.assign_splits()
+        statistics.without_split(data.df, "without_split_after").show()
     data.label_stats().show(truncate=False)
     data.split_stats().show(1000, truncate=False)
     if translate:
@@ -43,8 +43,11 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--batch-size", type=int, default=32)
     p.add_argument("--device", default=None)
     p.add_argument("--cache", default=None)
+    p.add_argument("--single-line", action="store_true", help="no line breaks inside quotes: large files are split among tasks")
     a = p.parse_args(args)
     spark = ship(SparkSession.builder.appName("lexeum").getOrCreate())
+    if a.single_line:
+        spark.conf.set(readers.MULTILINE, "false")
     print(run(spark, a.root, a.out, a.corpora, a.translate, a.assign_splits, a.batch_size, a.device, a.cache))
 
 

@@ -92,10 +92,54 @@ def grouped_shares(df: DataFrame, group: str, c: str) -> DataFrame:
     return counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(group)))
 
 
+def exact_quantiles(df: DataFrame, c: str, shares: Sequence[float], bins: int = 4096) -> list[float | None]:
+    """Interpolated quantiles of a numeric column, without missing values; runs jobs.
+
+    The ranks wanted are located by counting values in ``bins`` equal ranges
+    between the least and the greatest, then in parts of the ranges that hold a
+    rank, until a range holds one value: no task sees all distinct values.
+    """
+    x = df.select(F.col(c).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    n, lo, hi = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None for _ in shares]
+    at = {p: (n - 1) * p for p in shares}
+    found: dict[int, float] = {}
+    spans = {(lo, hi, 0): {r for v in at.values() for r in (int(v), min(n - 1, int(v) + 1))}}  # least, greatest, values below
+    while spans:
+        for a, b, below in [s for s in spans if s[0] == s[1]]:
+            found |= dict.fromkeys(spans.pop((a, b, below)), a)
+        if not spans:
+            break
+        keys = sorted(spans)
+        where = F.lit(None).cast("int")
+        bin_ = F.lit(None).cast("int")
+        for i, (a, b, _) in enumerate(keys):
+            inside = (F.col("x") >= a) & (F.col("x") <= b)
+            share = (F.col("x") - a) / (b - a) if b - a < float("inf") else F.col("x") / b / 2 + 0.5
+            where = F.when(inside, i).otherwise(where)
+            bin_ = F.when(inside, F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(share * bins))).cast("int")).otherwise(bin_)
+        rows = x.select("x", where.alias("s"), bin_.alias("b")).filter("s is not null").groupBy("s", "b").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        nxt: dict = {}
+        for i, key in enumerate(keys):
+            upto = key[2]
+            for r in sorted((r for r in rows if r.s == i), key=lambda r: r.lo):
+                for k in [k for k in spans[key] if upto <= k < upto + r.n]:
+                    nxt.setdefault((r.lo, r.hi, upto), set()).add(k)
+                upto += r.n
+        spans = nxt
+    return [found[int(v)] + (v - int(v)) * (found[min(n - 1, int(v) + 1)] - found[int(v)]) for v in at.values()]
+
+
 def describe(df: DataFrame, c: str) -> DataFrame:
-    """Count, mean, deviation, least, exact quartiles, most."""
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q.alias("q"), F.max(c).alias("max")).select("count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+    """Count, mean, deviation, least, exact quartiles, most. The quartiles are found before (see :func:`exact_quantiles`)."""
+    q = exact_quantiles(df, c, (0.25, 0.5, 0.75))
+    return df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *(F.lit(v).cast("double").alias(k) for k, v in zip(("q25", "q50", "q75"), q, strict=True)), F.max(c).alias("max"))
+
+
+def without_split(df: DataFrame, name: str = "without_split") -> DataFrame:
+    """One row: how many rows have no split."""
+    return df.agg(F.count_if(F.col("split").isNull()).alias(name))
 
 
 def length_stats(df: DataFrame, by: str = "source", text: str = "text") -> DataFrame:
@@ -105,6 +149,12 @@ def length_stats(df: DataFrame, by: str = "source", text: str = "text") -> DataF
     return wc.groupBy(by).agg(F.count("*").alias("texts"), F.avg("wc").alias("mean"), q.alias("q"), F.min("wc").alias("min"), F.max("wc").alias("max")).select(by, "texts", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), "min", "max")
 
 
+def length_table(df: DataFrame, by: str = "source", text: str = "text") -> DataFrame:
+    """:func:`length_stats` as shown: whole numbers, cut and not rounded, and the mean to one digit."""
+    stats = length_stats(df, by, text)
+    return stats.select(by, "texts", "min", *(F.col(x).cast("int").alias(x) for x in ("median",)), F.round("mean", 1).alias("mean"), *(F.col(x).cast("int").alias(x) for x in ("p95", "p99")), "max")
+
+
 def clipped_lengths(df: DataFrame, by: str = "source", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """Each text's words, at most its group's 99th percentile. Groups are few: their table is joined by broadcast when small."""
     wc = df.filter(F.col(text).isNotNull()).select(*keep, by, T.word_count(F.col(text)).alias("wc"))
@@ -176,9 +226,26 @@ def pivot_size(df: DataFrame, index: str, column: str, values: Sequence) -> Data
     return df.groupBy(index).pivot(column, list(values)).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def dense_ranks(df: DataFrame, c: str) -> DataFrame:
-    """(c, rank) of the distinct values; the one-partition window sees these only. Join back to rank rows."""
-    return df.select(c).filter(F.col(c).isNotNull()).distinct().withColumn("rank", F.dense_rank().over(Window.orderBy(c)))
+def dense_ranks(df: DataFrame, c: str, bins: int = 256) -> DataFrame:
+    """(c, rank) of the distinct values; join back to rank rows.
+
+    Values are numbered inside ranges and the ranges offset by the counts of
+    those before, so no task sees all of them; the ranges' bounds come from a
+    sample of 16 values a range (a job).
+    """
+    values = df.select(c).filter(F.col(c).isNotNull()).distinct()
+    some = sorted(r[0] for r in values.orderBy(F.xxhash64(c), c).limit(16 * bins).collect())
+    edges = some[16::16]
+    at = sum(((F.col(c) >= F.lit(e)).cast("int") for e in edges), F.lit(0))
+    binned = values.withColumn("_bin", at)
+    before = binned.groupBy("_bin").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("_bin").orderBy(c))
+    return binned.withColumn("_in", inside).join(F.broadcast(before.drop("_n")), "_bin").select(c, (F.col("_before") + F.col("_in")).cast("int").alias("rank"))  # a row a range
+
+
+def last_first(df: DataFrame, order: str, last) -> DataFrame:
+    """The rows by ``order``, with the one whose value is ``last`` in front."""
+    return df.orderBy(F.when(F.col(order) == last, 0).otherwise(1), order)
 
 
 def top(df: DataFrame, by: str, tie: str, n: int) -> DataFrame:

@@ -3,11 +3,16 @@
 The plan: clean and hash, look up the cache, translate each missing text once
 (``mapInPandas``, the only Python in it), store the new entries, join back.
 The cache grows with the data, so it is joined by hash, and Spark broadcasts
-it only if its size allows.
+it only if its size allows. New entries go to a folder of their own beside the
+old ones, which are never written again: the cache stays linear in the texts,
+and jobs that add to it at the same time do not meet. ``compact`` makes one
+table of many.
 """
 
 from __future__ import annotations
 
+import logging
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,6 +26,7 @@ from lexeum.sources import readers as R
 #: A factory that is called once in each worker and gives a function from texts to translations.
 Backend = Callable[[], Callable[[list[str]], list[str]]]
 CACHE = "hash string, translated string"
+log = logging.getLogger(__name__)
 
 
 def tagging_backend(tag: str = "[de] ") -> Backend:
@@ -68,12 +74,14 @@ def in_batches(call: Callable[[list[str]], list[str]], texts: list[str], size: i
             got: list[str | None] = list(call(part))
             if len(got) != len(part):
                 raise ValueError("the backend lost texts")
-        except Exception:  # noqa: BLE001  any failure of a model
+        except Exception as e:  # noqa: BLE001  any failure of a model
+            log.error("texts %d to %d of a batch failed (%s); trying them one by one", i, i + len(part) - 1, e)
             got = []
             for t in part:
                 try:
                     got.append(call([t])[0])
-                except Exception:  # noqa: BLE001
+                except Exception as one:  # noqa: BLE001
+                    log.error("a text failed (%s) and stays as it is", one)
                     got.append(None)
         out += got
     return out
@@ -90,14 +98,22 @@ class Translator:
     target_lang: str = "de"
 
     def cache(self, spark: SparkSession) -> DataFrame:
-        """The newest version of the cache; empty where there is none or it cannot be read."""
-        versions = self._versions(spark)
-        if not versions:
+        """All entries, one a hash; empty where there is no cache or it cannot be read."""
+        if not self.cache_path:
             return spark.createDataFrame([], CACHE)
-        return R.read_parquet_or_empty(spark, versions[-1], CACHE).filter(F.col("hash").isNotNull()).dropDuplicates(["hash"])
+        return R.read_parquet_or_empty(spark, self.cache_path, CACHE).filter(F.col("hash").isNotNull()).dropDuplicates(["hash"])
 
-    def _versions(self, spark: SparkSession) -> list[str]:
-        return R.list_files(spark, f"{self.cache_path}/v=*") if self.cache_path else []
+    def _added(self) -> str:
+        return f"{self.cache_path.rstrip('/')}/added-{uuid.uuid4().hex}"
+
+    def compact(self, spark: SparkSession) -> None:
+        """The cache as one table instead of one for each job. No other job may add to it meanwhile."""
+        old = R.list_files(spark, f"{self.cache_path.rstrip('/')}/added-*")
+        if len(old) > 1:
+            self.cache(spark).write.parquet(self._added())
+            for path in old:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def _missing(self, spark: SparkSession, marked: DataFrame, cache: DataFrame) -> DataFrame:
         todo = marked.filter(F.col("_eligible") & (F.col("_clean") != "")).select(F.col("_hash").alias("hash"), F.col("_clean").alias("clean")).dropDuplicates(["hash"]).join(cache, "hash", "left_anti")
@@ -126,11 +142,9 @@ class Translator:
         cache = self.cache(spark)
         fresh = self._missing(spark, marked, cache)
         if self.cache_path:  # write before the join, so that no text is translated twice
-            versions = self._versions(spark)
-            number = int(versions[-1].rsplit("v=", 1)[1]) + 1 if versions else 0
-            path = f"{self.cache_path}/v={number:08d}"
-            cache.unionByName(fresh.filter(F.col("translated").isNotNull())).write.parquet(path)
-            known = R.read_parquet_or_empty(spark, path, CACHE)
+            path = self._added()
+            fresh.filter(F.col("translated").isNotNull()).write.parquet(path)
+            known = cache.unionByName(spark.read.schema(CACHE).parquet(path))
         else:
             known = cache.unionByName(fresh)
         out = marked.join(known.filter(F.col("translated").isNotNull()).select(F.col("hash").alias("_hash"), "translated"), "_hash", "left")

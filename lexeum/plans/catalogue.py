@@ -147,13 +147,13 @@ def comments_join_annotations(spark, sf_dir):
 @query(
     """SELECT d.doc_id, d.lang, l.toxic, 'test' AS split FROM documents d JOIN
     (SELECT doc_id, CASE WHEN quality = 0 THEN -1 WHEN doc_id % 5 = 0 THEN NULL ELSE toxic END AS toxic FROM labels) l ON l.doc_id = d.doc_id WHERE l.toxic IS DISTINCT FROM -1
-    UNION ALL SELECT doc_id, lang, NULL, 'train' FROM documents WHERE doc_id % 2 = 0"""
+    UNION ALL SELECT doc_id, lang, NULL, 'train' FROM documents"""
 )
 def sentinel_filter(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     marks = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, -1).when(F.col("doc_id") % 5 == 0, None).otherwise(F.col("toxic")).alias("toxic"))
     test = docs.join(marks, "doc_id").filter(votes.not_sentinel(F.col("toxic"), -1)).withColumn("split", F.lit("test"))
-    train = docs.filter("doc_id % 2 = 0").withColumn("toxic", F.lit(None).cast("int")).withColumn("split", F.lit("train"))
+    train = docs.withColumn("toxic", F.lit(None).cast("int")).withColumn("split", F.lit("train"))
     return test.unionByName(train)
 
 
@@ -319,10 +319,11 @@ def label_overlap(spark, sf_dir):
 @query(
     f"""WITH {SQL_CORPUS}, s AS (SELECT source, string_agg(split || ': ' || n, ', ' ORDER BY split) AS splits FROM (SELECT source, split, count(*) AS n FROM corpus WHERE split IS NOT NULL GROUP BY ALL) GROUP BY source)
     SELECT c.source, count(*) AS rows, string_agg(DISTINCT language, ', ' ORDER BY language) AS languages, ((count(toxic) > 0)::INT + (count(impolite) > 0)::INT) AS n_labels, concat_ws(', ', CASE WHEN count(toxic) > 0 THEN 'toxic' END, CASE WHEN count(impolite) > 0 THEN 'impolite' END) AS labels,
+    concat_ws(', ', CASE WHEN count(toxic) > 0 THEN printf('toxic: %.1f%%', count(*) FILTER (WHERE toxic = 1) * 100.0 / count(toxic)) END, CASE WHEN count(impolite) > 0 THEN printf('impolite: %.1f%%', count(*) FILTER (WHERE impolite = 1) * 100.0 / count(impolite)) END) AS rates,
     coalesce(any_value(s.splits), 'none') AS splits, count(*) FILTER (WHERE split IS NULL) AS no_split FROM corpus c LEFT JOIN s ON s.source = c.source GROUP BY c.source"""
 )
 def dataset_summary(spark, sf_dir):
-    return statistics.summary(unified(spark, sf_dir)).drop("rates")
+    return statistics.summary(unified(spark, sf_dir))
 
 
 @query(f"WITH {SQL_CORPUS} SELECT ((count(hate_speech) > 0)::INT + (count(toxic) > 0)::INT + (count(threat) > 0)::INT + (count(insult) > 0)::INT + (count(impolite) > 0)::INT) AS labels_with_data FROM corpus")
@@ -544,17 +545,25 @@ def expert_agreement(spark, sf_dir):
     return rounded(agreement.expert_agreement(ratings(spark, sf_dir), "item", "rater", "label", 1), "kappa")
 
 
+def _posts(split: int, label: str = "") -> str:
+    return f"(SELECT count(*) FROM votes v JOIN r m ON m.rater = v.rater WHERE m.rank <= r.rank AND v.item % 3 = {split}{label})"
+
+
 @query(
     f"""{SQL_EXPERT}, r AS (SELECT rater, kappa, row_number() OVER (ORDER BY kappa DESC, rater) AS rank, lead(kappa) OVER (ORDER BY kappa DESC, rater) AS nx FROM ea),
     g AS (SELECT h.rank, v.item, v.label FROM r h JOIN r m ON m.rank <= h.rank JOIN votes v ON v.rater = m.rater), {_sql_kappa('rank', 'g', 'p')}
-    SELECT CAST(r.rank AS INT) AS rank, CAST(r.rank AS INT) AS n_raters, (SELECT string_agg(m.rater, ',' ORDER BY m.rank) FROM r m WHERE m.rank <= r.rank) AS members, round(CASE WHEN r.rank = 1 THEN 1.0 ELSE pk.kappa END, 9)::DOUBLE AS kappa
+    SELECT CAST(r.rank AS INT) AS rank, CAST(r.rank AS INT) AS n_raters, (SELECT string_agg(m.rater, ',' ORDER BY m.rank) FROM r m WHERE m.rank <= r.rank) AS members, round(CASE WHEN r.rank = 1 THEN 1.0 ELSE pk.kappa END, 9)::DOUBLE AS kappa,
+    CASE WHEN nx IS NULL THEN printf('x ≥ %.4f', r.kappa) ELSE printf('%.4f < x ≤ %.4f', nx, r.kappa) END AS bound,
+    {_posts(0)} + {_posts(1)} + {_posts(2)} AS posts_total, {", ".join(f"{_posts(i)} AS posts_{x}, round({_posts(i, " AND v.label = 'N'")} * 100.0 / {_posts(i)}, 6) AS share_{x}" for i, x in enumerate(("train", "val", "test")))}
     FROM r LEFT JOIN pk ON pk.rank = r.rank"""
 )
 def expert_prefix(spark, sf_dir):
-    votes_ = ratings(spark, sf_dir)
+    split = F.when(F.col("item") % 3 == 0, "train").when(F.col("item") % 3 == 1, "val").otherwise("test")
+    votes_ = ratings(spark, sf_dir).withColumn("split", split)
     ranked = agreement.expert_agreement(votes_, "item", "rater", "label", 1)
-    out = agreement.prefix_groups(ranked, votes_, "item", "rater", "label")
-    return rounded(out.select("rank", "n_raters", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), "kappa"), "kappa")
+    out = agreement.prefix_groups(ranked, votes_, "item", "rater", "label", "split", "N")
+    out = out.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+    return rounded(rounded(out, "kappa"), *(f"share_{x}" for x in ("train", "val", "test")), digits=6)
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -9,6 +12,10 @@ from pyspark.sql.types import StringType, StructType
 from lexeum.functions.text import na_to_null
 
 
+MULTILINE = "spark.lexeum.csv.multiLine"
+log = logging.getLogger(__name__)
+
+
 def _typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Missing-value strings to null, then the wanted types; what does not cast is null."""
     return df.select(*(na_to_null(F.col(f"`{c}`")).try_cast(types.get(c, "string")).alias(c) for c in df.columns))
@@ -19,11 +26,15 @@ def header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     return spark.read.option("header", True).option("sep", sep).option("inferSchema", False).option("quote", '"').option("escape", '"').csv(path).columns
 
 
-def read_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None, sep: str = ",", multiline: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None, sep: str = ",", multiline: bool | None = None) -> DataFrame:
     """Header, quotes doubled inside quotes, line breaks inside quotes; columns not in ``types`` are strings.
 
-    ``multiline=False`` lets Spark split large files that have no line breaks inside quotes.
+    A file with line breaks inside quotes is read by one task. Files without
+    any are split among tasks with ``multiline=False``, or for all loaders of a
+    session by setting ``spark.lexeum.csv.multiLine`` to false.
     """
+    if multiline is None:
+        multiline = spark.conf.get(MULTILINE, "true").lower() == "true"
     names = header(spark, path, sep)
     schema = StructType()
     for n in names:
@@ -50,15 +61,25 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_parquet_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table if it can be read and has the columns, else an empty one."""
+    """The table, with those in folders below, if it is there and has the columns, else an empty one.
+
+    Only a path that is not there, files that are no Parquet and missing columns count as empty; other errors are raised.
+    """
     empty = spark.createDataFrame([], schema)
     try:
-        df = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001  a missing or broken cache counts as empty
-        print(f"cannot read {path}: {type(e).__name__}; going on without it")
+        df = spark.read.option("recursiveFileLookup", True).parquet(path)
+    except AnalysisException as e:
+        if (e.getCondition() or "").split(".")[0] not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        log.info("nothing to read in %s", path)
+        return empty
+    except Exception as e:
+        if "is not a Parquet file" not in str(e) and "CANNOT_READ_FILE" not in str(e):
+            raise
+        log.warning("%s holds files that are no Parquet; going on without it", path)
         return empty
     if missing := set(empty.columns) - set(df.columns):
-        print(f"{path} lacks {sorted(missing)}; going on without it")
+        log.warning("%s lacks %s; going on without it", path, sorted(missing))
         return empty
     return df.select(*empty.columns)
 
