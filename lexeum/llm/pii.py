@@ -60,13 +60,14 @@ KINDS = (*BASE, "secret", "term")
 #: Letters and digits in a row from which on a string's shape is a term too; longer strings than ``WHOLE`` are known by a hash.
 SHAPED, WHOLE = 12, 48
 CHANCE, GENERALISE, REMOVE, PART = 0.01, 0.6, 0.85, 200_000
-FLUSH = 200_000
+FLUSH = 400_000
 _AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 #: A number starts where its digits do and a dot is no digit, so nothing is lost by never giving back.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W_]{3,}")
+_LONG = re.compile(rf"[^\W_]{{{SHAPED},}}")
 #: Names whose value is a secret.
 SECRETS = ("token", "secret", "password", "passwd", "passwort", "pwd", "passphrase", "apikey", "api_key", "api-key", "access_key", "private_key", "auth_key", "clave", "contraseña", "mot de passe")
 _ASSIGNED = re.compile("[=:]")
@@ -207,13 +208,15 @@ def _tally(batches):
     """Documents by entity (c, null, n), by term (null, t, n), and by kind and term (c, t, n)."""
     held: Counter = Counter()
     seen: Counter = Counter()
-    both: Counter = Counter()
+    both = {kind_entity(k): Counter() for k in KINDS[:-1]}
 
     def out():
-        c = [*held, *[None] * len(seen), *(c for c, _ in both)]
-        t = [*[None] * len(held), *seen, *(t for _, t in both)]
-        n = [*held.values(), *seen.values(), *both.values()]
-        for x in (held, seen, both):
+        c, t, n = [*held, *[None] * len(seen)], [*[None] * len(held), *seen], [*held.values(), *seen.values()]
+        for k, own in both.items():
+            c += [k] * len(own)
+            t += own
+            n += own.values()
+        for x in (held, seen, *both.values()):
             x.clear()
         return pa.record_batch([pa.array(c, pa.int64()), pa.array(t, pa.string()), pa.array(n, pa.int64())], ["c", "t", "n"])
 
@@ -225,9 +228,9 @@ def _tally(batches):
                 seen.update(have)
                 if spans:
                     held.update(entities(x, spans))
-                    for k in {kind_entity(k) for _, _, k in spans}:
-                        both.update((k, t) for t in have)
-                if len(held) + len(seen) + len(both) > FLUSH:
+                    for k in {k for _, _, k in spans}:
+                        both[kind_entity(k)].update(have)
+                if len(held) + len(seen) + sum(map(len, both.values())) > FLUSH:
                     yield out()
     yield out()
 
@@ -327,15 +330,31 @@ def _terms_of(text: str, spans, rules: dict[int, dict[str, str]], everywhere: di
     mine = [rules[c] for c in {entity(text, s) for s in spans} if c in rules] if rules else []
     if not mine:
         return everywhere
-    out = dict(everywhere)
+    out = dict(everywhere)  # a plain one
     for r in mine:
         _stronger(out, r)
     return out
 
 
+class Everywhere(dict):
+    """Actions of the terms of kinds, with a quick look whether a text can hold any."""
+
+    def may_be_in(self, text: str) -> bool:
+        if "_look" not in self.__dict__:
+            shapes = any(t.startswith(("<", "#")) for t in self)
+            self._look = ([t for t in self if not t.startswith(("<", "#"))], shapes) if len(self) <= 64 else None
+        if self._look is None or "\u03a3" in text:  # a large sigma's small form depends on what follows
+            return True
+        words, shapes = self._look
+        low = text.lower()
+        return any(t in low for t in words) or shapes and _LONG.search(text) is not None
+
+
 def all_spans(text: str, known, terms: dict[str, str]) -> list[tuple[int, int, str, str]]:
     """The known spans and those of terms that give entities away."""
     out = [(*s, "remove") for s in known]
+    if isinstance(terms, Everywhere) and not terms.may_be_in(text):
+        return out
     if terms and any(t in terms for t in _named(set(_WORD.findall(text)))):
         cover = _cover(known)
         for m in _WORD.finditer(text):
@@ -362,12 +381,18 @@ def _finder(rules, everywhere):
     return find
 
 
-def _find_given(texts: pa.Array, remove: pa.Array, generalise: pa.Array) -> pa.Array:
-    rows = []
-    for x, r, g in zip(texts.to_pylist(), remove.to_pylist(), generalise.to_pylist(), strict=True):
-        terms = dict.fromkeys(g or (), "generalise") | dict.fromkeys(r or (), "remove")
-        rows.append(all_spans(x, known_spans(x), terms) if x else [])
-    return _found(rows)
+def _find_given(everywhere):
+    def find(texts: pa.Array, remove: pa.Array, generalise: pa.Array) -> pa.Array:
+        rows = []
+        for x, r, g in zip(texts.to_pylist(), remove.to_pylist(), generalise.to_pylist(), strict=True):
+            terms = everywhere.value
+            if r or g:
+                terms = dict(terms)
+                _stronger(terms, dict.fromkeys(g or (), "generalise") | dict.fromkeys(r or (), "remove"))
+            rows.append(all_spans(x, known_spans(x), terms) if x else [])
+        return _found(rows)
+
+    return find
 
 
 def _entities(texts: pa.Array) -> pa.Array:
@@ -398,7 +423,7 @@ def with_spans(docs: DataFrame, rules: DataFrame, text: str = "text", name: str
     if n <= PART and n_kinds <= PART:
         for r in rules.collect():
             table.setdefault(r.c, {})[r.t] = r.action
-        find = _finder(sc.broadcast(table), sc.broadcast({r.t: r.action for r in everywhere.collect()}))
+        find = _finder(sc.broadcast(table), sc.broadcast(Everywhere((r.t, r.action) for r in everywhere.collect())))
         return docs.withColumn(name, F.arrow_udf(find, FOUND).asNondeterministic()(F.col(text)))
     key, gone, less = (C.fresh(docs, x) for x in ("_text_key", "_remove", "_generalise"))
     own = docs.select(F.md5(text).alias(key), F.explode(F.arrow_udf(_entities, "array<bigint>").asNondeterministic()(F.col(text))).alias("c")).distinct()
@@ -408,15 +433,16 @@ def with_spans(docs: DataFrame, rules: DataFrame, text: str = "text", name: str
     some, rest = C.split_by(docs.withColumn(key, F.md5(text)), key, C.bitmap(marks, key))
     none = F.lit(None).cast("array<string>")
     both = some.join(marks, key, "left").select(*C.columns(docs), gone, less).unionByName(rest.select(*C.columns(docs), none.alias(gone), none.alias(less)))
-    parts = max(1, -(-n_kinds // PART))
+    parts = -(-n_kinds // PART)
     found = []
-    for p in range(parts if n_kinds else 0):  # the terms of kinds that each text has, in parts of a bounded size
+    for p in range(parts if parts > 1 else 0):  # the terms of kinds that each text has, in parts of a bounded size
         part = everywhere.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == p)
         f = F.arrow_udf(_marked_words(sc.broadcast({r.t: r.action for r in part.collect()})), "struct<remove:array<string>,generalise:array<string>>").asNondeterministic()(F.col(text))
         found.append(C.fresh(both, f"_marks_{p}"))
         both = both.withColumn(found[-1], f)
     every = lambda own, field: F.array_distinct(F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in (F.col(own), *(F.col(f"{x}.{field}") for x in found)))))
-    return both.withColumn(name, F.arrow_udf(_find_given, FOUND).asNondeterministic()(F.col(text), every(gone, "remove"), every(less, "generalise"))).drop(gone, less, *found)
+    find = _find_given(sc.broadcast(Everywhere((r.t, r.action) for r in everywhere.collect()) if parts <= 1 else Everywhere()))
+    return both.withColumn(name, F.arrow_udf(find, FOUND).asNondeterministic()(F.col(text), every(gone, "remove"), every(less, "generalise"))).drop(gone, less, *found)
 
 
 def joined(kinds, starts, ends) -> str:
