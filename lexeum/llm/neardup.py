@@ -275,11 +275,12 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
-    """The pairs (a, b), stored, whose full sets reach the threshold, stored. A document of many pairs is dealt over several partitions."""
+    """The pairs (a, b), stored, whose full sets reach the threshold, stored. Only the sets of pairs move, and a document of many pairs is dealt over several partitions."""
 
     def with_sets(rows: DataFrame, side: str) -> DataFrame:
-        one = pairs.groupBy(side).agg(F.count("*").alias("_n")).join(sets.select(F.col("rep").alias(side), F.col("set").alias(f"set_{side}")), side)
-        return C.spread_join(rows, one, side, "_n")
+        n = C.stored(pairs.groupBy(side).agg(F.count("*").alias("_n")), "sides")
+        some, _ = C.split_by(sets.select(F.col("rep").alias(side), F.col("set").alias(f"set_{side}")), side, C.bitmap(n, side))
+        return C.spread_join(rows, n.join(some, side), side, "_n")
 
     both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     met = with_sets(with_sets(pairs, "a"), "b").withColumn("both", both)
@@ -295,19 +296,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     features = F.arrow_udf(_features, FEATURES).asNondeterministic()
     s = C.stored(base.select("doc_id", features("text").alias("f")).select("doc_id", "f.*"), "sketches")
-    classes = C.stored(s.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    rows = classes.select("rep", F.posexplode("bands").alias("pos", "band"))
-    shared = C.stored(rows.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).filter("least <> most").drop("most"), "shared")
-    members = C.stored(C.spread_join(rows, shared.withColumn("_n", F.col("size")), "band", "_n"), "members")
+    known = s.filter("n > 0 and doc_id is not null")
+    classes = C.stored(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    repeated = not s.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    # the sketches of copies go, and all others stay where they are
+    copies = C.stored(C.spread_join(known.select("key", "doc_id"), classes.filter("copies > 1"), "key", "copies").filter("doc_id <> rep").select("doc_id", "key"), "copies")
+    maybe, rest = C.split_by(known, "doc_id", C.bitmap(copies, "doc_id"))
+    first_of = rest.unionByName(maybe.join(copies, ["doc_id", "key"], "left_anti").select(*known.columns)).withColumnRenamed("doc_id", "rep")
+    rows = first_of.select("rep", F.posexplode("bands").alias("pos", "band"))
+    shared = C.stored(rows.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("size")).filter("size > 1"), "shared")
+    met, _ = C.split_by(rows, "band", C.bitmap(shared, "band"))  # most bands are of one document and do not move
+    members = C.stored(C.spread_join(met, shared.withColumn("_n", F.col("size")), "band", "_n"), "members")
     sets_of = F.arrow_udf(_sets, "array<bigint>").asNondeterministic()
     owners = C.stored(members.select("rep").distinct(), "owners")
     bits = C.bitmap(owners, "rep")
-    some, _ = C.split_by(base, "doc_id", bits)  # only their texts move
-    sets = C.stored(some.join(owners.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), sets_of("text").alias("set")).dropDuplicates(["rep", "set"]), "sets")
+    some, _ = C.split_by(base, "doc_id", bits)  # their texts, and a few more that nothing asks for
+    some = some.dropDuplicates(["doc_id", "text"]) if repeated else some
+    sets = C.stored(some.select(F.col("doc_id").alias("rep"), sets_of("text").alias("set")), "sets")
+    small = C.stored(C.split_by(first_of.select("rep", "n", "sketch"), "rep", bits)[0], "small")
+    small = small.dropDuplicates() if repeated else small
     star = C.stored(members.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), "star")
     first = _verified(star, sets, threshold_percent, "links")
     comp = C.stored(components(first), "comp")
-    C.forget(shared, owners, bits, first)
+    C.forget(shared, owners, bits, copies, first)
 
     # what is still apart: buckets with several components, in blocks; first each stray's nearest, at last all
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -316,10 +327,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         each = known.groupBy("band", "comp").agg(F.count("*").alias("k"))
         mixed = each.groupBy("band").agg(F.sum("k").alias("_n"), F.max("k").alias("k"), F.max_by("comp", "k").alias("main"), F.count("*").alias("comps")).filter("comps > 1")
         mixed = C.stored(mixed.select("band", "_n", "main", (F.col("_n") - F.col("k")).alias("strays")), "strays")
-        block = part = C.stored(C.spread_join(known, mixed, "band", "_n").join(classes.select("rep", "n", "sketch"), "rep"), "mixed")
+        block = part = C.stored(C.spread_join(known, mixed, "band", "_n").join(small, "rep"), "mixed")
         cols = ["pos", "rep", "comp", "n", "sketch"]
         if not best_only:
-            sharp = sets.join(part.select("rep").distinct(), "rep", "left_semi").select("rep", F.arrow_udf(_sharp, "binary").asNondeterministic()("set").alias("sharp"))
+            wanted = C.stored(part.select("rep").distinct(), "wanted")
+            sharp = C.split_by(sets, "rep", C.bitmap(wanted, "rep"))[0].select("rep", F.arrow_udf(_sharp, "binary").asNondeterministic()("set").alias("sharp"))
             part = part.join(sharp, "rep")
             cols.append("sharp")
         part = part.withColumn("stray", F.col("comp") != F.col("main"))
@@ -334,9 +346,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             C.forget(last)
         C.forget(links)
     C.forget(members, sets)
-    label = classes.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("component_id"))
-    found = C.stored(s.select("doc_id", "n", "key").join(label, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "found")
-    C.forget(s, classes, comp)
+    label = C.stored(classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "copies", F.coalesce("comp", "rep").alias("component_id")), "label")
+    of = s.select("doc_id", "n", "key")
+    named = C.spread_join(of.filter("n > 0 and doc_id is not null"), label, "key", "copies").select("doc_id", "n", "component_id")
+    alone = of.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    found = C.stored(named.union(alone).withColumnRenamed("n", "n_shingles"), "found")
+    C.forget(s, classes, comp, label)
+    if not repeated:
+        return found
     # an id whose rows have several texts joins the classes of these
     several = C.stored(found.groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("c")).filter("a <> c").select("doc_id", "a"), "several")
     if several.isEmpty():
