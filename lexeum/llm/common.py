@@ -37,6 +37,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Arrow batches of 1,000 rows where the session has the default of 10,000: a batch of long texts stays small in both processes."""
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+    return spark
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,7 +57,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+    spark = ready(df.sparkSession)
     path = f"{scratch_dir(spark)}/lexeum/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)

@@ -152,7 +152,7 @@ def _finder(windows):
 
 def with_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", name: str = "found", window: int = WINDOW) -> DataFrame:
     """``docs`` with a struct: n_words, hits (places of the words hit, from 0), items (ids found, in item order)."""
-    spark, name = docs.sparkSession, C.fresh(docs, name)
+    spark, name = C.ready(docs.sparkSession), C.fresh(docs, name)
     items = benchmark.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))

@@ -227,7 +227,7 @@ def sample(docs: DataFrame, lang: str, key: str, rows: int = TRAIN_ROWS, least:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> Models:
     """Count n-grams over at most about ``rows`` of the rows of ``docs`` that have a language."""
-    sc = docs.sparkSession.sparkContext
+    sc = C.ready(docs.sparkSession).sparkContext
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("_id"))
     some = sample(known, "lang", "_id", rows)
 
@@ -271,6 +271,6 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
 def with_language(docs: DataFrame, models: Models, text: str = "text", name: str = "found") -> DataFrame:
     """``docs`` with a struct: lang, score, cross_entropy, rejected."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+    sent = C.ready(docs.sparkSession).sparkContext.broadcast(models)
     memory: dict = {}
     return docs.withColumn(C.fresh(docs, name), F.arrow_udf(lambda t: sent.value.find(t, memory), FOUND).asNondeterministic()(F.col(text)))

@@ -280,7 +280,7 @@ def _log_chance(x: Column, n: Column, nc: Column, nt: Column, total: int) -> Col
 
 def learn(docs: DataFrame, text: str = "text", chance: float = CHANCE, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(c, t, disclosure, action): which terms give which entities away. Stored in the shared folder."""
-    spark = docs.sparkSession
+    spark = C.ready(docs.sparkSession)
     texts = docs.select(text)
     seen = C.stored(texts.mapInArrow(_tally, "c bigint, t string, n bigint").groupBy("c", "t").agg(F.sum("n").alias("n")), "seen")
     own = seen.filter("t IS NULL").select("c", F.col("n").alias("nc"))
@@ -414,7 +414,7 @@ def _marked_words(marks):
 
 def with_spans(docs: DataFrame, rules: DataFrame, text: str = "text", name: str = "found") -> DataFrame:
     """``docs`` with a struct of arrays: kinds, starts, ends, actions, in order."""
-    sc, name = docs.sparkSession.sparkContext, C.fresh(docs, name)
+    sc, name = C.ready(docs.sparkSession).sparkContext, C.fresh(docs, name)
     of_kinds = F.col("c").between(0, len(KINDS) - 1)
     everywhere = rules.filter(of_kinds).groupBy("t").agg(F.max("action").alias("action"))  # 'remove' is the greater
     rules = rules.filter(~of_kinds)

@@ -180,6 +180,7 @@ def fit(x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> Discriminant:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> Discriminant:
     """Fit on at most about ``rows`` of the labelled rows; a row of statistics for each goes to the driver."""
     known = C.bounded_sample(labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")), F.col("_id"), rows)
+    C.ready(docs.sparkSession)
     stats = F.arrow_udf(lambda t: pa.array(list(statistics(t)), pa.list_(pa.float64())), "array<double>").asNondeterministic()
     joined = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(known), "_id")
     got = joined.select("_y", (F.crc32(F.concat(F.col("_id").cast("string"), F.lit("v"))) % 5 == 0).alias("_v"), stats("_t").alias("_x")).orderBy("_id").toArrow()
@@ -189,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
 def score(docs: DataFrame, model: Discriminant, text: str = "text") -> Column:
     """A column over ``docs``: 0..1, higher where quality 1 is likelier."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = C.ready(docs.sparkSession).sparkContext.broadcast(model)
     return F.arrow_udf(lambda t: pa.array(sent.value.score(statistics(t)), pa.float64()), "double").asNondeterministic()(F.col(text))
 
 

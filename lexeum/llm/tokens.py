@@ -95,7 +95,7 @@ def count_batch(texts: list[str], name: str, content: bytes) -> np.ndarray:
 def with_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
     """``docs`` with a column of token counts; ``tokenizer`` is a file the driver reads (a vocabulary of a few MB)."""
     with open(tokenizer, "rb") as f:
-        model = docs.sparkSession.sparkContext.broadcast((os.path.basename(tokenizer), f.read()))
+        model = C.ready(docs.sparkSession).sparkContext.broadcast((os.path.basename(tokenizer), f.read()))
 
     def count(texts: pa.Array) -> pa.Array:
         _, off = C.utf8(texts)

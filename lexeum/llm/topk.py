@@ -144,12 +144,10 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", e
 
         def run(batches_, sent=sent):
             kept: dict = {}
-            for batch in batches_:
-                for d, (ids, x) in _by_length(pa.Table.from_batches([batch])).items():
-                    if d not in sent.value:
-                        continue
-                    for a in range(0, len(ids), TILE):
-                        kept[d] = search(*sent.value[d], Tile(ids[a : a + TILE], x[a : a + TILE]), k, kept.get(d))
+            for table in _tiles(batches_):
+                for d, (ids, x) in _by_length(table).items():
+                    if d in sent.value:
+                        kept[d] = search(*sent.value[d], Tile(ids, x), k, kept.get(d))
             for d, (at, ids, score) in kept.items():
                 yield pa.record_batch([pa.array(sent.value[d][0][at]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
 
@@ -159,6 +157,20 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", e
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _tiles(batches):
+    """The batches as tables of about ``TILE`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        for a in range(0, len(batch), TILE):
+            held.append(batch.slice(a, TILE))
+            n += len(held[-1])
+            if n >= TILE:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _by_length(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Ids and vectors as matrices, by the vectors' length."""
     table = table.combine_chunks()

@@ -261,7 +261,7 @@ def _count(batches):
     for batch in batches:
         texts, y = batch.column(0), batch.column(1).to_numpy()
         _, off = C.utf8(texts)
-        for a, b in C.slices(off, 4 << 20):
+        for a, b in C.slices(off, 1 << 20):
             _, d, h, _, _ = _terms([t or "" for t in texts.slice(a, b - a).to_pylist()])
             order = np.lexsort((h, d))
             d, h = d[order], h[order]
@@ -275,7 +275,7 @@ def _count(batches):
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> Lexicon:
     """Learn weights and curve from at most about ``rows`` of the labelled rows."""
-    spark = docs.sparkSession
+    spark = C.ready(docs.sparkSession)
     known = C.bounded_sample(labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")), F.col("_id"), rows)
     sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t")).join(F.broadcast(known), "_id")
     fold = F.crc32(F.concat(F.col("_id").cast("string"), F.lit("c"))) % 5 == 0
@@ -345,5 +345,5 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
 
 def with_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", name: str = "found") -> DataFrame:
     """``docs`` with a struct: score, weight, n_words, and the matches' starts, ends and entries."""
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+    sent = C.ready(docs.sparkSession).sparkContext.broadcast(lexicon)
     return docs.withColumn(C.fresh(docs, name), F.arrow_udf(lambda t: sent.value.find(t), FOUND).asNondeterministic()(F.col(text)))

@@ -69,19 +69,19 @@ def test_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
-@pytest.mark.parametrize("block,hot", [(500, 50_000), (7, 10)])
-def test_hot_bucket_with_strays(spark, monkeypatch, block, hot):
+@pytest.mark.parametrize("block,hot,n", [(500, 50_000, 300), (7, 10, 60)])
+def test_hot_bucket_with_strays(spark, monkeypatch, block, hot, n):
     """A large group of near copies and texts that only share a passage with it; with blocks and slices that buckets cross."""
     monkeypatch.setattr(N, "BLOCK", block)
     monkeypatch.setattr(N.C, "HOT", hot)
     rng = np.random.default_rng(5)
     core = [f"c{k}" for k in range(200)]
     rows = []
-    for i in range(300):
+    for i in range(n):
         w = list(core)
         w[int(rng.integers(200))] = f"n{i}"
         rows.append((i, " ".join(w)))
-    for i in range(300, 400):
+    for i in range(n, n * 4 // 3):
         rows.append((i, " ".join(core[:100] + [f"z{i}_{k}" for k in range(60)])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r[0]: (r[1], r[2]) for r in N.near_duplicates(df).collect()} == brute(rows)

@@ -171,6 +171,51 @@ def test_shards(spark, kind):
         assert load[hot] == 500 * 81 and max(rest) - min(rest) <= 0.03 * sum(rest) / 7
 
 
+def test_splitters_against_sorting(spark):
+    """Every splitter lies where the bytes below come within the slack of its target, or at the nearest end of the one key that spans it."""
+    rng = np.random.default_rng(7)
+    rows = [(int(k), int(s)) for k, s in zip(rng.integers(-(2**63), 2**63, size=2000), rng.integers(1, 50, size=2000), strict=True)]
+    rows += [(5, 4000), (5, 4000), (-9, 3000)]
+    df = spark.createDataFrame(rows, "key long, size long")
+    total = sum(s for _, s in rows)
+    goals = [total * k / 8 for k in range(1, 8)]
+    edges = sharding.splitters(df, goals, 40.0)
+    assert edges == sorted(edges)
+    keys = sorted({k for k, _ in rows})
+    sums = dict.fromkeys(keys, 0)
+    for k, s in rows:
+        sums[k] += s
+    below = np.concatenate(([0], np.cumsum([sums[k] for k in keys])))
+    for e, t in zip(edges, goals, strict=True):
+        have = sum(s for k, s in rows if k < e)
+        assert abs(have - t) <= max(40.0, np.abs(below - t).min() + 1e-9)
+
+
+def test_shards_against_sorting(spark):
+    """Groups of one text placed whole, the rest by key between the splitters, slots in order of key and doc_id."""
+    rng = np.random.default_rng(17)
+    texts = [f"text {int(rng.integers(0, 700))} " + "w" * int(rng.integers(0, 90)) for _ in range(1200)] + ["big " * 40] * 100 + [None] * 5
+    df = frame(spark, texts)
+    key = {r.doc_id: r.k for r in df.select("doc_id", F.xxhash64("text").alias("k")).collect()}
+    rows = sharding.sharded(df, 8).collect()
+    size = lambda r: len((r.text or "").encode()) + 1
+    whole = sum(map(size, rows))
+    group = {}
+    for r in rows:
+        group.setdefault(key[r.doc_id], []).append(r)
+    heavy = {k for k, v in group.items() if sum(map(size, v)) >= max(1, sharding.HEAVY * whole / 8) or len(v) > max(1, sharding.HEAVY * len(rows) / 8)}
+    assert all(len({r.shard for r in v}) == 1 for v in group.values())
+    light = sorted((key[r.doc_id], r.shard) for r in rows if key[r.doc_id] not in heavy)
+    assert [s for _, s in light] == sorted(s for _, s in light)  # shards are ranges of keys
+    place, room = sharding.capacities(whole, [sum(map(size, group[k])) for k in sorted(heavy)], 8)
+    assert [group[k][0].shard for k in sorted(heavy)] == place
+    for s in range(8):
+        mine = sum(size(r) for r in rows if r.shard == s and key[r.doc_id] not in heavy)
+        assert abs(mine - room[s]) <= 2 * max(sharding.TOLERANCE * whole / 8, max(size(r) for r in rows if key[r.doc_id] not in heavy))
+        order = [(key[r.doc_id] in heavy, key[r.doc_id], r.doc_id) for r in sorted((r for r in rows if r.shard == s), key=lambda r: r.slot)]
+        assert [x for x in order if not x[0]] == sorted(x for x in order if not x[0])
+
+
 def test_capacities_fill_level():
     place, room = sharding.capacities(100, [60, 5], 4)
     assert place[0] != place[1] and sum(room) == pytest.approx(35)
