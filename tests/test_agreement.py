@@ -239,3 +239,29 @@ def test_summary_row(spark):
     rows = [{"text": "a", "source": "s", "language": "de", "split": "train", "toxic": 1.0}, {"text": "b", "source": "s", "language": "en", "split": "None", "toxic": 0.0}]
     r = statistics.summary(schema.from_rows(spark, rows)).first()
     assert (r.languages, r.labels, r.rates, r.splits, r.no_split) == ("de, en", "toxic", "toxic: 50.0%", "train: 1", 1)
+
+
+def test_exact_quantiles_of_any_numbers(spark):
+    rng = random.Random(5)
+    for values in ([rng.gauss(0, 1) for _ in range(501)], [1.0] * 50 + [2.0], [rng.expovariate(1e-3) ** 5 for _ in range(200)], [-1.7e308, 0.0, 1.7e308], [1.0, 1.0000000000000002], [7.0]):
+        df = spark.createDataFrame([(v,) for v in values + [float("nan")]] + [(None,)], "x double").repartition(3)
+        s = sorted(values)
+        want = [s[int(v)] + (v - int(v)) * (s[min(len(s) - 1, int(v) + 1)] - s[int(v)]) for v in ((len(s) - 1) * p for p in (0.0, 0.25, 0.5, 0.99, 1.0))]
+        assert statistics.exact_quantiles(df, "x", (0.0, 0.25, 0.5, 0.99, 1.0), bins=8) == [pytest.approx(w) for w in want]
+    assert statistics.exact_quantiles(spark.createDataFrame([], "x double"), "x", (0.5,)) == [None]
+    assert statistics.describe(spark.createDataFrame([], "x int"), "x").first()["count"] == 0
+
+
+def test_dense_ranks_of_many_values(spark):
+    df = spark.createDataFrame([(f"v{i % 300:03d}",) for i in range(1000)] + [(None,)], "c string")
+    assert [(r.c, r["rank"]) for r in statistics.dense_ranks(df, "c", bins=8).orderBy("rank").collect()] == [(f"v{i:03d}", i + 1) for i in range(300)]
+    assert statistics.dense_ranks(df.limit(0), "c").count() == 0
+
+
+def test_rows_in_front_and_names(spark):
+    from lexeum.functions import text as T
+
+    df = spark.createDataFrame([("2",), ("All",), ("1",)], "w string")
+    assert [r.w for r in statistics.last_first(df, "w", "All").collect()] == ["All", "1", "2"]
+    r = spark.range(1).select(T.capitalised(F.lit("almost Perfect")).alias("a"), T.thousands(F.lit(1234567)).alias("b"), T.percent(F.lit(12.345), 1, blank=False).alias("c"), T.numeric(F.lit("١٢½")).alias("d"), T.numeric(F.lit("1a")).alias("e")).first()
+    assert tuple(r) == ("Almost perfect", "1,234,567", "12.3%", True, False)

@@ -83,6 +83,78 @@ def test_equal_texts_are_translated_once(spark, tmp_path):
     assert t.translate(twice).count() == 5 and t.cache(spark).count() == 1
 
 
+def test_cache_grows_by_what_is_new(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    t = X.Translator(X.tagging_backend(), path)
+    for k in range(3):
+        t.translate(schema.from_rows(spark, [{"text": f"text {i}", "source": "s", "language": "en"} for i in range(2 * k + 2)])).count()
+    parts = sorted(tmp_path.glob("cache/added-*"))
+    assert len(parts) == 3 and sum(spark.read.parquet(str(p)).count() for p in parts) == 6 == t.cache(spark).count()
+    t.compact(spark)
+    assert len(list(tmp_path.glob("cache/added-*"))) == 1 and t.cache(spark).count() == 6
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/x.parquet").write_text("no table")
+    assert X.Translator(X.tagging_backend(), str(tmp_path / "bad")).cache(spark).count() == 0
+    spark.range(3).write.parquet(str(tmp_path / "odd"))
+    assert X.Translator(X.tagging_backend(), str(tmp_path / "odd")).cache(spark).count() == 0
+
+
+def test_failures_are_logged(caplog):
+    X.in_batches(failing(), ["a", "bad"], 2)
+    assert [r.levelname for r in caplog.records] == ["ERROR", "ERROR"] and "one by one" in caplog.text
+
+
+def test_model_is_loaded_once_and_called_with_its_limits(monkeypatch):
+    """The model's backend with stand-ins for its libraries."""
+    import contextlib
+    import sys
+    from types import ModuleType, SimpleNamespace
+
+    calls = []
+
+    class Batch(dict):
+        def to(self, where):
+            calls.append(("to", where))
+            return self
+
+    class Tokenizer:
+        def __call__(self, texts, **options):
+            calls.append(("tokens", options["max_length"], options["truncation"], options["padding"]))
+            return Batch(input_ids=[t.upper() for t in texts])
+
+        def batch_decode(self, ids, skip_special_tokens):
+            assert skip_special_tokens
+            return ids
+
+    class Net:
+        def to(self, where):
+            return self
+
+        def eval(self):
+            return self
+
+        def generate(self, input_ids, num_beams, max_new_tokens):
+            calls.append(("generate", num_beams, max_new_tokens))
+            return input_ids
+
+    torch, transformers = ModuleType("torch"), ModuleType("transformers")
+    torch.cuda = SimpleNamespace(is_available=lambda: False)
+    torch.backends = SimpleNamespace(mps=SimpleNamespace(is_available=lambda: True))
+    torch.no_grad = contextlib.nullcontext
+    made = []
+    transformers.AutoTokenizer = SimpleNamespace(from_pretrained=lambda m: made.append(m) or Tokenizer())
+    transformers.AutoModelForSeq2SeqLM = SimpleNamespace(from_pretrained=lambda m: made.append(m) or Net())
+    monkeypatch.setitem(sys.modules, "torch", torch)
+    monkeypatch.setitem(sys.modules, "transformers", transformers)
+    assert X.default_device() == "mps"
+    call = X.marian_backend(device=None)()
+    assert made == ["Helsinki-NLP/opus-mt-en-de"] * 2
+    assert X.in_batches(call, ["a", "b", "c"], 2) == ["A", "B", "C"] and len(made) == 2
+    assert calls[:3] == [("tokens", 512, True, True), ("to", "mps"), ("generate", 4, 128)]
+    torch.cuda = SimpleNamespace(is_available=lambda: True)
+    assert X.default_device() == "cuda"
+
+
 def test_other_direction(spark):
     t = X.Translator(X.tagging_backend("[en] "), source_lang="de", target_lang="en")
     got = {r.source: r.text for r in t.translate(frame(spark)).filter("is_translated").collect()}
