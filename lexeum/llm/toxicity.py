@@ -10,11 +10,12 @@ blank.
 
 The lexicon holds whole words and word beginnings of 3 to 8 letters
 (``STEMS``): ``SEEDS`` with a prior weight, and those learned from labelled
-rows, weighted by their smoothed log-odds. A word or beginning is learned if it
-stands in ``LEAST_ROWS`` toxic rows at least, its log-odds reach
-``LEAST_ODDS``, and as many toxic rows among those that hold it would come by
-chance with a probability of less than ``CHANCE`` for any of all terms (a
-Chernoff bound). A match inside an exception phrase does not count. A
+rows. A word or beginning is learned if it stands in ``LEAST_ROWS`` toxic rows
+at least, its smoothed log-odds reach ``LEAST_ODDS``, and as many toxic rows
+among those that hold it would come by chance with a probability under
+``CHANCE`` (a Chernoff bound). Its weight is the lower bound of its log-odds,
+so that entries seen in few rows weigh little. A match inside an exception
+phrase does not count. A
 document's score is a logistic curve over its summed weights (an entry's
 repeats count by their logarithm), their share of the document's length, and
 the number of different entries.
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 
 from lexeum.llm import common as C
 
-TRAIN_ROWS, LEAST_ROWS, LEAST_ODDS, CHANCE, STEMS = 20_000, 3, 3.0, 1e-3, range(3, 9)
+TRAIN_ROWS, LEAST_ROWS, LEAST_ODDS, LEAST_WEIGHT, CHANCE, STEMS = 20_000, 3, 3.0, 0.25, 1e-3, range(3, 9)
 FOUND = "struct<score:double,weight:double,n_words:bigint,starts:array<bigint>,ends:array<bigint>,terms:array<string>>"
 _KIND = pa.struct([("score", pa.float64()), ("weight", pa.float64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("terms", pa.list_(pa.string()))])
 
@@ -205,7 +206,7 @@ class Lexicon:
         for i, m in enumerate(found):
             times = Counter((e, w) for _, _, e, w in m)
             s = sum(w * (1 + np.log(k)) for (_, w), k in times.items())
-            x[i] = np.log1p(s), np.log1p(100 * s / (n_words[i] + 20)), np.log1p(len(times))
+            x[i] = np.log1p(s), np.log1p(100 * s / (n_words[i] + 20)), len(times)
         return x
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -250,6 +251,18 @@ def _terms(texts: list[str]):
     return f, np.concatenate(docs), np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
 
 
+def significant(toxic: int, other: int, base: float) -> bool:
+    """Would so many toxic rows among those of a term come by chance with a probability under ``CHANCE``? (Chernoff)"""
+    k = toxic / (toxic + other)
+    gain = toxic * np.log(k / base) + (other * np.log((1 - k) / (1 - base)) if other else 0.0)
+    return bool(k > base and gain >= -np.log(CHANCE))
+
+
+def lower_bound(odds: float, toxic: int, other: int) -> float:
+    """The log-odds less two standard errors, and a little at least: rare entries weigh little."""
+    return max(LEAST_WEIGHT, odds - 2 * float(np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))))
+
+
 def word_hash(word: str) -> int:
     """The hash of a whole word as :func:`_terms` gives it."""
     _, _, h, _, e = _terms([word])
@@ -287,12 +300,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         odds = F.log((F.col("n1") + 0.5) / (p + 1.0)) - F.log((F.col("n0") + 0.5) / (n + 1.0))
         found = sample.filter("not judge").select("t", "y").mapInArrow(_count, "h bigint, n1 bigint, n0 bigint").groupBy("h").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
         found = C.stored(found, "counts")
-        base, seen = p / (p + n), F.col("n1") + F.col("n0")
-        k = F.col("n1") / seen
-        gain = F.col("n1") * F.log(k / base) + F.when(F.col("n0") > 0, F.col("n0") * F.log((1 - k) / (1 - base))).otherwise(0.0)
-        sure = (k > base) & (gain >= float(np.log(max(1, found.count()) / CHANCE)))
-        rows_ = found.filter((F.col("n1") >= LEAST_ROWS) & sure).withColumn("w", odds).filter(F.col("w") >= LEAST_ODDS)
-        got = {r.h: r.w for r in rows_.select("h", "w").collect()}
+        base = p / (p + n)
+        rows_ = found.filter((F.col("n1") >= LEAST_ROWS) & (F.col("n1") > base * (F.col("n1") + F.col("n0")))).withColumn("w", odds).filter(F.col("w") >= LEAST_ODDS)
+        got = {r.h: lower_bound(r.w, r.n1, r.n0) for r in rows_.collect() if significant(r.n1, r.n0, base)}
         sent = spark.sparkContext.broadcast(np.sort(np.array(list(got), np.int64)))
 
         def name(batches):
@@ -317,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
             w = got[r.h]
             shorter = [accepted[r.e[:k]] for k in range(1 + STEMS.start, len(r.e)) if r.e[:k] in accepted]
             if not shorter or max(shorter) < w - 1.0:
-                accepted[r.e] = w
+                accepted[r.e] = max(w, lexicon.entries.get(r.e, 0.0))
         lexicon.entries |= accepted
         forms = {word_hash(e.replace("l", "i")): e for e in accepted if "l" in e and e.endswith(" ")}
         if forms:
