@@ -164,7 +164,7 @@ def test_pipeline_of_odd_tables_against_brute_force(spark, tmp_path):
             assert all(n <= 3 * have[k] for k, n in got.items())
         r = now.first()
         assert r is None or all(r[c] == f"{c} {r.doc_id}" for c in ODD_COLUMNS)
-    out = corpus_pipeline.run(spark, str(tmp_path))
+    out = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
     assert out.columns == [*docs.columns, "shard_", "slot_"]
     last = out.collect()
     assert Counter((r.doc_id, r.text) for r in last) == got
