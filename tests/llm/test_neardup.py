@@ -104,6 +104,14 @@ def test_empty_and_repeated_rows(spark):
     assert N.drop_near_duplicates(twice).count() == 2
 
 
+def test_components_of_chains_and_stars(spark):
+    chain = [(i, i + 1) for i in range(0, 40)] + [(100, 107), (107, 101), (200, 200), (301, 300), (302, 300), (303, 300)]
+    df = spark.createDataFrame(chain, "a long, b long")
+    got = dict(map(tuple, N.components(df).collect()))
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 107: 100, 300: 300, 301: 300, 302: 300, 303: 300}
+    assert N.components(df.limit(0)).count() == 0
+
+
 def test_ids_of_several_texts_join_their_classes(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
     rows = [(3, a), (10, a), (10, b), (20, b), (30, c), (30, c)]
