@@ -32,3 +32,34 @@ hit AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM m, unnest(range(0, n)
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id"""
+
+_AUDIT_FLAGS = """d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+first AS (SELECT t, min(doc_id) AS m FROM d GROUP BY t),
+w AS (SELECT d.*, regexp_extract_all(d.t, '[^\\x20\\x09-\\x0D]+') AS w, coalesce(d.doc_id > first.m, FALSE) AS E FROM d JOIN first ON first.t = d.t),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, len(w) < 100 AS A, 100 * len(list_distinct(w)) < 80 * len(w) AS B, 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS C,
+    regexp_matches(t, '[#$%&*|]') AS D, E, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN l ON l.doc_id = w.doc_id)"""
+#: Every order is run over the counts of equal flags, step by step.
+INTERACTION = f"""WITH {_AUDIT_FLAGS}, c AS (SELECT part, A::INT + 2 * B::INT + 4 * C::INT + 8 * D::INT + 16 * E::INT AS m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, step, o[step] AS x, coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(o[i]) - 65))), 0)::INT AS before, 1 << (ascii(o[step]) - 65) AS bit FROM o, unnest(range(1, 6)) t(step)),
+r AS (SELECT part, o, step, x, sum(n) FILTER (m & (before | bit) = 0) AS kept, sum(n) FILTER (m & before = 0 AND m & bit <> 0) AS removed, sum(n) FILTER (m & before <> 0 AND m & bit <> 0) AS redundant,
+    sum(n) FILTER (m = bit) AS unique_fails, sum(good) FILTER (m & before = 0 AND m & bit <> 0) AS good_lost, sum(toxic) FILTER (m & before = 0 AND m & bit <> 0) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, o AS filter_order, step::INT AS step, x AS filter, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+    coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, sum(coalesce(removed, 0)) OVER (PARTITION BY part, x)::BIGINT AS shapley FROM r"""
+
+_TERMS = f"regexp_extract_all({_ASCII_LOW}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+#: Every group with every kept term of its language, and every pair of these.
+DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+c AS (SELECT t.lang, source, t.term, count(*) AS n FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY ALL),
+n AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+g AS (SELECT d.lang, d.source, coalesce(n.total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN n ON n.lang = d.lang AND n.source = d.source),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)::HUGEINT) // (g.total + v.v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (k.n + 1)::HUGEINT) // (v.total + v.v)::HUGEINT AS q
+    FROM g JOIN v ON v.lang = g.lang JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM x a JOIN x b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM x WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o) WHERE part = 'pair' OR rank <= 200"""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexeum.llm import common as C
-from lexeum.llm import decontam, langid, mixing, neardup, oracles, pii, quality, sharding, tokens, topk, toxicity
+from lexeum.llm import decontam, divergence, interaction, langid, mixing, neardup, oracles, pii, quality, secret_scan, sharding, tokens, topk, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,5 +81,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "found.n_words", hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), "items_sha256", (hit > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_sharding, op4_token_counts, op5_minhash_neardup, op6_topk_search, op7_mixing, op8_quality, op9_langid, op10_decontamination)}
-ORACLES = {"op5_minhash_neardup": oracles.NEAR_DUPLICATES, "op6_topk_search": oracles.TOP_K, "op10_decontamination": oracles.DECONTAMINATION}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir).select("text", "lang", "source"))
+
+
+def op12_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = interaction.audit(_documents(spark, sf_dir), C.read_table(spark, sf_dir, "labels"))
+    return found.filter("NOT whole").drop("whole")
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    found = secret_scan.with_secrets(docs, secret_scan.learn(docs))
+    count = lambda kind: F.size(F.filter("found", lambda m: m["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(secret_scan.joined(F.col("found"), tuple(secret_scan.PATTERNS)), 256)
+    return found.select("doc_id", *(count(k) for k in secret_scan.PATTERNS), base.alias("base_sha256"), secret_scan.joined(F.col("found")).alias("spans"), count("random"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_sharding, op4_token_counts, op5_minhash_neardup, op6_topk_search, op7_mixing, op8_quality, op9_langid, op10_decontamination, op11_divergence, op12_interaction, op13_secrets)}
+ORACLES = {"op5_minhash_neardup": oracles.NEAR_DUPLICATES, "op6_topk_search": oracles.TOP_K, "op10_decontamination": oracles.DECONTAMINATION, "op11_divergence": oracles.DIVERGENCE, "op12_interaction": oracles.INTERACTION}

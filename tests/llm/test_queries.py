@@ -25,6 +25,9 @@ COLUMNS = {
     8: "doc_id held_out score predicted",
     9: "doc_id held_out lang_pred score",
     10: "doc_id n_words n_hit n_items items_sha256 contaminated",
+    11: "lang source part item value rank",
+    12: "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    13: "doc_id n_assign n_access n_hex base_sha256 spans",
 }
 
 
@@ -39,7 +42,7 @@ def test_contract(spark, docs, name):
     rows = registry.QUERIES[name](spark, str(DATA)).collect()
     want = COLUMNS[number].split()
     assert set(want) <= set(rows[0].asDict())
-    if number != 6:
+    if number not in (6, 11, 12):
         assert sorted(r.doc_id for r in rows) == sorted(docs)
     if number in (1, 8, 9):
         mod, rest = (4, 2) if number == 8 else (3, 1)
@@ -55,6 +58,12 @@ def test_contract(spark, docs, name):
         assert all(r.size == len((docs[r.doc_id].text or "").encode()) + 1 and r.text_crc32 == zlib.crc32((docs[r.doc_id].text or "").encode()) for r in rows)
         load = [sum(r.size for r in rows if r.shard == s) for s in range(8)]
         assert max(load) <= 1.1 * min(load) and {r.law for r in rows} == {"bytes"}
+    if number == 12:
+        assert len(rows) == 600 * len({r.part for r in rows}) and all(r.filter == r.filter_order[r.step - 1] for r in rows)
+    if number == 13:
+        for r in rows:
+            base = ",".join(s for s in r.spans.split(",") if not s.startswith("random"))
+            assert hashlib.sha256(base.encode()).hexdigest() == r.base_sha256 and base.count("hex:") == r.n_hex
     if number == 7:
         assert all(0 <= r.taken <= 3 * r.size for r in rows)
 
@@ -63,7 +72,7 @@ def test_contract(spark, docs, name):
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "labels"):
         c.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     df = registry.QUERIES[name](spark, str(DATA))
     cols = sorted(df.columns)
