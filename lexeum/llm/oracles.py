@@ -63,3 +63,44 @@ s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p))
 o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
     UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM x WHERE n > 0 AND p > q)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o) WHERE part = 'pair' OR rank <= 200"""
+
+
+def _secrets() -> str:
+    """Base spans and runs by lengths of pieces, both models as counts of pairs of characters, and each run's sum."""
+    letters = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    names = "|".join(map(letters, ("password", "passwd", "secret", "token", "api_?key")))
+    alphabet = f"{_UPPER}{_LOWER}0123456789+/_=-"
+    patterns = (("assign", rf"""(?:{names})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 6), ("access", "(AKIA[A-Z0-9]+)", 20), ("hex", "([0-9a-f]{24,})", 24), ("random", "([A-Za-z0-9+/_=-]{16,})", 16))
+    parts, rest = [], "d"
+    lengths = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+    for k, (kind, pattern, least) in enumerate(patterns):
+        cut = "SELECT r, regexp_split_to_array(t, '{p}') AS g, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', 1) AS v FROM {s} WHERE regexp_matches(t, '{p}')"
+        whole = "d" if kind != "random" else rest
+        parts.append(f"c{k} AS ({cut.format(p=pattern, s=whole)})")
+        parts.append(f"s{k} AS (SELECT r, {k} AS k, '{kind}' AS kind, ({lengths('g[1:i]')} + {lengths('m[1:i-1]')})::BIGINT AS a, length(m[i]) AS n, v[i] AS value FROM c{k}, unnest(range(1, len(m) + 1)) t(i) WHERE length(v[i]) >= {least})")
+        if kind != "random":
+            left = f"array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i > len(m) THEN '' WHEN length(v[i]) >= {least} THEN repeat(' ', length(m[i])) ELSE m[i] END), '')"
+            parts.append(f"x{k} AS ({cut.format(p=pattern, s=rest)})")
+            parts.append(f"r{k} AS (SELECT o.r, o.h, coalesce(x.t, o.t) AS t FROM {rest} o LEFT JOIN (SELECT r, {left} AS t FROM x{k}) x ON x.r = o.r)")
+            rest = f"r{k}"
+    sample = "(SELECT count(*) FROM d) <= 20000 OR ('0x' || h[1:8])::BIGINT < floor(20000 / (SELECT count(*) FROM d) * 4294967296)"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS h FROM documents), {", ".join(parts)},
+runs AS (SELECT *, row_number() OVER () AS id FROM s3 WHERE regexp_matches(value, '[0-9]')),
+picked AS (SELECT * FROM {rest} WHERE {sample}),
+strings AS (SELECT FALSE AS random, value FROM (SELECT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_=-]{{6,}}')) AS value FROM picked) x WHERE length(value) < 16 OR NOT regexp_matches(value, '[0-9]')
+    UNION SELECT TRUE, value FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) s WHERE r IN (SELECT r FROM picked) AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+    UNION SELECT TRUE, unnest([h, upper(h), replace(base64(unhex(h)), '=', '')]) FROM picked),
+pairs AS (SELECT random, CASE WHEN i = 1 THEN 0 ELSE strpos('{alphabet}', value[i - 1]) END AS a, strpos('{alphabet}', value[i]) AS b FROM strings, unnest(range(1, length(value) + 1)) t(i)),
+seen AS (SELECT a, b, count(*) FILTER (random) AS r, count(*) FILTER (NOT random) AS o FROM pairs WHERE b > 0 GROUP BY ALL),
+grid AS (SELECT a, b, coalesce(r, 0) + 0.5::DOUBLE AS r, coalesce(o, 0) + 0.5::DOUBLE AS o FROM (SELECT a, b FROM range(0, 68) x(a), range(1, 68) y(b)) g LEFT JOIN seen USING (a, b)),
+w AS (SELECT a, b, round(1000 * (log2(r / sum(r) OVER (PARTITION BY a)) - log2(o / sum(o) OVER (PARTITION BY a))))::INT AS w FROM grid),
+score AS (SELECT id, sum(w) AS score FROM (SELECT id, CASE WHEN i = 1 THEN 0 ELSE strpos('{alphabet}', value[i - 1]) END AS a, strpos('{alphabet}', value[i]) AS b FROM runs, unnest(range(1, length(value) + 1)) t(i)) x JOIN w USING (a, b) GROUP BY id),
+found AS (SELECT r, k, kind, a, n FROM s0 UNION ALL SELECT r, k, kind, a, n FROM s1 UNION ALL SELECT r, k, kind, a, n FROM s2
+    UNION ALL SELECT r, k, kind, a, n FROM runs JOIN score USING (id) WHERE score >= ceil(1000 * log2(greatest(1, (SELECT count(*) FROM runs)) / 0.01))),
+each AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k = 3) AS n_random,
+    string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) AS spans FROM found GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_random, 0) AS n_random
+FROM d LEFT JOIN each ON each.r = d.r"""
+
+
+SECRETS = _secrets()

@@ -99,4 +99,4 @@ def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_sharding, op4_token_counts, op5_minhash_neardup, op6_topk_search, op7_mixing, op8_quality, op9_langid, op10_decontamination, op11_divergence, op12_interaction, op13_secrets)}
-ORACLES = {"op5_minhash_neardup": oracles.NEAR_DUPLICATES, "op6_topk_search": oracles.TOP_K, "op10_decontamination": oracles.DECONTAMINATION, "op11_divergence": oracles.DIVERGENCE, "op12_interaction": oracles.INTERACTION}
+ORACLES = {"op5_minhash_neardup": oracles.NEAR_DUPLICATES, "op6_topk_search": oracles.TOP_K, "op10_decontamination": oracles.DECONTAMINATION, "op11_divergence": oracles.DIVERGENCE, "op12_interaction": oracles.INTERACTION, "op13_secrets": oracles.SECRETS}

@@ -14,7 +14,8 @@ and of ordinary identifiers, reaches the threshold. Both models count which
 character follows which (a string's beginning is a character of its own), with
 ``SMOOTH`` added to each count. The labelled samples come from about
 ``TRAIN_ROWS`` documents, chosen by hash (all, if there are fewer): ordinary are
-the distinct runs of 6 characters or more outside base spans; random are the
+the distinct runs of 6 characters or more outside base spans that are not to be
+judged themselves (so ``LEAST`` and more only without a digit); random are the
 values of base spans that hold a letter and a digit, and, lest all random
 strings look hexadecimal, the SHA-256 of each text written in hexadecimal digits
 of either case and in base 64.
@@ -139,6 +140,7 @@ def samples(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) -
     some = docs.select(F.col(text).alias("text"), key.alias("h")).filter(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") < cut)
     parts, own = with_parts(some, "text")
     plain = parts.select(F.lit(False).alias("random"), F.explode(F.regexp_extract_all(own.rest, F.lit(f"{RUN}{{{LEAST_SAMPLE},}}"), F.lit(0))).alias("value"))
+    plain = plain.filter((F.length("value") < LEAST) | ~F.col("value").rlike("[0-9]"))
     said = parts.select(F.lit(True).alias("random"), F.explode(F.transform(F.concat(*own[: len(PATTERNS)]), lambda m: m["value"])).alias("value"))
     said = said.filter(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))
     drawn = some.select(F.lit(True).alias("random"), F.explode(F.array(F.col("h"), F.upper("h"), F.replace(F.base64(F.unhex("h")), F.lit("="), F.lit("")))).alias("value"))
