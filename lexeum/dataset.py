@@ -56,7 +56,7 @@ class UnifiedDataset:
         return self.use(translator.translate(self.df))
 
     def assign_splits(self, seed: int = 0) -> UnifiedDataset:
-        return self.use(splits.assign_missing_splits(self.df, seed=seed))
+        return self.use(splits.balanced_splits(self.df, seed=seed))
 
     def register_view(self, name: str = "unified") -> None:
         """For ``spark.sql``."""

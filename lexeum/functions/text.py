@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -84,8 +85,63 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: w != "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _nearest(x: Column, digits: int) -> Column:
+    """The whole number nearest to x * 10**digits, ties to even; null unless 0 <= x < 2**52 and the result is a long.
+
+    A double is a whole number of 2**-shift. Both that number and the power are
+    whole decimals, so twice the remainder of their quotient tells the side on
+    which the exact binary value lies.
+    """
+    power = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n).cast("decimal(19,0)")
+    shift = F.greatest(F.lit(0), 53 - F.floor(F.log2(x)).cast("int"))  # so many that the number is whole, though the logarithm may be one off
+
+    def parts(s: Column) -> Column:
+        whole = (power(F.least(s, F.lit(60))) * power(F.greatest(s - 60, F.lit(0)))).cast("decimal(38,0)")
+        number = ((x * F.pow(F.lit(2.0), s)).cast("long").cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(19,0)")).cast("decimal(38,0)")
+        return F.struct(number.alias("a"), whole.alias("b"))
+
+    def even(t: Column) -> Column:
+        def up(q: Column) -> Column:
+            rest = (t["a"] - (q.cast("decimal(19,0)") * t["b"]).cast("decimal(38,0)")) * 2
+            return q + ((rest > t["b"]) | ((rest == t["b"]) & (q % 2 == 1))).cast("long")
+
+        return _let(F.call_function("div", t["a"], t["b"]), up)
+
+    fits = (x < float(1 << 52)) & (x * 10.0**digits < 9e18)
+    # what is under 2**-66 rounds to nothing at any number of digits here
+    return F.when(x < 2.0**-66, F.lit(0).cast("long")).when(fits, _let(_let(shift, parts), even))
+
+
+def rounded(c: Column, digits: int = 0) -> Column:
+    """The double nearest to ``c`` rounded to ``digits`` (at most 15), ties to even, decided by the exact binary value, as Python's ``round``."""
+    return _let(c.cast("double"), lambda x: F.coalesce(F.signum(x) * _nearest(F.abs(x), digits).cast("double") / 10.0**digits, x))
+
+
+def rounded_scaled(c: Column, digits: int = 0) -> Column:
+    """``c`` times the power of ten, to the nearest whole number, ties to even, and back: what arrays' ``round`` gives."""
+    return F.rint(c.cast("double") * 10.0**digits) / 10.0**digits
+
+
+def fixed(c: Column, digits: int = 2) -> Column:
+    """``c`` with ``digits`` after the point, correctly rounded as :func:`rounded`; null stays null."""
+
+    def shown(x: Column, q: Column) -> Column:
+        sign = F.when((x < 0) | (F.signum(x).cast("string") == "-0.0"), "-").otherwise("")
+        odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(F.format_string(f"%.{digits}f", x))
+        said = lambda t: F.concat(sign, F.substr(t, F.lit(1), F.length(t) - digits), F.lit("." if digits else ""), F.right(t, F.lit(digits)) if digits else F.lit(""))
+        text = _let(q.cast("string"), lambda t: _let(F.lpad(t, F.greatest(F.lit(digits + 1), F.length(t)), F.lit("0")), said))
+        return F.when(x.isNotNull(), F.when(q.isNotNull(), text).otherwise(odd))
+
+    return _let(c.cast("double"), lambda x: _let(_nearest(F.abs(x), digits), lambda q: shown(x, q)))
+
+
 def percent(c: Column, digits: int = 2, blank: bool = True) -> Column:
-    return F.format_string(f"%.{digits}f{' ' * blank}%%", c)
+    return F.concat(fixed(c, digits), F.lit(" %" if blank else "%"))
 
 
 def thousands(c: Column) -> Column:

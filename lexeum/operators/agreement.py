@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexeum.functions import text as T
 from lexeum.functions.labels import kappa_bucket
 
 
@@ -100,7 +101,7 @@ def prefix_groups(ranked: DataFrame, votes: DataFrame, item: str, rater: str, la
     """
     w = Window.orderBy(F.desc("kappa"), rater)
     r = ranked.select(rater, "kappa", F.row_number().over(w).alias("rank"), F.lead("kappa").over(w).alias("next"), F.collect_list(rater).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("members"))
-    bound = F.when(F.col("next").isNull(), F.format_string("x ≥ %.4f", "kappa")).otherwise(F.format_string("%.4f < x ≤ %.4f", "next", "kappa"))
+    bound = F.when(F.col("next").isNull(), F.concat(F.lit("x ≥ "), T.fixed(F.col("kappa"), 4))).otherwise(F.concat(T.fixed(F.col("next"), 4), F.lit(" < x ≤ "), T.fixed(F.col("kappa"), 4)))
     heads = r.select("rank", bound.alias("bound"), F.size("members").alias("n_raters"), "members")
     v = votes.join(F.broadcast(r.select(rater, "rank")), rater)
     at = Window.partitionBy(item).orderBy("rank", label)
@@ -146,26 +147,43 @@ def _check_quorum(size: int, combinations: int | None) -> None:
         raise ValueError("at least two combinations are needed")
 
 
+WHOLE = "decimal(38,0)"
+
+
+def _whole(c: Column) -> Column:
+    return c.cast(WHOLE)
+
+
+def _over(a: Column, b: Column) -> Column:
+    """``a / b`` of whole decimals where ``b`` divides ``a``: exact up to 31 digits, an error beyond."""
+    return (a / b.cast("decimal(20,0)")).cast(WHOLE)
+
+
 def _choose(n: Column, k: int) -> Column:
-    out = F.lit(1.0)
+    """How many groups of ``k`` of ``n`` there are, exactly: each step's product is divisible."""
+    out = F.lit(1).cast(WHOLE)
     for i in range(k):
-        out = out * (n - i) / (i + 1)
-    return F.when(n >= k, F.round(out)).otherwise(0.0)
+        out = _over((out * F.greatest(n - i, F.lit(0)).cast("decimal(20,0)")).cast(WHOLE), F.lit(i + 1))
+    return F.when(n >= k, out).otherwise(F.lit(0).cast(WHOLE))
+
 
+def _number(c: Column) -> Column:
+    """A count as a long where it is one, which all counts of up to 18 digits are; an error beyond."""
+    return c.cast("long")
 
-def quorum_majorities(votes: DataFrame, item: str, label: str, positive, size: int) -> DataFrame:
-    """(item, groups, positive_groups): how many of all groups of ``size`` raters have a positive majority.
+
+def quorum_majorities(votes: DataFrame, item: str, label: str, positive, size: int, exact: bool = False) -> DataFrame:
+    """(item, groups, positive_groups): how many of all groups of ``size`` raters have a positive majority, as DECIMAL(38,0) with ``exact``, else as longs (an error where they do not fit).
 
     Closed form over the label counts; no group is built.
     """
     _check_quorum(size, None)
     per = votes.groupBy(item).agg(F.count("*").alias("n"), F.count_if(F.col(label) == positive).alias("h"))
-    won = sum((_choose(F.col("h"), j) * _choose(F.col("n") - F.col("h"), size - j) for j in range(size // 2 + 1, size + 1)), F.lit(0.0))
-    return per.select(item, _choose(F.col("n"), size).cast("long").alias("groups"), won.cast("long").alias("positive_groups"))
-
-
-#: More groups than this of one item are refused: beyond it doubles and longs no longer count exactly.
-MOST_GROUPS = 1 << 53
+    won = F.lit(0).cast(WHOLE)
+    for j in range(size // 2 + 1, size + 1):
+        won = _whole(won + _whole(_choose(F.col("h"), j) * _choose(F.col("n") - F.col("h"), size - j)))
+    shown = _whole if exact else _number
+    return per.select(item, shown(_choose(F.col("n"), size)).alias("groups"), shown(won).alias("positive_groups"))
 
 
 def _unranked(rank: Column, n: Column, groups: Column, size: int) -> Column:
@@ -174,43 +192,66 @@ def _unranked(rank: Column, n: Column, groups: Column, size: int) -> Column:
     ``b`` counts the groups that begin with the place looked at; it follows
     from the one before by a multiplication and an exact division.
     """
-    long = lambda x: x.cast("long")
-    div = lambda a, b: F.call_function("div", a, b)
-    start = F.struct(long(rank).alias("rank"), long(div(groups * size, F.greatest(n, F.lit(1)))).alias("b"), F.lit(size).cast("long").alias("need"), F.array().cast("array<int>").alias("c"))
+    zero = F.lit(0).cast(WHOLE)
+    start = F.struct(_whole(rank).alias("rank"), _over(_whole(_whole(groups) * F.lit(size).cast("decimal(20,0)")), F.greatest(n, F.lit(1))).alias("b"), F.lit(size).cast("long").alias("need"), F.array().cast("array<int>").alias("c"))
 
     def step(s: Column, i: Column) -> Column:
-        rest = long(n) - 1 - i  # places behind this one
+        rest = n.cast("long") - 1 - i  # places behind this one
         take = (s["need"] > 0) & (s["rank"] < s["b"])
         after = F.greatest(rest, F.lit(1).cast("long"))
-        taken = F.struct(s["rank"].alias("rank"), long(div(s["b"] * (s["need"] - 1), after)).alias("b"), (s["need"] - 1).alias("need"), F.concat(s["c"], F.array(i.cast("int"))).alias("c"))
-        left = F.struct((s["rank"] - F.when(s["need"] > 0, s["b"]).otherwise(F.lit(0).cast("long"))).alias("rank"), long(div(s["b"] * (rest - s["need"] + 1), after)).alias("b"), s["need"].alias("need"), s["c"].alias("c"))
+        times = lambda k: _whole(s["b"] * F.greatest(k, F.lit(0).cast("long")).cast("decimal(20,0)"))
+        taken = F.struct(s["rank"].alias("rank"), _over(times(s["need"] - 1), after).alias("b"), (s["need"] - 1).alias("need"), F.concat(s["c"], F.array(i.cast("int"))).alias("c"))
+        left = F.struct(_whole(s["rank"] - F.when(s["need"] > 0, s["b"]).otherwise(zero)).alias("rank"), _over(times(rest - s["need"] + 1), after).alias("b"), s["need"].alias("need"), s["c"].alias("c"))
         return F.when(take, taken).otherwise(left)
 
     return F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["c"])
 
 
+#: Up to so many groups of an item are put in hashed order to draw from; of more, ranks are drawn until enough differ.
+LISTED = 1 << 16
+
+
+def _hashed(seed: int, item: str, what: Column) -> Column:
+    """The MD5 of seed, item and a number."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(item).cast("string"), what.cast("string")))
+
+
+def _drawn(rows: DataFrame, item: str, seed: int) -> DataFrame:
+    """``rows`` (with ``all`` groups, ``m`` of them wanted) with ``ranks``: ``m`` different ranks in order, every set of ranks as likely as any other.
+
+    Of up to ``LISTED`` groups, or where half of all are wanted, the ranks of
+    least hash. Of more, the first ``m`` different ones of a row of 120-bit
+    hashes modulo the number of groups, 4 m + 64 of them, of which far more than
+    ``m`` differ (the bias is ``all`` / 2**120).
+    """
+    few = (F.col("all") <= LISTED) | (F.col("m") * 2 >= F.col("all"))
+    listed = F.transform(F.sequence(F.lit(0).cast("long"), F.col("all").cast("long") - 1), lambda r: F.struct(_hashed(seed, item, r).alias("h"), r.cast(WHOLE).alias("r")))
+    least = F.transform(F.slice(F.array_sort(listed), F.lit(1), F.col("m").cast("int")), lambda x: x["r"])
+    part = lambda h, at: _whole(F.conv(F.substr(h, F.lit(at), F.lit(15)), 16, 10))
+    big = lambda h: _whole(part(h, 1) * F.lit(1 << 60).cast("decimal(19,0)")) + part(h, 16)
+    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") * 4 + 63), lambda j: _whole(F.pmod(_whole(big(_hashed(seed, item, j))), F.col("all"))))
+    first = F.slice(F.array_distinct(draws), F.lit(1), F.col("m").cast("int"))
+    enough = F.when(F.size(first) == F.col("m"), first).otherwise(F.raise_error(F.lit("too few different groups were drawn")).cast(f"array<{WHOLE}>"))
+    return rows.withColumn("ranks", F.array_sort(F.when(few, least).otherwise(enough)))
+
+
 def quorums(votes: DataFrame, item: str, rater: str, label: str, size: int, combinations: int | None = None, seed: int = 42) -> DataFrame:
     """(group_id, item, label): the majority label of groups of ``size`` raters of each item, all or a seeded sample.
 
     Groups are ranks 0..C(n, size)-1 in lexicographic order of an item's votes
-    and are made from their rank alone; a sample takes one rank from each of
-    ``combinations`` equal ranges, by a hash of seed and item, and numbers its
-    groups from 1 in that order (the original's random numbers cannot be had
-    outside Python). Ties of labels go to the first by name.
+    and are made from their rank alone, in whole decimals of 38 digits. A sample
+    is drawn uniformly without replacement, by hashes of seed, item and rank, and
+    its groups are numbered from 1 in order of rank (the original's random
+    numbers cannot be had outside Python). Ties of labels go to the first by name.
     """
     _check_quorum(size, combinations)
     own = votes.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(rater, label))).alias("v"))
     own = own.withColumn("n", F.size("v")).filter(F.col("n") >= size).withColumn("all", _choose(F.col("n"), size))
-    groups = F.when(F.col("all") > float(MOST_GROUPS) / 64, F.raise_error(F.lit("an item has too many groups to count")).cast("long")).otherwise(F.col("all").cast("long"))
-    own = own.withColumn("all", groups)
     if combinations is None:
-        rows = own.select(item, "v", "n", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("g")).withColumn("rank", F.col("g"))
+        rows = own.select(item, "v", "n", "all", F.explode(F.sequence(F.lit(0).cast("long"), _number(F.col("all")) - 1)).alias("g")).withColumn("rank", _whole(F.col("g")))
     else:
-        rows = own.withColumn("m", F.least(F.col("all"), F.lit(combinations).cast("long")))
-        rows = rows.select(item, "v", "n", "all", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("g"))
-        width, more = F.call_function("div", F.col("all"), F.col("m")), F.col("all") % F.col("m")
-        wide = width + (F.col("g") < more).cast("long")
-        rows = rows.withColumn("rank", F.col("g") * width + F.least(F.col("g"), more) + F.pmod(F.xxhash64(F.lit(seed), F.col(item), F.col("g")), wide))
+        drawn = _drawn(own.withColumn("m", F.least(F.col("all"), F.lit(combinations).cast(WHOLE)).cast("long")), item, seed)
+        rows = drawn.select(item, "v", "n", "all", F.posexplode("ranks").alias("g", "rank"))
     picked = F.transform(_unranked(F.col("rank"), F.col("n"), F.col("all"), size), lambda i: F.get("v", i)[label])
     said = rows.select((F.col("g") + 1).cast("int").alias("group_id"), item, picked.alias("said"))
     votes_ = lambda x: F.size(F.filter("said", lambda y: y == x))

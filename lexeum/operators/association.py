@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexeum.functions import text as T
+from lexeum.session import scratch_path
 
 # Words the data was gathered with, which say nothing about it.
 KEYWORDS = ("dorfmatratze", "flittchen", "fotze", "hürchen", "hure", "schlampe", "bitch", "cunt", "hoe", "pussy", "slut", "whore")
@@ -41,17 +42,27 @@ def counted(word: Column, stop_words: Iterable[str] = ()) -> Column:
     return (F.length(word) > 2) & ~word.isin(*sorted({w.lower() for w in stop_words} | set(KEYWORDS)))
 
 
-def word_counts(df: DataFrame, tokens: str, by: Iterable[str] = (), keep=None) -> DataFrame:
+def word_counts(df: DataFrame, tokens: str, by: Iterable[str] = (), keep=None, rows: bool = False) -> DataFrame:
     """(by..., word, count, docs): occurrences and documents (rows of ``df``) of each word; ``keep`` is a condition on the word.
 
     A row's tokens are sorted, so that a word's first place in its row is seen
     from the token before, and both counts come from one partial aggregation.
+    With ``rows`` there is also a null word, whose count is the group's rows;
+    tokens themselves are never null.
     """
     by = list(by)
-    rows = df.select(*by, F.sort_array(tokens).alias("_t")).select(*by, "_t", F.posexplode("_t").alias("_p", "word"))
-    rows = rows.filter(keep(F.col("word"))) if keep else rows
-    first = (F.col("_p") == 0) | (F.get("_t", F.col("_p") - 1) != F.col("word"))
-    return rows.groupBy(*by, "word").agg(F.count("*").alias("count"), F.count_if(first).alias("docs"))
+    own = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+    sorted_ = F.sort_array(F.array_append(own, F.lit(None).cast("string")) if rows else own)  # null is the first
+    each = df.select(*by, sorted_.alias("_t")).select(*by, "_t", F.posexplode("_t").alias("_p", "word"))
+    each = each.filter(F.col("word").isNull() | keep(F.col("word"))) if keep else each
+    first = (F.col("_p") == 0) | ~F.get("_t", F.col("_p") - 1).eqNullSafe(F.col("word"))
+    return each.groupBy(*by, "word").agg(F.count("*").alias("count"), F.count_if(first).alias("docs"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files have fewer parts than these (one small file is one part); larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def term_frequency(df: DataFrame, tokens: str, min_docs: int = 2, keep=None) -> DataFrame:
@@ -69,11 +80,16 @@ def npmi(df: DataFrame, tokens: str, cls: str, min_count: int = 2, keep=None) ->
 
     p(class) is the class's documents, p(word) the word's occurrences and
     p(class, word) its occurrences in the class, each over the corpus's words;
-    -inf where a word occurs fewer than ``min_count`` times there.
+    -inf where a word occurs fewer than ``min_count`` times there. The documents
+    are read once, by a job: the counts by class and word, a row a class and word,
+    go to the shared folder, and the rest follows from them.
     """
-    xy = word_counts(df, tokens, [cls], keep).withColumnRenamed("count", "n_xy")
+    path = scratch_path(df.sparkSession, "words")
+    word_counts(df, tokens, [cls], keep, rows=True).write.parquet(path)
+    seen = df.sparkSession.read.parquet(path)
+    xy = seen.filter("word IS NOT NULL").withColumnRenamed("count", "n_xy")
     total = F.broadcast(xy.agg(F.sum("n_xy").alias("words")))  # one row
-    x = F.broadcast(df.groupBy(cls).agg(F.count("*").alias("n_x")))  # a row a class
+    x = F.broadcast(seen.filter("word IS NULL").select(cls, F.col("count").alias("n_x")))  # a row a class
     with_y = xy.withColumn("n_y", F.sum("n_xy").over(Window.partitionBy("word")))
     joined = with_y.filter(F.col("docs") >= min_count).join(x, cls).crossJoin(total)
     n = F.col("words").cast("double")

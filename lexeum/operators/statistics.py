@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexeum import schema
 from lexeum.functions import labels as L
 from lexeum.functions import text as T
+from lexeum.session import scratch_path
 
 
 def _long(df: DataFrame, keys: Sequence[str], parts: dict[str, dict[str, Column]], name: str) -> DataFrame:
@@ -131,6 +132,64 @@ def exact_quantiles(df: DataFrame, c: str, shares: Sequence[float], bins: int =
     return [found[int(v)] + (v - int(v)) * (found[min(n - 1, int(v) + 1)] - found[int(v)]) for v in at.values()]
 
 
+def _stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def grouped_quantiles(df: DataFrame, c: str, by: str, shares: Sequence[float], name: str = "q", bins: int = 4096, few: int = 10_000, stored: bool = False) -> DataFrame:
+    """(by, name): exact interpolated quantiles of each group, an array in the order of ``shares``, without missing values; runs jobs.
+
+    As :func:`exact_quantiles`, for all groups at once: the ranges that hold a
+    wanted rank are a table (a row a group and range), each refined ``bins``-fold
+    a round by counts that tasks add up first, until it holds one value or no
+    more than ``few`` rows, which are then numbered. No task sees all values of
+    a group, whatever its share of the rows. Groups of no values have no row.
+    The values are read once a round; they are written to the shared folder
+    first, unless ``df`` is ``stored`` already.
+    """
+    x = df.select(F.col(by).alias("k"), F.col(c).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    x = x if stored else _stored(x, "values")
+    facts = _stored(x.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")), "facts")
+    at = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    low = lambda p: F.floor(at(p)).cast("long")
+    high = lambda p: F.least(F.col("n") - 1, low(p) + 1)
+    ranks = F.array_distinct(F.array(*(r for p in shares for r in (low(p), high(p)))))
+    spans = facts.select(F.col("k").alias("g"), "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("here"), ranks.alias("ranks"))
+    found = []
+    while True:
+        done = F.col("lo") == F.col("hi")
+        found.append(spans.filter(done).select("g", F.explode("ranks").alias("rank"), F.col("lo").alias("value")))
+        within = F.col("k").eqNullSafe(F.col("g")) & F.col("x").between(F.col("lo"), F.col("hi"))
+        small = x.join(spans.filter(~done & (F.col("here") <= few)), within)
+        placed = small.withColumn("rank", F.col("below") + F.row_number().over(Window.partitionBy("g", "lo").orderBy("x")) - 1)
+        found.append(placed.filter(F.array_contains("ranks", F.col("rank"))).select("g", "rank", F.col("x").alias("value")))
+        open_ = spans.filter(~done & (F.col("here") > few))
+        if open_.isEmpty():
+            break
+        share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        counts = x.join(open_, within).groupBy("g", F.col("lo").alias("from"), F.least(F.lit(bins - 1), F.floor(share * bins).cast("int")).alias("bin")).agg(F.count("*").alias("here"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.first("below").alias("below"), F.first("ranks").alias("ranks"))
+        upto = F.col("below") + F.sum("here").over(Window.partitionBy("g", "from").orderBy("bin"))
+        counts = counts.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("here"))
+        counts = counts.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("upto")))).filter(F.size("ranks") > 0)
+        spans = _stored(counts.select("g", "lo", "hi", "below", "here", "ranks"), "spans")
+    values = found[0]
+    for f in found[1:]:
+        values = values.unionByName(f)
+    of = values.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("v"))
+    value = lambda r: F.element_at("v", r)
+    out = facts.join(of, F.col("k").eqNullSafe(F.col("g")))
+    return out.select(F.col("k").alias(by), F.array(*(value(low(p)) + (at(p) - low(p)) * (value(high(p)) - value(low(p))) for p in shares)).alias(name))
+
+
+def _with_quantiles(stats: DataFrame, q: DataFrame, by: str) -> DataFrame:
+    """The groups' rows and their array of quantiles; null keys meet."""
+    q = q.select(F.col(by).alias("_by"), "q")
+    return stats.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+
+
 def describe(df: DataFrame, c: str) -> DataFrame:
     """Count, mean, deviation, least, exact quartiles, most. The quartiles are found before (see :func:`exact_quantiles`)."""
     q = exact_quantiles(df, c, (0.25, 0.5, 0.75))
@@ -143,28 +202,28 @@ def without_split(df: DataFrame, name: str = "without_split") -> DataFrame:
 
 
 def length_stats(df: DataFrame, by: str = "source", text: str = "text") -> DataFrame:
-    """Words a text: mean, median, p95, p99, least, most, by group; interpolated exactly."""
-    wc = df.filter(F.col(text).isNotNull()).select(by, T.word_count(F.col(text)).alias("wc"))
-    q = F.percentile("wc", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return wc.groupBy(by).agg(F.count("*").alias("texts"), F.avg("wc").alias("mean"), q.alias("q"), F.min("wc").alias("min"), F.max("wc").alias("max")).select(by, "texts", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), "min", "max")
+    """Words a text: mean, median, p95, p99, least, most, by group; interpolated exactly (see :func:`grouped_quantiles`)."""
+    wc = _stored(df.filter(F.col(text).isNotNull()).select(by, T.word_count(F.col(text)).alias("wc")), "words")
+    stats = wc.groupBy(by).agg(F.count("*").alias("texts"), F.avg("wc").alias("mean"), F.min("wc").alias("min"), F.max("wc").alias("max"))
+    both = _with_quantiles(stats, grouped_quantiles(wc, "wc", by, (0.5, 0.95, 0.99), stored=True), by)
+    return both.select(by, "texts", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), "min", "max")
 
 
 def length_table(df: DataFrame, by: str = "source", text: str = "text") -> DataFrame:
     """:func:`length_stats` as shown: whole numbers, cut and not rounded, and the mean to one digit."""
     stats = length_stats(df, by, text)
-    return stats.select(by, "texts", "min", *(F.col(x).cast("int").alias(x) for x in ("median",)), F.round("mean", 1).alias("mean"), *(F.col(x).cast("int").alias(x) for x in ("p95", "p99")), "max")
+    return stats.select(by, "texts", "min", *(F.col(x).cast("int").alias(x) for x in ("median",)), T.rounded(F.col("mean"), 1).alias("mean"), *(F.col(x).cast("int").alias(x) for x in ("p95", "p99")), "max")
 
 
 def clipped_lengths(df: DataFrame, by: str = "source", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """Each text's words, at most its group's 99th percentile. Groups are few: their table is joined by broadcast when small."""
-    wc = df.filter(F.col(text).isNotNull()).select(*keep, by, T.word_count(F.col(text)).alias("wc"))
-    top = wc.groupBy(by).agg(F.percentile("wc", F.lit(0.99)).alias("p99"))
-    return wc.join(top, by).select(*keep, by, F.least(F.col("wc").cast("double"), F.col("p99")).alias("clipped"))
+    """Each text's words, at most its group's 99th percentile."""
+    wc = _stored(df.filter(F.col(text).isNotNull()).select(*keep, by, T.word_count(F.col(text)).alias("wc")), "words")
+    return _with_quantiles(wc, grouped_quantiles(wc, "wc", by, (0.99,), stored=True), by).select(*keep, by, F.least(F.col("wc").cast("double"), F.col("q")[0]).alias("clipped"))
 
 
 def box_stats(df: DataFrame, c: str, by: str) -> DataFrame:
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(by).agg(q.alias("q")).select(by, F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
+    """Quartiles of each group, null where it has no values."""
+    return _with_quantiles(df.select(by).distinct(), grouped_quantiles(df, c, by, (0.25, 0.5, 0.75)), by).select(by, F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
 
 
 def density(df: DataFrame, c: str, by: str, points: Sequence[float], bandwidth: float) -> DataFrame:
@@ -209,10 +268,31 @@ def summary(df: DataFrame, labels: Sequence[str] = schema.LABELS) -> DataFrame:
     splits = df.filter(~no_split).groupBy("source", "split").agg(F.count("*").alias("n"))
     splits = splits.groupBy(F.col("source").alias("_s")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "n"))), lambda s: F.concat(s["split"], F.lit(": "), s["n"].cast("string"))), ", ").alias("splits"))
     out = per.join(splits, F.col("source").eqNullSafe(F.col("_s")), "left")
-    rate = lambda s: F.concat(s["l"], F.lit(": "), F.format_string("%.1f%%", s["p"] * 100.0 / s["n"]))
+    rate = lambda s: F.concat(s["l"], F.lit(": "), T.percent(s["p"] / s["n"] * 100.0, 1, blank=False))
     return out.select("source", "rows", "languages", F.size(known).alias("n_labels"), F.array_join(F.transform(known, lambda s: s["l"]), ", ").alias("labels"), F.array_join(F.transform(known, rate), ", ").alias("rates"), F.coalesce("splits", F.lit("none")).alias("splits"), "no_split")
 
 
+def summary_table(df: DataFrame, catalog: dict[str, Sequence[str]] | None = None, labels: Sequence[str] = schema.LABELS) -> DataFrame:
+    """:func:`summary` as it is shown: a source's labels are those of the catalog, with 0.0% where nothing is annotated, its splits stand by falling counts, and numbers have commas.
+
+    Sources that are not in the catalog have all ``labels``; splits of equal counts stand by name.
+    """
+    catalog = schema.CORPUS_LABELS if catalog is None else catalog
+    no_split = F.col("split").isNull() | (F.col("split") == "None")
+    per = df.groupBy("source").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("language")), ", ").alias("language"), F.count_if(no_split).alias("_none"), *(F.count(x).alias(f"{x}_n") for x in labels), *(_pos(x).alias(f"{x}_p") for x in labels))
+    splits = df.filter(F.col("split").isNotNull()).groupBy("source", "split").agg(F.count("*").alias("n"))
+    each = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "split", "n"))), lambda s: F.concat(s["split"], F.lit(": "), T.thousands(s["n"])))
+    splits = splits.groupBy(F.col("source").alias("_s")).agg(F.array_join(each, "  ").alias("splits"))
+    out = per.join(splits, F.col("source").eqNullSafe(F.col("_s")), "left")
+    own = F.lit(None).cast("array<string>")
+    for name, names in catalog.items():
+        own = F.when(F.col("source") == name, F.array(*map(F.lit, names))).otherwise(own)
+    named = out.withColumn("_labels", F.coalesce(own, F.array(*map(F.lit, labels))))
+    rate = F.array(*(F.struct(F.lit(x).alias("l"), F.concat(F.lit(f"{x}: "), T.percent(F.coalesce(F.try_divide(f"{x}_p", f"{x}_n") * 100.0, F.lit(0.0)), 1, blank=False)).alias("r")) for x in labels))
+    rates = F.transform("_labels", lambda x: F.get(F.filter(rate, lambda r: r["l"] == x), F.lit(0))["r"])
+    return named.select("source", T.thousands(F.col("n")).alias("rows"), "language", F.size("_labels").cast("string").alias("n_labels"), F.array_join("_labels", ", ").alias("labels"), F.array_join(rates, "  |  ").alias("positive_rates"), F.coalesce("splits", F.lit("none")).alias("splits"), T.thousands(F.col("_none")).alias("no_split_rows"))
+
+
 def non_null_counts(df: DataFrame) -> DataFrame:
     return df.agg(*(F.count(c).alias(c) for c in df.columns))
 

@@ -5,8 +5,11 @@ The plan: clean and hash, look up the cache, translate each missing text once
 The cache grows with the data, so it is joined by hash, and Spark broadcasts
 it only if its size allows. New entries go to a folder of their own beside the
 old ones, which are never written again: the cache stays linear in the texts,
-and jobs that add to it at the same time do not meet. ``compact`` makes one
-table of many.
+and jobs that add to it at the same time do not meet. Entries lie in 256 buckets
+by the first two digits of their hash, sorted, with Bloom filters of the hashes:
+where the cache has more than ``WHOLE_FILES`` files, a job first finds out which
+buckets its texts are in (256 values at most) and reads only their files.
+``compact`` makes one table of many.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexeum.functions import text as T
@@ -26,9 +29,15 @@ from lexeum.sources import readers as R
 #: A factory that is called once in each worker and gives a function from texts to translations.
 Backend = Callable[[], Callable[[list[str]], list[str]]]
 CACHE = "hash string, translated string"
+#: Caches of up to so many files are read whole.
+WHOLE_FILES = 256
 log = logging.getLogger(__name__)
 
 
+def _bucket(hash_: Column) -> Column:
+    return F.substring(hash_, 1, 2)
+
+
 def tagging_backend(tag: str = "[de] ") -> Backend:
     """Puts a tag in front: deterministic, for tests and dry runs."""
     return lambda: lambda texts: [tag + t for t in texts]
@@ -97,20 +106,37 @@ class Translator:
     source_lang: str = "en"
     target_lang: str = "de"
 
-    def cache(self, spark: SparkSession) -> DataFrame:
-        """All entries, one a hash; empty where there is no cache or it cannot be read."""
+    def cache(self, spark: SparkSession, hashes: DataFrame | None = None) -> DataFrame:
+        """The entries, one a hash; empty where there is no cache or it cannot be read. With ``hashes`` at least those whose hash it has."""
         if not self.cache_path:
             return spark.createDataFrame([], CACHE)
-        return R.read_parquet_or_empty(spark, self.cache_path, CACHE).filter(F.col("hash").isNotNull()).dropDuplicates(["hash"])
-
-    def _added(self) -> str:
-        return f"{self.cache_path.rstrip('/')}/added-{uuid.uuid4().hex}"
+        found = self._files(spark, hashes)
+        if found is None:
+            found = R.read_parquet_or_empty(spark, self.cache_path, CACHE)
+        return found.filter(F.col("hash").isNotNull()).dropDuplicates(["hash"])
+
+    def _files(self, spark: SparkSession, hashes: DataFrame | None) -> DataFrame | None:
+        """What the buckets of ``hashes`` hold, and files that are in none; null where the whole cache is to be read."""
+        root = self.cache_path.rstrip("/")
+        if hashes is None or len(R.list_files(spark, f"{root}/added-*/bucket=*/*.parquet")) <= WHOLE_FILES:
+            return None
+        wanted = {r[0] for r in hashes.select(_bucket(F.col("hash"))).distinct().collect()}
+        paths = [p for p in R.list_files(spark, f"{root}/added-*/bucket=*") if p.rsplit("=", 1)[1] in wanted]
+        paths += R.list_files(spark, f"{root}/*.parquet") + R.list_files(spark, f"{root}/added-*/*.parquet")
+        return spark.read.schema(CACHE).parquet(*paths) if paths else spark.createDataFrame([], CACHE)
+
+    def _add(self, entries: DataFrame) -> str:
+        """Write entries to a folder of their own, in buckets; its path."""
+        path = f"{self.cache_path.rstrip('/')}/added-{uuid.uuid4().hex}"
+        rows = entries.select("hash", "translated", _bucket(F.col("hash")).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "hash")
+        rows.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#hash", "true").parquet(path)
+        return path
 
     def compact(self, spark: SparkSession) -> None:
         """The cache as one table instead of one for each job. No other job may add to it meanwhile."""
         old = R.list_files(spark, f"{self.cache_path.rstrip('/')}/added-*")
         if len(old) > 1:
-            self.cache(spark).write.parquet(self._added())
+            self._add(self.cache(spark))
             for path in old:
                 p = spark._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -128,6 +154,11 @@ class Translator:
 
         return todo.mapInPandas(run, CACHE)
 
+    @staticmethod
+    def _asked(marked: DataFrame) -> DataFrame:
+        """The hashes of the texts to translate."""
+        return marked.filter(F.col("_eligible") & (F.col("_clean") != "")).select(F.col("_hash").alias("hash"))
+
     def mark(self, df: DataFrame) -> DataFrame:
         """With the helper columns: eligible, cleaned text, hash."""
         if missing := sorted({"text", "language"} - set(df.columns)):
@@ -139,12 +170,11 @@ class Translator:
         """``df`` with translated texts and text_original, is_translated, translation_status."""
         spark = df.sparkSession
         marked = self.mark(df)
-        cache = self.cache(spark)
+        cache = self.cache(spark, self._asked(marked))
         fresh = self._missing(spark, marked, cache)
         if self.cache_path:  # write before the join, so that no text is translated twice
-            path = self._added()
-            fresh.filter(F.col("translated").isNotNull()).write.parquet(path)
-            known = cache.unionByName(spark.read.schema(CACHE).parquet(path))
+            path = self._add(fresh.filter(F.col("translated").isNotNull()))
+            known = cache.unionByName(spark.read.schema(CACHE).option("recursiveFileLookup", True).parquet(path))
         else:
             known = cache.unionByName(fresh)
         out = marked.join(known.filter(F.col("translated").isNotNull()).select(F.col("hash").alias("_hash"), "translated"), "_hash", "left")
@@ -161,7 +191,7 @@ class Translator:
     def metrics(self, df: DataFrame) -> DataFrame:
         """Rows: eligible, empty, in the cache, and not."""
         m = self.mark(df).filter("_eligible")
-        m = m.join(self.cache(df.sparkSession).select(F.col("hash").alias("_hash"), F.lit(True).alias("_hit")), "_hash", "left")
+        m = m.join(self.cache(df.sparkSession, self._asked(m)).select(F.col("hash").alias("_hash"), F.lit(True).alias("_hit")), "_hash", "left")
         some, hit = F.col("_clean") != "", F.coalesce("_hit", F.lit(False))
         return m.agg(F.count("*").alias("eligible"), F.count_if(~some).alias("empty"), F.count_if(some & hit).alias("hits"), F.count_if(some & ~hit).alias("misses"))
 

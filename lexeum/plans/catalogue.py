@@ -27,7 +27,7 @@ SQL_LABELS = "NULL::DOUBLE AS hate_speech, l.toxic::DOUBLE AS toxic, NULL::DOUBL
 SQL_SPLIT = "CASE WHEN d.doc_id % 10 = 0 THEN 'test' WHEN d.doc_id % 10 = 1 THEN 'val' WHEN d.doc_id % 10 < 8 THEN 'train' END"
 SQL_CORPUS = f"corpus AS (SELECT d.doc_id, d.text, d.source, d.lang AS language, {SQL_SPLIT} AS split, {SQL_LABELS} FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
 SQL_LONG = " UNION ALL ".join(f"SELECT language, '{x}' AS label, {x} AS v FROM corpus" for x in schema.LABELS)
-SQL_VOTES = "votes AS (SELECT l_orderkey AS item, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS rater, l_returnflag AS label FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = 4))"
+SQL_VOTES = "votes AS (SELECT l_orderkey AS item, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS rater, l_returnflag AS label FROM lineitem)"
 
 
 def query(sql: str | None = None):
@@ -60,11 +60,9 @@ def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item, rater, label): orders of four lines, a line a vote. One exchange on the order serves both windows."""
-    w = Window.partitionBy("l_orderkey")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
-    rows = rows.withColumn("n", F.count("*").over(w)).withColumn("rater", F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
-    return rows.filter("n = 4").select(F.col("l_orderkey").alias("item"), "rater", F.col("l_returnflag").alias("label"))
+    """(item, rater, label): orders, a line a vote; orders of one line are items of one vote."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.row_number().over(w).alias("rater"), F.col("l_returnflag").alias("label"))
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
@@ -326,6 +324,36 @@ def dataset_summary(spark, sf_dir):
     return statistics.summary(unified(spark, sf_dir))
 
 
+def _sql_rate(x: str) -> str:
+    return f"printf('{x}: %.1f%%', coalesce(count(*) FILTER (WHERE {x} = 1)::DOUBLE / nullif(count({x}), 0) * 100, 0.0))"
+
+
+SHOWN_LABELS = {"src0": ("toxic", "threat"), "src1": ("impolite",)}
+
+
+@query(
+    f"""WITH {SQL_CORPUS}, s AS (SELECT source, string_agg(split || ': ' || format('{{:,}}', n), '  ' ORDER BY n DESC, split) AS splits FROM (SELECT source, split, count(*) AS n FROM corpus WHERE split IS NOT NULL GROUP BY ALL) GROUP BY source)
+    SELECT c.source, format('{{:,}}', count(*)) AS rows, string_agg(DISTINCT language, ', ' ORDER BY language) AS language, CASE c.source WHEN 'src0' THEN '2' WHEN 'src1' THEN '1' ELSE '5' END AS n_labels,
+    CASE c.source WHEN 'src0' THEN 'toxic, threat' WHEN 'src1' THEN 'impolite' ELSE '{", ".join(schema.LABELS)}' END AS labels,
+    CASE c.source WHEN 'src0' THEN {_sql_rate("toxic")} || '  |  ' || {_sql_rate("threat")} WHEN 'src1' THEN {_sql_rate("impolite")} ELSE {" || '  |  ' || ".join(map(_sql_rate, schema.LABELS))} END AS positive_rates,
+    coalesce(any_value(s.splits), 'none') AS splits, format('{{:,}}', count(*) FILTER (WHERE split IS NULL)) AS no_split_rows FROM corpus c LEFT JOIN s ON s.source = c.source GROUP BY c.source"""
+)
+def summary_table(spark, sf_dir):
+    """The summary as it is shown; two sources have labels of their own in the catalog."""
+    return statistics.summary_table(unified(spark, sf_dir), SHOWN_LABELS)
+
+
+SQL_TIES = ("l_linenumber * 6.25::DOUBLE", "l_quantity::DOUBLE / 200", "l_linenumber + 0.675::DOUBLE", "(l_suppkey - 40) / 16::DOUBLE", "l_extendedprice::DOUBLE / 3")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {', '.join(f"printf('%.{d}f', {x}) AS x{i}_{d}" for i, x in enumerate(SQL_TIES) for d in (1, 2))} FROM lineitem")
+def rounded_numbers(spark, sf_dir):
+    """Ties (6.25, 0.125), what only looks like one (0.15, 2.675), negative and other numbers, with several digits."""
+    number = lambda c: F.col(c).cast("double")
+    values = (number("l_linenumber") * 6.25, number("l_quantity") / 200, number("l_linenumber") + 0.675, (number("l_suppkey") - 40) / 16, number("l_extendedprice") / 3)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(T.fixed(x, d).alias(f"x{i}_{d}") for i, x in enumerate(values) for d in (1, 2)))
+
+
 @query(f"WITH {SQL_CORPUS} SELECT ((count(hate_speech) > 0)::INT + (count(toxic) > 0)::INT + (count(threat) > 0)::INT + (count(insult) > 0)::INT + (count(impolite) > 0)::INT) AS labels_with_data FROM corpus")
 def labels_with_data(spark, sf_dir):
     return statistics.labels_with_data(unified(spark, sf_dir))
@@ -428,7 +456,7 @@ class _KnownTranslator(translation.Translator):
 
     known: DataFrame
 
-    def cache(self, spark):
+    def cache(self, spark, hashes=None):
         return self.known
 
 
@@ -498,6 +526,23 @@ def assign_missing_splits(spark, sf_dir):
     return splits.assign_missing_splits(unified(spark, sf_dir))
 
 
+SQL_OPEN = " UNION ALL ".join(f"SELECT source, '{x}' AS label, {x} AS value FROM corpus WHERE split IS NULL" for x in schema.LABELS)
+
+
+@query(
+    f"""WITH {SQL_CORPUS}, o AS ({SQL_OPEN}), n AS (SELECT source, label, value, count(*) AS rows FROM o GROUP BY ALL)
+    SELECT source, label, value, rows, s.split, TRUE AS within_one FROM n, (VALUES ('train'), ('val'), ('test')) s(split)"""
+)
+def balanced_split(spark, sf_dir):
+    """Of each source, label and value: are its rows in each split within one of the fractions?"""
+    df = unified(spark, sf_dir)
+    open_ = df.filter("split IS NULL")
+    rows = splits.balanced_splits(open_).select("source", "split", F.explode(F.array(*(F.struct(F.lit(x).alias("label"), F.col(x).alias("value")) for x in schema.LABELS))).alias("r")).select("source", "split", "r.*")
+    counts = rows.groupBy("source", "label", "value").agg(F.count("*").alias("rows"), *(F.count_if(F.col("split") == s).alias(s) for s in splits.NAMES))
+    each = F.array(*(F.struct(F.lit(s).alias("split"), (F.abs(F.col(s) - F.col("rows") * f) <= 1 + 1e-9).alias("within_one")) for s, f in zip(splits.NAMES, splits.FRACTIONS, strict=True)))
+    return counts.select("source", "label", "value", "rows", F.explode(each).alias("e")).select("source", "label", "value", "rows", "e.*")
+
+
 @query(SQL_ASSIGNED + ", c AS (SELECT split, toxic, count(*) AS n FROM u GROUP BY ALL) SELECT split, toxic, n AS count, round(n / (sum(n) OVER (PARTITION BY split))::DOUBLE, 9) AS share FROM c")
 def split_share(spark, sf_dir):
     return rounded(splits.split_shares(splits.assign_missing_splits(unified(spark, sf_dir)), "toxic"), "share")
@@ -567,8 +612,8 @@ def expert_prefix(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SQL_VOTES} SELECT a.item, count(*) AS groups, count(*) FILTER (WHERE (a.label = 'N')::INT + (b.label = 'N')::INT + (c.label = 'N')::INT >= 2) AS positive_groups
-    FROM votes a JOIN votes b ON b.item = a.item AND b.rater > a.rater JOIN votes c ON c.item = a.item AND c.rater > b.rater GROUP BY a.item"""
+    f"""WITH {SQL_VOTES} SELECT a.item, count(c.rater) AS groups, count(*) FILTER (WHERE (a.label = 'N')::INT + (b.label = 'N')::INT + (c.label = 'N')::INT >= 2) AS positive_groups
+    FROM votes a LEFT JOIN votes b ON b.item = a.item AND b.rater > a.rater LEFT JOIN votes c ON c.item = a.item AND c.rater > b.rater GROUP BY a.item"""
 )
 def quorum_majority(spark, sf_dir):
     return agreement.quorum_majorities(ratings(spark, sf_dir), "item", "label", "N", 3)
@@ -628,7 +673,8 @@ def token_cleaning(spark, sf_dir):
 
 
 def _raw_tokens(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", association.raw_tokens(F.col("text")).alias("words"))
+    docs = association.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", association.raw_tokens(F.col("text")).alias("words"))
 
 
 def _counted(word):

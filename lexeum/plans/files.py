@@ -16,7 +16,7 @@ from lexeum.functions import labels as L
 from lexeum.functions import text as T
 from lexeum.operators import agreement, association, splits, statistics, translation
 from lexeum.plans import catalogue as K
-from lexeum.session import scratch_path
+from lexeum.session import scratch_path, with_conf
 from lexeum.sources import corpora, readers, sinks
 
 ORDERED_REASONS = tuple(sorted((*corpora.REASON_LABELS, *corpora.UNMAPPED_REASONS)))
@@ -29,13 +29,14 @@ def _csv(df: DataFrame, path: str, sep: str = ",") -> None:
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, said (a digest with signs that a reader must keep), lang, quality, toxic of all labelled documents."""
-    docs = K.table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(F.lit('say "'), F.md5("text"), F.lit('", and'), F.lit("\n"), F.col("lang")).alias("said"))
-    return docs.join(K.table(spark, sf_dir, "labels"), "doc_id")
+    """doc_id, said (the whole text among signs that a reader must keep), lang, quality, toxic of all documents; those without labels have some by their id."""
+    said = F.concat(F.lit('say "'), F.col("text"), F.lit('", and'), F.lit("\n"), F.col("lang"))
+    docs = K.table(spark, sf_dir, "documents").select("doc_id", "lang", said.alias("said")).join(K.table(spark, sf_dir, "labels"), "doc_id", "left")
+    return docs.withColumn("quality", F.coalesce("quality", (F.col("doc_id") % 2).cast("int"))).withColumn("toxic", F.coalesce("toxic", (F.col("doc_id") % 3 == 0).cast("int")))
 
 
-SQL_SAID = """'say "' || md5(d.text) || '", and' || chr(10) || d.lang"""
-SQL_LABELLED = f"x AS (SELECT d.doc_id, d.lang, {SQL_SAID} AS said, l.quality, l.toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
+SQL_SAID = """'say "' || d.text || '", and' || chr(10) || d.lang"""
+SQL_LABELLED = f"x AS (SELECT d.doc_id, d.lang, {SQL_SAID} AS said, coalesce(l.quality, d.doc_id % 2) AS quality, coalesce(l.toxic, (d.doc_id % 3 = 0)::INT) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
 
 
 def _unified(text: str, source: str, language: str, split: str = "NULL::VARCHAR", **labels: str) -> str:
@@ -99,8 +100,9 @@ def load_detox(spark, sf_dir):
     SELECT said AS text, 'jigsaw' AS source, 'multilingual' AS language, split, (doc_id % 2)::DOUBLE AS hate_speech, (toxic = 1 OR quality = 0)::INT::DOUBLE AS toxic, (doc_id % 3 = 0)::INT::DOUBLE AS threat, toxic::DOUBLE AS insult, NULL::DOUBLE AS impolite FROM j"""
 )
 def load_jigsaw(spark, sf_dir):
-    """Flags; obscene is dropped, unscored test rows go, a missing id meets a missing id."""
-    root, x = scratch_path(spark, "raw"), _labelled(spark, sf_dir)
+    """Flags; obscene is dropped, unscored test rows go, a missing id meets a missing id. Files of texts with line breaks, read in ranges of 64 KB."""
+    spark = with_conf(spark, {readers.WHOLE: 0, "spark.sql.files.maxPartitionBytes": 1 << 16, "spark.sql.files.openCostInBytes": 0})
+    root, x = scratch_path(spark, "raw"), _labelled(spark, sf_dir).coalesce(2)
     flags = [F.col("toxic"), (1 - F.col("quality")).alias("severe_toxic"), F.lit(1).alias("obscene"), (F.col("doc_id") % 3 == 0).cast("int").alias("threat"), F.col("toxic").alias("insult"), (F.col("doc_id") % 2).alias("identity_hate")]
     _csv(x.select(F.col("said").alias("comment_text"), *flags), f"{root}/jigsaw/train.csv")
     test = x.withColumn("id", F.when(F.col("doc_id") != 1, F.col("doc_id")))
@@ -144,9 +146,10 @@ def load_politeness(spark, sf_dir):
     return corpora.wikipedia_politeness(spark, root)
 
 
+SQL_STRIPPED = rf"regexp_replace(text, '^[{K.WS}]+|[{K.WS}]+$', '', 'g')"
 _REASON = ", ".join(f"'{r}'" for r in ORDERED_REASONS)
-SQL_MODERATED = f"""m AS (SELECT md5(text) AS text, CASE WHEN doc_id % 2 = 0 THEN 'Rejected' ELSE 'Accepted' END AS moderation_state_raw, coalesce(([{_REASON}, NULL])[1 + (doc_id % 7)::INT], '') AS deletion_reason_raw,
-    coalesce(([{_REASON}])[1 + (doc_id // 7 % 6)::INT], '') AS notice_reason_raw FROM documents WHERE doc_id % 4 <> 0)"""
+SQL_MODERATED = f"""m AS (SELECT {SQL_STRIPPED} AS text, CASE WHEN doc_id % 2 = 0 THEN 'Rejected' ELSE 'Accepted' END AS moderation_state_raw, coalesce(([{_REASON}, NULL])[1 + (doc_id % 7)::INT], '') AS deletion_reason_raw,
+    coalesce(([{_REASON}])[1 + (doc_id // 7 % 6)::INT], '') AS notice_reason_raw FROM documents WHERE doc_id % 4 <> 0 AND {SQL_STRIPPED} <> '')"""
 
 
 def _sql_reason(label: str) -> str:
@@ -161,7 +164,7 @@ def _sql_reason(label: str) -> str:
 def load_gutefrage(spark, sf_dir):
     """A sheet's export: bodies that are placeholders fall back to titles, rows without either go; wider than the unified schema."""
     root = scratch_path(spark, "raw")
-    said, k = F.md5("text"), F.col("doc_id") % 4
+    said, k = F.col("text"), F.col("doc_id") % 4
     pick = lambda i: F.get(F.array(*map(F.lit, ORDERED_REASONS)), i.cast("int"))
     body = F.when(k == 0, F.lit(" <NA> ")).when(k == 1, F.lit("None")).when(k == 3, F.concat(F.lit("  "), said, F.lit("\t")))
     title = F.when(k == 0, F.lit("   ")).otherwise(said)
@@ -310,11 +313,16 @@ def strict_kappa(spark, sf_dir):
     return K.rounded(agreement.fleiss_kappa(agreement.check_one_vote_each(K.ratings(spark, sf_dir), "item", "rater"), "item", "label"), "kappa")
 
 
-@K.query(f"WITH {K.SQL_VOTES} SELECT item, 3::BIGINT AS groups, 1::INT AS first_id, 3::INT AS last_id FROM votes GROUP BY item")
+@K.query(
+    f"""WITH {K.SQL_VOTES}, g AS (SELECT a.item, row_number() OVER (PARTITION BY a.item ORDER BY a.rater, b.rater, c.rater) - 1 AS rank, CASE WHEN (a.label = 'N')::INT + (b.label = 'N')::INT + (c.label = 'N')::INT >= 2 THEN 'N' ELSE 'Y' END AS label
+        FROM votes a JOIN votes b ON b.item = a.item AND b.rater > a.rater JOIN votes c ON c.item = a.item AND c.rater > b.rater),
+    d AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY md5('42|' || item || '|' || rank), rank) AS place FROM g)
+    SELECT CAST(row_number() OVER (PARTITION BY item ORDER BY rank) AS INT) AS group_id, item, label FROM d WHERE place <= 5"""
+)
 def quorum_sample(spark, sf_dir):
-    """Three of the four groups of three raters of each item."""
-    rows = agreement.quorums(K.ratings(spark, sf_dir), "item", "rater", "label", 3, 3)
-    return rows.groupBy("item").agg(F.count("*").alias("groups"), F.min("group_id").alias("first_id"), F.max("group_id").alias("last_id"))
+    """Five of all groups of three raters of each item, or all there are."""
+    two = K.ratings(spark, sf_dir).withColumn("label", F.when(F.col("label") == "N", "N").otherwise("Y"))
+    return agreement.quorums(two, "item", "rater", "label", 3, 5)
 
 
 SQL_CLASS = "CASE WHEN l.toxic = 1 AND l.quality = 0 THEN 'misogynistic' WHEN l.toxic = 1 THEN 'hateful' ELSE 'neutral' END"
@@ -335,11 +343,11 @@ def npmi_classes(spark, sf_dir):
     return K.rounded(association.top_words(K.rounded(scores, "npmi"), "cls", 20, 100.0), "npmi", digits=7)
 
 
-@K.query("SELECT event_type, format('{:,}', sum(event_id)::BIGINT) AS total, printf('%.2f %%', count(*) * 100.0 / (SELECT count(*) FROM events)) AS share, printf('%.1f%%', avg(user_id)::DOUBLE) AS mean FROM events GROUP BY event_type")
+@K.query("SELECT event_type, format('{:,}', sum(event_id)::BIGINT) AS total, printf('%.0f%%', (count(*) - count(*) % 2)::DOUBLE / 4) AS quarter, printf('%.2f %%', count(*) * 100.0 / (SELECT count(*) FROM events)) AS share, printf('%.1f%%', avg(user_id)::DOUBLE) AS mean FROM events GROUP BY event_type")
 def number_formats(spark, sf_dir):
     events = K.table(spark, sf_dir, "events")
     shares = statistics.value_shares(events, "event_type").select("event_type", T.percent(F.col("share") * 100.0).alias("share"))
-    sums = events.groupBy("event_type").agg(T.thousands(F.sum("event_id")).alias("total"), T.percent(F.avg("user_id"), 1, blank=False).alias("mean"))
+    sums = events.groupBy("event_type").agg(T.thousands(F.sum("event_id")).alias("total"), T.percent(F.avg("user_id"), 1, blank=False).alias("mean"), T.percent((F.count("*") - F.count("*") % 2) / 4, 0, blank=False).alias("quarter"))
     return shares.join(sums, "event_type")
 
 

@@ -40,6 +40,14 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def with_conf(spark: SparkSession, conf: dict[str, object]) -> SparkSession:
+    """A session of the same application with settings of its own; the caller's keep theirs."""
+    other = spark.newSession()
+    for k, v in conf.items():
+        other.conf.set(k, str(v))
+    return other
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Once for each application: workers can then import ``lexeum``."""
     sc = spark.sparkContext

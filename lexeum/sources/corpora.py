@@ -24,6 +24,7 @@ REASON_LABELS = {
 }
 UNMAPPED_REASONS = ("UebleNachredeStGB186", "VerleumdungStGB187")
 POLITENESS = {1: 0.0, -1: 1.0}
+JIGSAW_FLAGS = ("toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate")
 
 
 def reasons_for(label: str) -> list[str]:
@@ -38,9 +39,9 @@ def gmhp7k(spark: SparkSession, root: str) -> DataFrame:
         raise FileNotFoundError(f"no phase files under {root}")
     parts = None
     for rank, path in enumerate(files):
-        part = R.read_csv(spark, path, types)
+        part = R.read_csv(spark, path, types, order="place")
         keep = [c for c in ("tweet_id", "review_text", "hs", "m_hs", "split_hs") if c in part.columns]
-        part = part.select(*keep, F.struct(F.lit(rank).alias("file"), F.monotonically_increasing_id().alias("row")).alias("ord"))
+        part = part.select(*keep, F.struct(F.lit(rank).alias("file"), F.col("place").alias("row")).alias("ord"))
         parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
     if "split_hs" not in parts.columns:
         parts = parts.withColumn("split_hs", F.lit(None).cast("string"))
@@ -49,8 +50,7 @@ def gmhp7k(spark: SparkSession, root: str) -> DataFrame:
 
 
 def hocon34k(spark: SparkSession, root: str) -> DataFrame:
-    raw = R.read_csv(spark, f"{root}/hocon34k/corpus-hocon34k/datasets/hatespeech_hocon34k.csv", {"label_hs": "double", "post_id": "long"})
-    raw = raw.withColumn("ord", F.monotonically_increasing_id())
+    raw = R.read_csv(spark, f"{root}/hocon34k/corpus-hocon34k/datasets/hatespeech_hocon34k.csv", {"label_hs": "double", "post_id": "long"}, order="ord")
     one = votes.collapse(raw, "post_id", means=("label_hs",), firsts=("text", "split_all"), order="ord")
     return schema.unify(one, text=F.col("text"), source="hocon34k", language="de", split=T.blank_to_null(F.col("split_all")), labels={"hate_speech": L.majority(F.col("label_hs"))})
 
@@ -79,9 +79,8 @@ def wikipedia_attacks(spark: SparkSession, root: str) -> DataFrame:
 
 def jigsaw(spark: SparkSession, root: str) -> DataFrame:
     """Flags, not votes; test rows marked -1 were not scored and go."""
-    names = ("toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate")
-    types = dict.fromkeys(names, "double")
-    cols = ["comment_text", "split", *names]
+    types = dict.fromkeys(JIGSAW_FLAGS, "double")
+    cols = ["comment_text", "split", *JIGSAW_FLAGS]
     train = R.read_csv(spark, f"{root}/jigsaw/train.csv", types).withColumn("split", F.lit("train")).select(*cols)
     texts = R.read_csv(spark, f"{root}/jigsaw/test.csv").alias("t")
     marks = R.read_csv(spark, f"{root}/jigsaw/test_labels.csv", types).alias("m")

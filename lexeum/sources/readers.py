@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from lexeum.functions.text import na_to_null
+from lexeum.sources import quoted
 
 
-MULTILINE = "spark.lexeum.csv.multiLine"
+MULTILINE, WHOLE = "spark.lexeum.csv.multiLine", "spark.lexeum.csv.wholeBytes"
 log = logging.getLogger(__name__)
 
 
-def _typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Missing-value strings to null, then the wanted types; what does not cast is null."""
-    return df.select(*(na_to_null(F.col(f"`{c}`")).try_cast(types.get(c, "string")).alias(c) for c in df.columns))
+def _typed(df: DataFrame, types: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Missing-value strings to null, then the wanted types; what does not cast is null. Columns to ``keep`` stay as they are."""
+    return df.select(*(F.col(f"`{c}`") if c in keep else na_to_null(F.col(f"`{c}`")).try_cast(types.get(c, "string")).alias(c) for c in df.columns))
 
 
 def header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
@@ -26,21 +27,41 @@ def header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     return spark.read.option("header", True).option("sep", sep).option("inferSchema", False).option("quote", '"').option("escape", '"').csv(path).columns
 
 
-def read_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None, sep: str = ",", multiline: bool | None = None) -> DataFrame:
+def _largest(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file of a path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+    most = 0
+    while files.hasNext():
+        most = max(most, files.next().getLen())
+    return most
+
+
+def read_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None, sep: str = ",", multiline: bool | None = None, order: str | None = None) -> DataFrame:
     """Header, quotes doubled inside quotes, line breaks inside quotes; columns not in ``types`` are strings.
 
-    A file with line breaks inside quotes is read by one task. Files without
-    any are split among tasks with ``multiline=False``, or for all loaders of a
-    session by setting ``spark.lexeum.csv.multiLine`` to false.
+    Files of up to ``spark.lexeum.csv.wholeBytes`` (64 MB) are read by one task
+    each; larger ones in ranges whose records are found by counting quotes (see
+    :mod:`lexeum.sources.quoted`; this runs a job). ``multiline=True`` reads
+    every file by one task; ``multiline=False`` says that quotes hold no line
+    breaks, so that Spark splits files itself. All loaders of a session follow
+    ``spark.lexeum.csv.multiLine`` (auto, true or false). ``order`` names a
+    further column that sorts as the rows stand in the files.
     """
-    if multiline is None:
-        multiline = spark.conf.get(MULTILINE, "true").lower() == "true"
+    said = spark.conf.get(MULTILINE, "auto").lower() if multiline is None else str(multiline).lower()
     names = header(spark, path, sep)
-    schema = StructType()
-    for n in names:
-        schema = schema.add(n, StringType())
-    raw = spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", multiline).option("quote", '"').option("escape", '"').option("enforceSchema", True).csv(path)
-    return _typed(raw, types or {})
+    place = order or "_order"
+    raw = None
+    if said == "auto" and _largest(spark, path) > int(spark.conf.get(WHOLE, str(64 << 20))):
+        raw = quoted.read(spark, path, names, sep, place)
+    if raw is None:
+        schema = StructType()
+        for n in names:
+            schema = schema.add(n, StringType())
+        raw = spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", said != "false").option("quote", '"').option("escape", '"').option("enforceSchema", True).csv(path)
+        at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+        raw = raw.withColumn(place, at)
+    return _typed(raw, types or {}, (order,)) if order else _typed(raw.drop(place), types or {})
 
 
 def read_tsv(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Agreement, splits, associations and statistics against plain Python."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -135,8 +136,43 @@ def test_samples_of_many_groups(spark):
     ranks = spark.createDataFrame([(0,), (1,), (total // 2,), (total - 1,)], "id long")
     got = [tuple(r.c) for r in ranks.select(A._unranked(F.col("id"), F.lit(29), F.lit(total), 15).alias("c")).collect()]
     assert got[0] == tuple(range(15)) and got[1] == (*range(14), 15) and got[3] == tuple(range(14, 29)) and len(set(got[2])) == 15
-    with pytest.raises(Exception, match="too many groups"):
-        A.quorums(frame(spark, [(1, r, "a") for r in range(80)]), "item", "rater", "label", 39, 5).collect()
+    big = frame(spark, [(1, r, "ny"[r % 3 == 0]) for r in range(60)])
+    assert len(set(map(tuple, A.quorums(big, "item", "rater", "label", 29, 200).select("group_id", "label").collect()))) == 200
+    r = A.quorum_majorities(big, "item", "label", "y", 29).first()
+    assert r.groups == math.comb(60, 29) and r.positive_groups == sum(math.comb(20, j) * math.comb(40, 29 - j) for j in range(15, 21))
+    huge = frame(spark, [(1, r, "ny"[r % 3 == 0]) for r in range(100)])
+    r = A.quorum_majorities(huge, "item", "label", "y", 41, exact=True).first()
+    assert int(r.groups) == math.comb(100, 41) and int(r.positive_groups) == sum(math.comb(34, j) * math.comb(66, 41 - j) for j in range(21, 35))
+
+
+@pytest.mark.parametrize("listed", [1 << 16, 8])
+def test_samples_are_uniform(spark, monkeypatch, listed):
+    """Over many items every group of three of six is drawn as often as any other, and so is every pair of groups; both ways of drawing."""
+    monkeypatch.setattr(A, "LISTED", listed)
+    n = 6000
+    rows = spark.range(n).select(F.col("id").alias("item"), F.lit(20).cast(A.WHOLE).alias("all"), F.lit(4).cast("long").alias("m"))
+    got = [tuple(int(x) for x in r.ranks) for r in A._drawn(rows, "item", 7).collect()]
+    assert all(len(set(r)) == 4 and r == tuple(sorted(r)) and 0 <= r[0] and r[3] < 20 for r in got)
+    ones = Counter(x for r in got for x in r)
+    pairs = Counter(p for r in got for p in itertools.combinations(r, 2))
+    chi = sum((ones[x] - n * 4 / 20) ** 2 / (n * 4 / 20) for x in range(20))
+    chi2 = sum((pairs[p] - n * 6 / 190) ** 2 / (n * 6 / 190) for p in itertools.combinations(range(20), 2))
+    assert chi < 45 and chi2 < 260  # 19 and 189 degrees of freedom: one in a thousand
+
+
+def test_samples_are_the_ranks_of_least_hash(spark):
+    rng = random.Random(8)
+    votes = [(i, r, rng.choice("abc")) for i in range(30) for r in range(2 + i % 7)]
+    got = {(r.item, r.group_id): r.label for r in A.quorums(frame(spark, votes), "item", "rater", "label", 3, 6, seed=5).collect()}
+    want = {}
+    for i in range(30):
+        own = [x for j, _, x in votes if j == i]
+        groups = list(itertools.combinations(own, 3))
+        picked = sorted(sorted(range(len(groups)), key=lambda k: hashlib.md5(f"5|{i}|{k}".encode()).hexdigest())[:6])
+        for g, k in enumerate(picked):
+            c = Counter(groups[k])
+            want[i, g + 1] = min(x for x in c if c[x] == max(c.values()))
+    assert got == want
 
 
 def test_prefixes_with_votes_missing_and_repeated(spark):

@@ -101,3 +101,24 @@ def test_correlation_without_variance_is_null(spark):
     assert df.select(L.correlation(F.col("a"), F.col("b"))).first()[0] is None
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0), (9.0, None)], "a double, b double")
     assert df.select(L.correlation(F.col("a"), F.col("b"))).first()[0] == pytest.approx(1.0)
+
+
+def test_numbers_round_as_python_rounds(spark):
+    import random
+    import struct
+
+    rng = random.Random(5)
+    values = [0.0, -0.0, 6.25, 18.75, 0.125, 0.375, 0.15, 2.675, 1.005, 0.5, 1.5, 2.5, -0.5, -2.5, -0.04, 0.05, 1e-7, 5e-324, 4.35, 99.995, 1e15, 4503599627370495.5, 1e16, 1e17 / 3, 123456789.0625, float("nan"), float("inf"), float("-inf"), None]
+    values += [rng.uniform(-1000, 1000) for _ in range(300)] + [rng.randrange(10**6) / 2 ** rng.randrange(1, 12) for _ in range(300)] + [round(rng.uniform(0, 100), 3) for _ in range(300)]
+    values += [v for v in (struct.unpack("<d", struct.pack("<Q", rng.getrandbits(62)))[0] for _ in range(300)) if v < 1e12]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for d in (0, 1, 2, 3, 4, 9):
+        for r in df.select("x", T.fixed(F.col("x"), d).alias("s"), T.rounded(F.col("x"), d).alias("r"), T.rounded_scaled(F.col("x"), d).alias("n")).collect():
+            if r.x is None:
+                assert r.s is None and r.r is None
+                continue
+            if r.x == r.x and abs(r.x) * 10**d < 9e18 and abs(r.x) < 2**52 or r.x != r.x:
+                assert r.s == f"{r.x:.{d}f}", (r, d)
+            if r.x == r.x and abs(r.x) < 1e15 and abs(r.x) * 10**d < 2**53:
+                assert r.r == round(r.x, d), (r, d)
+    assert [r[0] for r in df.limit(5).select(T.percent(F.col("x"), 1, blank=False)).collect()] == ["0.0%", "-0.0%", "6.2%", "18.8%", "0.1%"]

@@ -1,12 +1,15 @@
 """Loaders over small files, from raw columns to the unified schema."""
 
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexeum import schema
 from lexeum.dataset import UnifiedDataset
-from lexeum.sources import corpora, readers, sinks
+from lexeum.session import with_conf
+from lexeum.sources import corpora, quoted, readers, sinks
 
 
 def write(path, text):
@@ -24,7 +27,8 @@ def rows(df):
 def test_labels_and_columns():
     assert schema.LABELS == ("hate_speech", "toxic", "threat", "insult", "impolite")
     assert schema.COLUMNS[:4] == ("text", "source", "language", "split") and len(schema.COLUMNS) == 9
-    assert not {"obscene", "severe_toxic", "identity_hate"} & set(schema.LABELS)  # raw names that become others or go
+    gone = set(corpora.JIGSAW_FLAGS) - set(schema.LABELS)  # raw names that become others or go
+    assert gone and gone < set(corpora.JIGSAW_FLAGS) and not gone & {x for names in schema.CORPUS_LABELS.values() for x in names}
     assert len(corpora.REGISTRY) == 7 and list(corpora.REGISTRY) == list(schema.CORPUS_LABELS)
     assert all(set(v) <= set(schema.LABELS) for v in schema.CORPUS_LABELS.values())
 
@@ -128,38 +132,39 @@ def test_politeness(spark, tmp_path):
 
 # ------------------------------------------------------------------ gutefrage
 
-RAW = ("content_item_type", "question_type", "moderation_state", "question_title", "body", "deletion_reason", "notice_reason")
 HATE, ATTACK, INSULT, HOSTILE = corpora.REASON_LABELS
+#: The columns that the loader reads.
+READ = sorted({"body", "question_title", *(f"{x}_{y}" for x, y in (("moderation", "state"), ("deletion", "reason"), ("notice", "reason")))})
 
 
-def moderated(spark, *changes):
-    base = dict(zip(RAW, ("Answer", None, "Accepted", None, "a normal text", None, None), strict=True))
-    return corpora.moderated(spark.createDataFrame([tuple((base | c)[k] for k in RAW) for c in changes], ", ".join(f"{k} string" for k in RAW)))
+def moderated(spark, **known):
+    """One raw row of the fields that a test is about; all others are null."""
+    return corpora.moderated(spark.createDataFrame([{"body": "said", **known}], ", ".join(f"{c} string" for c in READ)))
 
 
 @pytest.mark.parametrize("field", ["deletion_reason", "notice_reason"])
 @pytest.mark.parametrize("reason,want", [(HATE, (1.0, 0.0, 1.0)), (ATTACK, (0.0, 1.0, 1.0)), (INSULT, (0.0, 1.0, 1.0)), (HOSTILE, (0.0, 0.0, 1.0)), *((r, (0.0, 0.0, 0.0)) for r in corpora.UNMAPPED_REASONS), (None, (0.0, 0.0, 0.0)), (f" {INSULT} ", (0.0, 1.0, 1.0))])
 def test_reasons(spark, field, reason, want):
-    (r,) = rows(moderated(spark, {field: reason}))
+    (r,) = rows(moderated(spark, **{field: reason}))
     assert (r["hate_speech"], r["insult"], r["toxic"]) == want and r["threat"] is None and r["impolite"] is None
 
 
 def test_both_reasons_and_state(spark):
-    (r,) = rows(moderated(spark, {"deletion_reason": HATE, "notice_reason": INSULT}))
+    (r,) = rows(moderated(spark, deletion_reason=HATE, notice_reason=INSULT))
     assert (r["hate_speech"], r["insult"], r["toxic"]) == (1.0, 1.0, 1.0)
     for state in ("Rejected", "Rejected (Final)", "Accepted"):
-        (r,) = rows(moderated(spark, {"moderation_state": state}))
+        (r,) = rows(moderated(spark, moderation_state=state))
         assert (r["toxic"], r["moderation_state_raw"], r["deletion_reason_raw"], r["notice_reason_raw"]) == (0.0, state, "", "")
 
 
 @pytest.mark.parametrize("body", [None, "None", "<NA>", "   ", "nan"])
 def test_title_stands_in(spark, body):
-    assert [r["text"] for r in rows(moderated(spark, {"body": body, "question_title": " title "}))] == ["title"]
-    assert rows(moderated(spark, {"body": body})) == []
+    assert [r["text"] for r in rows(moderated(spark, body=body, question_title=" title "))] == ["title"]
+    assert rows(moderated(spark, body=body)) == []
 
 
 def test_gutefrage_from_an_export(spark, tmp_path):
-    write(tmp_path / "gutefrage.net/dataset/datensatz_moderiert.csv", ",".join(RAW) + f"\nAnswer,,Accepted,,body,{INSULT},\n")
+    write(tmp_path / "gutefrage.net/dataset/datensatz_moderiert.csv", f"notice_reason,other,body,moderation_state,deletion_reason,question_title\n,x,said,Accepted,{INSULT},\n")
     assert tuple(corpora.gutefrage(spark, str(tmp_path)).columns) == schema.COLUMNS
     wide = corpora.gutefrage_with_provenance(spark, str(tmp_path))
     assert len(wide.columns) == 12 and wide.first().insult == 1.0
@@ -272,3 +277,54 @@ def test_latex_table(spark, tmp_path):
     assert sinks.latex_table(df) == want
     path = sinks.save_latex(df, str(tmp_path / "t.tex"))
     assert "\n".join(r.value for r in spark.read.text(path).collect()) == want
+
+
+# ------------------------------------------------------------------ line breaks in quotes
+
+
+def quoted_file(path, rows, sep=",", end="\n"):
+    field = lambda v: '"' + v.replace('"', '""') + '"'
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(end.join([sep.join(("id", "text", "n")), *(sep.join((str(i), field(t), str(n))) for i, t, n in rows), ""]).encode())
+
+
+def odd_texts(seed, n):
+    rng = random.Random(seed)
+    bits = ["a", "word ", '"', '""', "\n", "\n\n", ",", "\t", "é🙂", '"\n"', " "]
+    return [(i, "x" + "".join(rng.choices(bits, k=rng.randint(0, 40))) + "y", i % 7) for i in range(n)]
+
+
+@pytest.mark.parametrize("size,sep,end", [(97, ",", "\n"), (700, "\t", "\r\n"), (5000, ",", "\n")])
+def test_ranges_of_a_file_with_line_breaks_in_quotes(spark, tmp_path, size, sep, end):
+    """Read in ranges by as many tasks, equal to the one-task read and to what was written, and in order."""
+    rows = odd_texts(size, 400)
+    rows[200] = (200, "z\n" * 3000, 1)  # over many ranges
+    for k in (0, 1):
+        quoted_file(tmp_path / "in" / f"part{k}.csv", rows[k * 250 : 250 + k * 150], sep, end)
+    small = with_conf(spark, {readers.WHOLE: 0, "spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": 0})
+    path = str(tmp_path / "in")
+    got = readers.read_csv(small, path, {"id": "long", "n": "int"}, sep, order="at")
+    bytes_ = sum(f.stat().st_size for f in (tmp_path / "in").iterdir())
+    assert quoted._lines(small, path).select(F.spark_partition_id()).distinct().count() > 0.5 * bytes_ / max(size, 200)
+    assert [tuple(r) for r in got.orderBy("at").drop("at").collect()] == rows
+    assert got.select("at").distinct().count() == len(rows)
+    whole = readers.read_csv(spark, path, {"id": "long", "n": "int"}, sep, multiline=True)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, got.drop("at").collect()))
+
+
+def test_many_ranges_are_joined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quoted, "MANY", 0)
+    rows = odd_texts(4, 200)
+    quoted_file(tmp_path / "one.csv", rows)
+    small = with_conf(spark, {readers.WHOLE: 0, "spark.sql.files.maxPartitionBytes": 300, "spark.sql.files.openCostInBytes": 0})
+    assert sorted(map(tuple, readers.read_csv(small, str(tmp_path / "one.csv"), {"id": "long", "n": "int"}).collect())) == rows
+
+
+def test_quotes_that_do_not_match_are_read_by_one_task(spark, tmp_path):
+    (tmp_path / "odd.csv").write_text('id,text\n1,5" wide\n2,"a\nb"\n')
+    small = with_conf(spark, {readers.WHOLE: 0})
+    got = readers.read_csv(small, str(tmp_path / "odd.csv"))
+    assert quoted.records(small, str(tmp_path / "odd.csv")) is None
+    assert sorted(r.text for r in got.collect()) == ['5" wide', "a\nb"]
+    (tmp_path / "empty.csv").write_text("id,text\n")
+    assert readers.read_csv(small, str(tmp_path / "empty.csv")).count() == 0

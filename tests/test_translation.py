@@ -1,5 +1,7 @@
 """Translation: statuses, cache, failures, streams."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,27 @@ def test_equal_texts_are_translated_once(spark, tmp_path):
     assert t.translate(twice).count() == 5 and t.cache(spark).count() == 1
 
 
+def test_a_job_reads_only_the_buckets_of_its_texts(spark, tmp_path, monkeypatch):
+    """Forty jobs of sixty texts, two entries beside the buckets; then three texts, one of them new."""
+    monkeypatch.setattr(X, "WHOLE_FILES", 100)
+    path = str(tmp_path / "cache")
+    t = X.Translator(X.tagging_backend(), path)
+    said = lambda k: spark.createDataFrame([(f"text {k} {i}", "en") for i in range(60)], "text string, language string")
+    for k in range(40):
+        t._add(t.mark(said(k)).select(F.col("_hash").alias("hash"), F.concat(F.lit("old "), "text").alias("translated")))
+    spark.createDataFrame([("0" * 32, "a"), ("f" * 32, "b")], X.CACHE).write.mode("append").parquet(path)
+    df = spark.createDataFrame([("text 3 5", "en"), ("text 39 59", "en"), ("a new text", "en"), ("stays", "de")], "text string, language string")
+    found = t.cache(spark, t._asked(t.mark(df)))
+    every, read = len(list(tmp_path.glob("cache/**/*.parquet"))), found.inputFiles()
+    wanted = {hashlib.md5(x.encode()).hexdigest()[:2] for x in ("text 3 5", "text 39 59", "a new text")}
+    assert {f.split("bucket=")[1][:2] for f in read if "bucket=" in f} <= wanted and len(read) < 0.05 * every
+    assert sorted(r.text for r in t.translate(df).collect()) == ["[de] a new text", "old text 3 5", "old text 39 59", "stays"]
+    assert t.cache(spark).count() == 40 * 60 + 3
+    t.compact(spark)
+    assert t.cache(spark).count() == 40 * 60 + 3 and {r.text for r in t.translate(df).collect()} == {"[de] a new text", "old text 3 5", "old text 39 59", "stays"}
+    assert t.metrics(df).first().hits == 3
+
+
 def test_cache_grows_by_what_is_new(spark, tmp_path):
     path = str(tmp_path / "cache")
     t = X.Translator(X.tagging_backend(), path)
