@@ -13,10 +13,14 @@ source's c follows from its words at each level.
 Sources are a table throughout, however many there are: nothing is collected
 but totals over all of them. The rank at which a source is full is found by
 counting words in 4,096 ranges of ranks, then in 4,096 parts of the range in
-which it is reached, and so on; the last ``TAIL`` or fewer ranks around it are
-settled one by one, those that still fit being taken, which brings each source
-as near to its target as these allow. Up to ``MANY`` sources are broadcast;
-more are joined, hot ones dealt over several partitions.
+which it is reached, and so on, until a range of ``TAIL`` ranks or fewer is
+left. From the first rank that does not fit, the next ``TAIL``, whatever range
+they are in, are settled one by one: those that still fit are taken, and at last
+the one whose words come nearest to what is missing, if that brings the source
+nearer. So a
+source misses its target by about the words of the shortest of these documents.
+Up to ``MANY`` sources are broadcast; more are joined, hot ones dealt over
+several partitions.
 
 Defined cases: null text has no words; documents without words are taken in no
 copy beyond the certain ones; equal rows (same doc_id and text) share a rank;
@@ -32,7 +36,8 @@ from pyspark.sql import functions as F
 
 from lexeum.llm import common as C
 
-WEIGHTS, CAP, TAIL, MANY = (5.0, 2.0, 1.0), 3, 256, 100_000
+#: ``MANY`` sources are at most 25 MB: a name, a few numbers and up to ``TAIL`` ranks each.
+WEIGHTS, CAP, TAIL, MANY = (5.0, 2.0, 1.0), 3, 256, 10_000
 _BITS, _STEP = 52, 12
 
 
@@ -45,14 +50,17 @@ def by_length(text: str, full: int = 512) -> Column:
     return F.sqrt(F.least(F.coalesce(F.octet_length(text), F.lit(0)), F.lit(full)) / full)
 
 
-def settle(rows: list[tuple[int, int]], gap: float) -> list[int]:
-    """Of (rank, size) in rank order: those taken for ``gap`` more words."""
-    took, rest = [], []
-    for z, s in rows:
+def settle(rows: list[tuple[int, int]], gap: float, tail: int) -> list[int]:
+    """Of (rank, size) in rank order: those taken for ``gap`` more words, looking at ``tail`` ranks from the first that does not fit."""
+    took, rest, end = [], [], len(rows)
+    for i, (z, s) in enumerate(rows):
+        if i >= end:
+            break
         if s <= gap:
             took.append(z)
             gap -= s
         else:
+            end = end if rest else i + tail
             rest.append((z, s))
     if rest:
         z, s = min(rest, key=lambda r: (abs(r[1] - gap), r[0]))
@@ -61,9 +69,13 @@ def settle(rows: list[tuple[int, int]], gap: float) -> list[int]:
     return took
 
 
-def _settled(tails: pa.Array, gap: pa.Array) -> pa.Array:
+def _settler(tail: int):
     """:func:`settle` of each source's last ranks."""
-    return pa.array([settle(sorted((r["z"], r["s"]) for r in t), g) for t, g in zip(tails.to_pylist(), gap.to_pylist(), strict=True)], pa.list_(pa.int64()))
+
+    def settled(tails: pa.Array, gap: pa.Array) -> pa.Array:
+        return pa.array([settle(sorted((r["z"], r["s"]) for r in t), g, tail) for t, g in zip(tails.to_pylist(), gap.to_pylist(), strict=True)], pa.list_(pa.int64()))
+
+    return settled
 
 
 def with_facts(rows: DataFrame, facts: DataFrame, key: str, n: str, sources: int) -> DataFrame:
@@ -142,40 +154,45 @@ def _scales(levels: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
 
 
 def full_ranks(rows: DataFrame, gaps: DataFrame, sources: int) -> DataFrame:
-    """(k, z0, more): of each source with a gap, the rank below which all are taken, and single ranks above it. Stored.
+    """(k, z0, more): of each source with a gap, the rank below which all are taken, and single ranks from there on. Stored.
 
-    ``rows``: k, size, z. A source's window is over its 4,096 ranges.
+    ``rows``: k, size, z. A source's window is over its 4,096 ranges, and over
+    the few ranks that each task has left of it.
     """
     now = gaps.filter("gap > 0")
-    shift, done, kept = _BITS, [], []
+    shift, ends, kept, inside = _BITS, [], [], rows
     while True:
         step = max(0, shift - _STEP)
-        joined = with_facts(rows, now, "k", "n", sources) if not done else rows
+        joined = with_facts(rows, now, "k", "n", sources) if not kept else inside
         bins = joined.groupBy("k", F.shiftright("z", step).alias("b")).agg(F.first("gap").alias("gap"), F.sum("size").alias("s"), F.count("*").alias("n"))
         run = bins.withColumn("upto", F.sum("s").over(Window.partitionBy("k").orderBy("b")))
         # the range in which the gap is reached; none where all fit
         full = C.stored(run.groupBy("k").agg(F.first("gap").alias("gap"), F.min(F.when(F.col("upto") > F.col("gap"), F.struct("b", "upto", "s", "n"))).alias("x")), "full")
         left = F.col("gap") - (F.col("x.upto") - F.col("x.s"))
-        fits = full.filter("x IS NULL").select("k", F.lit(1 << _BITS).alias("z0"), F.array().cast("array<long>").alias("more"))
         cross = full.filter("x IS NOT NULL").select("k", F.col("x.b").alias("b"), left.alias("gap"), F.col("x.n").alias("n"))
-        here = joined.drop("gap", "n").withColumn("b", F.shiftright("z", step))
-        here = here.join(F.broadcast(cross) if sources <= MANY else cross, ["k", "b"])
-        inside = C.stored(here.select("k", "z", "size", "gap", "n", "b"), "inside")
         last = F.lit(True) if step == 0 else F.col("n") <= TAIL
-        each = inside.filter(last).groupBy("k", "z").agg(F.sum("size").alias("s"), F.first("gap").alias("gap"), F.first("b").alias("b"))
-        tails = each.groupBy("k").agg(F.collect_list(F.struct("z", "s")).alias("t"), F.first("gap").alias("gap"), F.first("b").alias("b"))
-        ends = tails.select("k", F.shiftleft("b", step).alias("z0"), F.arrow_udf(_settled, "array<bigint>").asNondeterministic()("t", "gap").alias("more"))
-        done.append(C.stored(fits.union(ends), "ends"))
-        kept += [full, inside]
-        rows = inside.filter(~last).select("k", "z", "size", "gap")
+        ends.append(full.filter("x IS NULL").select("k", F.lit(1 << _BITS).alias("z0"), F.lit(0.0).alias("gap"), F.lit(0).cast("long").alias("n")))
+        ends.append(cross.filter(last).select("k", F.shiftleft("b", step).alias("z0"), F.col("gap").cast("double").alias("gap"), "n"))
+        kept.append(full)
+        open_ = cross.filter(~last)
         shift = step
-        if shift == 0 or rows.isEmpty():
+        if shift == 0 or open_.isEmpty():
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
-    out = C.stored(out, "ends")
-    C.forget(*kept, *done)
+        here = joined.drop("gap", "n").withColumn("b", F.shiftright("z", step)).join(F.broadcast(open_) if sources <= MANY else open_, ["k", "b"])
+        inside = C.stored(here.select("k", "z", "size", "gap", "n"), "inside")
+        kept.append(inside)
+    found = ends[0]
+    for e in ends[1:]:
+        found = found.union(e)
+    found = C.stored(found, "crossings")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    after = with_facts(rows, found.drop("n").filter("gap > 0").join(counts, "k"), "k", "n", sources).filter("z >= z0")
+    each = after.groupBy("k", "z").agg(F.sum("size").alias("s"), F.first("gap").alias("gap"))
+    near = each.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("z"))).filter(F.col("place") <= 2 * TAIL)  # a range of TAIL ranks, and TAIL from the first that does not fit
+    tails = near.groupBy("k").agg(F.collect_list(F.struct("z", "s")).alias("t"), F.first("gap").alias("gap"))
+    more = tails.select("k", F.arrow_udf(_settler(TAIL), "array<bigint>").asNondeterministic()("t", "gap").alias("more"))
+    out = C.stored(found.join(more, "k", "left").select("k", "z0", F.coalesce("more", F.array().cast("array<long>")).alias("more")), "ends")
+    C.forget(*kept, found)
     return out
 
 

@@ -15,19 +15,25 @@ they stand in them,
 the share of the entity's information that the term gives, with its chance p of
 the entity smoothed by one row of the corpus. Terms are words, strings of
 letters and digits, and the shapes of such strings from ``SHAPED`` characters
-(40 hexadecimal digits are one term, whichever they are). No least number of
-contexts is asked for, so entities of one document have rules too; a pair is
-left out only where as many different documents (equal texts are one) would be
-met without any tie with a chance above ``CHANCE``, which a rule of a kind
-shares with all terms that could have made one.
+(40 hexadecimal digits are one term, whichever they are).
+
+A share alone is no evidence: a rare word that stands once beside a rare address
+gives it away by that count. So a pair makes a rule only if as many different
+documents (equal texts are one) would hold both, without any tie, with a chance
+of at most ``CHANCE`` divided by all pairs that could have made one: all terms
+for a kind, all values times all terms for a value. Entities of a single
+document therefore have no rules, and neither have words that met an entity so
+seldom that chance explains it; the chance that the whole corpus has one false
+rule of values, or of a kind, is ``CHANCE`` at most.
 
 Terms at ``REMOVE`` or more are removed and those at ``GENERALISE`` or more are
 generalised to a class; both are spans of kind ``term``. The terms of a value
 are marked in the documents that hold it, those of a kind in all documents: a
 string of a secret's shape is marked where no name stands before it. All counts
-cover all documents, each document once. Pairs whose counts cannot reach
-``GENERALISE`` are not even made: the ``PART`` most frequent terms and entities
-are known to the workers for that, and the pairs of kinds are counted with the
+cover all documents, each document once. Pairs whose counts can reach neither the
+share nor the evidence are not even made, so that a page of many addresses and
+words does not yield their product: the ``PART`` most frequent terms and
+entities are known to the workers for that, and the pairs of kinds are counted with the
 terms, so that different texts are counted only for those that can make a rule
 (all, if these are more than ``PART``). Up to ``PART`` rules are broadcast; more
 rules of values are joined to the entities of each text, and the terms to the
@@ -48,6 +54,7 @@ import hashlib
 import itertools
 import re
 from collections import Counter
+from math import lgamma, log
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -235,9 +242,10 @@ def _tally(batches):
     yield out()
 
 
-def _met(batches, limits: dict[int, float], other: float, known: dict[str, int], likely: dict[int, set[str]] | None):
-    """(entity, term, text) of each document, but for terms known to be too frequent for the entity, and those not likely for a kind."""
+def _met(batches, limits: dict[int, tuple[int, int]], other: tuple[int, int], known: dict[str, int], likely: dict[int, set[str]] | None):
+    """(entity, term, text) of each document, but for pairs whose counts cannot make a rule, and terms not likely for a kind."""
     rows: list[tuple[int, str, int]] = []
+    rare = min(known.values(), default=0) if len(known) >= PART else 0  # documents of a term that is not known, at most
 
     def out():
         c, t, h = zip(*rows, strict=True)
@@ -247,15 +255,22 @@ def _met(batches, limits: dict[int, float], other: float, known: dict[str, int],
         for x in batch.column(0).to_pylist():
             if not x or not (spans := known_spans(x)):
                 continue
-            h = _digest(x)
-            have = [(t, known.get(t, 0)) for t in terms(x, spans)]
+            wanted = []
             for c in entities(x, spans):
                 if likely is not None and 0 <= c < len(KINDS):
-                    mine = likely.get(c, ())
-                    rows += [(c, t, h) for t, _ in have if t in mine]
+                    wanted += [(c, None)] if c in likely else []
+                elif (span := limits.get(c, other) if c >= len(KINDS) or c < 0 else (1, 1 << 62))[1]:
+                    wanted.append((c, span))
+            if not wanted:
+                continue
+            h = _digest(x)
+            have = [(t, known.get(t)) for t in terms(x, spans)]
+            for c, span in wanted:
+                if span is None:
+                    rows += [(c, t, h) for t, _ in have if t in likely[c]]
                 else:
-                    most = limits.get(c, other)
-                    rows += [(c, t, h) for t, n in have if n <= most]
+                    least, most = span
+                    rows += [(c, t, h) for t, n in have if (least <= n <= most if n is not None else least <= rare)]
                 if len(rows) > FLUSH:
                     yield out()
                     rows.clear()
@@ -278,6 +293,34 @@ def _log_chance(x: Column, n: Column, nc: Column, nt: Column, total: int) -> Col
     return F.least(F.when(x <= 20, few), many)
 
 
+def log_chance(x: int, n: int, nc: int, nt: int, total: int) -> float:
+    """:func:`_log_chance` of plain numbers."""
+    mean = nc * nt * (x / n) ** 2 / total
+    many = x - mean - x * log(x / mean) if x > mean else 0.0
+    return min(many, x * log(mean) - lgamma(x + 1)) if x <= 20 else many
+
+
+def reach(nc: int, total: int, enough: float, generalise: float) -> tuple[int, int]:
+    """The least and the most documents a term may have for a rule with an entity of ``nc``; (1, 0) if there is none.
+
+    The most follows from the disclosure too, both from the case in which all
+    documents that can hold both do, as different texts or as copies.
+    """
+
+    def can(nt: int) -> bool:
+        n = min(nc, nt)
+        return any(log_chance(x, n, nc, nt, total) <= enough for x in {n, *range(1, min(n, 20) + 1)})
+
+    least = next((nt for nt in range(1, min(nc, 64) + 1) if can(nt)), nc if can(nc) else 0)
+    if not least:
+        return 1, 0
+    low, high = max(least, nc if can(nc) else least), int((nc + 1) * (total / nc) ** (1 - generalise)) + 1
+    while low < high:  # more documents of the term only add to what chance explains
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if can(mid) else (low, mid - 1)
+    return least, low
+
+
 def learn(docs: DataFrame, text: str = "text", chance: float = CHANCE, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(c, t, disclosure, action): which terms give which entities away. Stored in the shared folder."""
     spark = C.ready(docs.sparkSession)
@@ -285,25 +328,26 @@ def learn(docs: DataFrame, text: str = "text", chance: float = CHANCE, generalis
     seen = C.stored(texts.mapInArrow(_tally, "c bigint, t string, n bigint").groupBy("c", "t").agg(F.sum("n").alias("n")), "seen")
     own = seen.filter("t IS NULL").select("c", F.col("n").alias("nc"))
     freq = seen.filter("c IS NULL").select("t", F.col("n").alias("nt"))
-    total = docs.count()
-
-    def limit(nc: int) -> float:
-        """No term of more documents can reach ``generalise`` for an entity of ``nc``."""
-        return (nc + 1) * (total / nc) ** (1 - generalise)
+    total, n_terms = max(1, docs.count()), max(1, freq.count())
+    of_kind = F.col("c").between(0, len(KINDS) - 1)
+    # a kind is tried with all terms, and each value with all terms: so many chances share the one that is allowed
+    enough_kind, enough = log(chance / n_terms), log(chance / n_terms / max(1, own.filter(~of_kind).count()))
 
     often = own.filter("nc > 1").orderBy(F.desc("nc")).limit(PART).collect()
-    other = limit(often[-1].nc if len(often) == PART else 1)
-    known = {r.t: r.nt for r in freq.filter(F.col("nt") > other).orderBy(F.desc("nt")).limit(PART).collect()}
+    spans: dict[int, tuple[int, int]] = {}
+    limits = {r.c: spans.setdefault(r.nc, reach(r.nc, total, enough, generalise)) for r in often}
+    unknown = often[-1].nc if len(often) == PART else 1  # documents of the other entities, at most
+    other = (1, max((spans.setdefault(k, reach(k, total, enough, generalise))[1] for k in range(1, min(unknown, 64) + 1)), default=0) if unknown <= 64 else reach(unknown, total, 0.0, generalise)[1])
+    known = {r.t: r.nt for r in freq.orderBy(F.desc("nt")).limit(PART).collect()}
     n, nc, nt = F.col("n"), F.col("nc"), F.col("nt")
     # the counts of a kind's pairs are known; only those that can make a rule are looked at again, for their different texts
-    enough = F.log(F.lit(chance / max(1, freq.count())))
-    pairs_ = seen.filter("c IS NOT NULL AND t IS NOT NULL").join(F.broadcast(own.filter(F.col("c").between(0, len(KINDS) - 1))), "c").join(freq, "t")
-    pairs_ = pairs_.filter((_share(n, nc, nt, total) >= generalise) & (_log_chance(n, n, nc, nt, total) <= enough)).select("c", "t").limit(PART + 1).collect()
+    pairs_ = seen.filter("c IS NOT NULL AND t IS NOT NULL").join(F.broadcast(own.filter(of_kind)), "c").join(freq, "t")
+    pairs_ = pairs_.filter((_share(n, nc, nt, total) >= generalise) & (_log_chance(n, n, nc, nt, total) <= enough_kind)).select("c", "t").limit(PART + 1).collect()
     likely: dict[int, set[str]] | None = {}
     for r in pairs_:
         likely.setdefault(r.c, set()).add(r.t)
     likely = likely if len(pairs_) <= PART else None
-    sent = spark.sparkContext.broadcast(({r.c: limit(r.nc) for r in often}, other, known, likely))
+    sent = spark.sparkContext.broadcast((limits, other, known, likely))
 
     def pairs(batches):
         yield from _met(batches, *sent.value)
@@ -311,8 +355,7 @@ def learn(docs: DataFrame, text: str = "text", chance: float = CHANCE, generalis
     met = texts.mapInArrow(pairs, "c bigint, t string, h bigint").groupBy("c", "t", "h").agg(F.count("*").alias("n"))
     near = met.groupBy("c", "t").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"))
     rules = near.join(freq, "t").join(own, "c").withColumn("disclosure", _share(n, nc, nt, total)).filter(F.col("disclosure") >= generalise)
-    most = F.when(F.col("c").between(0, len(KINDS) - 1), enough).otherwise(F.log(F.lit(chance)))
-    rules = rules.filter(_log_chance(F.col("contexts"), n, nc, nt, total) <= most)
+    rules = rules.filter(_log_chance(F.col("contexts"), n, nc, nt, total) <= F.when(of_kind, enough_kind).otherwise(enough))
     out = C.stored(rules.select("c", "t", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action")), "rules")
     C.forget(seen)
     return out
