@@ -242,10 +242,12 @@ def _tally(batches):
     yield out()
 
 
-def _met(batches, limits: dict[int, tuple[int, int]], other: tuple[int, int], known: dict[str, int], likely: dict[int, set[str]] | None):
-    """(entity, term, text) of each document, but for pairs whose counts cannot make a rule, and terms not likely for a kind."""
+def _met(batches, limits: dict[int, tuple[int, int]], other: tuple[int, int], known: dict[str, int], rare: int, likely: dict[int, set[str]] | None):
+    """(entity, term, text) of each document, but for pairs whose counts cannot make a rule, and terms not likely for a kind.
+
+    Terms that are not known stand in at most ``rare`` documents.
+    """
     rows: list[tuple[int, str, int]] = []
-    rare = min(known.values(), default=0) if len(known) >= PART else 0  # documents of a term that is not known, at most
 
     def out():
         c, t, h = zip(*rows, strict=True)
@@ -347,7 +349,8 @@ def learn(docs: DataFrame, text: str = "text", chance: float = CHANCE, generalis
     for r in pairs_:
         likely.setdefault(r.c, set()).add(r.t)
     likely = likely if len(pairs_) <= PART else None
-    sent = spark.sparkContext.broadcast((limits, other, known, likely))
+    rare = min(known.values()) if len(known) == PART else 0
+    sent = spark.sparkContext.broadcast((limits, other, known, rare, likely))
 
     def pairs(batches):
         yield from _met(batches, *sent.value)

@@ -324,7 +324,7 @@ def test_mix_against_sorting_all_documents(spark):
     assert {r.source: r.target for r in rows} == {k: pytest.approx(v) for k, v in goals.items()}
     assert {r.doc_id: r.copies for r in rows} == want
     for k, goal in goals.items():
-        assert abs(goal - sum(r.size * r.copies for r in rows if r.source == k)) <= 1
+        assert abs(goal - sum(r.size * r.copies for r in rows if r.source == k)) <= max(5, 0.002 * goal)
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.format_string("s%05d", F.col("id") % 1000).alias("source"))
     got = {r.source: r.target for r in mixing.mixed(many).collect()}
     assert [got[k] for k in sorted(got)] == [pytest.approx(t) for t in targets([9] * 1000)]
@@ -438,7 +438,7 @@ def test_terms_that_give_an_entity_away(spark, monkeypatch):
     filler = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
     rng = np.random.default_rng(11)
     texts = []
-    for i in range(8):
+    for i in range(12):
         w = list(rng.choice(filler, size=6))
         texts.append(" ".join(w[:3]) + " Zorbina writes from zorb@mail.com the " + " ".join(w[3:]))
     texts += ["the " + " ".join(rng.choice(filler, size=20)) + " mail x@y.org" for _ in range(60)]
@@ -527,7 +527,7 @@ def test_pages_of_many_addresses_yield_few_pairs():
         assert not can or least <= nt
     page = " ".join([*(f"a{i}@x.org" for i in range(500)), *(f"term{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2000))])
     batch = pa.record_batch([pa.array([page])], ["text"])
-    assert sum(b.num_rows for b in pii._met([batch], {}, (1, 0), {}, {})) == 0
+    assert sum(b.num_rows for b in pii._met([batch], {}, (1, 0), {}, 0, {})) == 0
 
 
 def brute_rules(texts):
@@ -585,8 +585,8 @@ def test_rules_against_brute_force(spark, monkeypatch, part):
 
 
 def test_pairs_count_documents_not_contexts(spark):
-    """A term of 34 of 64 documents says little of an entity of 4, however many different documents those are."""
-    texts = [f"common unique{i} mail a@b.cd now{i}x" if i < 4 else f"common filler{i} text" if i < 34 else f"other filler{i} text" for i in range(64)]
+    """A term of 68 of 128 documents says little of an entity of 8, however many different documents those are."""
+    texts = [f"common unique{i} mail a@b.cd now{i}x" if i < 8 else f"common filler{i} text" if i < 68 else f"other filler{i} text" for i in range(128)]
     rules = {r.t: r.action for r in pii.learn(frame(spark, texts)).collect()}
     assert rules.get("common") != "remove" and rules["mail"] == "remove"
 
