@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 
 from lexeum.functions import text as T
 from lexeum.functions.labels import kappa_bucket
+from lexeum.session import scratch_path
 
 
-def fleiss_kappa(votes: DataFrame, item: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., kappa): null where chance agreement is complete. Items with one vote do not enter the observed agreement."""
+def fleiss_kappa(votes: DataFrame, item: str, label: str, by: Sequence[str] = (), rater: str | None = None) -> DataFrame:
+    """(by..., kappa): null where chance agreement is complete. Items with one vote do not enter the observed agreement.
+
+    With ``rater`` the votes are checked to be one a rater and item (and group).
+    """
     by = list(by)
+    votes = check_one_vote_each(votes, item, rater, by) if rater else votes
     n_ij = votes.groupBy(*by, item, label).agg(F.count("*").alias("n"))
     items = n_ij.groupBy(*by, item).agg(F.sum("n").alias("r"), F.sum(F.col("n") * F.col("n")).alias("sq"))
     seen = F.try_divide(F.col("sq") - F.col("r"), F.col("r") * (F.col("r") - 1))
@@ -32,9 +37,9 @@ def fleiss_kappa(votes: DataFrame, item: str, label: str, by: Sequence[str] = ()
     return both.select(*by, F.try_divide(F.col("p_bar") - p_e, 1.0 - p_e).alias("kappa"))
 
 
-def check_one_vote_each(votes: DataFrame, item: str, rater: str) -> DataFrame:
+def check_one_vote_each(votes: DataFrame, item: str, rater: str, by: Sequence[str] = ()) -> DataFrame:
     """The votes, or an error where a rater voted twice on an item (raised when the result is read)."""
-    twice = F.count("*").over(Window.partitionBy(item, rater)) > 1
+    twice = F.count("*").over(Window.partitionBy(*by, item, rater)) > 1
     marked = votes.withColumn("_twice", twice)
     return marked.filter(F.when(F.col("_twice"), F.raise_error(F.lit("a rater voted twice on an item")).cast("boolean")).otherwise(True)).drop("_twice")
 
@@ -103,7 +108,7 @@ def prefix_groups(ranked: DataFrame, votes: DataFrame, item: str, rater: str, la
     r = ranked.select(rater, "kappa", F.row_number().over(w).alias("rank"), F.lead("kappa").over(w).alias("next"), F.collect_list(rater).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("members"))
     bound = F.when(F.col("next").isNull(), F.concat(F.lit("x ≥ "), T.fixed(F.col("kappa"), 4))).otherwise(F.concat(T.fixed(F.col("next"), 4), F.lit(" < x ≤ "), T.fixed(F.col("kappa"), 4)))
     heads = r.select("rank", bound.alias("bound"), F.size("members").alias("n_raters"), "members")
-    v = votes.join(F.broadcast(r.select(rater, "rank")), rater)
+    v = votes.join(r.select(rater, "rank"), rater)
     at = Window.partitionBy(item).orderBy("rank", label)
     v = v.withColumn("n", F.row_number().over(Window.partitionBy(item, label).orderBy("rank"))).withColumn("r", F.row_number().over(at))
     v = v.withColumn("sq", F.sum(2 * F.col("n") - 1).over(at.rowsBetween(Window.unboundedPreceding, 0)))
@@ -128,9 +133,9 @@ def bucket_kappas(votes: DataFrame, ranked: DataFrame, item: str, rater: str, la
     """(bucket, kappa) of the raters of each interpretation, and of unions of interpretations; null with one member."""
     names = {n: (n,) for n in ("poor", "slight", "fair", "moderate", "substantial", "almost perfect")} | dict(unions or {})
     table = votes.sparkSession.createDataFrame([(g, b) for g, bs in names.items() for b in bs], "bucket string, interpretation string")
-    members = ranked.join(F.broadcast(table), "interpretation").select(rater, "bucket")
+    members = ranked.join(F.broadcast(table), "interpretation").select(rater, "bucket")  # a few rows
     size = members.groupBy("bucket").agg(F.countDistinct(rater).alias("n_raters"))
-    k = fleiss_kappa(votes.join(F.broadcast(members), rater), item, label, ["bucket"])
+    k = fleiss_kappa(votes.join(members, rater), item, label, ["bucket"])
     return size.join(k, "bucket", "left").select("bucket", "n_raters", F.when(F.col("n_raters") > 1, F.col("kappa")).alias("kappa"))
 
 
@@ -260,8 +265,20 @@ def quorums(votes: DataFrame, item: str, rater: str, label: str, size: int, comb
 
 
 def result_matrix(votes: DataFrame, item: str, rater: str, labels: Sequence[str], phase: str) -> DataFrame:
-    """(without, phase, label, kappa): all raters and each left out, for each phase and label; 'All' is nobody left out. One plan for all of them."""
+    """(without, phase, label, kappa): all raters and each left out, for each phase and label; 'All' is nobody left out.
+
+    The matrix is whole: where a rater has no votes in a phase, leaving them out
+    leaves the kappa of all. One plan for all cells; it runs as a job, whose
+    result (a row a cell) goes to the shared folder.
+    """
     rows = votes.select(item, rater, F.col(phase).alias("phase"), F.explode(F.array(*(F.struct(F.lit(x).alias("label"), F.col(x).cast("string").alias("v")) for x in labels))).alias("x"))
     rows = rows.select(item, rater, "phase", "x.label", "x.v")
-    out = leave_one_out(rows, item, rater, "v", ["phase", "label"], whole=True)
+    path = scratch_path(votes.sparkSession, "matrix")
+    leave_one_out(rows, item, rater, "v", ["phase", "label"], whole=True).write.parquet(path)
+    found = votes.sparkSession.read.parquet(path)
+    every = F.broadcast(found.filter("without IS NULL").agg(F.collect_list(F.struct("phase", "label", "kappa")).alias("c")))  # one row
+    cells = found.filter("without IS NOT NULL").select(F.col("without").alias("w"), F.col("phase").alias("p"), F.col("label").alias("l"))
+    absent = found.select("without").filter("without IS NOT NULL").distinct().crossJoin(every).select("without", F.explode("c").alias("c")).select("without", "c.*")
+    absent = absent.join(cells, F.col("without").eqNullSafe(F.col("w")) & F.col("phase").eqNullSafe(F.col("p")) & (F.col("label") == F.col("l")), "left_anti")
+    out = found.unionByName(absent)
     return out.select(F.coalesce(F.col("without").cast("string"), F.lit("All")).alias("without"), "phase", "label", "kappa")

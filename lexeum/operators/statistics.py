@@ -323,9 +323,9 @@ def dense_ranks(df: DataFrame, c: str, bins: int = 256) -> DataFrame:
     return binned.withColumn("_in", inside).join(F.broadcast(before.drop("_n")), "_bin").select(c, (F.col("_before") + F.col("_in")).cast("int").alias("rank"))  # a row a range
 
 
-def last_first(df: DataFrame, order: str, last) -> DataFrame:
-    """The rows by ``order``, with the one whose value is ``last`` in front."""
-    return df.orderBy(F.when(F.col(order) == last, 0).otherwise(1), order)
+def last_first(df: DataFrame, order: str, last, *then: str) -> DataFrame:
+    """The rows by ``order`` and ``then``, with those whose value is ``last`` in front."""
+    return df.orderBy(F.when(F.col(order) == last, 0).otherwise(1), order, *then)
 
 
 def top(df: DataFrame, by: str, tie: str, n: int) -> DataFrame:

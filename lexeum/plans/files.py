@@ -183,11 +183,12 @@ def selected_corpora(spark, sf_dir):
     return UnifiedDataset(spark, root).load(["detox", "wikipedia_politeness", "detox"]).split_stats()
 
 
-@K.query("SELECT 'unknown corpora: [''nope'', ''other'']' AS message")
+@K.query("SELECT 'unknown corpora: [' || string_agg(chr(39) || source || chr(39), ', ' ORDER BY source) || ']' AS message FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)")
 def unknown_corpora(spark, sf_dir):
-    """What is said of names that are no corpus."""
+    """What is said of names that are no corpus: the sources of the documents (twenty)."""
+    names = [r.source for r in K.table(spark, sf_dir, "documents").select("source").filter("source IS NOT NULL").distinct().collect()]
     try:
-        UnifiedDataset(spark, sf_dir).load(["detox", "other", "nope"])
+        UnifiedDataset(spark, sf_dir).load(["detox", *names])
     except ValueError as e:
         return spark.createDataFrame([(str(e).split(";")[0],)], "message string")
     raise AssertionError("unknown names were taken")
@@ -277,14 +278,13 @@ def translator_columns(spark, sf_dir):
     raise AssertionError("missing columns were not seen")
 
 
-@K.query(f"WITH {SQL_ATTACKS} SELECT source, 'de' AS language, insult, starts_with('[de] ' || text, '[de] ') AS tagged, count(*) AS count, 0::BIGINT AS without_split FROM a GROUP BY source, insult, tagged")
+@K.query(f"WITH {SQL_ATTACKS} SELECT '[de] ' || text AS text, source, 'de' AS language, insult, TRUE AS has_split FROM a")
 def job_end_to_end(spark, sf_dir):
     """Load, translate, assign splits, report and save, as on the command line."""
     root = scratch_path(spark, "raw")
     _write_attacks(spark, sf_dir, root)
     path = job.run(spark, root, scratch_path(spark, "out"), ["wikipedia_attacks"], translate=True, assign_splits=True, backend=translation.tagging_backend())
-    out = spark.read.parquet(path)
-    return out.groupBy("source", "language", "insult", F.startswith("text", F.lit("[de] ")).alias("tagged")).agg(F.count("*").alias("count"), F.count_if(F.col("split").isNull()).alias("without_split"))
+    return spark.read.parquet(path).select("text", "source", "language", "insult", F.col("split").isin(*splits.NAMES).alias("has_split"))
 
 
 # ------------------------------------------------------------------ what only reports need
@@ -307,10 +307,17 @@ def label_corr_listwise(spark, sf_dir):
     return K.rounded(statistics.correlations(rows, ("a", "b", "c"), listwise=True), "corr")
 
 
-@K.query(K.ORACLES["fleiss_kappa"])
+@K.query(f"SELECT kappa, (SELECT count(*) > 0 FROM lineitem WHERE l_orderkey % 100 = 0) AS refused FROM ({K.ORACLES['fleiss_kappa']})")
 def strict_kappa(spark, sf_dir):
-    """Kappa over votes that are checked to be one a rater and item."""
-    return K.rounded(agreement.fleiss_kappa(agreement.check_one_vote_each(K.ratings(spark, sf_dir), "item", "rater"), "item", "label"), "kappa")
+    """Kappa over votes that are checked to be one a rater and item; the same votes with those of some items twice are refused."""
+    votes_ = K.ratings(spark, sf_dir)
+    twice = votes_.union(votes_.filter("item % 100 = 0"))
+    try:
+        agreement.fleiss_kappa(twice, "item", "label", rater="rater").collect()
+        refused = False
+    except Exception as e:  # noqa: BLE001  the message tells whether it is the check's
+        refused = "a rater voted twice" in str(e)
+    return K.rounded(agreement.fleiss_kappa(votes_, "item", "label", rater="rater"), "kappa").withColumn("refused", F.lit(refused))
 
 
 @K.query(
@@ -370,5 +377,6 @@ def last_row_first(spark, sf_dir):
     """The result matrix with its last row, of all raters, in front."""
     phased = K.ratings(spark, sf_dir).withColumn("phase", F.col("item") % 2)
     out = agreement.result_matrix(phased, "item", "rater", ["label"], "phase")
-    place = F.row_number().over(Window.orderBy(F.col("without") != "All", "without", "phase"))  # a row a rater and phase
-    return K.rounded(statistics.last_first(out, "without", "All").withColumn("position", place), "kappa", digits=4)
+    shown = statistics.last_first(out, "without", "All", "phase").withColumn("_at", F.monotonically_increasing_id())  # grows with the place in the order
+    place = F.row_number().over(Window.orderBy("_at"))  # a row a rater and phase
+    return K.rounded(shown.withColumn("position", place).drop("_at"), "kappa", digits=4)
