@@ -11,7 +11,10 @@ the window in the text, and its words are compared, hashes first and then
 bytes.
 
 The benchmark is taken in parts of ``PART_BYTES`` of text, each broadcast for
-one pass over the documents; hits of several parts are united per row.
+one pass that counts shingles and one that finds windows; hits of several parts
+are united per row. What is broadcast is at most three times a part: its text,
+and five bytes for each window's place in the order of rarity. A worker makes
+word hashes, windows and shingles of it as arrays, about eight times the text.
 
 Defined cases: null text has no words and no hits; an item without words or
 id is never found; items that share a window are each found by it, rows of one
@@ -21,6 +24,7 @@ stay, and the new one's name gets underscores until it is free.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -36,48 +40,91 @@ _KIND = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("it
 
 
 class Windows:
-    """The distinct windows of some items, their shingles, and after ``rank`` an index on each window's rarest."""
+    """The distinct windows of some items, their shingles, and after ``rank`` an index on each window's rarest.
+
+    What is sent to workers is the items' text in small letters and, in the
+    index, five bytes a window; words and hashes are made from the text once in
+    each worker. A window is the place of its first word.
+    """
 
     def __init__(self, items: list[tuple[object, str]], window: int = WINDOW, shingle: int = SHINGLE):
-        texts = pa.array([t for _, t in items], pa.large_string())
-        data, off = C.utf8(texts)
-        h, s, e, ptr = C.words(data, off, C.ALNUM)
-        low = data.copy()
-        low[(low >= 65) & (low <= 90)] += 32
-        raw = [low[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-        places: dict[tuple[bytes, ...], list[int]] = {}
-        starts: dict[tuple[bytes, ...], int] = {}
-        for i in range(len(items)):
-            a, b = int(ptr[i]), int(ptr[i + 1])
-            for k in range(a, max(a, b - window) + 1 if b > a else a):
-                w = tuple(raw[k : min(b, k + window)])
-                starts.setdefault(w, k)
-                at = places.setdefault(w, [])
-                if not at or at[-1] != i:
-                    at.append(i)
-        self.ids = [str(i) for i, _ in items]
-        self.windows = list(places)
-        self.items = [np.array(v) for v in places.values()]
-        self.size = np.array([len(w) for w in self.windows], np.int64)
-        self.words = np.zeros((len(self.windows), window), C.U)
-        for i, w in enumerate(self.windows):
-            self.words[i, : len(w)] = h[starts[w] : starts[w] + len(w)]
-        self.step = np.minimum(self.size, shingle)
-        self.shingles = {int(n): np.unique(np.concatenate([C.ngrams(self.words[i, : self.size[i]], int(n)) for i in np.flatnonzero(self.step == n)])) for n in np.unique(self.step)}
+        self.ids, self.window, self.shingle = [str(i) for i, _ in items], window, shingle
+        data, self.off = C.utf8(pa.array([t for _, t in items], pa.large_string()))
+        self.low = data.copy()
+        self.low[(self.low >= 65) & (self.low <= 90)] += 32
+        self.order: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("text", "places", "shingles", "index")}
+
+    @functools.cached_property
+    def text(self) -> tuple[np.ndarray, ...]:
+        """Word hashes, first and end bytes, and each item's place among the words."""
+        return C.words(self.low, self.off, C.ALNUM)
+
+    @functools.cached_property
+    def places(self) -> tuple[np.ndarray, ...]:
+        """Of each distinct window its first word and its size; and the (window, item) of all items that have it, by window."""
+        h, _, _, ptr = self.text
+        many = np.diff(ptr)
+        item = np.repeat(np.arange(len(many)), np.where(many > 0, np.maximum(many - self.window, 0) + 1, 0))
+        head = np.append(True, item[1:] != item[:-1])[: len(item)]
+        start = ptr[item] + np.arange(len(item)) - np.repeat(np.flatnonzero(head), np.diff(np.append(np.flatnonzero(head), len(item))))
+        size = np.minimum(many[item], self.window)
+        own = np.zeros(len(start), C.U)
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            own[at] = C.ngrams(h, n)[start[at]]
+        by = np.lexsort((start, own, size))
+        start, size, own, item = start[by], size[by], own[by], item[by]
+        new = np.append(True, (own[1:] != own[:-1]) | (size[1:] != size[:-1]))[: len(own)]
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(own) else np.empty(0, np.int64)
+        for j in range(self.window):  # equal hashes of other words are windows of their own
+            on = j < size
+            new |= on & (h[np.where(on, start + j, 0)] != h[np.where(on, start[lead] + j, 0)]) if len(h) else False
+        which = np.cumsum(new) - 1
+        pairs = np.unique(which * max(1, len(self.ids)) + item)
+        return start[new], size[new], pairs // max(1, len(self.ids)), pairs % max(1, len(self.ids))
+
+    @functools.cached_property
+    def shingles(self) -> dict[int, np.ndarray]:
+        """The distinct shingles of the windows, by their number of words."""
+        h, _, _, ptr = self.text
+        start, size, _, _ = self.places
+        out = {}
+        for n in np.unique(np.minimum(size, self.shingle)).tolist():
+            mine = np.flatnonzero(np.minimum(size, self.shingle) == n)
+            at = np.unique(np.concatenate([start[mine][size[mine] - n >= k] + k for k in range(int(size[mine].max()) - n + 1)]))
+            out[n] = np.unique(C.ngrams(h, n)[at])
+        return out
 
     def rank(self, df: dict[int, np.ndarray]) -> None:
-        """Index each window on its rarest shingle; ``df``: document frequencies in the order of ``shingles``."""
-        self.index = {}
+        """Order the windows by their rarest shingle; ``df``: document frequencies in the order of ``shingles``."""
+        h, _, _, _ = self.text
+        start, size, _, _ = self.places
         for n, known in self.shingles.items():
-            at = np.flatnonzero(self.step == n)
-            key, shift = np.empty(len(at), C.U), np.empty(len(at), np.int64)
-            for j, i in enumerate(at):
-                g = C.ngrams(self.words[i, : self.size[i]], n)
-                k = np.lexsort((g, df[n][np.searchsorted(known, g)]))[0]
-                key[j], shift[j] = g[k], k
-            order = np.argsort(key, kind="stable")
-            keys, first, count = np.unique(key[order], return_index=True, return_counts=True)
-            self.index[n] = (keys, first, count, at[order], shift[order])
+            at = np.flatnonzero(np.minimum(size, self.shingle) == n)
+            g = C.ngrams(h, n)
+            best, count, shift = np.zeros(len(at), C.U), np.full(len(at), np.iinfo(np.int64).max), np.zeros(len(at), np.uint8)
+            for k in range(int(size[at].max()) - n + 1):
+                has = k + n <= size[at]
+                mine = g[np.where(has, start[at] + k, 0)]
+                seen = df[n][np.minimum(np.searchsorted(known, mine), len(known) - 1)]
+                less = has & ((seen < count) | ((seen == count) & (mine < best)))
+                best, count, shift = np.where(less, mine, best), np.where(less, seen, count), np.where(less, k, shift).astype(np.uint8)
+            by = np.argsort(best, kind="stable")
+            self.order[n] = (at[by].astype(np.int32), shift[by])
+        self.__dict__.pop("index", None)
+
+    @functools.cached_property
+    def index(self) -> dict[int, tuple[np.ndarray, ...]]:
+        """The rarest shingles in order, where their windows begin and how many there are, the windows, and the shingle's place in each."""
+        h, _, _, _ = self.text
+        out = {}
+        for n, (win, shift) in self.order.items():
+            keys, first, count = np.unique(C.ngrams(h, n)[self.places[0][win] + shift], return_index=True, return_counts=True)
+            out[n] = (keys, first, count, win, shift.astype(np.int64))
+        return out
 
     def member(self, g: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where ``g`` holds entries of the sorted ``known``, and which."""
@@ -109,6 +156,9 @@ class Windows:
     def find(self, texts: pa.Array) -> pa.Array:
         """Of each row: words, places of hit words, ids of the items found."""
         data, off = C.utf8(texts)
+        its, low, first_byte, end_byte = self.text[0], self.low, self.text[1], self.text[2]
+        begin, size, of_window, of_item = self.places
+        lead = np.searchsorted(of_window, np.arange(len(begin) + 1))
         parts = []
         for a, b in C.slices(off):
             part, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
@@ -124,18 +174,18 @@ class Windows:
                     slot = np.repeat(first[w], reps) + np.arange(len(pos)) - np.repeat(np.cumsum(reps) - reps, reps)
                     i, start = win[slot], pos - shift[slot]
                     row = np.searchsorted(ptr, pos, "right") - 1
-                    ok = (start >= ptr[row]) & (start + self.size[i] <= ptr[row + 1])
+                    ok = (start >= ptr[row]) & (start + size[i] <= ptr[row + 1])
                     i, start, row = i[ok], start[ok], row[ok]
-                    for j in range(self.words.shape[1]):
-                        on = j < self.size[i]
-                        same = ~on | (h[np.where(on, start + j, 0)] == self.words[i, j]) if len(h) else on
+                    for j in range(self.window):
+                        on = j < size[i]
+                        same = ~on | (h[np.where(on, start + j, 0)] == its[np.where(on, begin[i] + j, 0)]) if len(h) else on
                         i, start, row = i[same], start[same], row[same]
                     for x, st, r in zip(i.tolist(), start.tolist(), row.tolist(), strict=True):
-                        w_ = self.windows[x]
-                        if all(part[s[st + j] : e[st + j]].tobytes().lower() == t for j, t in enumerate(w_)):
+                        b0, m = int(begin[x]), int(size[x])
+                        if all(part[s[st + j] : e[st + j]].tobytes().lower() == low[first_byte[b0 + j] : end_byte[b0 + j]].tobytes() for j in range(m)):
                             mark[st] += 1
-                            mark[st + len(w_)] -= 1
-                            found[r].update(self.items[x].tolist())
+                            mark[st + m] -= 1
+                            found[r].update(of_item[lead[x] : lead[x + 1]].tolist())
             hit = np.cumsum(mark)[:-1] > 0
             at = np.flatnonzero(hit)
             row = np.searchsorted(ptr, at, "right") - 1
@@ -172,7 +222,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                 yield pa.record_batch([pa.array(np.full(len(at), n), pa.int32()), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], ["n", "at", "df"])
 
         df = {n: np.zeros(len(k), np.int64) for n, k in w.shingles.items()}
-        if len(w.windows):  # one row for each shingle of this part at most
+        if len(w.places[0]):  # one row for each shingle of this part at most
             for r in docs.select(text).mapInArrow(count, "n int, at bigint, df bigint").groupBy("n", "at").agg(F.sum("df").alias("df")).collect():
                 df[r.n][r["at"]] = r.df
         w.rank(df)

@@ -330,6 +330,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         each = known.groupBy("band", "comp").agg(F.count("*").alias("k"))
         mixed = each.groupBy("band").agg(F.sum("k").alias("_n"), F.max("k").alias("k"), F.max_by("comp", "k").alias("main"), F.count("*").alias("comps")).filter("comps > 1")
         mixed = C.stored(mixed.select("band", "_n", "main", (F.col("_n") - F.col("k")).alias("strays")), "strays")
+        if mixed.isEmpty():  # all documents of a band are of one component: nothing is apart
+            C.forget(known, mixed)
+            break
         block = part = C.stored(C.spread_join(known, mixed, "band", "_n").join(small, "rep"), "mixed")
         cols = ["pos", "rep", "comp", "n", "sketch"]
         if not best_only:

@@ -400,6 +400,23 @@ def test_contamination_against_brute_force(spark, monkeypatch, part):
     assert clean.columns == df.columns and clean.count() == sum(not w[1] for w in brute_hits(texts, items))
 
 
+def test_windows_are_small(spark):
+    """What is broadcast of 1 MB of items is at most 4 MB; a worker's copy finds the same."""
+    import pickle
+
+    rng = np.random.default_rng(6)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), size=int(rng.integers(2, 10)))) for _ in range(5000)]
+    items = [(i, " ".join(rng.choice(vocab, size=int(rng.integers(1, 400))))) for i in range(800)] + [(900 + i, "one shared passage of ten words that many items have in common") for i in range(300)]
+    size = sum(len(t) for _, t in items)
+    w = decontam.Windows(items)
+    first = len(pickle.dumps(w))
+    w.rank({n: np.ones(len(k), np.int64) for n, k in w.shingles.items()})
+    assert first <= 1.2 * size and len(pickle.dumps(w)) <= 3 * size
+    texts = pa.array([items[3][1].upper() + " tail", "said: one shared passage of ten words that many items have, in common", "", None, items[7][1]])
+    again = pickle.loads(pickle.dumps(w)).find(texts)
+    assert again.equals(w.find(texts)) and len(again.to_pylist()[1]["items"]) == 300
+
+
 def test_contamination_with_empty_tables(spark):
     df, bench = frame(spark, ["a b"]), spark.createDataFrame([], "item_id long, text string")
     r = decontam.with_contamination(df, bench).first().found
