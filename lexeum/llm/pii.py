@@ -245,7 +245,7 @@ def _tally(batches):
 def _met(batches, limits: dict[int, tuple[int, int]], other: tuple[int, int], known: dict[str, int], rare: int, likely: dict[int, set[str]] | None):
     """(entity, term, text) of each document, but for pairs whose counts cannot make a rule, and terms not likely for a kind.
 
-    Terms that are not known stand in at most ``rare`` documents.
+    Terms that are not known stand in at most ``rare`` documents; 0 says that none of them can make a rule of a value.
     """
     rows: list[tuple[int, str, int]] = []
 
@@ -261,7 +261,7 @@ def _met(batches, limits: dict[int, tuple[int, int]], other: tuple[int, int], kn
             for c in entities(x, spans):
                 if likely is not None and 0 <= c < len(KINDS):
                     wanted += [(c, None)] if c in likely else []
-                elif (span := limits.get(c, other) if c >= len(KINDS) or c < 0 else (1, 1 << 62))[1]:
+                elif (span := limits.get(c, other) if c >= len(KINDS) or c < 0 else (0, 1 << 62))[1]:
                     wanted.append((c, span))
             if not wanted:
                 continue
@@ -323,6 +323,16 @@ def reach(nc: int, total: int, enough: float, generalise: float) -> tuple[int, i
     return least, low
 
 
+def _cut(rows: DataFrame, n: str, part: int) -> int:
+    """The least count such that no more than ``part`` rows have a greater one; from a row for each count that occurs."""
+    seen = 0
+    for r in sorted(rows.groupBy(n).count().collect(), reverse=True):
+        seen += r["count"]
+        if seen > part:
+            return r[n]
+    return 0
+
+
 def learn(docs: DataFrame, text: str = "text", chance: float = CHANCE, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(c, t, disclosure, action): which terms give which entities away. Stored in the shared folder."""
     spark = C.ready(docs.sparkSession)
@@ -335,12 +345,20 @@ def learn(docs: DataFrame, text: str = "text", chance: float = CHANCE, generalis
     # a kind is tried with all terms, and each value with all terms: so many chances share the one that is allowed
     enough_kind, enough = log(chance / n_terms), log(chance / n_terms / max(1, own.filter(~of_kind).count()))
 
-    often = own.filter("nc > 1").orderBy(F.desc("nc")).limit(PART).collect()
-    spans: dict[int, tuple[int, int]] = {}
-    limits = {r.c: spans.setdefault(r.nc, reach(r.nc, total, enough, generalise)) for r in often}
-    unknown = often[-1].nc if len(often) == PART else 1  # documents of the other entities, at most
-    other = (1, max((spans.setdefault(k, reach(k, total, enough, generalise))[1] for k in range(1, min(unknown, 64) + 1)), default=0) if unknown <= 64 else reach(unknown, total, 0.0, generalise)[1])
-    known = {r.t: r.nt for r in freq.orderBy(F.desc("nt")).limit(PART).collect()}
+    # entities of documents enough for any rule, and terms that some of these can have; of more than PART the most frequent
+    fewest = next((k for k in range(1, 65) if reach(k, total, enough, generalise)[1]), 65)
+    values = own.filter(~of_kind & (F.col("nc") >= fewest))
+    above = _cut(values, "nc", PART)
+    often = values.filter(F.col("nc") > above).toArrow().to_pydict()
+    spans = {k: reach(k, total, enough, generalise) for k in set(often["nc"])}
+    limits = {c: spans[k] for c, k in zip(often["c"], often["nc"], strict=True)}
+    other = (1, reach(above, total, 0.0, generalise)[1]) if above >= fewest else (1, 0)
+    can = [s for s in (*spans.values(), other) if s[1]]
+    able = freq.filter(F.col("nt").between(min((s[0] for s in can), default=1), max((s[1] for s in can), default=0)))
+    rare = _cut(able, "nt", PART)
+    some = freq.filter(F.col("nt") > rare) if rare else able
+    some = some.limit(0) if rare and some.count() > 2 * PART else some
+    known = dict(zip(*some.select("t", "nt").toArrow().to_pydict().values(), strict=True))
     n, nc, nt = F.col("n"), F.col("nc"), F.col("nt")
     # the counts of a kind's pairs are known; only those that can make a rule are looked at again, for their different texts
     pairs_ = seen.filter("c IS NOT NULL AND t IS NOT NULL").join(F.broadcast(own.filter(of_kind)), "c").join(freq, "t")
@@ -349,7 +367,6 @@ def learn(docs: DataFrame, text: str = "text", chance: float = CHANCE, generalis
     for r in pairs_:
         likely.setdefault(r.c, set()).add(r.t)
     likely = likely if len(pairs_) <= PART else None
-    rare = min(known.values()) if len(known) == PART else 0
     sent = spark.sparkContext.broadcast((limits, other, known, rare, likely))
 
     def pairs(batches):
