@@ -6,9 +6,9 @@ The cache grows with the data, so it is joined by hash, and Spark broadcasts
 it only if its size allows. New entries go to a folder of their own beside the
 old ones, which are never written again: the cache stays linear in the texts,
 and jobs that add to it at the same time do not meet. Entries lie in 256 buckets
-by the first two digits of their hash, sorted, with Bloom filters of the hashes:
-where the cache has more than ``WHOLE_FILES`` files, a job first finds out which
-buckets its texts are in (256 values at most) and reads only their files.
+by the first two digits of their hash: where the cache has more than
+``WHOLE_FILES`` files, a job first finds out which buckets its texts are in (256
+values at most) and reads only their files.
 ``compact`` makes one table of many.
 """
 
@@ -129,7 +129,7 @@ class Translator:
         """Write entries to a folder of their own, in buckets; its path."""
         path = f"{self.cache_path.rstrip('/')}/added-{uuid.uuid4().hex}"
         rows = entries.select("hash", "translated", _bucket(F.col("hash")).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "hash")
-        rows.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#hash", "true").parquet(path)
+        rows.write.partitionBy("bucket").parquet(path)
         return path
 
     def compact(self, spark: SparkSession) -> None:
