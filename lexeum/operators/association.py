@@ -65,6 +65,41 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def suffix_rules(table: DataFrame, longest: int = 4) -> DataFrame:
+    """(suffix, cut, add): how words that end so are made to lemmas, from a table of (form, lemma).
+
+    What a form and its lemma have in common at their beginning stays; each
+    suffix of the form, from what is cut to ``longest`` letters, has a vote for
+    that change, and the change of most votes wins, ties by cut and add.
+    """
+    shared = F.array_max(F.filter(F.sequence(F.lit(0), F.length("form")), lambda k: F.startswith(F.col("lemma"), F.substr("form", F.lit(1), k))))
+    cut = F.substr("form", F.col("p") + 1)
+    rows = table.select("form", "lemma", shared.alias("p")).select("form", cut.alias("cut"), F.substr("lemma", F.col("p") + 1).alias("add"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("form")))).alias("k")).filter(F.col("k") >= F.length("cut"))
+    votes = rows.groupBy(F.right("form", F.col("k")).alias("suffix"), "cut", "add").agg(F.count("*").alias("n"))
+    best = F.row_number().over(Window.partitionBy("suffix").orderBy(F.desc("n"), "cut", "add"))
+    return votes.withColumn("_r", best).filter("_r = 1").select("suffix", "cut", "add")
+
+
+def lemmas(words: DataFrame, table: DataFrame, longest: int = 4) -> DataFrame:
+    """(word, lemma) of the distinct words of ``words``: as in ``table`` (form, lemma; one a form), else by the rule of the longest suffix, else the word.
+
+    Everything is joined by word or suffix, a row a distinct word: the table and
+    its rules may be of any size, and Spark broadcasts them where they are small.
+    """
+    known = words.select("word").distinct().join(table.select(F.col("form").alias("word"), "lemma"), "word", "left")
+    ends = known.filter("lemma IS NULL").select("word", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.greatest(F.length("word") - 1, F.lit(1))))).alias("k")).filter(F.col("k") < F.length("word"))
+    ends = ends.withColumn("suffix", F.right("word", F.col("k"))).join(suffix_rules(table, longest), "suffix")
+    made = F.concat(F.substr("word", F.lit(1), F.length("word") - F.length("cut")), "add")
+    ruled = ends.groupBy("word").agg(F.max_by(made, "k").alias("_ruled"))
+    return known.join(ruled, "word", "left").select("word", F.coalesce("lemma", "_ruled", "word").alias("lemma"))
+
+
+def lemma_counts(counts: DataFrame, table: DataFrame) -> DataFrame:
+    """(lemma, count, forms): word counts (word, count) by lemma."""
+    return counts.join(lemmas(counts, table), "word").groupBy("lemma").agg(F.sum("count").alias("count"), F.count("*").alias("forms"))
+
+
 def term_frequency(df: DataFrame, tokens: str, min_docs: int = 2, keep=None) -> DataFrame:
     """(word, count, docs) of words in at least ``min_docs`` documents."""
     return word_counts(df, tokens, keep=keep).filter(F.col("docs") >= min_docs)

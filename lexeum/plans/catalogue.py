@@ -686,6 +686,26 @@ def term_frequency(spark, sf_dir):
     return association.term_frequency(_raw_tokens(spark, sf_dir), "words", keep=_counted)
 
 
+SQL_LEMMA = "CASE WHEN word LIKE '%ing' THEN left(word, length(word) - 3) WHEN word LIKE '%en' THEN left(word, length(word) - 2) || 'e' WHEN word LIKE '%s' THEN left(word, length(word) - 1) ELSE word END"
+
+
+@query(
+    f"""WITH {SQL_TOKENS}, x AS (SELECT doc_id, unnest(words) AS word FROM tok), w AS (SELECT word, count(*) AS n FROM x GROUP BY word),
+    tb AS (SELECT DISTINCT word AS form, {SQL_LEMMA} AS lemma FROM x WHERE doc_id % 2 = 0 AND length(word) > 5), p AS (SELECT form, lemma, list_max(list_filter(range(0, length(form) + 1), lambda k: starts_with(lemma, left(form, k)))) AS p FROM tb),
+    v AS (SELECT right(form, k) AS suffix, substring(form, p + 1) AS cut, substring(lemma, p + 1) AS add, count(*) AS n FROM p, unnest(range(1, 5)) t(k) WHERE k <= length(form) AND k >= length(form) - p GROUP BY ALL),
+    r AS (SELECT suffix, cut, add FROM v QUALIFY row_number() OVER (PARTITION BY suffix ORDER BY n DESC, cut, add) = 1),
+    e AS (SELECT word, k, right(word, k) AS suffix FROM w, unnest(range(1, 5)) t(k) WHERE k < length(word)),
+    u AS (SELECT word, arg_max(left(word, length(word) - length(cut)) || add, k) AS lemma FROM e JOIN r ON r.suffix = e.suffix GROUP BY word)
+    SELECT coalesce(tb.lemma, u.lemma, w.word) AS lemma, sum(n)::BIGINT AS count, count(*) AS forms FROM w LEFT JOIN tb ON tb.form = w.word LEFT JOIN u ON u.word = w.word GROUP BY ALL"""
+)
+def lemma_counts(spark, sf_dir):
+    """Words by lemma: forms of half of the documents are in a table, the others follow its suffix rules."""
+    counts = association.word_counts(_raw_tokens(spark, sf_dir), "words", keep=_counted)
+    seen = _raw_tokens(spark, sf_dir).filter("doc_id % 2 = 0").select(F.explode("words").alias("word")).filter(_counted(F.col("word")) & (F.length("word") > 5)).distinct()
+    table_ = seen.select(F.col("word").alias("form"), F.expr(SQL_LEMMA).alias("lemma"))
+    return association.lemma_counts(counts, table_)
+
+
 @query(f"WITH {SQL_TOKENS} SELECT sum(len(words))::BIGINT AS words FROM tok")
 def corpus_words(spark, sf_dir):
     return association.corpus_words(_raw_tokens(spark, sf_dir), "words", _counted)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexeum import schema
-from lexeum.operators import splits, statistics
+from lexeum.operators import association, splits, statistics
 
 
 def strata(rng, labels, most):
@@ -80,3 +80,26 @@ def test_no_task_of_a_quantile_sees_all_values(spark):
     for k in (0, 1):
         x = np.sqrt(np.arange(k, 1_000_000, 2))
         assert got[k] == pytest.approx([np.quantile(x, 0.25), np.quantile(x, 0.5)], rel=1e-12)
+
+
+def test_lemmas_by_table_and_suffix(spark):
+    table = spark.createDataFrame([("houses", "house"), ("mice", "mouse"), ("walking", "walk"), ("talking", "talk"), ("being", "be"), ("cats", "cat"), ("dogs", "dog"), ("bus", "bus")], "form string, lemma string")
+    words = spark.createDataFrame([(w, n) for w, n in [("mice", 2), ("mouse", 1), ("barking", 3), ("birds", 4), ("bird", 1), ("tree", 5), ("s", 1), ("dogs", 1), ("dogs", 0)]], "word string, count long")
+    got = {r.word: r.lemma for r in association.lemmas(words, table).collect()}
+    assert got == {"mice": "mouse", "mouse": "mouse", "barking": "bark", "birds": "bird", "bird": "bird", "tree": "tree", "s": "s", "dogs": "dog"}
+    assert {r.lemma: r["count"] for r in association.lemma_counts(words, table).collect()}["bird"] == 5
+    rules = {r.suffix: (r.cut, r.add) for r in association.suffix_rules(table).collect()}
+    assert rules["ing"] == ("ing", "") and rules["s"] == ("s", "") and "mice" in rules and rules["mice"] == ("ice", "ouse")
+
+
+def test_densities_of_counts_and_bins(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 60, size=4000)
+    df = spark.createDataFrame([("a" if i % 3 else "b", int(v)) for i, v in enumerate(x)], "k string, v int")
+    points = [float(p) for p in np.linspace(0, 60, 64)]
+    exact = {(r.k, r.point): r.density for r in statistics.density(df, "v", "k", points, 4.0).collect()}
+    binned = {(r.k, r.point): r.density for r in statistics.density(df.withColumn("v", F.col("v") + 0.0), "v", "k", points, 4.0, bin_width=0.25).collect()}
+    for k, own in (("a", x[np.arange(4000) % 3 > 0]), ("b", x[::3])):
+        for p in points:
+            want = np.exp(-0.5 * ((own - p) / 4.0) ** 2).mean() / (4.0 * np.sqrt(2 * np.pi))
+            assert exact[k, p] == pytest.approx(want, rel=1e-9) and binned[k, p] == pytest.approx(want, abs=2e-3 * 0.1)
