@@ -85,9 +85,9 @@ def _secrets() -> str:
             rest = f"r{k}"
     sample = "(SELECT count(*) FROM d) <= 20000 OR ('0x' || h[1:8])::BIGINT < floor(20000 / (SELECT count(*) FROM d) * 4294967296)"
     return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS h FROM documents), {", ".join(parts)},
-runs AS (SELECT *, row_number() OVER () AS id FROM s3 WHERE regexp_matches(value, '[0-9]')),
+runs AS (SELECT *, row_number() OVER () AS id FROM s3 WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
 picked AS (SELECT * FROM {rest} WHERE {sample}),
-strings AS (SELECT FALSE AS random, value FROM (SELECT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_=-]{{6,}}')) AS value FROM picked) x WHERE length(value) < 16 OR NOT regexp_matches(value, '[0-9]')
+strings AS (SELECT FALSE AS random, value FROM (SELECT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_=-]{{6,}}')) AS value FROM picked) x WHERE length(value) < 16 OR NOT regexp_matches(value, '[0-9]') OR NOT regexp_matches(value, '[A-Za-z]')
     UNION SELECT TRUE, value FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) s WHERE r IN (SELECT r FROM picked) AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
     UNION SELECT TRUE, unnest([h, upper(h), replace(base64(unhex(h)), '=', '')]) FROM picked),
 pairs AS (SELECT random, CASE WHEN i = 1 THEN 0 ELSE strpos('{alphabet}', value[i - 1]) END AS a, strpos('{alphabet}', value[i]) AS b FROM strings, unnest(range(1, length(value) + 1)) t(i)),

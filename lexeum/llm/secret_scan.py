@@ -8,15 +8,15 @@ that fail their test are dropped and what they cover is not read again:
     hex     24 or more small hexadecimal digits
 
 The method adds spans of kind ``random``: runs of letters, digits and + / _ = -
-of ``LEAST`` characters or more, at least one of them a digit (without one it is
-a name, however odd), in what base spans leave of the text, whose log-likelihood ratio between two Markov models of characters, of random strings
+of ``LEAST`` characters or more, with a letter and a digit among them (else they
+are numbers or names, however odd), in what base spans leave of the text, whose log-likelihood ratio between two Markov models of characters, of random strings
 and of ordinary identifiers, reaches the threshold. Both models count which
 character follows which (a string's beginning is a character of its own), with
 ``SMOOTH`` added to each count. The labelled samples come from about
 ``TRAIN_ROWS`` documents, chosen by hash (all, if there are fewer): ordinary are
 the distinct runs of 6 characters or more outside base spans that are not to be
-judged themselves (so ``LEAST`` and more only without a digit); random are the
-values of base spans that hold a letter and a digit, and, lest all random
+judged themselves (so ``LEAST`` and more only without digits or letters); random
+are the values of base spans that hold a letter and a digit, and, lest all random
 strings look hexadecimal, the SHA-256 of each text written in hexadecimal digits
 of either case and in base 64.
 
@@ -62,8 +62,8 @@ RUN = "[A-Za-z0-9+/_=-]"
 LEAST, LEAST_SAMPLE, TRAIN_ROWS, SMOOTH, CHANCE, BLOCK = 16, 6, 20_000, 0.5, 0.01, 256
 
 
-#: Whole runs with a digit; the look behind only saves tries inside a run.
-RUNS = f"(?<!{RUN})(?=[A-Za-z+/_=-]*[0-9]){RUN}{{{LEAST},}}"
+#: Whole runs with a digit and a letter; the look behind only saves tries inside a run.
+RUNS = f"(?<!{RUN})(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z]){RUN}{{{LEAST},}}"
 
 
 def _sum(numbers: Column) -> Column:
@@ -110,7 +110,7 @@ class Spans(NamedTuple):
 
 
 def with_parts(df: DataFrame, text: str) -> tuple[DataFrame, Spans]:
-    """``df`` with the base spans and the runs of ``LEAST`` characters with a digit that they leave."""
+    """``df`` with the base spans and the runs of ``LEAST`` characters with a letter and a digit that they leave."""
     own = Spans(*(C.fresh(df, f"_{f}") for f in Spans._fields))
     whole, gone, both, rest, drop = (C.fresh(df, f"_{c}") for c in ("whole", "gone", "both", "left", "drop"))
     df = df.withColumn(whole, F.coalesce(F.col(text), F.lit(""))).withColumn(own.rest, F.col(whole))
@@ -140,7 +140,7 @@ def samples(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) -
     some = docs.select(F.col(text).alias("text"), key.alias("h")).filter(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") < cut)
     parts, own = with_parts(some, "text")
     plain = parts.select(F.lit(False).alias("random"), F.explode(F.regexp_extract_all(own.rest, F.lit(f"{RUN}{{{LEAST_SAMPLE},}}"), F.lit(0))).alias("value"))
-    plain = plain.filter((F.length("value") < LEAST) | ~F.col("value").rlike("[0-9]"))
+    plain = plain.filter((F.length("value") < LEAST) | ~F.col("value").rlike("[0-9]") | ~F.col("value").rlike("[A-Za-z]"))
     said = parts.select(F.lit(True).alias("random"), F.explode(F.transform(F.concat(*own[: len(PATTERNS)]), lambda m: m["value"])).alias("value"))
     said = said.filter(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))
     drawn = some.select(F.lit(True).alias("random"), F.explode(F.array(F.col("h"), F.upper("h"), F.replace(F.base64(F.unhex("h")), F.lit("="), F.lit("")))).alias("value"))
