@@ -16,23 +16,50 @@ from lexeum.functions.labels import kappa_bucket
 from lexeum.session import scratch_path
 
 
+#: Votes that one task sorts.
+TASK_VOTES = 500_000
+
+
+def dealt(votes: DataFrame, *item: str) -> DataFrame:
+    """The votes dealt by item to as many partitions as their number needs (they are counted by a job), so that no task's memory grows with them. What is grouped by item afterwards stays where it is."""
+    parts = max(int(votes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-votes.count() // TASK_VOTES))
+    return votes.repartition(parts, *item)
+
+
+def _stored(df: DataFrame, tag: str) -> DataFrame:
+    """A small table that several parts of a plan read, written to the shared folder by a job."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _agreeing(sq: Column, r: Column) -> Column:
+    """The share of pairs of an item's ``r`` votes that agree, from the sum of its squared label counts."""
+    return F.try_divide(sq - r, r * (r - 1))
+
+
 def fleiss_kappa(votes: DataFrame, item: str, label: str, by: Sequence[str] = (), rater: str | None = None) -> DataFrame:
     """(by..., kappa): null where chance agreement is complete. Items with one vote do not enter the observed agreement.
 
     With ``rater`` the votes are checked to be one a rater and item (and group).
+    Items are counted by their votes and squared label counts, whole numbers, so
+    that the result hangs neither on the number of items nor on their order.
     """
     by = list(by)
     votes = check_one_vote_each(votes, item, rater, by) if rater else votes
+    own = Window.partitionBy(*by, item)
     n_ij = votes.groupBy(*by, item, label).agg(F.count("*").alias("n"))
-    items = n_ij.groupBy(*by, item).agg(F.sum("n").alias("r"), F.sum(F.col("n") * F.col("n")).alias("sq"))
-    seen = F.try_divide(F.col("sq") - F.col("r"), F.col("r") * (F.col("r") - 1))
-    shares = n_ij.groupBy(*by, label).agg(F.sum("n").alias("c"))
+    each = n_ij.select(*by, label, "n", F.sum("n").over(own).alias("r"), F.sum(F.col("n") * F.col("n")).over(own).alias("sq"))
+    few = each.groupBy(*by, label, "n", "r", "sq").agg(F.count("*").alias("c"))  # a row's c items have n of their r votes for the label
+    items = few.groupBy(*by, "r", "sq").agg(F.expr("sum(c * n) div r").alias("m"))
+    shares = few.groupBy(*by, label).agg(F.sum(F.col("c") * F.col("n")).alias("c"))
+    seen = F.try_divide(F.sum(F.col("m") * _agreeing(F.col("sq"), F.col("r"))), F.sum(F.when(F.col("r") > 1, F.col("m")))).alias("p_bar")
     if by:
-        observed = items.groupBy(*by).agg(F.avg(seen).alias("p_bar"))
+        observed = items.groupBy(*by).agg(seen)
         chance = shares.groupBy(*by).agg(F.sum(F.col("c") * F.col("c")).alias("cc"), F.sum("c").alias("t"))
         both = observed.join(chance, by)
     else:
-        both = items.agg(F.avg(seen).alias("p_bar")).crossJoin(shares.agg(F.sum(F.col("c") * F.col("c")).alias("cc"), F.sum("c").alias("t")))  # one row each
+        both = items.agg(seen).crossJoin(shares.agg(F.sum(F.col("c") * F.col("c")).alias("cc"), F.sum("c").alias("t")))  # one row each
     p_e = F.col("cc") / (F.col("t").cast("double") * F.col("t"))
     return both.select(*by, F.try_divide(F.col("p_bar") - p_e, 1.0 - p_e).alias("kappa"))
 
@@ -49,28 +76,34 @@ def leave_one_out(votes: DataFrame, item: str, rater: str, label: str, by: Seque
 
     An item's label counts without a rater are those of all less the rater's
     own, so votes are not multiplied by raters: each vote knows its item's
-    totals from one exchange, and a rater's own items are corrected.
+    totals from one exchange, and a rater's own items are corrected. Votes are
+    then counted by whole numbers, of which there are few, and all that is left
+    comes from these counts.
     """
     by = list(by)
     v = votes.select(*by, F.col(item).alias("_i"), F.col(rater).alias("without"), F.col(label).alias("_l"))
-    item_w, label_w = Window.partitionBy(*by, "_i"), Window.partitionBy(*by, "_i", "_l")
-    v = v.withColumn("n", F.count("*").over(label_w)).withColumn("k", F.count("*").over(Window.partitionBy(*by, "_i", "_l", "without")))
-    v = v.withColumn("r", F.count("*").over(item_w)).withColumn("sq", F.sum("n").over(item_w)).withColumn("head", F.row_number().over(item_w.orderBy("without", "_l")) == 1)
-    agree = lambda sq, r: F.try_divide(sq - r, r * (r - 1))
-    own = v.groupBy(*by, "without", "_i").agg(F.count("*").alias("k"), F.sum(2 * F.col("n") - F.col("k")).alias("d"), F.first("r").alias("r"), F.first("sq").alias("sq"), F.max("head").alias("head"))
+    item_w, own_w = Window.partitionBy(*by, "_i"), Window.partitionBy(*by, "_i", "without")
+    v = v.withColumn("n", F.count("*").over(Window.partitionBy(*by, "_i", "_l")))
+    v = v.withColumns({"r": F.count("*").over(item_w), "sq": F.sum("n").over(item_w)})
+    v = v.withColumn("same", F.count("*").over(Window.partitionBy(*by, "_i", "without", "_l")))
+    v = v.withColumns({"k": F.count("*").over(own_w), "d": F.sum(2 * F.col("n") - F.col("same")).over(own_w)})
+    few = v.groupBy(*by, "without", "_l", "r", "sq", "k", "d").agg(F.count("*").alias("m"))  # m votes, k of them on an item
+    agree = lambda sq, r: F.coalesce(_agreeing(sq, r), F.lit(0.0))
     new_r, new_sq = F.col("r") - F.col("k"), F.col("sq") - F.col("d")
-    before, after = F.coalesce(agree(F.col("sq"), F.col("r")), F.lit(0.0)), F.coalesce(agree(new_sq, new_r), F.lit(0.0))
+    own = few.groupBy(*by, "without", "r", "sq", "k", "d").agg(F.expr("sum(m) div k").alias("c"))
     mine = own.groupBy(*by, "without").agg(
-        F.sum(after - before).alias("dp"), F.sum((F.col("r") > 1).cast("long") - (new_r > 1).cast("long")).alias("dn"),
-        F.sum(F.when(F.col("head"), before)).alias("p"), F.count_if(F.col("head") & (F.col("r") > 1)).alias("pn"),
+        F.sum(F.col("c") * (agree(new_sq, new_r) - agree(F.col("sq"), F.col("r")))).alias("dp"),
+        F.sum(F.col("c") * ((F.col("r") > 1).cast("long") - (new_r > 1).cast("long"))).alias("dn"),
     )
+    items = few.groupBy(*by, "r", "sq").agg(F.expr("sum(m) div r").alias("c"))
     group = Window.partitionBy(*by, "_g")
-    mine = mine.withColumn("_g", F.lit(0)).select(*by, "_g", "without", "dp", "dn", F.sum("p").over(group).alias("p"), F.sum("pn").over(group).alias("pn"))
-    marks = votes.groupBy(*by, F.col(rater).alias("without"), F.col(label).alias("_l")).agg(F.count("*").alias("m")).withColumn("_g", F.lit(0))
+    totals = items.groupBy(*by).agg(F.sum(F.col("c") * agree(F.col("sq"), F.col("r"))).alias("p"), F.coalesce(F.sum(F.when(F.col("r") > 1, F.col("c"))), F.lit(0)).alias("pn"))
+    mine = mine.join(F.broadcast(totals), by) if by else mine.crossJoin(F.broadcast(totals))  # a row a group
+    marks = few.groupBy(*by, "without", "_l").agg(F.sum("m").alias("m")).withColumn("_g", F.lit(0))
     marks = marks.withColumn("c", F.sum("m").over(Window.partitionBy(*by, "_g", "_l")))
     less = marks.groupBy(*by, "_g", "without").agg(F.sum(2 * F.col("c") * F.col("m") - F.col("m") * F.col("m")).alias("dcc"), F.sum("m").alias("dt"), F.sum(F.col("c") * F.col("m")).alias("cc"))
     less = less.select(*by, "without", "dcc", "dt", F.sum("cc").over(group).alias("cc"), F.sum("dt").over(group).alias("t"))
-    both = mine.drop("_g").join(less, [*by, "without"])
+    both = mine.join(less, [*by, "without"])
 
     def kappa(p, n, cc, t) -> Column:
         p_e = F.try_divide(cc.cast("double"), t.cast("double") * t)
@@ -105,18 +138,19 @@ def prefix_groups(ranked: DataFrame, votes: DataFrame, item: str, rater: str, la
     not copied for the prefixes. The ranking has one row a rater.
     """
     w = Window.orderBy(F.desc("kappa"), rater)
-    r = ranked.select(rater, "kappa", F.row_number().over(w).alias("rank"), F.lead("kappa").over(w).alias("next"), F.collect_list(rater).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("members"))
+    r = _stored(ranked.select(rater, "kappa"), "ranking").select(rater, "kappa", F.row_number().over(w).alias("rank"), F.lead("kappa").over(w).alias("next"), F.collect_list(rater).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("members"))
     bound = F.when(F.col("next").isNull(), F.concat(F.lit("x ≥ "), T.fixed(F.col("kappa"), 4))).otherwise(F.concat(T.fixed(F.col("next"), 4), F.lit(" < x ≤ "), T.fixed(F.col("kappa"), 4)))
     heads = r.select("rank", bound.alias("bound"), F.size("members").alias("n_raters"), "members")
-    v = votes.join(r.select(rater, "rank"), rater)
+    v = votes.join(F.broadcast(r.select(rater, "rank")), rater)  # a row a rater
     at = Window.partitionBy(item).orderBy("rank", label)
     v = v.withColumn("n", F.row_number().over(Window.partitionBy(item, label).orderBy("rank"))).withColumn("r", F.row_number().over(at))
     v = v.withColumn("sq", F.sum(2 * F.col("n") - 1).over(at.rowsBetween(Window.unboundedPreceding, 0)))
-    v = v.withColumn("s", F.coalesce(F.try_divide(F.col("sq") - F.col("r"), F.col("r") * (F.col("r") - 1)), F.lit(0.0)))
-    v = v.withColumn("ds", F.col("s") - F.coalesce(F.lag("s").over(at), F.lit(0.0)))
     names = ("train", "val", "test") if split else ()
     own = [x for s in names for x in (F.count_if(F.col(split) == s).alias(f"n_{s}"), F.count_if((F.col(split) == s) & (F.col(label) == positive)).alias(f"p_{s}"))]
-    per = v.groupBy("rank", label).agg(F.count("*").alias("m"), F.sum("ds").alias("ds"), F.count_if(F.col("r") == 2).alias("dn"), *own)
+    few = v.groupBy("rank", label, "n", "r", "sq").agg(F.count("*").alias("m"), *own)  # votes by whole numbers
+    agree = lambda sq, n: F.coalesce(_agreeing(sq, n), F.lit(0.0))
+    ds = agree(F.col("sq"), F.col("r")) - agree(F.col("sq") - 2 * F.col("n") + 1, F.col("r") - 1)
+    per = few.groupBy("rank", label).agg(F.sum("m").alias("m"), F.sum(F.col("m") * ds).alias("ds"), F.sum(F.when(F.col("r") == 2, F.col("m")).otherwise(0)).alias("dn"), *(F.sum(f"{x}_{s}").alias(f"{x}_{s}") for s in names for x in ("n", "p")))
     c = F.sum("m").over(Window.partitionBy(label).orderBy("rank"))
     per = per.withColumn("dcc", c * c - (c - F.col("m")) * (c - F.col("m")))
     sums = ["m", "ds", "dn", "dcc", *(f"{x}_{s}" for s in names for x in ("n", "p"))]
@@ -133,9 +167,9 @@ def bucket_kappas(votes: DataFrame, ranked: DataFrame, item: str, rater: str, la
     """(bucket, kappa) of the raters of each interpretation, and of unions of interpretations; null with one member."""
     names = {n: (n,) for n in ("poor", "slight", "fair", "moderate", "substantial", "almost perfect")} | dict(unions or {})
     table = votes.sparkSession.createDataFrame([(g, b) for g, bs in names.items() for b in bs], "bucket string, interpretation string")
-    members = ranked.join(F.broadcast(table), "interpretation").select(rater, "bucket")  # a few rows
+    members = _stored(ranked.join(F.broadcast(table), "interpretation").select(rater, "bucket"), "members")  # a few rows
     size = members.groupBy("bucket").agg(F.countDistinct(rater).alias("n_raters"))
-    k = fleiss_kappa(votes.join(members, rater), item, label, ["bucket"])
+    k = fleiss_kappa(votes.join(F.broadcast(members), rater), item, label, ["bucket"])
     return size.join(k, "bucket", "left").select("bucket", "n_raters", F.when(F.col("n_raters") > 1, F.col("kappa")).alias("kappa"))
 
 
