@@ -81,6 +81,13 @@ def letters_only(c: Column) -> Column:
     return F.replace(F.regexp_replace(c, "[^A-Za-zäÄöÖüÜß]+", " "), F.lit("TwitterUser"), F.lit(" "))
 
 
+def small_words(c: Column) -> Column:
+    """The words of :func:`letters_only` in small letters, empty ones among them: split once, without a copy of the text for its blanks."""
+    for x in ("TwitterUser", "\u0130", "\u1e9e", "\u212a"):  # a name, and the only other signs whose small form has one of these letters
+        c = F.replace(c, F.lit(x), F.lit(" "))
+    return F.split(F.lower(c), "[^a-zäöüß]+")
+
+
 def tokens(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: w != "")
 

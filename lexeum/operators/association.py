@@ -33,8 +33,7 @@ def cleaned_text(c: Column, **options) -> Column:
 
 def raw_tokens(c: Column, lemmatise=None) -> Column:
     """All tokens in small letters, empty ones among them: filtered by :func:`counted` once they are rows."""
-    text = T.letters_only(c)
-    return F.split(F.lower(lemmatise(text) if lemmatise else text), " ")
+    return F.split(F.lower(lemmatise(T.letters_only(c))), " ") if lemmatise else T.small_words(c)
 
 
 def counted(word: Column, stop_words: Iterable[str] = ()) -> Column:
@@ -95,8 +94,20 @@ def lemmas(words: DataFrame, table: DataFrame, longest: int = 4) -> DataFrame:
     return known.join(ruled, "word", "left").select("word", F.coalesce("lemma", "_ruled", "word").alias("lemma"))
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """A table that a plan reads several times, written to the shared folder by a job."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def lemma_counts(counts: DataFrame, table: DataFrame) -> DataFrame:
-    """(lemma, count, forms): word counts (word, count) by lemma."""
+    """(lemma, count, forms): word counts (word, count) by lemma.
+
+    Both are read several times, so each is made once, by a job, and goes to the
+    shared folder: a row a distinct word or form.
+    """
+    counts, table = stored(counts, "counts"), stored(table, "forms")
     return counts.join(lemmas(counts, table), "word").groupBy("lemma").agg(F.sum("count").alias("count"), F.count("*").alias("forms"))
 
 

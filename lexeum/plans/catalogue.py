@@ -701,8 +701,10 @@ SQL_LEMMA = "CASE WHEN word LIKE '%ing' THEN left(word, length(word) - 3) WHEN w
 )
 def lemma_counts(spark, sf_dir):
     """Words by lemma: forms of half of the documents are in a table, the others follow its suffix rules."""
-    counts = association.word_counts(_raw_tokens(spark, sf_dir), "words", keep=_counted)
-    seen = _raw_tokens(spark, sf_dir).filter("doc_id % 2 = 0").select(F.explode("words").alias("word")).filter(_counted(F.col("word")) & (F.length("word") > 5)).distinct()
+    parted = _raw_tokens(spark, sf_dir).withColumn("even", F.col("doc_id") % 2 == 0)
+    both = association.stored(association.word_counts(parted, "words", ["even"], _counted), "words")  # the documents are read once
+    counts = both.groupBy("word").agg(F.sum("count").alias("count"))
+    seen = both.filter(F.col("even") & (F.length("word") > 5)).select("word").distinct()
     table_ = seen.select(F.col("word").alias("form"), F.expr(SQL_LEMMA).alias("lemma"))
     return association.lemma_counts(counts, table_)
 
