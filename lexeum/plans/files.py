@@ -20,6 +20,8 @@ from lexeum.session import scratch_path, with_conf
 from lexeum.sources import corpora, readers, sinks
 
 ORDERED_REASONS = tuple(sorted((*corpora.REASON_LABELS, *corpora.UNMAPPED_REASONS)))
+#: A large table's files are read in ranges of its size by this.
+RANGES = 256
 NO_LABELS = {x: f"NULL::DOUBLE AS {x}" for x in schema.LABELS}
 
 
@@ -100,9 +102,10 @@ def load_detox(spark, sf_dir):
     SELECT said AS text, 'jigsaw' AS source, 'multilingual' AS language, split, (doc_id % 2)::DOUBLE AS hate_speech, (toxic = 1 OR quality = 0)::INT::DOUBLE AS toxic, (doc_id % 3 = 0)::INT::DOUBLE AS threat, toxic::DOUBLE AS insult, NULL::DOUBLE AS impolite FROM j"""
 )
 def load_jigsaw(spark, sf_dir):
-    """Flags; obscene is dropped, unscored test rows go, a missing id meets a missing id. Files of texts with line breaks, read in ranges of 64 KB."""
-    spark = with_conf(spark, {readers.WHOLE: 0, "spark.sql.files.maxPartitionBytes": 1 << 16, "spark.sql.files.openCostInBytes": 0})
-    root, x = scratch_path(spark, "raw"), _labelled(spark, sf_dir).coalesce(2)
+    """Flags; obscene is dropped, unscored test rows go, a missing id meets a missing id. Files of texts with line breaks, read in ranges: of 64 KB in small tables, of more in large ones, so that their number does not grow with the table."""
+    size = sum(readers.sizes(spark, f"{sf_dir}/documents.parquet"))
+    spark = with_conf(spark, {readers.WHOLE: 0, "spark.sql.files.maxPartitionBytes": min(max(1 << 16, size // RANGES), 128 << 20), "spark.sql.files.openCostInBytes": 0})
+    root, x = scratch_path(spark, "raw"), _labelled(spark, sf_dir)
     flags = [F.col("toxic"), (1 - F.col("quality")).alias("severe_toxic"), F.lit(1).alias("obscene"), (F.col("doc_id") % 3 == 0).cast("int").alias("threat"), F.col("toxic").alias("insult"), (F.col("doc_id") % 2).alias("identity_hate")]
     _csv(x.select(F.col("said").alias("comment_text"), *flags), f"{root}/jigsaw/train.csv")
     test = x.withColumn("id", F.when(F.col("doc_id") != 1, F.col("doc_id")))

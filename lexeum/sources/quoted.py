@@ -36,6 +36,8 @@ from lexeum.session import scratch_path
 
 #: Ranges whose states are broadcast, about 100 bytes each; more are joined, and lines sorted inside their range again.
 MANY = 100_000
+#: Lines that a worker turns to Python strings at a time.
+SLICE = 256
 log = logging.getLogger(__name__)
 _RECORD = "file string, start bigint, n bigint, record string, open_left boolean, open_right boolean"
 _SCHEMA = pa.schema([("file", pa.string()), ("start", pa.int64()), ("n", pa.int64()), ("record", pa.string()), ("open_left", pa.bool_()), ("open_right", pa.bool_())])
@@ -69,7 +71,7 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA, strict=True)], schema=_SCHEMA)
 
-    for batch in batches:
+    for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
         value, file, start, odd = (batch.column(c) for c in ("value", "file", "start", "odd"))
         turns = pc.bit_wise_and(pc.count_substring(value, '"'), 1).to_pylist()
         for v, f, s, o, turn in zip(value.to_pylist(), file.to_pylist(), start.to_pylist(), odd.to_pylist(), turns, strict=True):

@@ -27,14 +27,14 @@ def header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     return spark.read.option("header", True).option("sep", sep).option("inferSchema", False).option("quote", '"').option("escape", '"').csv(path).columns
 
 
-def _largest(spark: SparkSession, path: str) -> int:
-    """Bytes of the largest file of a path."""
+def sizes(spark: SparkSession, path: str) -> list[int]:
+    """Bytes of each file of a path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
-    most = 0
+    out = []
     while files.hasNext():
-        most = max(most, files.next().getLen())
-    return most
+        out.append(files.next().getLen())
+    return out
 
 
 def read_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None, sep: str = ",", multiline: bool | None = None, order: str | None = None) -> DataFrame:
@@ -52,7 +52,7 @@ def read_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None
     names = header(spark, path, sep)
     place = order or "_order"
     raw = None
-    if said == "auto" and _largest(spark, path) > int(spark.conf.get(WHOLE, str(64 << 20))):
+    if said == "auto" and max(sizes(spark, path), default=0) > int(spark.conf.get(WHOLE, str(64 << 20))):
         raw = quoted.read(spark, path, names, sep, place)
     if raw is None:
         schema = StructType()
