@@ -1,7 +1,7 @@
 """Translation of one language's rows by a pluggable backend, in batches, with a cache of content hashes.
 
 The plan: clean and hash, look up the cache, translate each missing text once
-(``mapInPandas``, the only Python in it), store the new entries, join back.
+(``mapInArrow``, the only Python in it), store the new entries, join back.
 The cache grows with the data, so it is joined by hash, and Spark broadcasts
 it only if its size allows. New entries go to a folder of their own beside the
 old ones, which are never written again: the cache stays linear in the texts,
@@ -19,7 +19,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,14 +145,14 @@ class Translator:
         todo = marked.filter(F.col("_eligible") & (F.col("_clean") != "")).select(F.col("_hash").alias("hash"), F.col("_clean").alias("clean")).dropDuplicates(["hash"]).join(cache, "hash", "left_anti")
         backend, size = self.backend, self.batch_size
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            call = None
-            for b in batches:
-                if len(b):
-                    call = call or backend()
-                    yield pd.DataFrame({"hash": b["hash"], "translated": in_batches(call, list(b["clean"]), size)})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            call, step = None, size * 16  # rows that are Python strings at a time
+            for b in (x.slice(at, step) for x in batches for at in range(0, x.num_rows, step)):
+                call = call or backend()
+                got = in_batches(call, b.column("clean").to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array(got, pa.string())], names=["hash", "translated"])
 
-        return todo.mapInPandas(run, CACHE)
+        return todo.select("hash", "clean").mapInArrow(run, CACHE)
 
     @staticmethod
     def _asked(marked: DataFrame) -> DataFrame:
