@@ -97,8 +97,29 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _near(x: Column, digits: int) -> Column:
+    """:func:`_nearest` in doubles alone, for 0 <= x * 10**digits < 2**50 and up to 7 digits.
+
+    ``p`` is the product rounded to a double; only where it lies half-way between
+    two whole numbers can its error decide. The error is exact: the halves of
+    ``x``, of 26 bits each, times the power, of 24 bits at most, are doubles.
+    """
+    power, p = 10.0**digits, x * 10.0**digits
+    n = F.rint(p)
+    high = x * 134217729.0 - (x * 134217729.0 - x)  # 2**27 + 1
+    error = (high * power - p) + (x - high) * power
+    return (n + F.when(F.abs(p - n) == 0.5, F.when((p - n) * error > 0, (p - n) * 2).otherwise(0.0)).otherwise(0.0)).cast("long")
+
+
 def _nearest(x: Column, digits: int) -> Column:
-    """The whole number nearest to x * 10**digits, ties to even; null unless 0 <= x < 2**52 and the result is a long.
+    """The whole number nearest to x * 10**digits, ties to even; null unless 0 <= x < 2**52 and the result is a long."""
+    if digits > 7:
+        return _nearest_whole(x, digits)
+    return F.when(x * 10.0**digits < float(1 << 50), _near(x, digits)).otherwise(_nearest_whole(x, digits))
+
+
+def _nearest_whole(x: Column, digits: int) -> Column:
+    """:func:`_nearest` in whole decimals.
 
     A double is a whole number of 2**-shift. Both that number and the power are
     whole decimals, so twice the remainder of their quotient tells the side on
@@ -134,17 +155,37 @@ def rounded_scaled(c: Column, digits: int = 0) -> Column:
     return F.rint(c.cast("double") * 10.0**digits) / 10.0**digits
 
 
-def fixed(c: Column, digits: int = 2) -> Column:
-    """``c`` with ``digits`` after the point, correctly rounded as :func:`rounded`; null stays null."""
+def _shown(x: Column, digits: int) -> Column:
+    """:func:`fixed` of numbers that :func:`_near` cannot round."""
 
-    def shown(x: Column, q: Column) -> Column:
-        sign = F.when((x < 0) | (F.signum(x).cast("string") == "-0.0"), "-").otherwise("")
+    def said(q: Column) -> Column:
         odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(F.format_string(f"%.{digits}f", x))
-        said = lambda t: F.concat(sign, F.substr(t, F.lit(1), F.length(t) - digits), F.lit("." if digits else ""), F.right(t, F.lit(digits)) if digits else F.lit(""))
-        text = _let(q.cast("string"), lambda t: _let(F.lpad(t, F.greatest(F.lit(digits + 1), F.length(t)), F.lit("0")), said))
-        return F.when(x.isNotNull(), F.when(q.isNotNull(), text).otherwise(odd))
+        cut = lambda t: F.concat(_sign(x), F.substr(t, F.lit(1), F.length(t) - digits), F.lit("." if digits else ""), F.right(t, F.lit(digits)) if digits else F.lit(""))
+        text = _let(q.cast("string"), lambda t: _let(F.lpad(t, F.greatest(F.lit(digits + 1), F.length(t)), F.lit("0")), cut))
+        return F.when(q.isNotNull(), text).otherwise(odd)
 
-    return _let(c.cast("double"), lambda x: _let(_nearest(F.abs(x), digits), lambda q: shown(x, q)))
+    return _let(_nearest_whole(F.abs(x), digits), said)
+
+
+def _sign(x: Column) -> Column:
+    return F.when((x < 0) | ((x == 0) & (F.signum(x).cast("string") == "-0.0")), "-").otherwise("")
+
+
+def fixed(c: Column, digits: int = 2) -> Column:
+    """``c`` with ``digits`` after the point, correctly rounded as :func:`rounded`; null stays null.
+
+    Numbers of up to 7 digits and less than 2**50 in units of the last one are
+    rounded and written by compiled code, where ``c`` stands several times: it
+    is to be a column or a cheap expression of columns.
+    """
+    x = c.cast("double")
+    slow = _let(x, lambda v: _shown(v, digits))
+    if digits > 7:
+        return F.when(x.isNotNull(), slow)
+    units, power = _near(F.abs(x), digits), F.lit(10**digits).cast("long")
+    whole, rest = F.call_function("div", units, power).cast("string"), F.substr((power + units % power).cast("string"), F.lit(2))
+    text = F.concat(_sign(x), whole, F.lit("."), rest) if digits else F.concat(_sign(x), whole)
+    return F.when(F.abs(x) * 10.0**digits < float(1 << 50), text).when(x.isNotNull(), slow)
 
 
 def percent(c: Column, digits: int = 2, blank: bool = True) -> Column:

@@ -122,3 +122,19 @@ def test_numbers_round_as_python_rounds(spark):
             if r.x == r.x and abs(r.x) < 1e15 and abs(r.x) * 10**d < 2**53:
                 assert r.r == round(r.x, d), (r, d)
     assert [r[0] for r in df.limit(5).select(T.percent(F.col("x"), 1, blank=False)).collect()] == ["0.0%", "-0.0%", "6.2%", "18.8%", "0.1%"]
+
+
+def test_ordinary_numbers_are_rounded_in_doubles(spark, monkeypatch):
+    """Halves, what is beside them and large numbers are exact without the slow decimals."""
+    import math
+    import random
+
+    rng = random.Random(7)
+    failing = lambda x, digits: F.raise_error(F.lit("decimals were used")).cast("long")
+    monkeypatch.setattr(T, "_nearest_whole", failing)
+    for d in range(8):
+        halves = [(rng.randrange(10 ** rng.randrange(1, 14)) + 0.5) / 10**d for _ in range(200)] + [(2**50 - rng.randrange(1, 99) / 8) / 10**d for _ in range(50)]
+        values = [s * v for h in halves for v in (h, math.nextafter(h, 0), math.nextafter(h, math.inf)) for s in (1, -1) if v * 10.0**d < 2**50] + [0.0, -0.0, 5e-324, 1e-300, None]
+        for r in spark.createDataFrame([(v,) for v in values], "x double").select("x", T.fixed(F.col("x"), d).alias("s"), T.rounded(F.col("x"), d).alias("r")).collect():
+            assert r.s == (None if r.x is None else f"{r.x:.{d}f}"), (r, d)
+            assert r.r == (None if r.x is None else round(r.x, d)), (r, d)
