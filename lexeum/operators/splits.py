@@ -28,19 +28,29 @@ def check_fractions(fractions: Sequence[float]) -> None:
         raise ValueError(f"fractions must be three and sum to 1: {tuple(fractions)}")
 
 
-def hashed_rank(df: DataFrame, stratum: Sequence[str], key: Column, tie: Sequence[str], bins: int = BINS) -> DataFrame:
-    """With ``_rank`` (from 0) of each row in its stratum by md5 of ``key`` and ties, and ``_n``, the stratum's rows."""
+def hashed_rank(df: DataFrame, stratum: Sequence[str], key: Column, tie: Sequence[str], bins: int = BINS, known: DataFrame | None = None) -> DataFrame:
+    """With ``_rank`` (from 0) of each row in its stratum by md5 of ``key`` and ties, and ``_n``, the stratum's rows.
+
+    ``known`` has a row a stratum, whose other columns come with the rows. Rows
+    move once: ranks in bins and the join with their counts share one key.
+    """
     stratum = list(stratum)
-    df = df.withColumn("_h", F.md5(key)).withColumn("_bin", (F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") * bins / 65536).cast("int"))
+    hex_ = F.md5(key)
+    df = df.withColumn("_h", F.unhex(hex_)).withColumn("_bin", (F.conv(F.substring(hex_, 1, 4), 16, 10).cast("int") * bins / 65536).cast("int"))
     counts = df.groupBy(*stratum, "_bin").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*stratum)
-    names = [f"_k{i}" for i in range(len(stratum))]
     before = F.coalesce(F.sum("_c").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(*(F.col(c).alias(k) for c, k in zip(stratum, names, strict=True)), F.col("_bin").alias("_kb"), before.alias("_before"), F.sum("_c").over(w).alias("_n"))
-    ranked = df.withColumn("_in", F.row_number().over(Window.partitionBy(*stratum, "_bin").orderBy("_h", *tie)))
-    on = reduce(and_, (F.col(c).eqNullSafe(F.col(k)) for c, k in zip([*stratum, "_bin"], [*names, "_kb"], strict=True)))
-    out = ranked.join(counts, on).drop(*names, "_kb")
-    return out.withColumn("_rank", F.col("_before") + F.col("_in") - 1).drop("_h", "_bin", "_before", "_in")
+    counts = counts.select(*stratum, "_bin", before.alias("_before"), F.sum("_c").over(w).alias("_n"))
+    extra = []
+    if known is not None:
+        extra = [c for c in known.columns if c not in stratum]
+        names = {c: f"_k{i}" for i, c in enumerate(stratum)}
+        counts = counts.join(known.withColumnsRenamed(names), reduce(and_, (F.col(c).eqNullSafe(F.col(k)) for c, k in names.items())))
+    place = F.struct(*(F.col(c) for c in stratum), F.col("_bin"))  # never null itself; nulls inside are equal
+    counts = counts.select(place.alias("_at"), "_before", "_n", *extra)
+    ranked = df.withColumn("_at", place).withColumn("_in", F.row_number().over(Window.partitionBy("_at").orderBy("_h", *tie)))
+    out = ranked.join(counts, "_at")
+    return out.withColumn("_rank", F.col("_before") + F.col("_in") - 1).drop("_h", "_bin", "_before", "_in", "_at")
 
 
 def _placed(fractions: Sequence[float]) -> Column:
@@ -165,9 +175,9 @@ def balanced_splits(df: DataFrame, labels: Sequence[str] = schema.LABELS, fracti
         rows["_a"], rows["_b"] = [g[0] for g in got], [g[0] + g[1] for g in got]
         return rows[["_s", "_a", "_b"]]
 
-    ends = strata.groupBy(group).applyInPandas(dealt, "_s string, _a bigint, _b bigint").withColumnRenamed("_s", "_e")
+    ends = strata.groupBy(group).applyInPandas(dealt, "_s string, _a bigint, _b bigint")
     key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(group, F.lit("")), F.coalesce("text", F.lit("")))
-    ranked = hashed_rank(todo, ["_s"], key, ["text"]).join(ends, F.col("_s") == F.col("_e"))
+    ranked = hashed_rank(todo, ["_s"], key, ["text"], known=ends)
     place = F.when(F.col("_rank") < F.col("_a"), NAMES[0]).when(F.col("_rank") < F.col("_b"), NAMES[1]).otherwise(NAMES[2])
     return df.filter(F.col("split").isNotNull()).unionByName(ranked.withColumn("split", place).select(*df.columns))
 

@@ -177,8 +177,9 @@ class Translator:
             known = cache.unionByName(spark.read.schema(CACHE).option("recursiveFileLookup", True).parquet(path))
         else:
             known = cache.unionByName(fresh)
+        marked = marked.withColumn("_empty", F.col("_clean") == "").drop("_clean")  # cleaned texts need not move
         out = marked.join(known.filter(F.col("translated").isNotNull()).select(F.col("hash").alias("_hash"), "translated"), "_hash", "left")
-        empty = F.col("_clean") == ""
+        empty = F.col("_empty")
         done = F.col("_eligible") & ~empty & F.col("translated").isNotNull()
         status = F.when(~F.col("_eligible"), "not_applicable").when(empty, "empty").when(done, "success").otherwise("failed")
         new = {

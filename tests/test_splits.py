@@ -129,3 +129,20 @@ def test_densities_of_counts_and_bins(spark):
         for p in points:
             want = np.exp(-0.5 * ((own - p) / 4.0) ** 2).mean() / (4.0 * np.sqrt(2 * np.pi))
             assert exact[k, p] == pytest.approx(want, rel=1e-9) and binned[k, p] == pytest.approx(want, abs=2e-3 * 0.1)
+
+
+def test_rows_move_once_for_ranks_and_their_counts(spark):
+    """One exchange of rows, null strata among them, whatever the join."""
+    df = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("s"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    found = []
+    try:
+        for limit in ("-1", old):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            out = splits.hashed_rank(df, ["s"], F.col("k").cast("string"), ["k"], bins=64)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert limit != "-1" or plan.count("Exchange hashpartitioning") == 4 and "SortMergeJoin" in plan  # of rows one, of counts three
+            found.append(sorted((r.s or 0, r._rank, r._n) for r in out.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert found[0] == found[1] == [(s, i, 1000) for s in range(3) for i in range(1000)]

@@ -196,6 +196,27 @@ def test_job_end_to_end(spark, tmp_path):
     assert out.filter("language = 'de' and text like '[de] %'").count() == 20
 
 
+def test_job_reads_raw_files_once(spark, tmp_path, monkeypatch):
+    """However many steps and reports there are, a row is loaded once."""
+    from lexeum.sources import corpora
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    def loader(spark_, root):
+        rows = spark_.range(0, 40, 1, 2).select(F.concat(F.lit("text "), "id").alias("t")).mapInArrow(counted, "t string")
+        return schema.unify(rows, text=F.col("t"), source="own", language="en", labels={"toxic": F.lit(1.0)})
+
+    monkeypatch.setitem(corpora.REGISTRY, "own", loader)
+    path = job.run(spark, str(tmp_path / "raw"), str(tmp_path / "out"), ["own"], translate=True, assign_splits=True, backend=X.tagging_backend())
+    assert spark.read.parquet(path).filter("split is not null and text like '[de] %'").count() == 40
+    assert seen.value == 40
+
+
 def test_streams(spark, tmp_path):
     from lexeum.streaming import flow
 
