@@ -274,18 +274,62 @@ def _drawn(rows: DataFrame, item: str, seed: int) -> DataFrame:
     return rows.withColumn("ranks", F.array_sort(F.when(few, least).otherwise(enough)))
 
 
+#: Groups of up to so many raters are listed by one explode for each of them; larger ones are made from their rank.
+LISTED_SIZE = 7
+
+
+def _every_group(own: DataFrame, item: str, size: int) -> DataFrame:
+    """(g, item, said): all groups of ``size`` of each item's ``v``, ``n`` of them, and their rank from 0 in lexicographic order.
+
+    One explode for each place. Only the last is compiled, since a compiled one
+    keeps all that comes of a row until the row is done: the function over the
+    sequence stops that for the others, so that a task holds no more rows than
+    an item has votes. The groups that a place passes over are counted by the
+    difference of two binomial coefficients of places behind.
+    """
+    rows = own.withColumn("g", F.lit(0).cast("long")).withColumn("_at0", F.lit(-1))
+    for i in range(size):
+        last, need = F.col("n") - (size - i), size - i
+        places = F.sequence(F.col(f"_at{i}") + 1, last)
+        rows = rows.withColumn(f"_at{i + 1}", F.explode(places if need == 1 else F.transform(places, lambda at: at)))
+        passed = _choose_long(F.col("n") - 1 - F.col(f"_at{i}"), need) - _choose_long(F.col("n") - F.col(f"_at{i + 1}"), need)
+        rows = rows.withColumn("g", F.col("g") + passed)
+    return rows.select("g", item, *(F.get("v", F.col(f"_at{i + 1}")).alias(f"_s{i}") for i in range(size)))
+
+
+def _choose_long(n: Column, k: int) -> Column:
+    """How many groups of ``k`` of ``n`` there are, as a long: an error beyond, in the last product too."""
+    out = F.lit(1).cast("long")
+    for i in range(k):
+        out = F.call_function("div", out * (n - i).cast("long"), F.lit(i + 1).cast("long"))
+    return F.when(n >= k, out).otherwise(F.lit(0).cast("long"))
+
+
+def _most(said: Sequence[Column]) -> Column:
+    """The most frequent of the columns' values, ties to the first by name; null only where all are."""
+    votes_ = [sum((F.coalesce(x == y, F.lit(False)).cast("int") for y in said), F.lit(0)) for x in said]
+    best = F.greatest(*votes_) if len(said) > 1 else votes_[0]
+    picked = [F.when(n == best, x) for n, x in zip(votes_, said, strict=True)]
+    return F.least(*picked) if len(said) > 1 else picked[0]
+
+
 def quorums(votes: DataFrame, item: str, rater: str, label: str, size: int, combinations: int | None = None, seed: int = 42) -> DataFrame:
     """(group_id, item, label): the majority label of groups of ``size`` raters of each item, all or a seeded sample.
 
-    Groups are ranks 0..C(n, size)-1 in lexicographic order of an item's votes
-    and are made from their rank alone, in whole decimals of 38 digits. A sample
+    Groups are ranks 0..C(n, size)-1 in lexicographic order of an item's votes.
+    All groups of up to ``LISTED_SIZE`` raters are listed in that order; others
+    are made from their rank alone, in whole decimals of 38 digits. A sample
     is drawn uniformly without replacement, by hashes of seed, item and rank, and
     its groups are numbered from 1 in order of rank (the original's random
     numbers cannot be had outside Python). Ties of labels go to the first by name.
     """
     _check_quorum(size, combinations)
     own = votes.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(rater, label))).alias("v"))
-    own = own.withColumn("n", F.size("v")).filter(F.col("n") >= size).withColumn("all", _choose(F.col("n"), size))
+    own = own.withColumn("n", F.size("v")).filter(F.col("n") >= size)
+    if combinations is None and size <= LISTED_SIZE:
+        every = _every_group(own.withColumn("v", F.col("v")[label]), item, size)
+        return every.select((F.col("g") + 1).cast("int").alias("group_id"), item, _most([F.col(f"_s{i}") for i in range(size)]).alias(label))
+    own = own.withColumn("all", _choose(F.col("n"), size))
     if combinations is None:
         rows = own.select(item, "v", "n", "all", F.explode(F.sequence(F.lit(0).cast("long"), _number(F.col("all")) - 1)).alias("g")).withColumn("rank", _whole(F.col("g")))
     else:

@@ -127,6 +127,30 @@ def test_groups_come_from_their_ranks(spark, n, k):
     assert [tuple(r.c) for r in rows.orderBy("id").collect()] == list(itertools.combinations(range(n), k))
 
 
+def test_listed_groups_have_order_and_label(spark, monkeypatch):
+    """All groups, listed or made from their ranks, against plain Python: labels that tie, and missing ones."""
+    rng = random.Random(11)
+    votes = [(i, r, rng.choice(["a", "b", "c", None])) for i, n in enumerate((0, 1, 3, 4, 7, 9)) for r in range(n)]
+    df = spark.createDataFrame(votes, "item long, rater long, label string")
+    for k in (1, 3, 5, 7):
+        want = {}
+        for i in range(6):
+            own = [x for j, _, x in votes if j == i]
+            for g, c in enumerate(itertools.combinations(own, k), 1):
+                said = [x for x in c if x is not None]
+                want[i, g] = min(set(said), key=lambda x: (-said.count(x), x)) if said else None
+        for listed in (7, 0):
+            monkeypatch.setattr(A, "LISTED_SIZE", listed)
+            rows = A.quorums(df, "item", "rater", "label", k).collect()
+            assert {(r.item, r.group_id): r.label for r in rows} == want and len(rows) == len(want), (k, listed)
+
+
+def test_groups_of_one_item_are_not_held(spark):
+    """1,331,334,000 groups of one item, of which some are looked at: their ranks are no array."""
+    df = spark.range(2000).select(F.lit(1).alias("item"), F.col("id").alias("rater"), F.lit("y").alias("label"))
+    assert [r.group_id for r in A.quorums(df, "item", "rater", "label", 3).take(5000)] == list(range(1, 5001))
+
+
 def test_samples_of_many_groups(spark):
     """77,558,760 groups of one item, of which five are made: different ones, the same on each run."""
     rng = random.Random(3)
