@@ -21,8 +21,18 @@ TASK_VOTES = 500_000
 
 
 def dealt(votes: DataFrame, *item: str) -> DataFrame:
-    """The votes dealt by item to as many partitions as their number needs (they are counted by a job), so that no task's memory grows with them. What is grouped by item afterwards stays where it is."""
-    parts = max(int(votes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-votes.count() // TASK_VOTES))
+    """The votes dealt by item to as many partitions as their number needs (they are counted by a job), so that no task's memory grows with them. What is grouped by item afterwards stays where it is.
+
+    Up to as many partitions as ``spark.shuffle.sort.bypassMergeThreshold``
+    tells, tasks write votes to files as they come; to more, a task first holds
+    all that it has read. So votes that need more are dealt twice: to so many
+    partitions, and from there on, where a task has its share of them.
+    """
+    conf = votes.sparkSession.conf
+    direct = max(int(conf.get("spark.shuffle.sort.bypassMergeThreshold", "200")), 1)
+    parts = max(min(int(conf.get("spark.sql.shuffle.partitions")), direct), -(-votes.count() // TASK_VOTES))
+    if parts > direct:
+        votes = votes.repartition(direct, *item).filter(F.spark_partition_id() >= 0)  # always true; two exchanges in a row would be made one
     return votes.repartition(parts, *item)
 
 
