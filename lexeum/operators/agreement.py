@@ -7,7 +7,7 @@ are one more grouping key, so all groups are computed in one plan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,20 +20,25 @@ from lexeum.session import scratch_path
 TASK_VOTES = 500_000
 
 
-def dealt(votes: DataFrame, *item: str) -> DataFrame:
+def dealt(votes: DataFrame, *item: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The votes dealt by item to as many partitions as their number needs (they are counted by a job), so that no task's memory grows with them. What is grouped by item afterwards stays where it is.
 
     Up to as many partitions as ``spark.shuffle.sort.bypassMergeThreshold``
     tells, tasks write votes to files as they come; to more, a task first holds
     all that it has read. So votes that need more are dealt twice: to so many
     partitions, and from there on, where a task has its share of them.
+    ``then``, a function of the votes that keeps the item's columns and needs
+    only an item's votes together, is applied once they first are: what it
+    drops does not move again.
     """
     conf = votes.sparkSession.conf
     direct = max(int(conf.get("spark.shuffle.sort.bypassMergeThreshold", "200")), 1)
     parts = max(min(int(conf.get("spark.sql.shuffle.partitions")), direct), -(-votes.count() // TASK_VOTES))
+    votes = votes.repartition(min(parts, direct), *item)
+    votes = then(votes) if then else votes
     if parts > direct:
-        votes = votes.repartition(direct, *item).filter(F.spark_partition_id() >= 0)  # always true; two exchanges in a row would be made one
-    return votes.repartition(parts, *item)
+        votes = votes.filter(F.spark_partition_id() >= 0).repartition(parts, *item)  # always true; two exchanges in a row would be made one
+    return votes
 
 
 def _stored(df: DataFrame, tag: str) -> DataFrame:
@@ -145,10 +150,14 @@ def prefix_groups(ranked: DataFrame, votes: DataFrame, item: str, rater: str, la
 
     A vote enters its item at its rater's rank and changes the item's agreement
     there; kappa of all prefixes is a running sum of these changes, so votes are
-    not copied for the prefixes. The ranking has one row a rater.
+    not copied for the prefixes. The ranking has one row a rater; where it is
+    made of the same votes, the plan reads and deals them once for both.
     """
     w = Window.orderBy(F.desc("kappa"), rater)
-    r = _stored(ranked.select(rater, "kappa"), "ranking").select(rater, "kappa", F.row_number().over(w).alias("rank"), F.lead("kappa").over(w).alias("next"), F.collect_list(rater).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("members"))
+    ranked = ranked.select(rater, "kappa")
+    if ranked.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true":
+        ranked = _stored(ranked, "ranking")  # else the broadcast below would wait for the whole ranking, and give up after a while
+    r = ranked.select(rater, "kappa", F.row_number().over(w).alias("rank"), F.lead("kappa").over(w).alias("next"), F.collect_list(rater).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("members"))
     bound = F.when(F.col("next").isNull(), F.concat(F.lit("x ≥ "), T.fixed(F.col("kappa"), 4))).otherwise(F.concat(T.fixed(F.col("next"), 4), F.lit(" < x ≤ "), T.fixed(F.col("kappa"), 4)))
     heads = r.select("rank", bound.alias("bound"), F.size("members").alias("n_raters"), "members")
     v = votes.join(F.broadcast(r.select(rater, "rank")), rater)  # a row a rater

@@ -61,9 +61,9 @@ def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item, rater, label): orders, a line a vote; orders of one line are items of one vote."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
-    return agreement.dealt(lines, "l_orderkey").select(F.col("l_orderkey").alias("item"), F.row_number().over(w).alias("rater"), F.col("l_returnflag").alias("label"))
+    w = Window.partitionBy("item").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_returnflag").alias("label"))
+    return agreement.dealt(lines, "item", then=lambda x: x.select("item", F.row_number().over(w).alias("rater"), "label"))
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
